@@ -53,7 +53,7 @@ def plain_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def ranked(df: DataFrame, group: list[str], order: Column, total: int, name: str) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: Column, total: int, name: str, per_group: DataFrame | None = None) -> DataFrame:
     """Gapless long ``name`` from 0 within ``group``, in an order given by hash ``order``.
 
     No task gets a whole group: a group is cut into cells by the leading bits
@@ -61,7 +61,8 @@ def ranked(df: DataFrame, group: list[str], order: Column, total: int, name: str
     are counted, summed up, and rows numbered within their cell. The running
     sum over a group has a row for each cell, not for each row. Rows equal in
     ``order`` are numbered in any order, so ``order`` must cover every column
-    that matters to the caller.
+    that matters to the caller. The further columns of ``per_group``, which has
+    a row for each group, are added on the same join.
     """
     bits = max(0, min(40, (max(total, 1) // 1000).bit_length()))
     cell, key, n, before = (plain_name(df, x) for x in ("cell_", "key_", "n_", "before_"))
@@ -69,8 +70,13 @@ def ranked(df: DataFrame, group: list[str], order: Column, total: int, name: str
     counts = keyed.groupBy(*group, cell).agg(F.count(F.lit(1)).alias(n))
     running = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn(before, F.coalesce(F.sum(n).over(running), F.lit(0).cast("long"))).drop(n)
+    added = []
+    if per_group is not None:
+        added = [c for c in per_group.columns if c not in group]
+        p = per_group.alias("p")
+        starts = starts.alias("s").join(p, [F.col(f"s.`{c}`").eqNullSafe(F.col(f"p.`{c}`")) for c in group], "left").select("s.*", *(f"p.`{c}`" for c in added))
     left, right = keyed.alias("l"), starts.alias("r")
     same = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in (*group, cell)]
-    joined = left.join(right, same, "left").select("l.*", f"r.`{before}`")
+    joined = left.join(right, same, "left").select("l.*", f"r.`{before}`", *(f"r.`{c}`" for c in added))
     within = Window.partitionBy(*group, cell).orderBy(key)
     return joined.withColumn(name, F.col(before) + F.row_number().over(within) - 1).drop(key, cell, before)

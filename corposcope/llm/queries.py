@@ -7,30 +7,79 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corposcope.llm import quality_rules, simhash, substrings
+from corposcope.llm import byte_cnn, chat, licenses, mixing, packing, quality_rules, sharding, simhash, substrings, topk
 from corposcope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(spark: SparkSession) -> str:
+    """The tokenizer's file: the session's setting ``corposcope.tokenizer.path``, else the installed one."""
+    import public_tokenizers
+
+    return spark.conf.get("corposcope.tokenizer.path", None) or public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", "n_sentences", "n_removed", "removed_words", "first_doc_ids")
 
 
+def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.as_integers(table(spark, sf_dir, "embeddings"), scale=64)
+    return topk.top_k(vectors.filter(F.col("vec_id") % 20 == 0), vectors, k=20)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql("SELECT CAST(-1 AS BIGINT) AS conv_id, CAST(i AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(i, role)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    read = chat.read_back(chat.format_log(chat.log_of(rows)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), with_text=False)
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.host_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(spark), capacity=2048)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_substring_dedup, op5_simhash_near_dedup, op8_quality_rules)
+    for f in (
+        op1_kd_sharding, op2_substring_dedup, op3_pivot_topk, op4_license_scan, op5_simhash_near_dedup,
+        op6_chat_format, op7_mixing, op8_quality_rules, op9_best_fit_packing, op10_quality_classifier,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -83,4 +132,20 @@ prior AS (SELECT m, least(1e6, greatest(1, coalesce(m * (1 - m) / nullif(between
 verdict AS (SELECT source, (x + m * s) / (n + s) <= 0.5 AS ok FROM host, prior)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (ok OR NOT any_failed) AS kept
 FROM failed f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source""",
+    "op3_pivot_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op6_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(i, role)),
+sized AS (
+  SELECT *, length(text) + 4 * (length(text) - length(replace(text, '&', ''))) + 3 * (length(text) - length(regexp_replace(text, '[<>]', '', 'g'))) + 4 * (length(text) - length(regexp_replace(text, '[\[\]]', '', 'g'))) AS written FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + 5 + written + 8)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id""",
 }
