@@ -66,7 +66,7 @@ def fold(events: DataFrame) -> DataFrame:
     alive = F.filter(F.sort_array("es"), lambda x: F.col("reset").isNull() | (F.struct(x["seq"], x["step"]) >= F.col("reset")))
     messages = folded.select(
         "conv_id", "turn", "slot", "regenerated", F.col("reset.seq").alias("opened"),
-        F.coalesce(F.element_at(F.filter(F.transform(F.sort_array("es"), lambda x: x["role"]), lambda r: r.isNotNull()), -1), F.lit("")).alias("role"),
+        F.coalesce(F.try_element_at(F.filter(F.transform(F.sort_array("es"), lambda x: x["role"]), lambda r: r.isNotNull()), F.lit(-1)), F.lit("")).alias("role"),
         F.array_join(F.transform(alive, lambda x: x["text"]), "").alias("text"),
     )
     earlier = Window.partitionBy("conv_id").orderBy("turn", "slot").rowsBetween(Window.unboundedPreceding, -1)
