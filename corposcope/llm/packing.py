@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corposcope.llm.common import durable
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 #: Control characters that Python counts as blanks and the tokenizer does not.
 ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -51,7 +51,8 @@ class WordEncoder:
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
         split = [None if any(c in t for c in ODD_BLANKS) else self.CLOSING.sub(r" \1", t if "<|" in t or "Σ" in t else t.lower()).split() for t in texts]
-        missing = list({w for words in split if words for w in words} - self.memo.keys())
+        known = self.memo
+        missing = [w for w in set().union(*(words for words in split if words)) if w not in known]
         for i in range(0, len(missing), 10_000):
             part = missing[i : i + 10_000]
             found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -65,6 +66,16 @@ class WordEncoder:
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if words is None else b"".join(map(of, words)) for t, words in zip(texts, split, strict=True)]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """This process's encoder; a Python worker keeps it, with the words it knows, from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of all documents (null text: empty).
 
@@ -75,7 +86,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
