@@ -81,7 +81,7 @@ def _eliminate(k: int, pivots: int, slice_rows: int) -> Callable[[tuple, pd.Data
     return run
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, pivots: int = 16, query_block: int = 512, candidate_block: int = 2048, slice_rows: int = 256) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, pivots: int = 16, query_block: int = 512, candidate_block: int = 8192, slice_rows: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k highest inner products over all other rows.
 
     Both inputs as ``as_integers`` gives them. A query's own row is the one of
