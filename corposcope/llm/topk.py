@@ -54,14 +54,14 @@ def _eliminate(k: int, pivots: int, slice_rows: int) -> Callable[[tuple, pd.Data
             chosen.append(int(far.argmax()))
         p = v[chosen].astype(np.float64)
         to = lambda x, xx: np.sqrt(np.maximum(0, xx[:, None] + (p**2).sum(1)[None, :] - 2 * x.astype(np.float64) @ p.T))
-        table, own = to(v, vv), to(q, qq)
+        table, own = np.ascontiguousarray(to(v, vv).T), to(q, qq)  # pivots x rows
         out_q, out_v, out_s = [], [], []
         for i, query_id in enumerate(queries["vec_id"].to_numpy(np.int64)):
-            low = np.abs(table - own[i]).max(axis=1)
+            low = np.abs(table - own[i][:, None]).max(axis=0)
             low = np.maximum(0, low * (1 - 1e-9) - 1e-6)  # rounding never excludes
             bound = (qq[i] + vv - low * low) / 2 + 1e-6 * (1 + qq[i])
             bound[ids == query_id] = -np.inf
-            order = np.argsort(-bound, kind="stable")
+            order = np.argsort(-bound)
             best_s, best_v, at = np.empty(0, exact), np.empty(0, np.int64), 0
             while at < len(order):
                 if len(best_s) >= k and bound[order[at]] < float(best_s[k - 1]):
