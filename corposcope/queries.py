@@ -266,3 +266,25 @@ def st3_rolling_metrics(spark, d):
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def st5_status(spark, d):
     return streams.stream_status(corpus.read_table(spark, d, "events"))
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN d.source ELSE 'labelled' END AS source, coalesce(d.n_chars, l.quality) AS n_chars FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
+def s10_upsert_keeping(spark, d):
+    new = corpus.read_table(spark, d, "labels").select("doc_id", F.lit("labelled").alias("source"), F.col("quality").cast("long").alias("n_chars"))
+    return corpus.upsert_keeping(docs(spark, d).select("doc_id", "source", "n_chars"), new, "doc_id", "n_chars")
+
+
+@query("SELECT 'documents' AS table_name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'conversations', count(*) FROM conversations")
+def s12_table_counts(spark, d):
+    return corpus.counts_of({n: corpus.read_table(spark, d, n) for n in ("documents", "pages", "embeddings", "conversations")})
+
+
+@query(f"WITH t AS (SELECT doc_id, len({TOKENS}) > 0 AS ok FROM documents) SELECT count(*) AS n_rows, count(*) FILTER (WHERE ok) AS n_indexed, count(*) FILTER (WHERE NOT ok) AS n_missing FROM t")
+def s25_index_check(spark, d):
+    return corpus.index_check(docs(spark, d), s20_postings(spark, d), "doc_id")
+
+
+@query("SELECT d.source, count(*) AS n_docs, count(l.doc_id) AS n_labelled, round(100.0 * count(l.doc_id) / count(*), 4) AS coverage FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def a10_label_coverage(spark, d):
+    joined = docs(spark, d).select("doc_id", "source").join(corpus.read_table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return joined.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count("quality").alias("n_labelled")).withColumn("coverage", F.round(100.0 * F.col("n_labelled") / F.col("n_docs"), 4))

@@ -117,3 +117,25 @@ def pending_work(paths: DataFrame, done: DataFrame, n: int) -> DataFrame:
     groups = spark.createDataFrame(numbered.map(lambda x: (x[0][0], x[1] // n)), "path string, group_no long")
     hashed = groups.groupBy("group_no").agg(F.count(F.lit(1)).alias("n_paths"), F.sha1(F.array_join(F.array_sort(F.collect_list("path")), "")).alias("hash"))
     return hashed.join(done.select("hash").distinct(), "hash", "left_anti").select("group_no", "n_paths", "hash")
+
+
+def upsert_keeping(old: DataFrame, new: DataFrame, key: str, kept: str) -> DataFrame:
+    """Upsert by key in which the column ``kept`` stays as first inserted."""
+    first = new.drop(kept).join(old.select(key, F.col(kept).alias("old_")), key, "left").join(new.select(key, kept), key)
+    merged = first.withColumn(kept, F.coalesce("old_", kept)).drop("old_").select(*old.columns)
+    return old.join(new.select(key), key, "left_anti").unionByName(merged)
+
+
+def index_check(rows: DataFrame, postings: DataFrame, key: str) -> DataFrame:
+    """(n_rows, n_indexed, n_missing): rows of the base table against those that the index holds."""
+    indexed = postings.select(key).distinct().withColumn("indexed", F.lit(1))
+    return rows.select(key).join(indexed, key, "left").agg(F.count(F.lit(1)).alias("n_rows"), F.count("indexed").alias("n_indexed"), F.count_if(F.col("indexed").isNull()).alias("n_missing"))
+
+
+def counts_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n) for each table, to compare a copy with its source."""
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
