@@ -288,3 +288,27 @@ def s25_index_check(spark, d):
 def a10_label_coverage(spark, d):
     joined = docs(spark, d).select("doc_id", "source").join(corpus.read_table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     return joined.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count("quality").alias("n_labelled")).withColumn("coverage", F.round(100.0 * F.col("n_labelled") / F.col("n_docs"), 4))
+
+
+@query("SELECT doc_id, lang, source, (row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id))::INT AS place FROM documents QUALIFY place <= 5")
+def t2_longest_per_source(spark, d):
+    ranked_docs = docs(spark, d).withColumnRenamed("source", "query_id")
+    return search.top_per_query(ranked_docs, 5, F.desc("n_chars"), "doc_id").select("doc_id", "lang", F.col("query_id").alias("source"), F.col("rank").alias("place"))
+
+
+@query("SELECT conv_id, role, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS n_turns FROM conversations WHERE trim(text) <> '' GROUP BY ALL")
+def a34_joined_turns(spark, d):
+    rows = corpus.read_table(spark, d, "conversations").filter("trim(text) <> ''")
+    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return rows.groupBy("conv_id", "role").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"), F.count(F.lit(1)).alias("n_turns"))
+
+
+@query("SELECT 'document' AS result_type, doc_id AS id, length(text) AS n_chars FROM documents UNION ALL SELECT 'passage', item_id, length(text) FROM benchmark UNION ALL SELECT 'turn', conv_id, length(text) FROM conversations")
+def u1_union_of_kinds(spark, d):
+    kind = lambda name, table, key: corpus.read_table(spark, d, table).select(F.lit(name).alias("result_type"), F.col(key).alias("id"), F.length("text").cast("long").alias("n_chars"))
+    return kind("document", "documents", "doc_id").unionByName(kind("passage", "benchmark", "item_id")).unionByName(kind("turn", "conversations", "conv_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def u2_except_known(spark, d):
+    return docs(spark, d).select("doc_id").join(corpus.read_table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_anti")
