@@ -40,19 +40,42 @@ RADIUS = 3
 GENERATOR = 0b110001110101
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """SimHash of the word shingles of UTF-8 ``text``, as an unsigned 64-bit integer."""
+# Signatures of word shingles: so many least hashes, of which bands of so many rows are keys.
+HASHES, BANDS, ROWS = 256, 14, 5
+_SEEDS = np.random.default_rng(20).integers(0, 2**63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: bytes, width: int) -> list[int]:
+    """XXH64 of each word shingle of UTF-8 ``text``; of the whole sequence where there are fewer words."""
     words = text.lower().split()  # on bytes: A-Z alone is lowered, and the six ASCII blanks part words
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: -width + 1].tolist() if width > 1 else starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, 42)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], 42) for a, b in zip(starts[: -width + 1].tolist() if width > 1 else starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
+
+
+def signature(text: bytes, width: int = 5) -> bytes | None:
+    """Band keys (8 bytes each), then the lowest byte of each least hash of the set of shingles; None without words."""
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return None
+    every, least = np.unique(np.array(hashes, np.uint64)), np.full(HASHES, 2**64 - 1, np.uint64)
+    for i in range(0, len(every), 2048):
+        np.minimum(least, (every[i : i + 2048, None] * _SEEDS[0] + _SEEDS[1]).min(axis=0), out=least)
+    keys = b"".join(xxhash.xxh64_digest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS))
+    return keys + (least >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def fingerprint(text: bytes, width: int) -> int:
+    """SimHash of the word shingles of UTF-8 ``text``, as an unsigned 64-bit integer."""
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     set_bits = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         block = np.array(hashes[i : i + 65536], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -208,6 +231,111 @@ def _verified(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+def _alike(marks: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Estimated similarity of the shingle sets behind rows of ``marks`` with that behind ``one``."""
+    return ((marks == one).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _similar(fps: np.ndarray, marks: np.ndarray, least: float, stand_in: float) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges of a spanning forest of members alike, and which members still stand for themselves.
+
+    A member at least ``stand_in`` like a kept one is represented by it. Grown
+    from a frontier, so at most len - 1 edges leave.
+    """
+    edges, rest, kept = [], np.arange(len(fps)), np.ones(len(fps), bool)
+    while len(rest) > 1:
+        frontier, rest = [rest[0]], rest[1:]
+        while frontier and len(rest):
+            x = frontier.pop()
+            like = _alike(marks[rest], marks[x])
+            found = rest[like >= least]
+            edges += [(int(fps[x]), int(fps[y])) for y in found if fps[x] != fps[y]]
+            if kept[x]:
+                kept[rest[like >= stand_in]] = False
+            frontier += list(found)
+            rest = rest[like < least]
+    return edges, kept
+
+
+SIMILAR_SCHEMA = "key long, a long, b long, marks binary"
+
+
+def _similar_rows(least: float, stand_in: float, fresh: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Edges (key null) and members (b null) of lists by key.
+
+    ``fresh``: rows (fp, sig) get their band keys, and lists are thinned within
+    a batch, before the shuffle. Otherwise rows come sorted by key; lists are
+    read as a stream, and of those read only the kept members stay in memory.
+    """
+
+    def lists(key: np.ndarray, fps: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(np.diff(key[order])) + 1
+        for at in np.split(order, cuts):
+            edges, kept = _similar(fps[at], marks[at], least, stand_in) if len(at) > 1 else ([], np.ones(1, bool))
+            yield int(key[at[0]]), at, kept, edges
+
+    def frame(keys: list[np.ndarray], ids: list[np.ndarray], marks: list[bytes], edges: list[tuple[int, int]]) -> pd.DataFrame:
+        n, m = sum(map(len, keys)), len(edges)
+        pairs = np.array(edges, np.int64).reshape(-1, 2)
+        return pd.DataFrame({
+            "key": pd.Series([*np.concatenate([np.zeros(0, np.int64), *keys]).tolist(), *[None] * m], dtype="Int64"),
+            "a": np.concatenate([*ids, pairs[:, 0]]).astype(np.int64),
+            "b": pd.Series([*[None] * n, *pairs[:, 1].tolist()], dtype="Int64"),
+            "marks": [*marks, *[None] * m],
+        })
+
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f):
+                continue
+            fps = f["fp"].to_numpy(np.int64)
+            raw = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), -1)
+            band, marks = raw[:, : 8 * BANDS].copy().view(">i8").astype(np.int64), raw[:, 8 * BANDS :]
+            whole = [m.tobytes() for m in marks]
+            for i in range(BANDS):
+                keys, ids, sent, edges = [], [], [], []
+                for key, at, kept, linked in lists(band[:, i], fps, marks):
+                    edges += linked
+                    keys.append(np.full(kept.sum(), key, np.int64))
+                    ids.append(fps[at[kept]])
+                    sent += [whole[j] for j in at[kept]]
+                yield frame(keys, ids, sent, edges)
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in frames:
+            if not len(f):
+                continue
+            key, fps = f["key"].to_numpy(np.int64), f["a"].to_numpy(np.int64)
+            marks = np.frombuffer(b"".join(f["marks"]), np.uint8).reshape(len(f), -1)
+            if held is not None and held[0][0] == key[0]:
+                key, fps, marks = (np.concatenate(x) for x in zip(held, (key, fps, marks), strict=True))
+            edges = []
+            for _, at, kept, linked in lists(key, fps, marks):
+                edges += linked
+                last = at[kept]
+            held = (key[last], fps[last], marks[last].copy())
+            yield frame([], [], [], edges)
+
+    return begin if fresh else finish
+
+
+def similar_links(signatures: DataFrame, similarity: float, slack: float = 0.025, stand_in: float = 0.9) -> DataFrame:
+    """Edges (a, b) of fingerprints whose texts' shingle sets are alike, from (fp, sig).
+
+    Signatures that agree in a band meet; their similarity is estimated from
+    256 hashes, whose standard error at 0.8 is 0.025 (``slack``, allowed below
+    ``similarity``). At 0.8 a pair shares a band with probability 0.996. Of texts
+    0.9 alike or more one stands for the others in later comparisons.
+    """
+    rows = signatures.filter("sig IS NOT NULL").select("fp", "sig").distinct()
+    first = durable(rows.mapInPandas(_similar_rows(similarity - slack, stand_in, True), SIMILAR_SCHEMA))
+    met = first.filter("b IS NULL").repartition("key").sortWithinPartitions("key")
+    later = met.mapInPandas(_similar_rows(similarity - slack, stand_in, False), SIMILAR_SCHEMA)
+    return first.filter("b IS NOT NULL").select("a", "b").unionByName(later.select("a", "b"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of undirected ``edges`` (a, b: long); root is the least node reached.
 
@@ -238,7 +366,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = seen
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """``docs`` without its text, with ``fp`` (long) and ``component_id`` (long).
 
     Texts are linked when their fingerprints differ in at most ``radius`` (at
@@ -248,17 +376,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> Da
     other. Rows that repeat a doc_id keep a row each. A null doc_id never
     becomes a component_id unless the whole component has none. An empty table
     gives an empty result. Other columns are kept; of a clash with ``fp`` or
-    ``component_id`` the operator's own column wins.
+    ``component_id`` the operator's own column wins. With ``similarity`` texts
+    are also linked whose sets of five-word shingles are that alike (see
+    ``similar_links``); texts without words take no part in that.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError("the Golay keys guarantee 3 differing bits at most")
     rest = [c for c in docs.columns if c not in ("text", "fp", "component_id")]
-    marked = durable(with_fingerprints(docs.select(*(f"`{c}`" for c in rest), "text"), width, "fp").drop("text"))
+    marked = with_fingerprints(docs.select(*(f"`{c}`" for c in rest), "text"), width, "fp")
+    sig = plain_name(marked, "sig")
+    if similarity is not None:
+        signed = F.pandas_udf(lambda texts: texts.map(lambda t: signature(bytes(t)) if t is not None else None), "binary")
+        marked = marked.withColumn(sig, signed(F.col("text").cast("binary")))
+    marked = durable(marked.drop("text"))
     distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     keys = distinct.select("fp").mapInArrow(_candidate_keys, "key long, fp long")
     # A key's list comes together sorted and is read as a stream; only one list is in memory.
     met = keys.repartition("key").sortWithinPartitions("key")
     edges = met.mapInArrow(_verified(radius), "a long, b long")
+    if similarity is not None:
+        edges = edges.unionByName(similar_links(marked.select("fp", F.col(sig).alias("sig")), similarity))
+        marked = marked.drop(sig)
     roots = connected_components(edges)
     least = (
         distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
@@ -269,7 +407,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> Da
     return marked.join(of_fp, "fp", "left")
 
 
-def keep_one(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each near-duplicate component: that of the least doc_id.
 
     Of several rows with that doc_id, and of components without any doc_id, one
@@ -278,7 +416,7 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame
     columns = docs.columns
     tag = plain_name(docs, "row_key")
     keyed = docs.withColumn(tag, F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in columns)))
-    found = near_duplicates(keyed.select("doc_id", tag, "text"), width, radius)
+    found = near_duplicates(keyed.select("doc_id", tag, "text"), width, radius, similarity)
     keeper = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(tag))).alias("k"))
     kept = keeper.select(F.col("k.doc_id").alias("doc_id"), F.col(f"k.{tag}").alias(tag)).distinct()
     joined = keyed.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{tag}") == F.col(f"k.{tag}")), "left_semi")

@@ -85,3 +85,34 @@ def test_empty_table_and_unknown_ids(spark):
     assert sorted((r.doc_id is None, r.component_id) for r in got if r.doc_id is not None) == [(False, 4), (False, 4)]
     kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["4", "None"]
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_keep_one_by_similarity(spark):
+    """Edited copies go, texts of their own stay; against exact similarity of every pair."""
+    import random
+
+    rng = random.Random(3)
+    texts, base_of = [], []
+    for b in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(120, 400))]
+        for _ in range(5):
+            copy = list(words)
+            for _ in range(rng.randrange(1, max(2, len(words) // 70))):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+            base_of.append(b)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "one two")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, similarity=0.8).collect()}
+    sets = [shingles(t) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.84 * len(sets[i] | sets[j])]
+    assert len(alike) > 200
+    assert sum(got[i] == got[j] for i, j in alike) >= 0.98 * len(alike)
+    assert all(base_of[got[i]] == base_of[i] for i in range(len(texts)))
+    assert got[902] == 902 and got[900] == got[901] == 900
+    kept = {r.doc_id for r in simhash.keep_one(docs, similarity=0.8).collect()}
+    assert kept == set(got.values())
