@@ -191,3 +191,55 @@ def title_bonus(queries: DataFrame, docs: DataFrame, stats: DataFrame) -> DataFr
     score = F.when(phrase, 0.18).otherwise(0.0) + F.least(over, F.lit(5)) * 0.015 + F.least(content, F.lit(5)) * 0.05 + rares * 0.07
     score = score + F.when(F.size("content") > 0, content / F.size("content")).otherwise(0.0) * 0.10 + F.when(F.size("rare") > 0, rares / F.size("rare")).otherwise(0.0) * 0.10
     return met.filter(phrase | (content > 0) | (rares > 0) | (over >= 2)).select("query_id", "doc_id", F.round(score, 6).alias("bonus"))
+
+
+def chunk_hits_to_pages(hits: DataFrame, pages: DataFrame) -> DataFrame:
+    """Page rows for chunk hits (query_id, doc_id, page_no, rank, similarity), with the best score of each page."""
+    score = 1 / (15 + F.col("rank")) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("similarity"))) * 0.15
+    best = hits.groupBy("query_id", "doc_id", "page_no").agg(F.round(F.max(score), 6).alias("semantic_score"), F.max("similarity").alias("semantic_raw_score"))
+    return best.join(pages, ["doc_id", "page_no"])
+
+
+def section_search(keyword: DataFrame, semantic: DataFrame, search_type: str) -> DataFrame:
+    """The plan of a search type: one list alone, or both merged."""
+    if search_type == "hybrid":
+        return merge_hits(keyword, semantic)
+    if search_type not in ("keyword", "embedding"):
+        raise ValueError(f"unknown search type {search_type}")
+    return keyword if search_type == "keyword" else semantic
+
+
+def title_rescue(scored: DataFrame, bonus: DataFrame, pages: DataFrame, least: float = 0.30) -> DataFrame:
+    """(query_id, doc_id, score, page_no): documents of a high title bonus without hits, with their first page."""
+    missing = bonus.filter(F.col("bonus") >= least).join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    first = pages.groupBy("doc_id").agg(F.min("page_no").alias("page_no"))
+    return missing.join(first, "doc_id").select("query_id", "doc_id", F.col("bonus").alias("score"), "page_no")
+
+
+def only_documents(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Restricts rows of any search to the documents of ``ids``."""
+    return rows.join(ids.select("doc_id"), "doc_id", "left_semi")
+
+
+def doc_max_score(hits: DataFrame, score: str) -> DataFrame:
+    return hits.groupBy("query_id", "doc_id").agg(F.max(score).alias(score))
+
+
+def context_by_doc(hits: DataFrame, prefix: int = 100) -> DataFrame:
+    """(query_id, source_no, doc_id, n, context): hits (query_id, doc_id, rank, text) of one beginning once, joined by document in rank order."""
+    w = Window.partitionBy("query_id", F.substring("text", 1, prefix)).orderBy("rank")
+    once = hits.withColumn("rn_", F.row_number().over(w)).filter("rn_ = 1")
+    parts = F.array_sort(F.collect_list(F.struct("rank", "text")))
+    docs = once.groupBy("query_id", "doc_id").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("context"))
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy("first", "doc_id"))
+    return docs.select("query_id", number.alias("source_no"), "doc_id", "n", "context")
+
+
+def rag_union(*lists: DataFrame) -> DataFrame:
+    """Context lists (query_id, rank, row_id) one after another, numbered anew."""
+    every = [df.select("query_id", "rank", "row_id", F.lit(i).alias("list_no")) for i, df in enumerate(lists)]
+    whole = every[0]
+    for df in every[1:]:
+        whole = whole.unionByName(df)
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy("list_no", "rank", "row_id"))
+    return whole.select("query_id", number.alias("rank"), "row_id", "list_no")
