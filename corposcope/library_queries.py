@@ -237,3 +237,16 @@ def j12_title_rescue(spark, d):
     stats = search.token_stats(batch(spark, d), docs(spark, d).select(F.col("doc_id").alias("row_id"), "text"))
     bonus = search.title_bonus(batch(spark, d), titled, stats)
     return search.title_rescue(ranked(spark, d).withColumnRenamed("row_id", "doc_id"), bonus, pages(spark, d))
+
+
+@query(f"WITH {HEADS}, r AS (SELECT doc_id, text AS title, level AS canonical, (pos // 5 + 1)::INT AS page FROM l WHERE is_heading AND pos % 8 = 0), t AS (SELECT doc_id, title, min(page) AS p FROM r GROUP BY ALL), n AS (SELECT doc_id, canonical, min(page) AS p FROM r GROUP BY ALL) SELECT h.doc_id, h.pos, coalesce(t.p, n.p) AS page FROM h LEFT JOIN t ON h.doc_id = t.doc_id AND h.title = t.title LEFT JOIN n ON h.doc_id = n.doc_id AND h.level = n.canonical")
+def j24_seed_page_hints(spark, d):
+    named = headings(spark, d).withColumnRenamed("level", "canonical")
+    known = lines(spark, d).filter("is_heading AND pos % 8 = 0").select("doc_id", F.col("text").alias("title"), F.col("level").alias("canonical"), F.col("page_no").alias("page"))
+    return sections.seed_page_hints(named, known).select("doc_id", "pos", "page")
+
+
+@query(f"WITH {HEADS}, g AS (SELECT DISTINCT doc_id, text FROM l WHERE pos % 2 = 0), p AS (SELECT DISTINCT doc_id, text FROM l WHERE pos % 3 = 0), m AS (SELECT g.doc_id, p.text IS NOT NULL AS ok FROM g LEFT JOIN p ON g.doc_id = p.doc_id AND g.text = p.text) SELECT doc_id, count(*) AS n_gold, count(*) FILTER (WHERE ok) AS n_found, round(count(*) FILTER (WHERE ok) / count(*), 6) AS recall FROM m GROUP BY 1")
+def u3_set_recall(spark, d):
+    every = lines(spark, d)
+    return sections.set_recall(every.filter("pos % 3 = 0"), every.filter("pos % 2 = 0"), "text")

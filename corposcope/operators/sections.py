@@ -105,3 +105,17 @@ def dedupe_headings(headings: DataFrame) -> DataFrame:
     norm = F.trim(F.regexp_replace(F.lower("title"), r"\s+", " "))
     w = Window.partitionBy("doc_id", norm, "level").orderBy("pos")
     return headings.withColumn("rn_", F.row_number().over(w)).filter("rn_ = 1").drop("rn_")
+
+
+def seed_page_hints(headings: DataFrame, references: DataFrame) -> DataFrame:
+    """``headings`` (doc_id, pos, title, canonical) with ``page`` from references (doc_id, title, canonical, page): by title, else by canonical name; the first page counts."""
+    by = lambda key, name: references.groupBy("doc_id", key).agg(F.min("page").alias(name))
+    met = headings.join(by("title", "by_title_"), ["doc_id", "title"], "left").join(by("canonical", "by_name_"), ["doc_id", "canonical"], "left")
+    return met.select(*headings.columns, F.coalesce("by_title_", "by_name_").alias("page"))
+
+
+def set_recall(predicted: DataFrame, gold: DataFrame, value: str) -> DataFrame:
+    """(doc_id, n_gold, n_found, recall) of a document's distinct gold values among the predicted ones."""
+    found = predicted.select("doc_id", value).distinct().withColumn("found_", F.lit(1))
+    met = gold.select("doc_id", value).distinct().join(found, ["doc_id", value], "left")
+    return met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_gold"), F.count("found_").alias("n_found"), F.round(F.count("found_") / F.count(F.lit(1)), 6).alias("recall"))

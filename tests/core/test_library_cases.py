@@ -109,3 +109,11 @@ def test_search_parts(spark):
     texts = spark.createDataFrame([(1, 5, 1, "one"), (1, 6, 2, "two"), (1, 5, 3, "three"), (1, 7, 4, "one")], "query_id long, doc_id long, rank int, text string")
     got = search.context_by_doc(texts).orderBy("source_no").collect()
     assert [(r.source_no, r.doc_id, r.n, r.context) for r in got] == [(1, 5, 2, "one\n\nthree"), (2, 6, 1, "two")]
+
+
+def test_page_hints_and_recall(spark):
+    h = spark.createDataFrame([(1, 0, "A", "x"), (1, 1, "B", "y"), (1, 2, "C", "z")], "doc_id long, pos int, title string, canonical string")
+    r = spark.createDataFrame([(1, "A", "q", 5), (1, "A", "q", 3), (1, "K", "y", 7)], "doc_id long, title string, canonical string, page int")
+    assert [x.page for x in sections.seed_page_hints(h, r).orderBy("pos").collect()] == [3, 7, None]
+    gold = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b")], "doc_id long, v string")
+    assert tuple(sections.set_recall(gold.filter("v = 'a'"), gold, "v").first()) == (1, 2, 1, 0.5)
