@@ -6,6 +6,8 @@ keys, so what meets is one page.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +122,65 @@ def best_per_number(figures: DataFrame) -> DataFrame:
     """Of figures with one number on a page the one of highest score (ties to the smaller id); unnumbered ones all pass."""
     w = Window.partitionBy(*PAGE, "number").orderBy(F.desc("score"), "asset_id")
     return figures.withColumn("rn_", F.row_number().over(w)).filter("rn_ = 1 OR number IS NULL").drop("rn_")
+
+
+def reading_order(blocks: DataFrame, width: float, wide: float = 0.6, margin: float = 0.05) -> DataFrame:
+    """``blocks`` with ``reading_no`` (from 1) on their page.
+
+    A page has two columns if two blocks or more lie in each half. Then wide
+    blocks part it into bands, each read left column first; margin notes come last.
+    """
+    x0, x1 = F.col("box.x0"), F.col("box.x1")
+    role = (
+        F.when((x1 <= width * margin) | (x0 >= width * (1 - margin)), "margin").when(x1 - x0 >= width * wide, "wide")
+        .when(x1 <= width / 2, "left").when(x0 >= width / 2, "right").otherwise("wide")
+    )
+    page = Window.partitionBy(*PAGE)
+    down = page.orderBy("box.y0", "box.x0", "block_index").rowsBetween(Window.unboundedPreceding, 0)
+    marked = blocks.withColumn("role_", role)
+    two = (F.count_if(F.col("role_") == "left").over(page) >= 2) & (F.count_if(F.col("role_") == "right").over(page) >= 2)
+    column = F.when(F.col("role_") == "margin", 3).when(~F.col("two_"), 0).when(F.col("role_") == "left", 1).when(F.col("role_") == "right", 2).otherwise(0)
+    band = F.when(F.col("role_") == "margin", F.lit(None)).when(F.col("two_"), F.count_if(F.col("role_") == "wide").over(down)).otherwise(0)
+    keyed = marked.withColumn("two_", two).withColumn("column_", column).withColumn("band_", band)
+    order = page.orderBy(F.asc_nulls_last("band_"), "column_", "box.y0", "box.x0", "block_index")
+    return keyed.withColumn("reading_no", F.row_number().over(order)).drop("role_", "two_", "column_", "band_")
+
+
+def box_clusters(boxes: DataFrame, reach: float = 0.0) -> DataFrame:
+    """(doc_id, page_no, block_index, cluster): boxes of a page linked over gaps of at most ``reach``; a cluster is its least block_index."""
+
+    def one(page: list[dict]) -> list[dict]:
+        label, seen = [0] * len(page), np.zeros(len(page), bool)
+        sides = np.array([[b["x0"], b["y0"], b["x1"], b["y1"]] for b in page])
+        for i, first in enumerate(page):
+            waiting = [] if seen[i] else [i]
+            seen[i] = True
+            while waiting:
+                at = waiting.pop()
+                label[at] = first["block_index"]
+                near = ~seen & (sides[:, :2] <= sides[at, 2:] + reach).all(axis=1) & (sides[at, :2] <= sides[:, 2:] + reach).all(axis=1)
+                seen |= near
+                waiting += np.flatnonzero(near).tolist()
+        return [{"block_index": b["block_index"], "cluster": c} for b, c in zip(page, label, strict=True)]
+
+    @F.pandas_udf("array<struct<block_index:int,cluster:int>>")
+    def clusters(pages: pd.Series) -> pd.Series:
+        return pages.map(one)
+
+    page = boxes.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("block_index", "box.*"))).alias("b"))
+    return page.select(*PAGE, F.explode(clusters("b")).alias("c")).select(*PAGE, "c.*")
+
+
+def merge_fragments(pieces: DataFrame, most_gap: float = 14.0, share: float = 0.6) -> DataFrame:
+    """(doc_id, page_no, piece_id, n_pieces, n_cols, box): stacked pieces of a table as one.
+
+    A piece joins the one above it if both have as many columns, the gap is small and they share most of the narrower width.
+    """
+    w = Window.partitionBy(*PAGE).orderBy("box.y0", "piece_id")
+    above = F.col("above_")
+    joins = (F.col("above_cols_") == F.col("n_cols")) & (gap(above, F.col("box")) <= most_gap) & (share_of_narrower(above, F.col("box")) >= share)
+    marked = pieces.withColumn("above_", F.lag("box").over(w)).withColumn("above_cols_", F.lag("n_cols").over(w))
+    marked = marked.withColumn("new_", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("run_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    low, high = (lambda c: F.min(f"box.{c}").alias(c)), (lambda c: F.max(f"box.{c}").alias(c))
+    whole = marked.groupBy(*PAGE, "run_", "n_cols").agg(F.min("piece_id").alias("piece_id"), F.count(F.lit(1)).alias("n_pieces"), low("x0"), low("y0"), high("x1"), high("y1"))
+    return whole.select(*PAGE, "piece_id", "n_pieces", "n_cols", F.struct("x0", "y0", "x1", "y1").alias("box"))

@@ -243,3 +243,51 @@ def rag_union(*lists: DataFrame) -> DataFrame:
         whole = whole.unionByName(df)
     number = F.row_number().over(Window.partitionBy("query_id").orderBy("list_no", "rank", "row_id"))
     return whole.select("query_id", number.alias("rank"), "row_id", "list_no")
+
+
+def full_text_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, row_id, score): rows holding all of a query's words anywhere, by the sum of ln(1 + count); no stemming.
+
+    As in ``keyword_search`` only the rarest word is looked up; the others are checked on the rows found.
+    """
+    r = rows.select("row_id", X.index_tokens(F.col("text")).alias("tokens"))
+    q = queries.select("query_id", F.array_sort(F.array_distinct(X.index_tokens(F.col("query")))).alias("q")).filter(F.size("q") > 0)
+    of_query = q.select("query_id", F.explode("q").alias("token"))
+    known = of_query.join(document_frequencies(r, of_query), "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = known.groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    places = r.select("row_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    met = places.join(rarest, "token").select("query_id", "row_id").join(r, "row_id").join(q, "query_id").filter(F.size(F.array_except("q", "tokens")) == 0)
+    parts = F.transform("q", lambda t: F.log1p(F.size(F.filter("tokens", lambda x: x == t))))
+    scored = met.select("query_id", "row_id", F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
+    return top_per_query(scored, k, F.desc("score"), "row_id").select("query_id", "rank", "row_id", "score")
+
+
+def tfidf_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, row_id, cosine): rows by the cosine of tf-idf vectors, idf ln((1 + N) / (1 + df)) + 1, over rows sharing a word.
+
+    Words meet in one join on the token; a row's norm is an aggregate of its own.
+    """
+    tf = rows.select("row_id", F.explode(X.index_tokens(F.col("text"))).alias("token")).groupBy("row_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    n = rows.agg(F.count(F.lit(1)).alias("n_rows"))  # one row
+    idf = df.join(F.broadcast(n)).select("token", (F.log((1 + F.col("n_rows")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighted = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
+    norms = weighted.groupBy("row_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("row_norm"))
+    asked = queries.select("query_id", F.explode(X.index_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("q_tf"))
+    asked = asked.join(idf, "token").withColumn("q_w", F.col("q_tf") * F.col("idf")).select("query_id", "token", "q_w")
+    lengths = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q_w") * F.col("q_w"))).alias("q_norm"))
+    dots = weighted.join(asked, "token").groupBy("query_id", "row_id").agg(F.sum(F.col("w") * F.col("q_w")).alias("dot"))
+    scored = dots.join(norms, "row_id").join(lengths, "query_id").select("query_id", "row_id", F.round(F.col("dot") / F.col("row_norm") / F.col("q_norm"), 6).alias("cosine"))
+    return top_per_query(scored, k, F.desc("cosine"), "row_id").select("query_id", "rank", "row_id", "cosine")
+
+
+def rag_context(ranked: DataFrame, rows: DataFrame, chars: int = 1200) -> DataFrame:
+    """(query_id, source_no, row_id, context): numbered context rows of a ranking, texts squeezed and cut."""
+    return ranked.join(rows.select("row_id", X.preview(F.col("text"), chars).alias("context")), "row_id").select("query_id", F.col("rank").alias("source_no"), "row_id", "context")
+
+
+def find_rows(queries: DataFrame, ranked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, rank, row_id): a query of digits finds the row of that id; other queries, and ids not found, get their ranking."""
+    by_id = queries.filter(F.trim("query").rlike("^[0-9]{1,18}$")).select("query_id", F.trim("query").cast("long").alias("row_id")).join(rows.select("row_id"), "row_id", "left_semi")
+    rest = ranked.join(by_id.select("query_id"), "query_id", "left_anti")
+    return by_id.select("query_id", F.lit(1).alias("rank"), "row_id").unionByName(rest.select("query_id", "rank", "row_id"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corposcope.functions.text import heading_norm, heading_variants, loose_norm
+
 LEVELS = range(1, 7)
 
 
@@ -119,3 +121,46 @@ def set_recall(predicted: DataFrame, gold: DataFrame, value: str) -> DataFrame:
     found = predicted.select("doc_id", value).distinct().withColumn("found_", F.lit(1))
     met = gold.select("doc_id", value).distinct().join(found, ["doc_id", value], "left")
     return met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_gold"), F.count("found_").alias("n_found"), F.round(F.count("found_") / F.count(F.lit(1)), 6).alias("recall"))
+
+
+def section_assets(targets: DataFrame, assets: DataFrame) -> DataFrame:
+    """(doc_id, section, asset_id): a section's assets; if it has none, those on its pages without a section.
+
+    ``targets`` has a row (doc_id, section, page_no) for each page of a section;
+    ``assets`` has doc_id, page_no, asset_id, section.
+    """
+    named = targets.select("doc_id", "section").distinct()
+    own = named.join(assets.select("doc_id", "section", "asset_id"), ["doc_id", "section"])
+    loose = assets.filter(F.lower(F.trim(F.coalesce("section", F.lit("")))).isin("", "other", "unknown")).select("doc_id", "page_no", "asset_id")
+    lacking = targets.join(own.select("doc_id", "section").distinct(), ["doc_id", "section"], "left_anti")
+    return own.unionByName(lacking.join(loose, ["doc_id", "page_no"]).select("doc_id", "section", "asset_id").distinct())
+
+
+def anchor_in_section(anchors: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, anchor, n_found, correct): sections of the document that hold an anchor, and whether one has the expected heading.
+
+    ``anchors``: doc_id, anchor, expected; ``parts``: doc_id, title, text.
+    """
+    shaped = parts.select("doc_id", heading_variants(F.col("title")).alias("titles_"), loose_norm(F.col("text")).alias("text_"))
+    met = anchors.join(shaped, "doc_id", "left")
+    holds = F.coalesce(F.contains("text_", loose_norm(F.col("anchor"))), F.lit(False))
+    right = holds & F.arrays_overlap("titles_", heading_variants(F.col("expected")))
+    return met.groupBy("doc_id", "anchor", "expected").agg(F.count_if(holds).alias("n_found"), F.coalesce(F.bool_or(right), F.lit(False)).alias("correct")).drop("expected")
+
+
+def heading_figures(lines: DataFrame) -> DataFrame:
+    """(doc_id, n_headings, n_duplicates, n_empty, n_runs, longest_run): headings of a document without its gold.
+
+    A run is two headings or more with nothing but blanks between; an empty heading has no prose before the next one or the end.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    full = lines.filter(F.col("is_heading") | (F.trim("text") != ""))
+    marked = full.withColumn("empty_", F.col("is_heading") & F.coalesce(F.lead("is_heading").over(w), F.lit(True)))
+    marked = marked.withColumn("new_", (~(F.col("is_heading") & F.coalesce(F.lag("is_heading").over(w), F.lit(False)))).cast("int"))
+    marked = marked.filter("is_heading").withColumn("run_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("norm_", heading_norm(F.col("text")))
+    size = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "run_"))
+    sized = marked.withColumn("size_", size)
+    return sized.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_headings"), (F.count(F.lit(1)) - F.count_distinct("norm_")).alias("n_duplicates"), F.count_if("empty_").alias("n_empty"),
+        F.count_if((F.col("size_") > 1) & (F.col("new_") == 1)).alias("n_runs"), F.max("size_").alias("longest_run"),
+    )

@@ -139,3 +139,46 @@ def counts_of(tables: dict[str, DataFrame]) -> DataFrame:
     for part in parts[1:]:
         whole = whole.unionByName(part)
     return whole
+
+
+def clean_transcript(lines: DataFrame, key: str = "doc_id", order: str = "pos") -> DataFrame:
+    """(key, text): caption lines as a transcript.
+
+    Headers, notes, cue times, cue numbers and tags go; of rolling captions,
+    each a prefix of the next, the fullest line stays. A transcript is one row.
+    """
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "<[^>]*>", "")
+    for written, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(written), F.lit(sign))
+    shaped = lines.select(key, order, F.trim(F.regexp_replace(plain, r"\s+", " ")).alias("line"))
+    kept = shaped.filter((F.col("line") != "") & ~F.col("line").rlike(r"^(WEBVTT|KIND:|LANGUAGE:|Kind:|Language:|NOTE\b)|-->|^[0-9]+$"))
+    whole = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "line"))).alias("lines"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("last"))
+
+    def step(acc, x):
+        line = x["line"]
+        return (
+            F.when(F.startswith(line, acc["last"]), F.struct(acc["done"].alias("done"), line.alias("last")))
+            .when(F.startswith(acc["last"], line), acc)
+            .otherwise(F.struct(F.concat(acc["done"], F.array(acc["last"])).alias("done"), line.alias("last")))
+        )
+
+    done = lambda acc: F.array_join(F.concat(acc["done"], F.array(acc["last"])), "\n")
+    return whole.select(key, F.aggregate("lines", start, step, done).alias("text"))
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, form: str = "parquet") -> None:
+    """Each table to its folder as parquet, json or csv; a repeated write replaces it."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", "true").format(form).save(f"{folder}/{name}")
+
+
+def list_newest(rows: DataFrame, created: str, key: str) -> DataFrame:
+    return rows.orderBy(F.desc_nulls_last(created), F.desc(key))
+
+
+def page_excerpt(pages: DataFrame, wanted: DataFrame, most: int = 4000) -> DataFrame:
+    """(doc_id, first_page, last_page, text): the texts of a range of pages joined by newlines and cut."""
+    met = pages.join(wanted, "doc_id").filter(F.col("page_no").between(F.col("first_page"), F.col("last_page")))
+    parts = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    return met.groupBy("doc_id", "first_page", "last_page").agg(F.substring(F.array_join(F.transform(parts, lambda p: p["text"]), "\n"), 1, most).alias("text"))

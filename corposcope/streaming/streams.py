@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corposcope.sources.corpus import blocks_of
+from corposcope.functions.text import index_tokens
+from corposcope.sources.corpus import blocks_of, build_postings
 
 
 def rolling_metrics(events: DataFrame) -> DataFrame:
@@ -51,3 +52,29 @@ def current_blocks(spark: SparkSession, out: str) -> DataFrame:
     every = spark.read.option("basePath", out).parquet(out)
     newest = every.groupBy("doc_id").agg(F.max("epoch").alias("epoch"))
     return every.join(newest, ["doc_id", "epoch"]).drop("epoch")
+
+
+def postings_batch(out: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: postings of changed documents (doc_id, text; null text deletes) and a marker for each.
+
+    Both folders are named by the batch, so a repeated batch overwrites itself.
+    Of several rows of a document in one batch the last by ``changed_at`` counts.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        last = batch.groupBy("doc_id").agg(F.max_by("text", F.struct("changed_at", "text")).alias("text"))
+        last.select("doc_id").write.mode("overwrite").parquet(f"{out}/changed/epoch={epoch}")
+        build_postings(last, "doc_id", index_tokens(F.col("text"))).write.mode("overwrite").parquet(f"{out}/postings/epoch={epoch}")
+
+    return write
+
+
+def stream_postings(changes: DataFrame, out: str, checkpoint: str):
+    """An inverted index that follows inserts, updates and deletes."""
+    return changes.writeStream.foreachBatch(postings_batch(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_postings(spark: SparkSession, out: str) -> DataFrame:
+    """(token, doc_id, tf) of each document as last changed."""
+    newest = spark.read.parquet(f"{out}/changed").groupBy("doc_id").agg(F.max("epoch").alias("epoch"))
+    return spark.read.parquet(f"{out}/postings").join(newest, ["doc_id", "epoch"]).select("token", "doc_id", "tf")
