@@ -133,3 +133,29 @@ HEADED = "w AS (SELECT doc_id, pos, text, length(text) % 3 > 0 AS hd FROM l), f
 @query(f"WITH {HEADS}, {HEADED} SELECT doc_id, count(*) AS n_headings, count(*) - count(DISTINCT {NORM.format('text')}) AS n_duplicates, count(*) FILTER (WHERE empty) AS n_empty, count(*) FILTER (WHERE size > 1 AND new) AS n_runs, max(size) AS longest_run FROM z GROUP BY 1")
 def a14_heading_figures(spark, d):
     return sections.heading_figures(lines(spark, d).withColumn("is_heading", F.length("text") % 3 > 0))
+
+
+@query("SELECT item_id AS query_id, list_has_any(t, ['approach', 'architecture', 'cache', 'curvature', 'defense', 'design', 'framework', 'mechanism', 'method', 'model', 'objective', 'pipeline', 'reuse', 'router', 'training']) AS method, list_has_any(t, ['benchmark', 'dataset', 'evaluation']) AS benchmark FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2) AS t FROM benchmark)")
+def p15_query_profiles(spark, d):
+    found = batch(spark, d).select("query_id", X.query_profile(F.col("query")).alias("k"))
+    return found.select("query_id", F.array_contains("k", "method").alias("method"), F.array_contains("k", "benchmark").alias("benchmark"))
+
+
+@query()
+def p10_query_match_scores(spark, d):
+    """Each query against the pages that hold it, with the best sentence."""
+    p = pages(spark, d)
+    met = search.keyword_search(batch(spark, d), p.select("row_id", "text"), 20).join(batch(spark, d), "query_id").join(p.select("row_id", "text"), "row_id")
+    focused = met.withColumn("tokens", X.query_tokens(F.col("query"))).withColumn("focus", X.sentence_focus(F.col("query"), F.col("tokens"), F.col("text")))
+    score = X.query_match_score(F.col("query"), F.col("tokens"), F.col("text"), F.col("focus"))
+    return focused.select("query_id", "row_id", F.round(score, 6).alias("score"), "focus.hits", F.round("focus.compactness", 6).alias("compactness"))
+
+
+@query()
+def a6_doc_gate(spark, d):
+    p = pages(spark, d)
+    found = search.keyword_hits(search.keyword_search(batch(spark, d), p.select("row_id", "text"), 20), batch(spark, d), p)
+    stats = search.token_stats(batch(spark, d), p.select("row_id", "text"))
+    hits = search.annotate_hits(found, stats).withColumn("canonical", F.lit(None).cast("string")).withColumn("semantic_raw_score", F.lit(None).cast("double"))
+    titled = docs(spark, d).select("doc_id", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"))
+    return search.doc_gate(hits, search.title_bonus(batch(spark, d), titled, stats))

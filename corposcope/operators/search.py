@@ -291,3 +291,32 @@ def find_rows(queries: DataFrame, ranked: DataFrame, rows: DataFrame) -> DataFra
     by_id = queries.filter(F.trim("query").rlike("^[0-9]{1,18}$")).select("query_id", F.trim("query").cast("long").alias("row_id")).join(rows.select("row_id"), "row_id", "left_semi")
     rest = ranked.join(by_id.select("query_id"), "query_id", "left_anti")
     return by_id.select("query_id", F.lit(1).alias("rank"), "row_id").unionByName(rest.select("query_id", "rank", "row_id"))
+
+
+def doc_gate(hits: DataFrame, bonus: DataFrame, title_alone: float = 0.30) -> DataFrame:
+    """(query_id, doc_id, title_bonus): documents whose three best gated hits, or whose title, support them enough.
+
+    ``hits`` annotated as for ``section_gate``, with ``canonical`` and
+    ``semantic_raw_score``; ``bonus`` from ``title_bonus``. A document whose best
+    body hit lies in a section of low salience needs a title or another body hit.
+    """
+    order = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("match_score"), "row_id")
+    top = section_gate(hits).withColumn("i", F.row_number().over(order)).filter("i <= 3")
+    need = X.min_hits(F.col("content_count"))
+    known = (F.col("rare_count") == 0) | (F.col("weighted_ratio") >= 0.82)
+    near = (F.col("content_hits") >= 1) & (F.col("match_score") >= 0.085)
+    facts = F.struct(
+        "i", F.col("exact_phrase").alias("exact"), X.is_low_salience(F.col("canonical")).alias("low"), (F.col("content_hits") >= need).alias("content"), near.alias("near"),
+        ((F.col("content_hits") >= need) & (F.col("lex_hits") >= X.min_hits(F.size(X.query_tokens(F.col("query"))))) & (known | (F.col("rare_hits") >= X.min_hits(F.col("rare_count"))))).alias("full"),
+        (near & (known | (F.col("rare_hits") >= 1))).alias("close"), ((F.col("block_match_score") >= 4.5) | (F.coalesce("semantic_raw_score", F.lit(0.0)) >= 0.012)).alias("strong"),
+    )
+    body = F.col("search_bucket") == "body"
+    best = top.groupBy("query_id", "doc_id").agg(F.min(facts).alias("first"), F.min(F.when(body, facts)).alias("body"), F.count_if(body & ~X.is_low_salience(F.col("canonical"))).alias("salient"))
+    met = best.join(bonus.select("query_id", "doc_id", F.col("bonus").alias("title_bonus")), ["query_id", "doc_id"], "full_outer").withColumn("title_bonus", F.coalesce("title_bonus", F.lit(0.0)))
+    b, f, title = F.col("body"), F.col("first"), F.col("title_bonus")
+    keep = (
+        F.when(f.isNull(), title >= title_alone).when(b["low"] & (title < 0.10) & (F.col("salient") == 0), False)
+        .when(b["exact"] | b["full"] | (b["close"] & ((title >= 0.06) | b["strong"])), True)
+        .otherwise((title >= 0.10) & (f["exact"] | f["content"] | f["near"]))
+    )
+    return met.filter(keep).select("query_id", "doc_id", "title_bonus")

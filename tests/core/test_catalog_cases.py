@@ -139,3 +139,39 @@ def test_queries_without_a_twin_cover_every_document(spark, name):
     got = {r.doc_id for r in entry.queries()[name](spark, folder).select("doc_id").collect()}
     every = {r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").filter("trim(text) <> ''").select("doc_id").collect()}
     assert got <= every and len(got) >= 0.9 * len(every)
+
+
+def test_query_profile(spark):
+    df = spark.createDataFrame([("a training method",), ("F1 on which benchmark",), ("cats",), (None,)], "q string")
+    assert [r.k for r in df.select(X.query_profile(F.col("q")).alias("k")).collect()] == [["method"], ["result", "benchmark"], ["overview"], ["overview"]]
+
+
+def test_sentence_focus_and_match_score(spark):
+    rows = [("Other text here. Neural nets are useful.\nNets of neural kind",), ("",), (None,), ("nothing to see",)]
+    df = spark.createDataFrame(rows, "t string")
+    q, tokens = F.lit("neural nets"), X.query_tokens(F.lit("neural nets"))
+    got = df.select(X.sentence_focus(q, tokens, F.col("t")).alias("f"), F.round(X.query_match_score(q, tokens, F.col("t")), 6).alias("s")).collect()
+    # 2 hits, their share, order, one pair, the phrase: 2.5 + 1.1 + 1.4 + 0.8 + 8; then compactness, the verb and the length
+    assert (got[0].f.hits, got[0].f.exact, got[0].f.chars, got[0].f.explains, got[0].f.score) == (2, True, 23, True, pytest.approx(13.8 + 1.4 + 0.7 + 0.45))
+    assert got[0].s == pytest.approx(13.8 + 0.8 + 1.6 + 1.2 + 1.0 + 0.6)
+    assert [r.s for r in got[1:]] == [0.0, 0.0, 0.0] and got[1].f is None and got[3].f.hits == 0
+
+
+def test_table_quality(spark):
+    df = spark.createDataFrame([(["Model", "F1", " "], [["a", "1"], ["b", ""]]), (["col_1", "12"], []), ([], [])], "h array<string>, r array<array<string>>")
+    got = [r.q for r in df.select(X.table_quality(F.col("h"), F.col("r")).alias("q")).collect()]
+    assert got == [pytest.approx(3.6 + 0.9 + 0.9 + 2 / 3 - 1.3 - 1.7), pytest.approx(3.6 - 1.5 - 1.7), 0.0]
+
+
+def test_doc_gate(spark):
+    # query_id, doc_id, row_id, canonical, exact, content hits, match score; each query has two content words and no rare one
+    rows = [
+        (1, 1, 1, None, True, 2, 0.3), (1, 2, 2, "appendix", True, 2, 0.3), (1, 3, 3, "appendix", True, 2, 0.3), (1, 3, 4, "results", True, 2, 0.2),
+        (1, 4, 5, "appendix", True, 2, 0.3),
+    ]
+    hits = spark.createDataFrame(rows, "query_id long, doc_id long, row_id long, canonical string, exact_phrase boolean, content_hits int, match_score double").withColumns({
+        "query": F.lit("neural nets"), "lex_hits": F.col("content_hits"), "content_count": F.lit(2), "rare_hits": F.lit(0), "rare_count": F.lit(0), "weighted_ratio": F.lit(1.0),
+        "block_match_score": F.lit(1.0), "keyword_score": F.lit(0.1), "semantic_raw_score": F.lit(None).cast("double"), "search_bucket": F.lit("body"),
+    })
+    bonus = spark.createDataFrame([(1, 4, 0.15), (1, 5, 0.31), (1, 6, 0.29)], "query_id long, doc_id long, bonus double")
+    assert sorted((r.doc_id, r.title_bonus) for r in search.doc_gate(hits, bonus).collect()) == [(1, 0.0), (3, 0.0), (4, 0.15), (5, 0.31)]
