@@ -3,8 +3,10 @@
 Each document is measured and held against rules. Failures are counted for
 each host (the column ``source``), a host's failure rate is shrunk towards the
 corpus by a beta prior fitted to all hosts by moments, and the host's verdict
-is joined back: on a host whose shrunk rate is too high a document has to pass
-every rule to stay, elsewhere only the base rules.
+is joined back. Every document has to pass the base rules. The softer rules hold
+as they stand on hosts that fail as often as the corpus or oftener; on a host
+that fails less often their limits are wider by as much as its shrunk rate is
+below the corpus rate.
 """
 
 from __future__ import annotations
@@ -85,9 +87,10 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def host_verdicts(marked: DataFrame, worst_rate: float = 0.5) -> DataFrame:
-    """(source, n_docs, n_failed, host_rate, host_ok) for each host of documents with ``any_failed``.
+    """(source, n_docs, n_failed, host_rate, host_ok, leniency) for each host of documents with ``any_failed``.
 
-    The beta prior has the mean and, where hosts vary more than chance allows,
+    ``leniency`` (1 or more) multiplies the limits of the softer rules: the
+    corpus rate over the host's, and 1 on a host above ``worst_rate``. The beta prior has the mean and, where hosts vary more than chance allows,
     the spread of the hosts' rates; else it is so strong that every host gets
     the corpus rate.
     """
@@ -104,16 +107,18 @@ def host_verdicts(marked: DataFrame, worst_rate: float = 0.5) -> DataFrame:
     prior = prior.select(mean.alias("prior_mean"), strength.alias("prior_strength"))
     rated = hosts.join(F.broadcast(prior))  # one row
     rate = (F.col("n_failed") + F.col("prior_mean") * F.col("prior_strength")) / (F.col("n_docs") + F.col("prior_strength"))
-    return rated.select("source", "n_docs", "n_failed", rate.alias("host_rate"), (rate <= worst_rate).alias("host_ok"))
+    leniency = F.when(rate <= worst_rate, F.greatest(F.lit(1.0), F.coalesce(F.col("prior_mean") / F.nullif(rate, F.lit(0.0)), F.lit(1.0)))).otherwise(1.0)
+    return rated.select("source", "n_docs", "n_failed", rate.alias("host_rate"), (rate <= worst_rate).alias("host_ok"), leniency.alias("leniency"))
 
 
 def judged(docs: DataFrame, worst_rate: float = 0.5, max_symbols: float = 0.1, max_dup_lines: float = 0.3, max_word_chars: float = 20.0) -> DataFrame:
-    """``docs`` with the measures, ``base_failed``, the softer rules, ``any_failed``, the host's numbers and ``kept``.
+    """``docs`` with the measures, ``base_failed``, the softer rules, ``soft_excess`` and ``any_failed``.
 
     Base rules: fewer than 50 words, or more than half of the words in repeated
     3-word windows. Softer rules: symbols beyond ``max_symbols`` of the word
     characters, repeated lines beyond ``max_dup_lines`` of the lines, words
-    longer than ``max_word_chars`` on average. Added columns replace columns of
+    longer than ``max_word_chars`` on average. ``soft_excess`` is the largest of
+    these three measures as a multiple of its limit. Added columns replace columns of
     their names; all others pass. Null and empty texts have no words and fail. A
     null source is a host of its own. Repeated rows count and are judged each.
     An empty table stays empty.
@@ -123,15 +128,17 @@ def judged(docs: DataFrame, worst_rate: float = 0.5, max_symbols: float = 0.1, m
     df = df.withColumn("fails_symbols", F.col("n_symbols") > max_symbols * F.col("word_chars"))
     df = df.withColumn("fails_lines", F.col("n_dup_lines") > max_dup_lines * F.col("n_lines"))
     df = df.withColumn("fails_length", F.col("word_chars") > max_word_chars * F.col("n_words"))
+    over = lambda n, limit, of: F.coalesce(F.col(n) / F.nullif(limit * F.col(of), F.lit(0.0)), F.lit(0.0))
+    df = df.withColumn("soft_excess", F.greatest(over("n_symbols", max_symbols, "word_chars"), over("n_dup_lines", max_dup_lines, "n_lines"), over("word_chars", max_word_chars, "n_words")))
     return df.withColumn("any_failed", F.col("base_failed") | F.col("fails_symbols") | F.col("fails_lines") | F.col("fails_length"))
 
 
 def with_verdicts(marked: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Joins host verdicts to judged documents and adds ``kept``."""
-    base = marked.select(*(f"`{c}`" for c in marked.columns if c not in ("n_docs", "n_failed", "host_rate", "host_ok", "kept")))
+    base = marked.select(*(f"`{c}`" for c in marked.columns if c not in ("n_docs", "n_failed", "host_rate", "host_ok", "leniency", "kept")))
     v = verdicts.withColumnRenamed("source", "host_")
     joined = base.join(v, base["source"].eqNullSafe(v["host_"]), "left").drop("host_")
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_ok") | ~F.col("any_failed")))
+    return joined.withColumn("kept", ~F.col("base_failed") & (~F.col("any_failed") | (F.col("soft_excess") < F.col("leniency"))))
 
 
 def host_rules(docs: DataFrame, worst_rate: float = 0.5) -> DataFrame:

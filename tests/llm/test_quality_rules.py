@@ -45,5 +45,27 @@ def test_bad_host_loses_soft_failures_only(spark):
     assert 100 in kept and 101 not in kept and 300 in kept and 200 in kept and 0 not in kept
 
 
+def test_junk_on_mixed_hosts_goes_and_clean_documents_stay(spark):
+    """Hosts of realistic rates (5 to 20 %): no host is bad, yet softer failures go."""
+    clean = " ".join(f"word{i}" for i in range(80))
+    junk = " ".join(f"word{i} %%%" for i in range(80))
+    lines = "\n".join([" ".join(f"w{i}" for i in range(60)), "same line", "same line"])
+    rows, bad = [], set()
+    for h, n_bad in enumerate((5, 8, 11, 14, 20)):
+        for i in range(100):
+            text = (junk if i % 2 else lines) if i < n_bad else clean
+            rows.append((1000 * h + i, text, f"h{h}", None))
+            if i < n_bad:
+                bad.add(1000 * h + i)
+    got = quality_rules.host_rules(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert max(r.host_rate for r in got) < 0.5 and not any(r.base_failed for r in got)
+    symbols = {r.doc_id for r in got if r.fails_symbols}
+    kept = {r.doc_id for r in got if r.kept}
+    assert {d for d, *_ in rows} - bad <= kept and symbols and not symbols & kept
+    worst = {r.doc_id for r in got if r.fails_lines and r.source == "h4"}
+    assert worst and not worst & kept
+    assert kept == {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
 def test_empty_table(spark):
     assert quality_rules.host_rules(spark.createDataFrame([], SCHEMA)).count() == 0
