@@ -26,7 +26,7 @@ def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage_words=50)
     return found.select("doc_id", "text", "n_sentences", "n_removed", "removed_words", "first_doc_ids")
 
 

@@ -1,4 +1,4 @@
-"""Removal of repeated passages by sliding spans of sentences.
+"""Removal of repeated passages by sliding spans of sentences, and of words.
 
 A text is cut into sentences; every run of several consecutive sentences is
 hashed, the hashes are joined over all documents, and sentences covered by a
@@ -9,6 +9,13 @@ run forward, and up to each sentence the shortest run backward, of two
 sentences or more (or one sentence of ``long_sentence`` words or more). The two
 directions together cover every sentence of any repeated passage of
 ``min_words`` words that is cut into sentences alike in both places.
+
+Passages may also stand in mid-sentence. Every window of ``passage_words``
+words that occurred before is found, wherever it begins: shorter windows are
+hashed and winnowed, so that each passage of that length keeps at least one
+hash, the same in every place. Around hashes that occur more than once all whole
+windows are hashed and joined like runs, and the words that a later place
+covers are removed.
 """
 
 from __future__ import annotations
@@ -24,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corposcope.llm.common import plain_name
+from corposcope.llm.common import durable, plain_name
 
 #: A sentence ends after . ! or ? before a space or tab, and after a newline.
 SENTENCE_END = re.compile(r"(?<=[.!?])(?=[ \t])|(?<=\n)(?=[^\n])")
 BLANKS = " \t\n\x0b\x0c\r"
+WORD = re.compile(f"[^{BLANKS}]+")
 SEPARATOR = "\x1f"
 
 
@@ -67,15 +75,90 @@ def spans_of(text: str, min_words: int, long_sentence: int) -> tuple[list[str],
     return pieces, at, [(SEPARATOR.join(solid[i:j]), i, j) for i, j in runs([s.count(" ") + 1 for s in solid], min_words, long_sentence)]
 
 
+def word_windows(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of ``text`` joined by a space, as UTF-8, with their starts and ends there."""
+    words = text.encode().split()  # on bytes: the six ASCII blanks part words
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    return b" ".join(words), np.concatenate(([0], ends[:-1] + 1)).astype(np.int64), ends
+
+
+def winnowed(text: str, passage_words: int) -> Iterator[tuple[int, int]]:
+    """(hash, first word) of the chosen windows of half of ``passage_words`` words: the least of each passage, the last of equals."""
+    joined, starts, ends = word_windows(text)
+    if len(starts) < passage_words:
+        return
+    width, digest = passage_words // 2, xxhash.xxh64_intdigest
+    hashes = np.array([digest(joined[a:b]) for a, b in zip(starts[: -width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+    span = passage_words - width + 1
+    seen = np.lib.stride_tricks.sliding_window_view(hashes, span)[:, ::-1]
+    at = np.unique(np.arange(len(seen)) + span - 1 - seen.argmin(axis=1))
+    yield from zip(hashes[at].view(np.int64).tolist(), at.tolist(), strict=True)
+
+
 def _text_mark(text: str) -> int:
     return xxhash.xxh32_intdigest(text.encode())
 
 
-def repeated_spans(docs: DataFrame, min_words: int, long_sentence: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, passage_words: int) -> DataFrame:
+    """(doc_id, mark, place, first): windows of ``passage_words`` words that occurred before, each place.
+
+    place is -1 less the window's first word; first is the least doc_id with the
+    window, and null where the window repeats in its own text (without overlap).
+    """
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                out: tuple[list, ...] = ([], [], [], [])
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if text:
+                        mark = _text_mark(text)
+                        for h, at in winnowed(text, passage_words):
+                            for column, value in zip(out, (h, doc_id, mark, at), strict=True):
+                                column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["h", "doc_id", "mark", "at"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every window of ``passage_words`` words around the places given for its text."""
+        digest, half = xxhash.xxh3_128_intdigest, passage_words // 2
+        for batch in batches:
+            for low in range(0, batch.num_rows, 100):
+                part = batch.slice(low, 100)
+                out: tuple[list, ...] = ([], [], [], [], [])
+                for doc_id, text, mark, places in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    joined, starts, ends = word_windows(text)
+                    most, first = len(starts) - passage_words, {}
+                    at = np.asarray(places, np.int64)[:, None] - np.arange(passage_words - half + 1)
+                    for i in np.unique(at[(at >= 0) & (at <= most)]).tolist():
+                        both = digest(joined[starts[i] : ends[i + passage_words - 1]])
+                        own = i - first.setdefault(both, i) >= passage_words
+                        for column, value in zip(out, ((both >> 64) - (1 << 63), both & 0xFFFFFFFF, doc_id, mark, (i << 1) + own), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["h", "check", "doc_id", "mark", "at"])
+
+    # Written once: both tables are read for the counts and for the join.
+    seeds = durable(docs.select("doc_id", "text").mapInArrow(chosen, "h long, doc_id long, mark long, at long"))
+    again = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    wanted = seeds.join(again, "h").groupBy("doc_id", "mark").agg(F.collect_set("at").alias("places")).select(F.col("doc_id").alias("id_"), F.col("mark").alias("mark_"), "places")
+    marked = F.pandas_udf(lambda texts: texts.map(lambda t: _text_mark(t) if t else 0), "long")
+    texts = docs.select("doc_id", "text", marked("text").alias("mark"))
+    # Rows equal in doc_id and text give their windows each; the order below tells documents apart only.
+    met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_"))).select("doc_id", "text", "mark", "places")
+    every = durable(met.mapInArrow(whole, "h long, check long, doc_id long, mark long, at long"))
+    order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    first = every.groupBy("h", "check").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "check", "first")
+    own, before = F.col("at") % 2 == 1, order > F.col("first")
+    found = every.join(first, ["h", "check"]).filter(own | before)
+    return found.select("doc_id", "mark", (-1 - F.shiftright("at", 1)).alias("place"), F.when(before, F.col("first")).alias("first"))
+
+
+def repeated_spans(docs: DataFrame, min_words: int, long_sentence: int, passage_words: int | None = None) -> DataFrame:
     """(doc_id, mark, starts, ends, others): for each document with any, its runs that occurred before.
 
     mark is a hash of the text. starts and ends count sentences that have a
-    word; others are the doc_ids of the runs' first places.
+    word; others are the doc_ids of the runs' first places. With
+    ``passage_words`` places also has windows of words (see ``repeated_windows``).
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,16 +182,21 @@ def repeated_spans(docs: DataFrame, min_words: int, long_sentence: int) -> DataF
     # Counted before the shuffle and after; an unknown (null) doc_id comes last.
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     first = every.withColumn("o", order).groupBy("h", "check").agg(F.min("o").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = every.join(first.select("h", "check", "first"), ["h", "check"]).filter(order > F.col("first"))
+    later = every.join(first.select("h", "check", "first"), ["h", "check"]).filter(order > F.col("first")).select("doc_id", "mark", "place", "first")
+    if passage_words is not None:
+        later = later.unionByName(repeated_windows(docs, passage_words))
     return later.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places"), F.array_sort(F.collect_set("first")).alias("others"))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 20, long_sentence: int = 40) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 20, long_sentence: int = 40, passage_words: int | None = None) -> DataFrame:
     """``docs`` with the sentences removed that a repeated run covers, where it is not the run's first place.
 
     The first place is the one of the least doc_id, and in a document its first
-    sentence. ``text`` has the remaining sentences with their blanks. Added
-    are ``n_sentences`` (with a word), ``n_removed``, ``removed_words`` (long),
+    sentence. ``text`` has the remaining sentences with their blanks. With
+    ``passage_words`` also every window of so many words goes, with the blanks
+    before its words, that occurred in an earlier document or, without overlap, before in
+    its own text, also in mid-sentence. Added are ``n_sentences`` (with a
+    word), ``n_removed`` (sentences that lost words), ``removed_words`` (long),
     ``removed_spans`` (array of (start, length), code points in the text as it was) and
     ``first_doc_ids`` (array of long: where the removed runs stood first). Added columns
     replace columns of these names; all others pass unchanged.
@@ -121,7 +209,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, long_sentence: int = 40
     own = ("n_sentences", "n_removed", "removed_words", "removed_spans", "first_doc_ids")
     base = docs.select(*(f"`{c}`" for c in docs.columns if c not in own))
     mark, places, others = (plain_name(base, x) for x in ("mark_", "places_", "others_"))
-    found = repeated_spans(base, min_words, long_sentence).select(F.col("doc_id").alias("id_"), F.col("mark").alias(mark), F.col("places").alias(places), F.col("others").alias(others))
+    found = repeated_spans(base, min_words, long_sentence, passage_words).select(F.col("doc_id").alias("id_"), F.col("mark").alias(mark), F.col("places").alias(places), F.col("others").alias(others))
 
     @F.pandas_udf("long")
     def marked(texts: pd.Series) -> pd.Series:
@@ -137,28 +225,44 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, long_sentence: int = 40
                 rows.append((text, 0, 0, 0, []))
                 continue
             pieces, at, found = spans_of(text, min_words, long_sentence)
+            got = [int(p) for p in got] if got is not None else []
             hit, seen = np.zeros(len(at) + 1, np.int64), set()
-            for place in got if got is not None else ():
-                hit[int(place) >> 32] += 1
-                hit[int(place) & 0xFFFFFFFF] -= 1
+            dropped_runs = {(p >> 32, p & 0xFFFFFFFF) for p in got if p >= 0}
+            for i, j in dropped_runs:
+                hit[i] += 1
+                hit[j] -= 1
             gone = set(np.flatnonzero(np.cumsum(hit[:-1]) > 0).tolist())
-            dropped_runs = {(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in (got if got is not None else ())}
             known = {said for said, i, j in found if (i, j) in dropped_runs}
             for said, i, j in found:  # places in this text after the first one
                 if said in known or said in seen:
                     gone.update(range(i, j))
                 seen.add(said)
-            out = {at[k] for k in gone}
-            spans, start = [], 0
-            for k, piece in enumerate(pieces):
-                if k in out:
-                    if spans and sum(spans[-1]) == start:
-                        spans[-1] = (spans[-1][0], spans[-1][1] + len(piece))
-                    else:
-                        spans.append((start, len(piece)))
-                start += len(piece)
-            words = sum(len(re.findall(f"[^{BLANKS}]+", pieces[k])) for k in out)
-            rows.append(("".join(p for k, p in enumerate(pieces) if k not in out), len(at), len(out), words, [{"start": a, "length": b} for a, b in spans]))
+            dropped, start = [], 0
+            edges = np.cumsum([0, *map(len, pieces)])
+            for k in sorted(at[k] for k in gone):
+                dropped.append((int(edges[k]), int(edges[k + 1])))
+            if len(dropped_runs) < len(got):
+                words = [m.span() for m in WORD.finditer(text)]
+                hit = np.zeros(len(words) + 1, np.int64)
+                for p in got:
+                    if p < 0:
+                        hit[-1 - p] += 1
+                        hit[-1 - p + passage_words] -= 1
+                for w in np.flatnonzero(np.cumsum(hit[:-1]) > 0).tolist():
+                    dropped.append((words[w - 1][1] if w else 0, words[w][1]))
+            spans: list[list[int]] = []
+            for a, b in sorted(dropped):
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = max(b, spans[-1][1])
+                else:
+                    spans.append([a, b])
+            cut_words = [m.start() for a, b in spans for m in WORD.finditer(text, a, b)]
+            n_removed = len(set(np.searchsorted(edges, cut_words, side="right").tolist()))
+            left = []
+            for a, b in spans:
+                left.append(text[start:a])
+                start = b
+            rows.append(("".join(left) + text[start:], len(at), n_removed, len(cut_words), [{"start": a, "length": b - a} for a, b in spans]))
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed_words", "removed_spans"])
 
     keyed = base.withColumn(mark, marked("text"))

@@ -75,3 +75,47 @@ def test_nulls_ties_and_empty_tables(spark):
     found = sorted((str(r.doc_id), r.text) for r in got)
     assert found == sorted([("1", None), ("2", ""), ("None", ""), ("3", passage), ("3", passage)])
     assert substrings.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def without_windows(rows, n=50):
+    """Brute force: words of each text outside windows of ``n`` words that occurred before."""
+    seen, out = {}, {}
+    for doc_id, text in sorted(rows):
+        words, gone = text.split(), set()
+        for i in range(len(words) - n + 1):
+            first = seen.setdefault(tuple(words[i : i + n]), (doc_id, i))
+            if first[0] < doc_id or i - first[1] >= n:
+                gone.update(range(i, i + n))
+        # A window known from another document may also repeat without overlap here.
+        out[doc_id] = [w for i, w in enumerate(words) if i not in gone]
+    return out
+
+
+def test_passages_in_mid_sentence_go(spark):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passages = [" ".join(word() + rng.choice(["", "", "", "", ".", ","]) for _ in range(n)) for n in (50, 51, 60, 75, 120)] + [" ".join(f"x{i}" for i in range(49))]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            parts += [" ".join(word() for _ in range(rng.randint(1, 30)))] + ([rng.choice(passages)] if rng.random() < 0.6 else [])
+        rows.append((i * 13 % 101, rng.choice([" ", "\n"]).join(parts) + " and so on."))
+    rows.append((300, "go on " * 200))
+    got = substrings.remove_repeats(spark.createDataFrame([(d, t, None, "en") for d, t in rows], SCHEMA), min_words=10**6, long_sentence=10**6, passage_words=50).collect()
+    expected = without_windows(rows)
+    assert {r.doc_id: r.text.split() for r in got} == expected
+    before = dict(rows)
+    for r in got:
+        assert r.removed_words == len(before[r.doc_id].split()) - len(expected[r.doc_id])
+        assert (r.n_removed > 0) == (r.removed_words > 0) == (len(r.removed_spans) > 0)
+        text = before[r.doc_id]
+        for start, length in reversed([tuple(s) for s in r.removed_spans]):
+            text = text[:start] + text[start + length :]
+        assert text == r.text
+    left = [r.doc_id for p in passages[:5] for r in got if p in " ".join(r.text.split())]
+    assert len(left) == 5 and expected[300] == ["go", "on"] * 25
+    assert sum(passages[5] in " ".join(r.text.split()) for r in got) > 1
+    # The sentences' rule and the windows' one together leave no repeat either.
+    both = substrings.remove_repeats(spark.createDataFrame([(d, t, None, "en") for d, t in rows], SCHEMA), passage_words=50).collect()
+    assert all(sum(p in " ".join(r.text.split()) for r in both) <= 1 for p in passages[:5]) and any(r.first_doc_ids for r in both)
