@@ -95,7 +95,7 @@ def sample_per_category(rows: DataFrame, category: str, key: str, order: str, ta
 
 def html_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, block_no, tag, text): headings, paragraphs and items of the main content, in order."""
-    html = F.substring(F.col("html"), 1, 500_000)
+    html = F.col("html")
     for tag in ("script", "style", "noscript", "header", "footer", "nav", "aside", "form", "svg"):
         html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
     html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")

@@ -125,3 +125,9 @@ def test_sample_counts_an_id_once(spark):
     rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 1), ("b", 2, 2), ("b", 3, 3)], "cat string, id long, o int")
     got = corpus.sample_per_category(rows, "cat", "id", "o", {"a": 1, "b": 2}).collect()
     assert sorted((r.cat, r.id) for r in got) == [("a", 1), ("b", 2), ("b", 3)]
+
+
+def test_html_after_a_long_script_is_read(spark):
+    html = "<html><head><script>" + "var x = 1; " * 60_000 + "</script></head><body><article><h1>Title</h1><p>The whole text.</p></article></body></html>"
+    got = corpus.html_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("block_no").collect()
+    assert [(r.tag, r.text) for r in got] == [("h1", "Title"), ("p", "The whole text.")]
