@@ -80,11 +80,12 @@ def section_catalog(blocks: DataFrame, titles: int = 8) -> DataFrame:
     ).select("doc_id", "section", "n_blocks", "n_pages", F.col("at.page_no").alias("first_page"), F.col("at.block_index").alias("first_index"), "titles", "mean_confidence")
 
 
-def section_text(blocks: DataFrame, most: int = 4000) -> DataFrame:
-    """(doc_id, section, text): distinct texts of a section in order of their first place, joined by newlines and cut."""
+def section_text(blocks: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc_id, section, text): distinct texts of a section in order of their first place, joined by newlines; with ``most`` its first characters alone."""
     once = blocks.groupBy("doc_id", "section", "text").agg(F.min(F.struct("page_no", "block_index")).alias("at"))
     parts = F.array_sort(F.collect_list(F.struct("at", "text")))
-    return once.groupBy("doc_id", "section").agg(F.substring(F.array_join(F.transform(parts, lambda p: p["text"]), "\n"), 1, most).alias("text"))
+    text = F.array_join(F.transform(parts, lambda p: p["text"]), "\n")
+    return once.groupBy("doc_id", "section").agg((text if most is None else F.substring(text, 1, most)).alias("text"))
 
 
 def majority_section(blocks: DataFrame) -> DataFrame:

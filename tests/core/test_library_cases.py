@@ -117,3 +117,10 @@ def test_page_hints_and_recall(spark):
     assert [x.page for x in sections.seed_page_hints(h, r).orderBy("pos").collect()] == [3, 7, None]
     gold = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b")], "doc_id long, v string")
     assert tuple(sections.set_recall(gold.filter("v = 'a'"), gold, "v").first()) == (1, 2, 1, 0.5)
+
+
+def test_section_text_is_whole(spark):
+    rows = spark.createDataFrame([(1, "s", 1 + i // 5, i, f"line {i} " + "x" * 100) for i in range(100)] + [(1, "s", 30, 200, "line 0 " + "x" * 100)], "doc_id long, section string, page_no int, block_index int, text string")
+    whole = "\n".join(f"line {i} " + "x" * 100 for i in range(100))
+    assert sections.section_text(rows).first().text == whole
+    assert sections.section_text(rows, 4000).first().text == whole[:4000]
