@@ -146,8 +146,8 @@ def p29_prediction_flags(spark, d):
 
 @query()
 def p13_headings(spark, d):
-    first = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
-    return docs(spark, d).select("doc_id", X.canonical_heading(first).alias("canonical"), X.md_line_kind(first).alias("kind"), X.boilerplate(first).alias("boilerplate"), X.section_bucket(F.col("text"), F.lit(1), F.lit("")).alias("bucket"))
+    line = F.col("text")
+    return corpus.blocks_of(docs(spark, d)).select("doc_id", "block_index", "page_no", X.canonical_heading(line).alias("canonical"), X.md_line_kind(line).alias("kind"), X.boilerplate(line).alias("boilerplate"), X.section_bucket(line, F.col("page_no"), F.lit("")).alias("bucket"))
 
 
 @query(f"WITH {PHRASE} SELECT query_id, rank, row_id, bm25 FROM ranked WHERE rank <= 10")

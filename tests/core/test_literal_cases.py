@@ -131,3 +131,15 @@ def test_html_after_a_long_script_is_read(spark):
     html = "<html><head><script>" + "var x = 1; " * 60_000 + "</script></head><body><article><h1>Title</h1><p>The whole text.</p></article></body></html>"
     got = corpus.html_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("block_no").collect()
     assert [(r.tag, r.text) for r in got] == [("h1", "Title"), ("p", "The whole text.")]
+
+
+def test_every_line_is_classified(spark, tmp_path):
+    from corposcope import queries
+
+    text = "\n".join(["# Title", "some words of prose", "", "Table 1 Results", "12", "more words of prose", "Figure 2 Shapes", "References"])
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.p13_headings(spark, str(tmp_path)).orderBy("block_index").collect()
+    assert [(r.block_index, r.page_no, r.kind, r.boilerplate, r.bucket) for r in got] == [
+        (0, 1, "heading", False, "body"), (1, 1, "prose", False, "body"), (2, 1, "table_caption", False, "body"), (3, 1, "short", True, "body"),
+        (4, 1, "prose", False, "body"), (5, 2, "figure_caption", False, "body"), (6, 2, "short", False, "references"),
+    ]
