@@ -64,8 +64,7 @@ def p27_heading_variants(spark, d):
 
 @query(f"WITH {ROWS}, m AS (SELECT query_id, row_id, round(list_sum(list_transform(q, lambda x: ln(1 + len(list_filter(tokens, lambda y: y = x))))), 6) AS score FROM q JOIN t ON list_has_all(tokens, q)) SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id))::INT AS rank, row_id, score FROM m QUALIFY rank <= 10")
 def j3_full_text_search(spark, d):
-    first = F.array_join(F.slice(X.index_tokens(F.col("query")), 1, 3), " ")
-    return search.full_text_search(batch(spark, d).select("query_id", first.alias("query")), texts(spark, d), 10)
+    return search.full_text_search(batch(spark, d), texts(spark, d), 10)
 
 
 @query("WITH tf AS (SELECT row_id, token, count(*) AS tf FROM (SELECT doc_id AS row_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY ALL), idf AS (SELECT token, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1), w AS (SELECT row_id, token, tf * idf AS w FROM tf JOIN idf USING (token)), rn AS (SELECT row_id, sqrt(sum(w * w)) AS rn FROM w GROUP BY 1), a AS (SELECT query_id, token, n * idf AS qw FROM (SELECT query_id, token, count(*) AS n FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY ALL) JOIN idf USING (token)), qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM a GROUP BY 1), s AS (SELECT query_id, row_id, round(sum(w * qw) / any_value(rn) / any_value(qn), 6) AS cosine FROM w JOIN a USING (token) JOIN rn USING (row_id) JOIN qn USING (query_id) GROUP BY ALL) SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id))::INT AS rank, row_id, cosine FROM s QUALIFY rank <= 10")

@@ -175,3 +175,12 @@ def test_doc_gate(spark):
     })
     bonus = spark.createDataFrame([(1, 4, 0.15), (1, 5, 0.31), (1, 6, 0.29)], "query_id long, doc_id long, bonus double")
     assert sorted((r.doc_id, r.title_bonus) for r in search.doc_gate(hits, bonus).collect()) == [(1, 0.0), (3, 0.0), (4, 0.15), (5, 0.31)]
+
+
+def test_full_text_search_asks_whole_queries(spark, tmp_path):
+    from corposcope import catalog_queries
+
+    spark.createDataFrame([(1, "a b c d e"), (2, "a b c x y"), (3, "e d c b a a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "a b c d e")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalog_queries.j3_full_text_search(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r.row_id for r in got] == [3, 1]
