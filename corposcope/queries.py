@@ -163,9 +163,9 @@ def j4_vector_topk(spark, d):
 
 @query(f"WITH {PHRASE}, l AS (SELECT query_id, row_id, (row_number() OVER (PARTITION BY query_id ORDER BY row_id DESC))::INT AS rank FROM scored), f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.row_id, b.row_id) AS row_id, round(coalesce(0.5 / (60 + a.rank), 0) + coalesce(0.5 / (60 + b.rank), 0), 6) AS hybrid_score, concat_ws('+', CASE WHEN a.rank IS NOT NULL THEN 'vector' END, CASE WHEN b.rank IS NOT NULL THEN 'text' END) AS sources FROM (SELECT * FROM l WHERE rank <= 2) a FULL JOIN (SELECT * FROM ranked WHERE rank <= 10) b ON a.query_id = b.query_id AND a.row_id = b.row_id) SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, row_id))::INT AS rank FROM f) WHERE rank <= 5")
 def j6_rrf_fuse(spark, d):
-    words = ranked(spark, d, 2**31 - 1)
-    newest = search.top_per_query(words.drop("rank"), 2, F.desc("row_id"))
-    return search.rrf_fuse(newest, words.filter("rank <= 10"), 5)
+    """Keyword and tf-idf rankings, each twice as deep as the fused list."""
+    vectors = search.tfidf_search(batch(spark, d), docs(spark, d).select(F.col("doc_id").alias("row_id"), "text"), 10)
+    return search.rrf_fuse(vectors, ranked(spark, d, 10), 5)
 
 
 @query()

@@ -184,3 +184,12 @@ def test_full_text_search_asks_whole_queries(spark, tmp_path):
     spark.createDataFrame([(7, "a b c d e")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = catalog_queries.j3_full_text_search(spark, str(tmp_path)).orderBy("rank").collect()
     assert [r.row_id for r in got] == [3, 1]
+
+
+def test_fusion_has_rows_of_both_rankings(spark, tmp_path):
+    from corposcope import queries
+
+    spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma beta alpha alpha"), (3, "delta")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "alpha beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.row_id: r.sources for r in queries.j6_rrf_fuse(spark, str(tmp_path)).collect()}
+    assert got == {1: "vector+text", 2: "vector"}  # row 2 has the words, but not as a phrase
