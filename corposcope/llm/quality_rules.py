@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from corposcope.llm.common import BLANK, durable, plain_name
 
-POSITION_BITS = 20
 RULES = ("fails_symbols", "fails_lines", "fails_length")
 
 
@@ -28,38 +27,19 @@ def _barrier(df: DataFrame, name: str, fields: dict[str, Column]) -> DataFrame:
 def _repeat_words(df: DataFrame, words: str, name: str) -> DataFrame:
     """Adds ``name``: how many words lie in 3-word windows that the array ``words`` has twice or more.
 
-    Windows are hashed and sorted together with their positions, so the work is
-    n log n in the words of a text. A hash keeps 44 bits beside the position
-    for sorting; neighbours of equal bits count if their 64 bits agree.
+    Windows are hashed to 64 bits and sorted with their positions, so equal ones
+    are neighbours and the work is n log n in the words of a text.
     """
-    hashes, ordered, places = (plain_name(df, x) for x in ("hashes_", "ordered_", "places_"))
+    ordered, places = (plain_name(df, x) for x in ("ordered_", "places_"))
     w = F.col(words)
-    mask = (1 << POSITION_BITS) - 1
-    window = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<long>"))
-    df = _barrier(df, hashes, {"h": window})
-    h = F.col(f"{hashes}.h")
-    packed = F.array_sort(F.transform(h, lambda x, i: F.struct((x.bitwiseAND(F.lit(~mask))).alias("k"), i.alias("p"))))
-    short = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))
-    # Positions beyond 20 bits do not fit beside the hash: there a pair of hash and position is sorted.
-    small = F.size(h) <= mask
-    df = _barrier(df, ordered, {"s": F.when(small, short).otherwise(F.array().cast("array<long>")), "l": F.when(small, F.array().cast("array<struct<k:bigint,p:int>>")).otherwise(packed)})
-    s, long = F.col(f"{ordered}.s"), F.col(f"{ordered}.l")
-
-    def twice(array: Column, key, place) -> Column:
-        def same(a: Column, b: Column) -> Column:
-            return (key(a) == key(b)) & (F.get(h, place(a)) == F.get(h, place(b)))
-
-        def marked(x: Column, i: Column) -> Column:
-            return F.coalesce(same(F.get(array, i - 1), x), F.lit(False)) | F.coalesce(same(F.get(array, i + 1), x), F.lit(False))
-
-        return F.transform(F.filter(array, marked), lambda x: place(x))
-
-    of_short = twice(s, lambda x: F.shiftright(x, POSITION_BITS), lambda x: x.bitwiseAND(F.lit(mask)).cast("int"))
-    of_long = twice(long, lambda x: x["k"], lambda x: x["p"])
-    df = _barrier(df, places, {"p": F.sort_array(F.when(small, of_short).otherwise(of_long))})
+    window = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))
+    df = _barrier(df, ordered, {"s": F.sort_array(F.when(F.size(w) >= 3, window).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))})
+    s = F.col(f"{ordered}.s")
+    twice = F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]))
+    df = _barrier(df, places, {"p": F.sort_array(F.transform(twice, lambda x: x["p"]))})
     p = F.col(f"{places}.p")
     covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return df.withColumn(name, covered).drop(hashes, ordered, places)
+    return df.withColumn(name, covered).drop(ordered, places)
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -152,11 +132,15 @@ def host_rules(docs: DataFrame, worst_rate: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, worst_rate: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, unchanged.
+    """The rows of ``docs`` that the rules keep, unchanged; each text is measured once.
 
-    Verdicts come from a first pass over the texts. Documents are judged and kept
-    in the second pass, in which they pass through a join with their host's verdict.
+    The judged rows are written with their texts, counted by host, and read
+    again for the join with the verdicts. Nulls, repeated rows, empty tables and
+    clashing columns as in ``judged``.
     """
-    columns = docs.columns
-    verdicts = durable(host_verdicts(judged(docs, worst_rate), worst_rate))
-    return with_verdicts(judged(docs, worst_rate), verdicts).filter("kept").select(*(f"`{c}`" for c in columns))
+    marks = ("base_failed", "any_failed", "soft_excess")
+    row = plain_name(docs, "row_")
+    marked = judged(docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias(row), "text", "source"), worst_rate)
+    marked = durable(marked.select(row, "source", *marks))
+    kept = with_verdicts(marked, host_verdicts(marked, worst_rate)).filter("kept")
+    return kept.select(f"{row}.*")

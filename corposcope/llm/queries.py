@@ -124,14 +124,17 @@ base AS (
     coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words
   FROM words LEFT JOIN repeated ON words.doc_id = repeated.doc_id LEFT JOIN lines ON words.doc_id = lines.doc_id),
 ruled AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
-failed AS (SELECT *, base_failed OR n_symbols > 0.1 * word_chars OR n_dup_lines > 0.3 * n_lines OR word_chars > 20 * n_words AS any_failed FROM ruled),
+failed AS (SELECT *, base_failed OR n_symbols > 0.1::DOUBLE * word_chars OR n_dup_lines > 0.3::DOUBLE * n_lines OR word_chars > 20 * n_words AS any_failed FROM ruled),
 host AS (SELECT source, count(*)::DOUBLE AS n, sum(any_failed::INT)::DOUBLE AS x FROM failed GROUP BY source),
 total AS (SELECT sum(n) AS n, sum(x) AS x, count(*) AS k, sum(n * n) AS nn, sum(x * x / n) AS xx FROM host),
 spread AS (SELECT x / n AS m, greatest(0, ((xx - n * (x / n) * (x / n)) - (k - 1) * (x / n) * (1 - x / n)) / nullif(n - nn / n, 0)) AS between_hosts FROM total),
 prior AS (SELECT m, least(1e6, greatest(1, coalesce(m * (1 - m) / nullif(between_hosts, 0) - 1, 1e6))) AS s FROM spread),
-verdict AS (SELECT source, (x + m * s) / (n + s) <= 0.5 AS ok FROM host, prior)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (ok OR NOT any_failed) AS kept
-FROM failed f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source""",
+rated AS (SELECT source, m, (x + m * s) / (n + s) AS rate FROM host, prior),
+verdict AS (SELECT source, CASE WHEN rate <= 0.5 THEN greatest(1.0, coalesce(m / nullif(rate, 0), 1.0)) ELSE 1.0 END AS leniency FROM rated),
+excess AS (
+  SELECT *, greatest(coalesce(n_symbols / nullif(0.1::DOUBLE * word_chars, 0), 0), coalesce(n_dup_lines / nullif(0.3::DOUBLE * n_lines, 0), 0), coalesce(word_chars / nullif(20.0::DOUBLE * n_words, 0), 0)) AS soft FROM failed)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (NOT any_failed OR soft < leniency) AS kept
+FROM excess f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source""",
     "op3_pivot_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),

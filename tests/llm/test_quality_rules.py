@@ -67,5 +67,23 @@ def test_junk_on_mixed_hosts_goes_and_clean_documents_stay(spark):
     assert kept == {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}
 
 
+def test_windows_count_by_all_bits_of_their_hash(spark):
+    """Two other windows here agree in the upper 44 bits; and a text of more than 2^20 windows counts alike."""
+    close = "a b x6043705 p a b x12773749 q a b x6043705 r"
+    long = " ".join(f"n{i}" for i in range(1 << 20)) + " tail of it n1 n2 n3"
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.measured(spark.createDataFrame([(1, close, "s", None), (2, long, "s", None), (3, long + " end", None, None)], SCHEMA)).collect()}
+    assert got == {1: repeat_words(close.split()), 2: 6, 3: 6}
+
+
+def test_keep_good_returns_rows_as_they_were(spark):
+    """Repeated rows, nulls, and a column named like a measure."""
+    clean = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, clean, None, "clash"), (1, clean, None, "clash"), (None, clean, "s", None), (3, None, "s", None), (4, "", None, None)]
+    got = quality_rules.keep_good(spark.createDataFrame(rows, SCHEMA))
+    assert got.columns == ["doc_id", "text", "source", "n_words"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows[:3]))
+
+
 def test_empty_table(spark):
+    assert quality_rules.keep_good(spark.createDataFrame([], SCHEMA)).count() == 0
     assert quality_rules.host_rules(spark.createDataFrame([], SCHEMA)).count() == 0
