@@ -12,94 +12,158 @@ emptier to the fuller bin, so squared fill rises until bins run empty.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corposcope.llm.common import durable
 
-MEMO_WORDS = 1_000_000
-#: Control characters that Python counts as blanks and the tokenizer does not.
-ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Bytes for the words that a Python worker remembers from task to task, about.
+MEMO_BYTES = 40_000_000
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 4_000_000
+# The steps before the model of a tokenizer that composes characters, makes any white space one blank,
+# lowers case, and takes words and runs of punctuation apart, dropping blanks.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: A run of what is no Unicode white space.
+NONBLANK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Texts of these characters alone are lowered, and a full stop or comma after a letter parted from it, before words are looked up.
+PLAIN = re.compile("[\t-\r\x20-\xff]*")
+
+#: A full stop or comma alone after a letter or digit, at the end of a word.
+CLOSING = r"([\pL\pN])([.,])([\s\x{0b}\x{85}\x{a0}]|$)"
 
 
 class WordEncoder:
-    """Token ids (little-endian unsigned 32-bit) of texts, by a tokenizer that drops white space.
+    """Token ids of texts, by a tokenizer that drops white space.
 
-    Such a tokenizer treats what stands between blanks apart from the rest, so ids of
-    words are kept and joined. The memo is emptied when full. It also lowers case and
-    parts a letter from punctuation after it, so both can be done before words are
-    looked up, which makes more of them alike.
+    Such a tokenizer treats what stands between blanks apart from the rest, so
+    the different words of a slice of texts are encoded once each and their ids
+    joined. Words met before are remembered; beyond ``memo_bytes`` those of the
+    latest slice alone. A tokenizer of any other kind gets whole texts.
     """
 
-    #: A full stop or comma alone after a letter, at the end of a word.
-    CLOSING = re.compile(r"(?<=[^\W\d_])([,.])(?=\s|$)")
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        split = [None if any(c in t for c in ODD_BLANKS) else self.CLOSING.sub(r" \1", t if "<|" in t or "Σ" in t else t.lower()).split() for t in texts]
-        known = self.memo
-        missing = [w for w in set().union(*(words for words in split if words)) if w not in known]
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part)), side="right").tolist()
-            start = 0
-            for word, end in zip(part, ends, strict=True):
-                self.memo[word] = ids[4 * start : 4 * end]
-                start = end
-        of = self.memo.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if words is None else b"".join(map(of, words)) for t, words in zip(texts, split, strict=True)]
+        self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        first = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.by_words = (
+            (steps["normalizer"] or {}).get("normalizers") == NORMALIZERS and first.get("pattern") == {"Regex": PARTS} and first.get("invert") is True
+            and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or NONBLANK.fullmatch(t["content"]) is None or not t["content"].startswith("<|") for t in steps["added_tokens"])
+        )
+        self.memo_bytes = memo_bytes
+        self.words, self.ids, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids (unsigned 32-bit) of each of ``texts`` (strings, null: none)."""
+        if not self.by_words:
+            found = self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            return [np.array(e.ids, np.uint32) for e in found]
+        every = [t or "" for t in texts.to_pylist()]
+        plain = np.array(["<|" not in t and PLAIN.fullmatch(t) is not None for t in every], bool)
+        found = np.empty(len(every), object)
+        for at, words in ((np.flatnonzero(plain), self._plain_words), (np.flatnonzero(~plain), self._other_words)):
+            if len(at):
+                for i, ids in zip(at.tolist(), self._encode_lists(words([every[i] for i in at.tolist()])), strict=True):
+                    found[i] = ids
+        return list(found)
+
+    @staticmethod
+    def _plain_words(texts: list[str]) -> pa.Array:
+        lowered = pc.utf8_lower(pa.array(texts, pa.large_string()))
+        return pc.utf8_split_whitespace(pc.replace_substring_regex(lowered, CLOSING, r"\1 \2\3"))
+
+    @staticmethod
+    def _other_words(texts: list[str]) -> pa.Array:
+        return pc.split_pattern(pa.array([" ".join(NONBLANK.findall(t)) for t in texts], pa.large_string()), " ")
+
+    def _encode_lists(self, lists: pa.Array) -> list[np.ndarray]:
+        coded = lists.values.dictionary_encode()
+        ids, begins, sizes = self._ids_of(coded.dictionary)
+        code = coded.indices.to_numpy()
+        n = sizes[code]
+        ends = np.cumsum(n)
+        flat = ids[np.repeat(begins[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[lists.offsets.to_numpy()]
+        return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each of ``words`` (all different) begin in them, and how many they are."""
+        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        parts, sizes = [self.ids], [self.sizes]
+        for low in range(0, len(new), 10_000):
+            part = words.take(pa.array(new[low : low + 10_000])).to_pylist()
+            own = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            parts.append(np.array(own.ids, np.uint32))
+            sizes.append(np.bincount(np.array(own.word_ids, np.int64), minlength=len(part)))
+        place[new] = len(self.sizes) + np.arange(len(new))
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(new))])
+        self.ids, self.sizes = np.concatenate(parts), np.concatenate(sizes)
+        ids, begins, n = self.ids, (np.cumsum(self.sizes) - self.sizes)[place], self.sizes[place]
+        if self.words.nbytes + self.ids.nbytes + self.sizes.nbytes > self.memo_bytes:
+            ends = np.cumsum(n)
+            self.words, self.sizes = words, n
+            self.ids = ids[np.repeat(begins - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, begins, n
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder_of(path: str) -> WordEncoder:
-    """This process's encoder; a Python worker keeps it, with the words it knows, from task to task."""
+    """This worker's encoder: its words serve later tasks too, within ``MEMO_BYTES``."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of rows of about ``most`` bytes together, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + most, side="right")))
+        yield low, high
+        low = high
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of all documents (null text: empty).
 
     A document's ids end with 0. Only one longer than ``capacity`` is cut.
     """
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_of(tokenizer_path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200)
-                out: list[list] = [[], [], [], [], [], []]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += b"\0\0\0\0"
-                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[start : start + 4 * capacity]
-                        for column, value in zip(out, (doc_id, k, start // 4, len(own) // 4, zlib.crc32(own), own), strict=True):
+            for low, high in slices(batch.column(1)):
+                part = batch.slice(low, high - low)
+                out: list[list] = [[] for _ in names]
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
+                    data = ids.astype("<u4").tobytes() + b"\0\0\0\0"
+                    for k, start in enumerate(range(0, len(data), 4 * capacity)):
+                        own = data[start : start + 4 * capacity]
+                        for column, value in zip(out, (doc_id, k, start // 4, len(own) // 4, zlib.crc32(own), own), strict=False):
                             column.append(value)
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)][: 6 if with_ids else 5], list(names[: 6 if with_ids else 5]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -133,14 +197,14 @@ def _largest(bits: int, most: int) -> int:
     return (bits & ((1 << (most + 1)) - 1)).bit_length() - 1 if most >= 0 else -1
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 3, pair_donors: int = 400) -> list[list[int]]:
-    """Fills the fuller of the underfull bins from the emptier ones until rounds bring nothing.
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, ) -> list[list[int]]:
+    """Fills the fuller of the underfull bins from the emptier ones until a round brings nothing.
 
     A receiving bin takes the change that fills it most: a move (one document),
-    an exchange of one for one, or of two for one. Pairs are looked for in the
-    ``pair_donors`` emptiest bins.
+    an exchange of one for one, or of two for one. For each sum the pair of the
+    emptiest bin that has one stands; a round begins with all pairs of all bins.
     """
-    for _ in range(rounds):
+    while True:
         fill = [sum(lengths[i] for i in b) for b in bins]
         under = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: -fill[b])
         where: dict[int, set[int]] = defaultdict(set)  # by length: donors that hold it
@@ -152,13 +216,14 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
                 present |= 1 << n
         pairs: dict[int, tuple[int, int, int]] = {}
         sums = 0
-        for b in under[-pair_donors:]:
-            own = sorted(lengths[i] for i in bins[b])[:24]
-            for x in range(len(own)):
-                for y in range(x):
-                    pairs[own[x] + own[y]] = (b, own[x], own[y])
+        for b in under:
+            n_of = Counter(lengths[i] for i in bins[b])
+            own = sorted(n_of)  # different lengths alone: a bin has few
+            for k, x in enumerate(own):
+                for y in own[: k + (n_of[x] > 1)]:
+                    pairs[x + y] = (b, x, y)
         for s in pairs:
-            sums |= 1 << s if s <= 2 * capacity else 0
+            sums |= 1 << s
 
         def forget(b: int, n: int) -> None:
             nonlocal present
@@ -232,11 +297,13 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 8192) -> Dat
     """``pieces`` (with doc_id, piece, length) with ``sequence_id`` and ``offset`` (long, gapless from 0 in a sequence).
 
     Repeated rows are packed each. Columns of these two names are replaced; all
-    others are carried. An empty table stays empty.
+    others are carried. An empty table stays empty. ``pieces`` must be a written
+    table, as rows are dealt by their number in it, so that no group grows with
+    rows that are alike; about ``group_rows`` rows are packed together.
     """
     base = pieces.select(*(f"`{c}`" for c in pieces.columns if c not in ("sequence_id", "offset")))
     groups = max(1, -(-base.count() // group_rows))
-    dealt = base.withColumn("pack_group_", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)))
+    dealt = base.withColumn("pack_group_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)

@@ -14,9 +14,35 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def texts():
     rng = random.Random(8)
-    alphabet = ["Ab", "é", "ß", "İ", "Σ", "don't", "1234", "!?", "<|endoftext|>", " ", "\x1c", "\x0b", "é", "漢字", "🙂", "'S", "|"]
+    alphabet = ["Ab", "é", "ß", "İ", "Σ", "don't", "1234", "!?", "<|endoftext|>", " ", "\x1c", "\x0b", "é", "漢字", "🙂", "'S", "|", ".", ",", "<|", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\x1f", "i\u0307", "²", "ª", "Ünd", "x."]
     out = ["".join(rng.choice(alphabet) + rng.choice(["", " ", "\n", "  "]) for _ in range(rng.choice([1, 5, 40, 900, 4000]))) for _ in range(60)]
-    return out + ["", None, " \n", "word " * 2047, "word " * 2048, "word " * 4095]
+    return out + ["", None, " \n", "word " * 2047, "word " * 2048, "word " * 4095, "Σ İ.", "<| İ,", "<|EndOfText|> a.", "ends. and, so"]
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    import pyarrow as pa
+
+    steps = json.loads(Tokenizer.from_file(PATH).to_str())
+    steps["normalizer"] = None
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(steps))
+    encoder, plain = packing.WordEncoder(str(other)), Tokenizer.from_file(str(other))
+    assert not encoder.by_words
+    got = encoder.encode(pa.array(texts()))
+    assert [g.tolist() for g in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts()]
+
+
+def test_forgotten_words_change_nothing():
+    import pyarrow as pa
+
+    small, plain = packing.WordEncoder(PATH, memo_bytes=3000), Tokenizer.from_file(PATH)
+    assert small.by_words
+    for _ in range(2):
+        for t in texts():
+            assert small.encode(pa.array([t], pa.string()))[0].tolist() == plain.encode(t or "", add_special_tokens=False).ids
+    assert small.words.nbytes < 10**6
 
 
 def test_pieces_hold_the_tokenizers_ids(spark):
