@@ -27,7 +27,7 @@ def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage_words=50)
-    return found.select("doc_id", "text", "n_sentences", "n_removed", "removed_words", "first_doc_ids")
+    return found.select("doc_id", "text", "n_sentences", "n_removed", "removed_words")
 
 
 def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +85,14 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": r"""
 WITH cut AS (
-  SELECT doc_id, text, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])([ \t])', '\1' || chr(30) || '\2', 'g'), '\n([^\n])', chr(10) || chr(30) || '\1', 'g'), chr(30)) AS pieces
-  FROM documents),
-piece AS (SELECT doc_id, k, pieces[k] AS raw, trim(regexp_replace(pieces[k], '[ \t\n\x0B\f\r]+', ' ', 'g')) AS said FROM (SELECT doc_id, pieces, unnest(range(1, len(pieces) + 1)) AS k FROM cut)),
-solid AS (SELECT doc_id, k, said, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, length(said) - length(replace(said, ' ', '')) + 1 AS w FROM piece WHERE said <> ''),
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+') AS tokens, regexp_extract(coalesce(text, ''), '[ \t\n\x0B\f\r]*$') AS tail FROM documents),
+token AS (SELECT doc_id, i, tokens[i] AS raw, regexp_extract(tokens[i], '[^ \t\n\x0B\f\r]+') AS w FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM cut)),
+gap AS (SELECT *, raw[1:length(raw) - length(w)] AS gap, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM token),
+opened AS (SELECT *, i = 1 OR contains(gap, chr(10)) OR (before[-1:] IN ('.', '!', '?') AND gap[1:1] IN (' ', chr(9))) AS opens FROM gap),
+numbered AS (SELECT doc_id, i, raw, w, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS k FROM opened),
+solid AS (SELECT doc_id, k AS i, string_agg(w, ' ' ORDER BY i) AS said, count(*) AS w, min(i) AS a, max(i) AS b FROM numbered GROUP BY doc_id, k),
 summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM solid),
-arrays AS (SELECT doc_id, list(said ORDER BY i) AS said, count(*) AS n FROM summed GROUP BY doc_id),
+arrays AS (SELECT doc_id, list(said ORDER BY i) AS said, list(a ORDER BY i) AS a, list(b ORDER BY i) AS b, count(*) AS n FROM summed GROUP BY doc_id),
 forward AS (
   SELECT s.doc_id, s.i AS i, CASE WHEN s.w >= 40 THEN s.i WHEN e.i IS NOT NULL THEN greatest(e.i, s.i + 1) END AS j
   FROM (SELECT *, total - w + 20 AS goal FROM summed) s ASOF LEFT JOIN summed e ON s.doc_id = e.doc_id AND e.total >= s.goal),
@@ -98,20 +100,23 @@ backward AS (
   SELECT e.doc_id, CASE WHEN e.w >= 40 THEN e.i WHEN s.i IS NOT NULL THEN least(s.i, e.i - 1) END AS i, e.i AS j
   FROM (SELECT *, total - 20 AS goal FROM summed) e ASOF LEFT JOIN (SELECT doc_id, i, total - w AS before FROM summed) s ON e.doc_id = s.doc_id AND s.before <= e.goal),
 run AS (
-  SELECT DISTINCT r.doc_id, i, j, array_to_string(a.said[i:j], chr(31)) AS body
+  SELECT DISTINCT r.doc_id, i, a.a[i] AS first, a.b[j] AS last, array_to_string(a.said[i:j], chr(31)) AS body
   FROM (SELECT * FROM forward UNION SELECT * FROM backward) r JOIN arrays a ON r.doc_id = a.doc_id
   WHERE i IS NOT NULL AND j IS NOT NULL AND i >= 1 AND j <= a.n),
-placed AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS place, min(doc_id) OVER (PARTITION BY body) AS first FROM run),
-later AS (SELECT * FROM placed WHERE place > 1),
-gone AS (SELECT DISTINCT s.doc_id, s.k FROM solid s JOIN later l ON s.doc_id = l.doc_id AND s.i BETWEEN l.i AND l.j),
-origin AS (SELECT doc_id, list_sort(list(DISTINCT first)) AS first_doc_ids FROM later WHERE first < doc_id GROUP BY doc_id),
+lists AS (SELECT doc_id, list(w ORDER BY i) AS w FROM token GROUP BY doc_id HAVING count(*) >= 50),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS body FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM lists)),
+met AS (SELECT *, min(doc_id) OVER (PARTITION BY body) AS origin, min(i) OVER (PARTITION BY body, doc_id) AS own FROM windows),
+later AS (
+  SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS place FROM run) WHERE place > 1
+  UNION ALL SELECT doc_id, i, i + 49 FROM met WHERE doc_id > origin OR i - own >= 50),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM later),
 done AS (
-  SELECT p.doc_id, string_agg(CASE WHEN g.k IS NULL THEN p.raw ELSE '' END, '' ORDER BY p.k) AS text,
-    count(*) FILTER (WHERE said <> '') AS n_sentences, count(g.k) AS n_removed,
-    coalesce(sum(CASE WHEN g.k IS NOT NULL THEN length(said) - length(replace(said, ' ', '')) + 1 END), 0)::BIGINT AS removed_words
-  FROM piece p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.k = g.k GROUP BY p.doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE done.text END AS text, n_sentences, n_removed, removed_words, coalesce(first_doc_ids, []::BIGINT[]) AS first_doc_ids
-FROM documents d JOIN done ON d.doc_id = done.doc_id LEFT JOIN origin o ON d.doc_id = o.doc_id""",
+  SELECT n.doc_id, string_agg(CASE WHEN g.i IS NULL THEN n.raw ELSE '' END, '' ORDER BY n.i) AS text,
+    max(n.k)::BIGINT AS n_sentences, count(DISTINCT CASE WHEN g.i IS NOT NULL THEN n.k END) AS n_removed, count(g.i) AS removed_words
+  FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i GROUP BY n.doc_id)
+SELECT c.doc_id, CASE WHEN c.text IS NULL THEN NULL ELSE coalesce(done.text, '') || tail END AS text,
+  coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(removed_words, 0) AS removed_words
+FROM cut c LEFT JOIN done ON c.doc_id = done.doc_id""",
     "op8_quality_rules": r"""
 WITH words AS (SELECT doc_id, source, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
 windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
