@@ -41,7 +41,7 @@ GENERATOR = 0b110001110101
 
 
 # Signatures of word shingles: so many least hashes, of which bands of so many rows are keys.
-HASHES, BANDS, ROWS = 256, 14, 5
+HASHES, BANDS, ROWS = 128, 14, 5
 _SEEDS = np.random.default_rng(20).integers(0, 2**63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -59,12 +59,9 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
     return [digest(joined[a:b], 42) for a, b in zip(starts[: -width + 1].tolist() if width > 1 else starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
 
 
-def signature(text: bytes, width: int = 5) -> bytes | None:
-    """Band keys (8 bytes each), then two bits of each least hash of the set of shingles, all first bits before all second ones; None without words."""
-    hashes = shingle_hashes(text, width)
-    if not hashes:
-        return None
-    every, least = np.unique(np.array(hashes, np.uint64)), np.full(HASHES, 2**64 - 1, np.uint64)
+def signature(every: np.ndarray) -> bytes:
+    """Of a set of shingle hashes: band keys (8 bytes each), then two bits of each least hash, all first bits before all second ones."""
+    least = np.full(HASHES, 2**64 - 1, np.uint64)
     for i in range(0, len(every), 2048):
         np.minimum(least, (every[i : i + 2048, None] * _SEEDS[0] + _SEEDS[1]).min(axis=0), out=least)
     keys = b"".join(xxhash.xxh64_digest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS))
@@ -74,7 +71,11 @@ def signature(text: bytes, width: int = 5) -> bytes | None:
 
 def fingerprint(text: bytes, width: int) -> int:
     """SimHash of the word shingles of UTF-8 ``text``, as an unsigned 64-bit integer."""
-    hashes = shingle_hashes(text, width)
+    return folded(shingle_hashes(text, width))
+
+
+def folded(hashes: list[int]) -> int:
+    """The bits set in over half of ``hashes``; 0 without any."""
     if not hashes:
         return 0
     set_bits = np.zeros(64, np.int64)
@@ -240,52 +241,58 @@ def _alike(marks: np.ndarray, one: np.ndarray) -> np.ndarray:
     return 1 - differing / HASHES / 0.75
 
 
-def _similar(fps: np.ndarray, marks: np.ndarray, least: float, stand_in: float) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Edges of a spanning forest of members alike, and which members still stand for themselves.
+def _proposals(ids: np.ndarray, marks: np.ndarray, least: float, stand_in: float, tries: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs of members (sorted by id) that may be alike, and which members still stand for themselves.
 
-    A member at least ``stand_in`` like a kept one is represented by it. Grown
-    from a frontier, so at most len - 1 edges leave.
+    Grown from a frontier: each step compares one member with those that want
+    partners yet. A member has enough with ``tries`` of them, or with one
+    estimated at ``stand_in`` or more, which then stands for it in other steps. So
+    at most ``tries`` pairs a member leave, and memory stays linear.
     """
-    edges, rest, kept = [], np.arange(len(fps)), np.ones(len(fps), bool)
+    pairs, rest = [], np.arange(len(ids))
+    had, kept = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
     while len(rest) > 1:
-        frontier, rest = [rest[0]], rest[1:]
+        frontier = [rest[0]]
         while frontier and len(rest):
             x = frontier.pop()
+            rest = rest[rest != x]
             like = _alike(marks[rest], marks[x])
             found = rest[like >= least]
-            edges += [(int(fps[x]), int(fps[y])) for y in found if fps[x] != fps[y]]
-            if kept[x]:
-                kept[rest[like >= stand_in]] = False
-            frontier += list(found)
-            rest = rest[like < least]
-    return edges, kept
+            pairs += [(int(ids[x]), int(ids[y])) for y in found]
+            frontier += list(found[had[found] == 0])
+            had[found] += 1
+            same = like >= stand_in
+            kept[rest[same]] = False
+            rest = rest[~(same | (had[rest] >= tries))]
+    return pairs, kept
 
 
 SIMILAR_SCHEMA = "key long, a long, b long, marks binary"
 
 
-def _similar_rows(least: float, stand_in: float, fresh: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Edges (key null) and members (b null) of lists by key.
+def _similar_rows(least: float, stand_in: float, tries: int, fresh: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pairs (key null) and members (b null) of lists by key.
 
-    ``fresh``: rows (fp, sig) get their band keys, and lists are thinned within
-    a batch, before the shuffle. Otherwise rows come sorted by key; lists are
-    read as a stream, and of those read only the kept members stay in memory.
+    ``fresh``: rows (id, sig) get their band keys, and lists are thinned within
+    a batch, before the shuffle, so a key that very many rows share leaves few.
+    Otherwise rows come sorted by key; lists are read as a stream, and of those
+    read only the kept members stay in memory.
     """
 
-    def lists(key: np.ndarray, fps: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
-        order = np.argsort(key, kind="stable")
+    def lists(key: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
+        order = np.lexsort((ids, key))
         cuts = np.flatnonzero(np.diff(key[order])) + 1
         for at in np.split(order, cuts):
-            edges, kept = _similar(fps[at], marks[at], least, stand_in) if len(at) > 1 else ([], np.ones(1, bool))
-            yield int(key[at[0]]), at, kept, edges
+            pairs, kept = _proposals(ids[at], marks[at], least, stand_in, tries) if len(at) > 1 else ([], np.ones(1, bool))
+            yield int(key[at[0]]), at, kept, pairs
 
-    def frame(keys: list[np.ndarray], ids: list[np.ndarray], marks: list[bytes], edges: list[tuple[int, int]]) -> pd.DataFrame:
-        n, m = sum(map(len, keys)), len(edges)
-        pairs = np.array(edges, np.int64).reshape(-1, 2)
+    def frame(keys: list[np.ndarray], ids: list[np.ndarray], marks: list[bytes], pairs: list[tuple[int, int]]) -> pd.DataFrame:
+        n, m = sum(map(len, keys)), len(pairs)
+        both = np.array(pairs, np.int64).reshape(-1, 2)
         return pd.DataFrame({
             "key": pd.Series([*np.concatenate([np.zeros(0, np.int64), *keys]).tolist(), *[None] * m], dtype="Int64"),
-            "a": np.concatenate([*ids, pairs[:, 0]]).astype(np.int64),
-            "b": pd.Series([*[None] * n, *pairs[:, 1].tolist()], dtype="Int64"),
+            "a": np.concatenate([*ids, both[:, 0]]).astype(np.int64),
+            "b": pd.Series([*[None] * n, *both[:, 1].tolist()], dtype="Int64"),
             "marks": [*marks, *[None] * m],
         })
 
@@ -293,53 +300,117 @@ def _similar_rows(least: float, stand_in: float, fresh: bool) -> Callable[[Itera
         for f in frames:
             if not len(f):
                 continue
-            fps = f["fp"].to_numpy(np.int64)
+            every = f["id"].to_numpy(np.int64)
             raw = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), -1)
             band, marks = raw[:, : 8 * BANDS].copy().view(">i8").astype(np.int64), raw[:, 8 * BANDS :].copy().view(np.uint64)
             whole = [m.tobytes() for m in marks]
             for i in range(BANDS):
-                keys, ids, sent, edges = [], [], [], []
-                for key, at, kept, linked in lists(band[:, i], fps, marks):
-                    edges += linked
+                keys, ids, sent, found = [], [], [], []
+                for key, at, kept, pairs in lists(band[:, i], every, marks):
+                    found += pairs
                     keys.append(np.full(kept.sum(), key, np.int64))
-                    ids.append(fps[at[kept]])
+                    ids.append(every[at[kept]])
                     sent += [whole[j] for j in at[kept]]
-                yield frame(keys, ids, sent, edges)
+                yield frame(keys, ids, sent, found)
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for f in frames:
             if not len(f):
                 continue
-            key, fps = f["key"].to_numpy(np.int64), f["a"].to_numpy(np.int64)
+            key, ids = f["key"].to_numpy(np.int64), f["a"].to_numpy(np.int64)
             marks = np.frombuffer(b"".join(f["marks"]), np.uint64).reshape(len(f), -1)
             if held is not None and held[0][0] == key[0]:
-                key, fps, marks = (np.concatenate(x) for x in zip(held, (key, fps, marks), strict=True))
-            edges = []
-            for _, at, kept, linked in lists(key, fps, marks):
-                edges += linked
+                key, ids, marks = (np.concatenate(x) for x in zip(held, (key, ids, marks), strict=True))
+            found = []
+            for _, at, kept, pairs in lists(key, ids, marks):
+                found += pairs
                 last = at[kept]
-            held = (key[last], fps[last], marks[last].copy())
-            yield frame([], [], [], edges)
+            held = (key[last], ids[last], marks[last].copy())
+            yield frame([], [], [], found)
 
     return begin if fresh else finish
 
 
-def similar_links(signatures: DataFrame, similarity: float, slack: float = 0.03, stand_in: float = 0.9) -> DataFrame:
-    """Edges (a, b) of fingerprints whose texts' shingle sets are alike, from (fp, sig).
+def proposed_pairs(signatures: DataFrame, similarity: float, margin: float = 0.12, stand_in: float = 0.95, tries: int = 3) -> DataFrame:
+    """Pairs (a, b) of sets that may be alike, from (id, sig).
 
-    Signatures that agree in a band meet; their similarity is estimated from
-    two bits of 256 hashes, with a standard error of 0.03 at 0.8 (``slack``, allowed below
-    ``similarity``). At 0.8 a pair shares a band with probability 0.996. Of texts
-    0.9 alike or more one stands for the others in later comparisons.
+    Signatures that agree in a band meet; at 0.8 a pair shares one with
+    probability 0.996. Proposed are those whose estimate, from two bits of 128
+    hashes with a standard error of 0.04 at 0.8, is at most ``margin`` below
+    ``similarity``. Pairs are proposals: ``similar_classes`` verifies them.
     """
-    rows = signatures.filter("sig IS NOT NULL").select("fp", "sig").distinct()
-    first = durable(rows.mapInPandas(_similar_rows(similarity - slack, stand_in, True), SIMILAR_SCHEMA))
+    first = durable(signatures.mapInPandas(_similar_rows(similarity - margin, stand_in, tries, True), SIMILAR_SCHEMA))
     met = first.filter("b IS NULL").repartition("key").sortWithinPartitions("key")
-    later = met.mapInPandas(_similar_rows(similarity - slack, stand_in, False), SIMILAR_SCHEMA)
+    later = met.mapInPandas(_similar_rows(similarity - margin, stand_in, tries, False), SIMILAR_SCHEMA)
     return first.filter("b IS NOT NULL").select("a", "b").unionByName(later.select("a", "b"))
 
 
+def _shingle_set(text: bytes, width: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def _set_id(every: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(every.tobytes()) - (1 << 63)
+
+
+def similar_classes(docs: DataFrame, similarity: float, width: int = 5, most_keys: int = 1_000_000) -> DataFrame:
+    """(row, doc_id, class) from (row, doc_id, text): texts linked where their sets of ``width``-word shingles are ``similarity`` alike or more.
+
+    Texts of equal sets are one node. Pairs are proposed by fingerprints (the
+    Golay keys, 3 bits) and by ``proposed_pairs``; each is verified by the
+    sets themselves, of whose hashes 32 bits are compared, so no link is below
+    ``similarity``. class is the least row of the nodes reached; row has to tell
+    rows apart. Texts without words have the empty set and are alike.
+    """
+    schema = "fp long, set_id long, sig binary"
+
+    @F.pandas_udf(schema)
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            hashes = shingle_hashes(bytes(t) if t is not None else b"", width)
+            every = np.unique(np.array(hashes, np.uint64))
+            out.append((int(np.uint64(folded(hashes)).view(np.int64)), _set_id(every), signature(every) if len(every) else None))
+        return pd.DataFrame(out, columns=["fp", "set_id", "sig"])
+
+    marked = durable(docs.select("row", "doc_id", marks(F.col("text").cast("binary")).alias("m")).select("row", "doc_id", "m.*"))
+    nodes = durable(marked.filter("sig IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("row"), F.first("sig").alias("sig")))
+    prints = durable(marked.filter("sig IS NOT NULL").select("fp", "set_id").distinct())
+    one = prints.groupBy("fp").agg(F.min("set_id").alias("one"))
+    near = fingerprint_edges(prints.select("fp").distinct(), RADIUS)
+    left, right = one.select(F.col("fp").alias("a"), F.col("one").alias("x")), one.select(F.col("fp").alias("b"), F.col("one").alias("y"))
+    by_print = near.join(left, "a").join(right, "b").select("x", "y").unionByName(prints.join(one, "fp").select(F.col("one").alias("x"), F.col("set_id").alias("y")))
+    by_bands = proposed_pairs(nodes.select(F.col("set_id").alias("id"), "sig"), similarity).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    pairs = durable(by_print.unionByName(by_bands).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    wanted = durable(nodes.join(ends, "set_id").select("set_id", "row"))
+    rows = F.broadcast(wanted) if wanted.count() <= most_keys else wanted  # else a shuffle join
+    held = F.pandas_udf(lambda texts: texts.map(lambda t: np.unique(_shingle_set(bytes(t), width).astype(np.uint32)).tobytes()), "binary")
+    sets = durable(docs.join(rows, "row").select("set_id", held(F.col("text").cast("binary")).alias("held")))
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        def of(x: bytes, y: bytes) -> bool:
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            both = np.concatenate((x, y))
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            return common >= similarity * (len(both) - common) - 1e-9
+        return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    first, second = sets.select(F.col("set_id").alias("a"), F.col("held").alias("held_a")), sets.select(F.col("set_id").alias("b"), F.col("held").alias("held_b"))
+    # Few sizes fit: sets whose sizes differ too much are not alike, and are not compared.
+    size = lambda c: F.octet_length(c)
+    met = pairs.join(first, "a").join(second, "b").filter(F.least(size("held_a"), size("held_b")) >= similarity * F.greatest(size("held_a"), size("held_b")) - 1e-9)
+    links = met.filter(alike("held_a", "held_b")).select("a", "b")
+    roots = connected_components(links).withColumnRenamed("node", "set_id")
+    sized = marked.select("row", "doc_id", "set_id").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    least = nodes.select("set_id", "row").unionByName(marked.filter("sig IS NULL").groupBy("set_id").agg(F.min("row").alias("row")))
+    named = least.join(roots, "set_id", "left").groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("row").alias("class"))
+    return sized.join(named, "root").select("row", "doc_id", "class")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of undirected ``edges`` (a, b: long); root is the least node reached.
 
@@ -370,7 +441,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = seen
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+def fingerprint_edges(distinct: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) of the different fingerprints ``fp``, of a spanning forest of each key's list."""
+    # The keys of a fingerprint are near two hundred; few partitions of fingerprints would make few long tasks.
+    dealt = distinct.repartition("fp")
+    keys = dealt.mapInArrow(_candidate_keys, "key long, fp long")
+    # A key's list comes together sorted and is read as a stream; only one list is in memory.
+    met = keys.repartition("key").sortWithinPartitions("key")
+    return met.mapInArrow(_verified(radius), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """``docs`` without its text, with ``fp`` (long) and ``component_id`` (long).
 
     Texts are linked when their fingerprints differ in at most ``radius`` (at
@@ -380,28 +461,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, simil
     other. Rows that repeat a doc_id keep a row each. A null doc_id never
     becomes a component_id unless the whole component has none. An empty table
     gives an empty result. Other columns are kept; of a clash with ``fp`` or
-    ``component_id`` the operator's own column wins. With ``similarity`` texts
-    are also linked whose sets of five-word shingles are that alike (see
-    ``similar_links``); texts without words take no part in that.
+    ``component_id`` the operator's own column wins.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError("the Golay keys guarantee 3 differing bits at most")
     rest = [c for c in docs.columns if c not in ("text", "fp", "component_id")]
-    marked = with_fingerprints(docs.select(*(f"`{c}`" for c in rest), "text"), width, "fp")
-    sig = plain_name(marked, "sig")
-    if similarity is not None:
-        signed = F.pandas_udf(lambda texts: texts.map(lambda t: signature(bytes(t)) if t is not None else None), "binary")
-        marked = marked.withColumn(sig, signed(F.col("text").cast("binary")))
-    marked = durable(marked.drop("text"))
+    marked = durable(with_fingerprints(docs.select(*(f"`{c}`" for c in rest), "text"), width, "fp").drop("text"))
     distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    keys = distinct.select("fp").mapInArrow(_candidate_keys, "key long, fp long")
-    # A key's list comes together sorted and is read as a stream; only one list is in memory.
-    met = keys.repartition("key").sortWithinPartitions("key")
-    edges = met.mapInArrow(_verified(radius), "a long, b long")
-    if similarity is not None:
-        edges = edges.unionByName(similar_links(marked.select("fp", F.col(sig).alias("sig")), similarity))
-        marked = marked.drop(sig)
-    roots = connected_components(edges)
+    roots = connected_components(fingerprint_edges(distinct.select("fp"), radius))
     least = (
         distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
         .withColumn("root", F.coalesce("root", "fp"))
@@ -411,17 +478,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, simil
     return marked.join(of_fp, "fp", "left")
 
 
-def keep_one(docs: DataFrame, width: int = 3, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component: that of the least doc_id.
+def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, most_keys: int = 500_000) -> DataFrame:
+    """``docs`` with one document of each class of texts alike (see ``similar_classes``): the one of the least doc_id, null last.
 
-    Of several rows with that doc_id, and of components without any doc_id, one
-    row stays: the one of the least text hash.
+    Of rows that share it the one of the least hash of all columns stays; rows equal in all
+    columns are one row. A class without any doc_id keeps one row too. Null and
+    empty texts are alike. An empty table stays empty; all columns pass.
     """
     columns = docs.columns
     tag = plain_name(docs, "row_key")
-    keyed = docs.withColumn(tag, F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in columns)))
-    found = near_duplicates(keyed.select("doc_id", tag, "text"), width, radius, similarity)
-    keeper = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(tag))).alias("k"))
-    kept = keeper.select(F.col("k.doc_id").alias("doc_id"), F.col(f"k.{tag}").alias(tag)).distinct()
-    joined = keyed.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{tag}") == F.col(f"k.{tag}")), "left_semi")
-    return joined.dropDuplicates(["doc_id", tag]).select(*(f"`{c}`" for c in columns))
+    # The order of rows: doc_id, null last, then a hash of all columns.
+    keyed = docs.withColumn(tag, F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in columns)).alias("h")))
+    found = durable(similar_classes(keyed.select(F.col(tag).alias("row"), "doc_id", "text"), similarity, width))
+    others = found.filter("row != class").select(F.col("row").alias(tag)).distinct()
+    same = [F.col(f"d.{tag}.{c}").eqNullSafe(F.col(f"o.{tag}.{c}")) for c in ("last", "id", "h")]
+    # Texts stay where they are while the list of rows that go is small; beyond that both sides are shuffled.
+    left = keyed.alias("d").join((F.broadcast(others) if others.count() <= most_keys else others).alias("o"), same, "left_anti")
+    if not found.filter("row = class").groupBy("row").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates([tag])
+    return left.select(*(f"`{c}`" for c in columns))
