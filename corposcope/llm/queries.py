@@ -32,7 +32,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.as_integers(table(spark, sf_dir, "embeddings"), scale=64)
-    return topk.top_k(vectors.filter(F.col("vec_id") % 20 == 0), vectors, k=20)
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,9 +141,13 @@ excess AS (
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (NOT any_failed OR soft < leniency) AS kept
 FROM excess f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source""",
     "op3_pivot_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+WITH good AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.row AS query_row, q.vec_id AS query_id, c.vec_id, c.row, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM good q JOIN good c ON q.vec_id % 20 = 0 AND q.row <> c.row AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, row) AS rank, vec_id, score FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op6_chat_format": r"""
 WITH turns AS (
