@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from corposcope.llm.common import durable
 
 #: Bytes for the words that a Python worker remembers from task to task, about.
-MEMO_BYTES = 40_000_000
+MEMO_BYTES = 24_000_000
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 # The steps before the model of a tokenizer that composes characters, makes any white space one blank,
 # lowers case, and takes words and runs of punctuation apart, dropping blanks.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -45,8 +45,20 @@ PLAIN = re.compile("[\t-\r\x20-\xff]*")
 CLOSING = r"([\pL\pN])([.,])([\s\x{0b}\x{85}\x{a0}]|$)"
 
 
+def splits_at_blanks(path: str) -> bool:
+    """Whether the tokenizer of this file treats what stands between blanks apart from the rest, as ``NORMALIZERS`` and ``PARTS`` do."""
+    from tokenizers import Tokenizer
+
+    steps = json.loads(Tokenizer.from_file(path).to_str())
+    first = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+    return (
+        (steps["normalizer"] or {}).get("normalizers") == NORMALIZERS and first.get("pattern") == {"Regex": PARTS} and first.get("invert") is True
+        and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or NONBLANK.fullmatch(t["content"]) is None or not t["content"].startswith("<|") for t in steps["added_tokens"])
+    )
+
+
 class WordEncoder:
-    """Token ids of texts, by a tokenizer that drops white space.
+    """Token ids of texts, by a tokenizer that drops white space (``by_words``).
 
     Such a tokenizer treats what stands between blanks apart from the rest, so
     the different words of a slice of texts are encoded once each and their ids
@@ -54,16 +66,10 @@ class WordEncoder:
     latest slice alone. A tokenizer of any other kind gets whole texts.
     """
 
-    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
+    def __init__(self, path: str, by_words: bool, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        steps = json.loads(self.tokenizer.to_str())
-        first = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-        self.by_words = (
-            (steps["normalizer"] or {}).get("normalizers") == NORMALIZERS and first.get("pattern") == {"Regex": PARTS} and first.get("invert") is True
-            and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or NONBLANK.fullmatch(t["content"]) is None or not t["content"].startswith("<|") for t in steps["added_tokens"])
-        )
+        self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words
         self.memo_bytes = memo_bytes
         self.words, self.ids, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
@@ -124,11 +130,11 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder_of(path: str) -> WordEncoder:
+def encoder_of(path: str, by_words: bool) -> WordEncoder:
     """This worker's encoder: its words serve later tasks too, within ``MEMO_BYTES``."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = WordEncoder(path, by_words)
     return _ENCODERS[path]
 
 
@@ -147,12 +153,13 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
 
     A document's ids end with 0. Only one longer than ``capacity`` is cut.
     """
+    by_words = splits_at_blanks(tokenizer_path)  # looked up once, on the driver
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = encoder_of(tokenizer_path)
+        encoder = encoder_of(tokenizer_path, by_words)
         for batch in batches:
             for low, high in slices(batch.column(1)):
                 part = batch.slice(low, high - low)
@@ -164,6 +171,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
                         for column, value in zip(out, (doc_id, k, start // 4, len(own) // 4, zlib.crc32(own), own), strict=False):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names)
+        pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -28,7 +28,7 @@ def test_other_tokenizers_get_whole_texts(tmp_path):
     steps["normalizer"] = None
     other = tmp_path / "other.json"
     other.write_text(json.dumps(steps))
-    encoder, plain = packing.WordEncoder(str(other)), Tokenizer.from_file(str(other))
+    encoder, plain = packing.WordEncoder(str(other), packing.splits_at_blanks(str(other))), Tokenizer.from_file(str(other))
     assert not encoder.by_words
     got = encoder.encode(pa.array(texts()))
     assert [g.tolist() for g in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts()]
@@ -37,7 +37,7 @@ def test_other_tokenizers_get_whole_texts(tmp_path):
 def test_forgotten_words_change_nothing():
     import pyarrow as pa
 
-    small, plain = packing.WordEncoder(PATH, memo_bytes=3000), Tokenizer.from_file(PATH)
+    small, plain = packing.WordEncoder(PATH, packing.splits_at_blanks(PATH), memo_bytes=3000), Tokenizer.from_file(PATH)
     assert small.by_words
     for _ in range(2):
         for t in texts():
