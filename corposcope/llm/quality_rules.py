@@ -113,10 +113,16 @@ def judged(docs: DataFrame, worst_rate: float = 0.5, max_symbols: float = 0.1, m
     return df.withColumn("any_failed", F.col("base_failed") | F.col("fails_symbols") | F.col("fails_lines") | F.col("fails_length"))
 
 
-def with_verdicts(marked: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Joins host verdicts to judged documents and adds ``kept``."""
+def with_verdicts(marked: DataFrame, verdicts: DataFrame, most_hosts: int = 200_000) -> DataFrame:
+    """Joins host verdicts to judged documents and adds ``kept``.
+
+    Verdicts of up to ``most_hosts`` hosts are broadcast, so that documents need no
+    shuffle and a large host no task of its own; beyond that both sides are shuffled.
+    """
+    verdicts = durable(verdicts)
     base = marked.select(*(f"`{c}`" for c in marked.columns if c not in ("n_docs", "n_failed", "host_rate", "host_ok", "leniency", "kept")))
     v = verdicts.withColumnRenamed("source", "host_")
+    v = F.broadcast(v) if v.count() <= most_hosts else v
     joined = base.join(v, base["source"].eqNullSafe(v["host_"]), "left").drop("host_")
     return joined.withColumn("kept", ~F.col("base_failed") & (~F.col("any_failed") | (F.col("soft_excess") < F.col("leniency"))))
 
