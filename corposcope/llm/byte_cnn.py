@@ -61,8 +61,8 @@ def probability(maxima: np.ndarray, net: Network) -> float:
     return float(1 / (1 + np.exp(-np.clip(features @ net.weights + net.offset, -30, 30))))
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 12, chunks: int = 4, batch: int = 32, seed: int = 7) -> Network:
-    """Fits by Adam on up to ``chunks`` chunks of each text, drawn anew each epoch.
+def train(texts: list[bytes], labels: list[int], epochs: int = 6, batch: int = 32, most_chunks: int = 512, seed: int = 7) -> Network:
+    """Fits by Adam on all chunks of whole texts; a step takes about ``batch`` texts, fewer where they have over ``most_chunks`` chunks together.
 
     Only the windows with the largest response carry a gradient, so the backward pass is
     sparse. Classes weigh alike. With fewer than two classes the network answers with
@@ -81,14 +81,17 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 12, chunks: int =
     length = CHUNK + WIDTH
     for epoch in range(epochs):
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
-        order = rng.permutation(full)
-        for low in range(0, len(order), batch):
-            rows = order[low : low + batch]
+        order, steps = rng.permutation(full), [[]]
+        for i in order.tolist():
+            if len(steps[-1]) == batch or steps[-1] and sum(-(-len(texts[j]) // STEP) for j in (*steps[-1], i)) > most_chunks:
+                steps.append([])
+            steps[-1].append(i)
+        for rows in map(np.array, filter(None, steps)):
             owner, pieces, sizes = [], [], []
             for r, i in enumerate(rows):
                 t = texts[i]
                 every = np.arange(0, max(1, -(-len(t) // BLOCK) - 1), BLOCKS - 1) * BLOCK
-                for s in rng.permutation(every)[:chunks]:
+                for s in every:
                     piece = t[s : s + length]
                     owner.append(r)
                     sizes.append(-(-min(len(t) - s, CHUNK) // STRIDE))
@@ -135,21 +138,20 @@ def remainder(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 1500, text_bytes: int = 8192) -> tuple[list[bytes], list[int]]:
-    """A bounded sample of labelled texts: of each class the ``per_class`` rows of least hash, not held out.
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> tuple[list[bytes], list[int]]:
+    """A bounded sample of labelled rows: of each class the ``per_class`` rows of least hash, not held out, with whole texts.
 
-    Of a text at most ``text_bytes`` bytes are used to fit, from a place chosen by the hash.
+    Labels that repeat a doc_id count by their highest quality; of documents that
+    repeat one the text of least hash is taken.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.filter(remainder(F.col("doc_id")) != 1).withColumn("h", F.xxhash64(F.lit("fit"), "doc_id"))
     sample = [known.filter(F.col("quality") == q).orderBy("h", "doc_id").limit(per_class) for q in (0, 1)]
     ids = F.broadcast(sample[0].unionByName(sample[1]))  # at most 2 * per_class rows
-    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    room = F.greatest(F.lit(0), F.octet_length("text") - text_bytes)
-    start = F.coalesce(F.pmod("h", room + 1), F.lit(0)).cast("int") + 1
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("h", "doc_id", "quality", F.substring(data, start, F.lit(text_bytes)).alias("part")).collect()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"], bytes(r["part"])))
-    return [bytes(r["part"]) for r in rows], [int(r["quality"]) for r in rows]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(ids, "doc_id").groupBy("h", "doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = sorted(rows.collect(), key=lambda r: (r["h"], r["doc_id"]))
+    return [r["text"].encode() for r in found], [int(r["quality"]) for r in found]
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
