@@ -131,6 +131,8 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS,
     words, has size 0 and is never taken. Null sources are one source. Repeated
     rows are documents each. An empty table gives no rows. Added columns
     replace columns of these names. Texts are carried, or left out on request.
+    The knapsack fits the last ``window`` words of a source's budget or fewer; what
+    lies above is filled by shares and whole documents before (see ``fit``).
     """
     own = ("size", "source_size", "target", "taken")
     columns = [c for c in docs.columns if c not in own]
