@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from corposcope.functions import text as X
 from corposcope.library_queries import BOXES, HEADS, SECTIONED, boxes, headings, lines, sectioned
 from corposcope.operators import layout, search, sections, tables
-from corposcope.queries import PAGES, PHRASE, batch, docs, pages, query, ranked
+from corposcope.queries import PAGES, PHRASE, TFIDF, batch, docs, pages, query, ranked
 from corposcope.sources import corpus
 
-ROWS = "t AS (SELECT doc_id AS row_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS tokens FROM documents), q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')[:3]) AS q FROM benchmark)"
+ROWS = "t AS (SELECT doc_id AS row_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS tokens FROM documents), q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark)"
 
 
 def texts(spark, d):
@@ -67,7 +67,7 @@ def j3_full_text_search(spark, d):
     return search.full_text_search(batch(spark, d), texts(spark, d), 10)
 
 
-@query("WITH tf AS (SELECT row_id, token, count(*) AS tf FROM (SELECT doc_id AS row_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY ALL), idf AS (SELECT token, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1), w AS (SELECT row_id, token, tf * idf AS w FROM tf JOIN idf USING (token)), rn AS (SELECT row_id, sqrt(sum(w * w)) AS rn FROM w GROUP BY 1), a AS (SELECT query_id, token, n * idf AS qw FROM (SELECT query_id, token, count(*) AS n FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY ALL) JOIN idf USING (token)), qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM a GROUP BY 1), s AS (SELECT query_id, row_id, round(sum(w * qw) / any_value(rn) / any_value(qn), 6) AS cosine FROM w JOIN a USING (token) JOIN rn USING (row_id) JOIN qn USING (query_id) GROUP BY ALL) SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id))::INT AS rank, row_id, cosine FROM s QUALIFY rank <= 10")
+@query(f"WITH {TFIDF} SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id))::INT AS rank, row_id, cosine FROM s QUALIFY rank <= 10")
 def a31_tfidf_search(spark, d):
     return search.tfidf_search(batch(spark, d), texts(spark, d), 10)
 

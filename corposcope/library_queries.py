@@ -104,7 +104,7 @@ def p44_abstracts(spark, d):
     return docs(spark, d).select("doc_id", X.abstract_of(F.col("text")).alias("abstract"), F.array_join(X.figure_mentions(F.col("text")), ",").alias("figures"))
 
 
-@query()
+@query("SELECT page_id, nullif(regexp_extract(url, '(?i)arxiv\\.org/(?:abs|pdf|html)/([0-9]{4}\\.[0-9]{4,5})', 1), '') AS arxiv_id, nullif(regexp_extract(url, '(?i)(?:youtu\\.be/|youtube\\.com/(?:watch\\?(?:.*&)?v=|embed/|shorts/))([A-Za-z0-9_-]{11})', 1), '') AS video_id, nullif(regexp_extract(html, '(?i)arxiv\\.org/(?:abs|pdf|html)/([0-9]{4}\\.[0-9]{4,5})', 1), '') AS linked_arxiv_id FROM pages")
 def p46_ids(spark, d):
     return corpus.read_table(spark, d, "pages").select("page_id", X.arxiv_id(F.col("url")).alias("arxiv_id"), X.video_id(F.col("url")).alias("video_id"), X.arxiv_id(F.col("html")).alias("linked_arxiv_id"))
 
@@ -183,7 +183,7 @@ def a8_section_catalog(spark, d):
     return sections.section_catalog(rows).drop("titles", "mean_confidence")
 
 
-@query(f"WITH {SECTIONED}, o AS (SELECT doc_id, section, text, min(pos) AS pos FROM s GROUP BY ALL) SELECT doc_id, section, substr(string_agg(text, chr(10) ORDER BY pos), 1, 4000) AS text FROM o GROUP BY ALL")
+@query(f"WITH {SECTIONED}, o AS (SELECT doc_id, section, text, min(pos) AS pos FROM s GROUP BY ALL) SELECT doc_id, section, string_agg(text, chr(10) ORDER BY pos) AS text FROM o GROUP BY ALL")
 def a9_section_text(spark, d):
     return sections.section_text(sectioned(spark, d))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +39,65 @@ def label_summary(rows: DataFrame) -> DataFrame:
     """Two levels at once: by language, and by language and source."""
     rows.createOrReplaceTempView("label_rows_")
     return rows.sparkSession.sql("SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM label_rows_ GROUP BY GROUPING SETS ((lang), (lang, source))")
+
+
+def _matched(pred: list[tuple], gold: list[tuple]) -> list[tuple[int, int]]:
+    """A largest matching of predicted and gold headings that share a variant, as (gold, predicted) positions."""
+    by: dict[str, list[int]] = {}
+    for j, variants in enumerate(pred):
+        for v in variants:
+            by.setdefault(v, []).append(j)
+    owner: dict[int, int] = {}
+    for i in range(len(gold)):
+        # A path of alternate choices, breadth first, that ends at a free heading.
+        came, queue, end = {}, [i], None
+        while queue and end is None:
+            g = queue.pop(0)
+            for j in (j for v in gold[g] for j in by.get(v, ())):
+                if j not in came:
+                    came[j] = g
+                    if j not in owner:
+                        end = j
+                        break
+                    queue.append(owner[j])
+        while end is not None:
+            g = came[end]
+            before = next((j for j, o in owner.items() if o == g), None)
+            owner[end] = g
+            end = before
+    return sorted((g, j) for j, g in owner.items())
+
+
+def _in_order(places: list[int]) -> int:
+    """The length of the longest increasing row."""
+    tails: list[int] = []
+    for p in places:
+        i = bisect_left(tails, p)
+        tails[i : i + 1] = [p]
+    return len(tails)
+
+
+def heading_match(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """(doc_id, n_pred, n_gold, n_matched, n_in_order) from headings (doc_id, pos, variants).
+
+    Headings match where they share a variant; the matching is a largest one.
+    n_in_order is the longest row of matches in the order of both sides. A
+    document's headings, dozens to thousands, meet in one task.
+    """
+
+    def run(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        doc_id = int((p if len(p) else g)["doc_id"].iloc[0])
+        sides = [[tuple(v) for v in x.sort_values("pos")["variants"]] for x in (p, g)]
+        pairs = _matched(*sides)
+        return pd.DataFrame({"doc_id": [doc_id], "n_pred": [len(p)], "n_gold": [len(g)], "n_matched": [len(pairs)], "n_in_order": [_in_order([j for _, j in pairs])]})
+
+    columns = ["doc_id", "pos", "variants"]
+    own = lambda df: df.select(*(F.col(c).alias(c) for c in columns)).groupBy("doc_id")
+    return own(pred).cogroup(own(gold)).applyInPandas(run, "doc_id long, n_pred long, n_gold long, n_matched long, n_in_order long")
+
+
+def md_eval(matched: DataFrame) -> DataFrame:
+    """(doc_id, precision, recall, f1, heading_order) from ``heading_match``; null where a side has no headings."""
+    share = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 6)
+    f1 = F.round(2 * F.col("n_matched") / F.nullif(F.col("n_pred") + F.col("n_gold"), F.lit(0)), 6)
+    return matched.select("doc_id", share("n_matched", "n_pred").alias("precision"), share("n_matched", "n_gold").alias("recall"), f1.alias("f1"), share("n_in_order", "n_matched").alias("heading_order"))

@@ -22,6 +22,7 @@ PAGES = BLOCKS + ", p AS (SELECT doc_id, (block_index // 5 + 1)::INT AS page_no,
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 PHRASE = "t AS (SELECT doc_id AS row_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents), q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS q FROM benchmark), stats AS (SELECT count(*) AS n, avg(len(tokens)) AS m FROM t), df AS (SELECT token, count(*) AS df FROM (SELECT row_id, unnest(list_distinct(tokens)) AS token FROM t) GROUP BY 1), met AS (SELECT query_id, row_id, tokens, q FROM q JOIN t ON contains(' ' || array_to_string(tokens, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ')), parts AS (SELECT query_id, row_id, len(tokens) AS len, token, len(list_filter(tokens, lambda x: x = token)) AS tf FROM (SELECT *, unnest(list_distinct(q)) AS token FROM met)), scored AS (SELECT query_id, row_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / m))), 6) AS bm25 FROM parts JOIN df USING (token), stats GROUP BY ALL), ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, row_id))::INT AS rank, row_id, bm25 FROM scored)"
 
+TFIDF = "tf AS (SELECT row_id, token, count(*) AS tf FROM (SELECT doc_id AS row_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY ALL), idf AS (SELECT token, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1), w AS (SELECT row_id, token, tf * idf AS w FROM tf JOIN idf USING (token)), rn AS (SELECT row_id, sqrt(sum(w * w)) AS rn FROM w GROUP BY 1), a AS (SELECT query_id, token, n * idf AS qw FROM (SELECT query_id, token, count(*) AS n FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY ALL) JOIN idf USING (token)), qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM a GROUP BY 1), s AS (SELECT query_id, row_id, round(sum(w * qw) / any_value(rn) / any_value(qn), 6) AS cosine FROM w JOIN a USING (token) JOIN rn USING (row_id) JOIN qn USING (query_id) GROUP BY ALL)"
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
@@ -161,7 +162,7 @@ def j4_vector_topk(spark, d):
     return search.vector_topk(v.filter("row_id % 20 = 0").withColumnRenamed("row_id", "query_id"), v, 10)
 
 
-@query(f"WITH {PHRASE}, l AS (SELECT query_id, row_id, (row_number() OVER (PARTITION BY query_id ORDER BY row_id DESC))::INT AS rank FROM scored), f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.row_id, b.row_id) AS row_id, round(coalesce(0.5 / (60 + a.rank), 0) + coalesce(0.5 / (60 + b.rank), 0), 6) AS hybrid_score, concat_ws('+', CASE WHEN a.rank IS NOT NULL THEN 'vector' END, CASE WHEN b.rank IS NOT NULL THEN 'text' END) AS sources FROM (SELECT * FROM l WHERE rank <= 2) a FULL JOIN (SELECT * FROM ranked WHERE rank <= 10) b ON a.query_id = b.query_id AND a.row_id = b.row_id) SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, row_id))::INT AS rank FROM f) WHERE rank <= 5")
+@query(f"WITH {PHRASE}, {TFIDF}, l AS (SELECT query_id, row_id, (row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id))::INT AS rank FROM s), f AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.row_id, y.row_id) AS row_id, round(coalesce(0.5 / (60 + x.rank), 0) + coalesce(0.5 / (60 + y.rank), 0), 6) AS hybrid_score, concat_ws('+', CASE WHEN x.rank IS NOT NULL THEN 'vector' END, CASE WHEN y.rank IS NOT NULL THEN 'text' END) AS sources FROM (SELECT * FROM l WHERE rank <= 10) x FULL JOIN (SELECT * FROM ranked WHERE rank <= 10) y ON x.query_id = y.query_id AND x.row_id = y.row_id) SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, row_id))::INT AS rank FROM f) WHERE rank <= 5")
 def j6_rrf_fuse(spark, d):
     """Keyword and tf-idf rankings, each twice as deep as the fused list."""
     vectors = search.tfidf_search(batch(spark, d), docs(spark, d).select(F.col("doc_id").alias("row_id"), "text"), 10)

@@ -51,14 +51,20 @@ def unique_index(rows: DataFrame, group: list[str], index: str, order: list[str]
     return marked.withColumn(index, F.when(F.col("again") == 1, F.col("top") + F.col("nth")).otherwise(F.col(index))).drop("again", "nth", "top")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with equal keys."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+def newest_rows(rows: DataFrame, keys: list[str], newest: str | None) -> DataFrame:
+    """One row for each key: the one of the largest ``newest``, then of the largest other columns."""
+    order = F.struct(*([newest] if newest else []), *(c for c in rows.columns if c not in keys and c != newest))
+    return rows.withColumn("rn_", F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc()))).filter("rn_ = 1").drop("rn_")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
+    """Rows of ``new`` replace those of ``old`` with equal keys; of rows that repeat a key in ``new`` the newest counts."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(newest_rows(new, keys, newest))
 
 
 def replace_documents(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
     """All rows of a document in ``new`` take the place of its rows in ``old``."""
-    return upsert(old, new, [key])
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
 def delete_documents(rows: DataFrame, ids: DataFrame, key: str = "doc_id", detach: bool = False) -> DataFrame:
@@ -119,9 +125,9 @@ def pending_work(paths: DataFrame, done: DataFrame, n: int) -> DataFrame:
     return hashed.join(done.select("hash").distinct(), "hash", "left_anti").select("group_no", "n_paths", "hash")
 
 
-def upsert_keeping(old: DataFrame, new: DataFrame, key: str, kept: str) -> DataFrame:
-    """Upsert by key in which the column ``kept`` stays as first inserted."""
-    first = new.drop(kept).join(old.select(key, F.col(kept).alias("old_")), key, "left").join(new.select(key, kept), key)
+def upsert_keeping(old: DataFrame, new: DataFrame, key: str, kept: str, newest: str | None = None) -> DataFrame:
+    """Upsert by key in which the column ``kept`` stays as first inserted; of rows that repeat a key in ``new`` the newest counts."""
+    first = newest_rows(new, [key], newest).join(old.select(key, F.col(kept).alias("old_")), key, "left")
     merged = first.withColumn(kept, F.coalesce("old_", kept)).drop("old_").select(*old.columns)
     return old.join(new.select(key), key, "left_anti").unionByName(merged)
 

@@ -35,10 +35,18 @@ def stream_status(events: DataFrame) -> DataFrame:
 
 
 def ingest_batch(out: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the blocks of new documents, a folder for each batch so that a repeated batch overwrites itself."""
+    """For foreachBatch: the blocks of new documents (doc_id, text), and a marker for each document.
+
+    Both folders are named by the batch, so a repeated batch overwrites itself.
+    Of several rows of a document in one batch the last by ``changed_at`` counts, or
+    where that column is missing the one of the largest text.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        blocks_of(batch).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        order = [F.col("changed_at")] if "changed_at" in batch.columns else []
+        last = batch.groupBy("doc_id").agg(F.max_by("text", F.struct(*order, "text")).alias("text"))
+        last.select("doc_id").write.mode("overwrite").parquet(f"{out}/changed/epoch={epoch}")
+        blocks_of(last).write.mode("overwrite").parquet(f"{out}/blocks/epoch={epoch}")
 
     return write
 
@@ -48,10 +56,9 @@ def stream_ingest(documents: DataFrame, out: str, checkpoint: str):
 
 
 def current_blocks(spark: SparkSession, out: str) -> DataFrame:
-    """Blocks of each document from the last batch that brought it."""
-    every = spark.read.option("basePath", out).parquet(out)
-    newest = every.groupBy("doc_id").agg(F.max("epoch").alias("epoch"))
-    return every.join(newest, ["doc_id", "epoch"]).drop("epoch")
+    """Blocks of each document from the last batch that brought it; none where that one was empty."""
+    newest = spark.read.parquet(f"{out}/changed").groupBy("doc_id").agg(F.max("epoch").alias("epoch"))
+    return spark.read.parquet(f"{out}/blocks").join(newest, ["doc_id", "epoch"]).drop("epoch")
 
 
 def postings_batch(out: str) -> Callable[[DataFrame, int], None]:
