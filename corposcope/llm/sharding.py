@@ -16,11 +16,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corposcope.llm.common import plain_name, ranked
+from corposcope.llm.common import durable, plain_name, ranked
 
 OVERHEAD = 16
 VALUE_BITS, TEXT_BITS, ROW_BITS, STEP = 20, 16, 24, 10
@@ -50,13 +49,13 @@ def crc_of(text: Column) -> Column:
 def _position(column: Column, kind: str) -> Column:
     """A dimension's value as an integer of VALUE_BITS bits, in the order of the values (null: 0).
 
-    Numbers keep their order on a logarithmic scale; strings are spread by a hash.
+    Dates and times count as their seconds since 1970; numbers and times below 0 stand with 0. Numbers keep their order on a logarithmic scale; strings are spread by a hash.
     """
     top = (1 << VALUE_BITS) - 1
     if kind in ("string", "varchar", "char"):
         spread = F.pmod(F.xxhash64(column), F.lit(top)).cast("long") + 1
         return F.coalesce(F.when(column.isNotNull(), spread), F.lit(0).cast("long"))
-    x = column.cast("double")
+    x = (F.unix_timestamp(column.cast("timestamp")) if kind.startswith(("date", "timestamp")) else column).cast("double")
     # 2^14 steps for each doubling, up to 2^63.
     scaled = F.floor(F.log2(F.greatest(x, F.lit(0.0)) + 1) * (top / 64.0))
     return F.coalesce(F.when(F.isnan(x), F.lit(0)).otherwise(F.least(scaled, F.lit(top))), F.lit(0)).cast("long")
@@ -86,7 +85,8 @@ def fit_tree(docs: DataFrame, shards: int, dimensions: tuple[str, ...] = DIMENSI
     """
     dimensions = tuple(d for d in dimensions if d in docs.columns)
     names = [f"k{i}" for i in range(len(dimensions))]
-    slim = docs.select(size_of(F.col("text")).alias("size"), *(k.alias(n) for n, k in zip(names, _keys(docs, dimensions), strict=True))).persist(StorageLevel.MEMORY_AND_DISK)
+    slim = docs.select(size_of(F.col("text")).alias("size"), *(k.alias(n) for n, k in zip(names, _keys(docs, dimensions), strict=True)))
+    slim = durable(slim)  # many passes read it
     keys = [F.col(n) for n in names]
     total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     root = Node(0, shards, total)
@@ -142,7 +142,6 @@ def fit_tree(docs: DataFrame, shards: int, dimensions: tuple[str, ...] = DIMENSI
             node.left = Node(node.low, half, before[i])
             node.right = Node(node.low + half, node.shards - half, node.bytes - before[i])
         level = [c for n in level for c in (n.left, n.right)]
-    slim.unpersist()
     return root
 
 
