@@ -1,4 +1,4 @@
-"""Counts of question sets and notes."""
+"""Questions, counts of question sets and notes."""
 
 from __future__ import annotations
 
@@ -22,3 +22,10 @@ def note_counts(docs: DataFrame, notes: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``n_notes`` and the title of the newest note (key, note_id, title, body)."""
     counts = note_title(notes).groupBy(key).agg(F.count(F.lit(1)).alias("n_notes"), F.max_by("title", "note_id").alias("newest_title"))
     return docs.join(counts, key, "left").withColumn("n_notes", F.coalesce("n_notes", F.lit(0)))
+
+
+def normalized_questions(questions: DataFrame) -> DataFrame:
+    """``questions`` (kind, text, answer, explanation, reference) trimmed: a kind in lower case, short_answer where it is blank; other blanks null; rows without a text go."""
+    bare = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    kind = F.coalesce(F.lower(bare("kind")), F.lit("short_answer"))
+    return questions.withColumns({"kind": kind} | {c: bare(c) for c in ("text", "answer", "explanation", "reference")}).filter(F.col("text").isNotNull())
