@@ -115,8 +115,8 @@ def table_regions(blocks: DataFrame, gap: float = 72.0, height: float = 320.0) -
     From each block with ``caption`` the region goes down the page, in order of
     y0, x0 and pos, over blocks that are captions or ``fits``, as long as the gap
     to the block before is at most ``gap`` and the whole at most ``height`` high.
-    A caption without a block below has no region. A caption is paired with the
-    blocks of its own page within ``height`` alone.
+    A caption without a block below has no region. A caption meets the later
+    blocks of its own page alone.
     """
     w = Window.partitionBy(*PAGE).orderBy("box.y0", "box.x0", "pos")
     placed = blocks.withColumns({"n_": F.row_number().over(w), "before_": F.lag("box.y1").over(w)})
