@@ -184,3 +184,46 @@ def merge_fragments(pieces: DataFrame, most_gap: float = 14.0, share: float = 0.
     low, high = (lambda c: F.min(f"box.{c}").alias(c)), (lambda c: F.max(f"box.{c}").alias(c))
     whole = marked.groupBy(*PAGE, "run_", "n_cols").agg(F.min("piece_id").alias("piece_id"), F.count(F.lit(1)).alias("n_pieces"), low("x0"), low("y0"), high("x1"), high("y1"))
     return whole.select(*PAGE, "piece_id", "n_pieces", "n_cols", F.struct("x0", "y0", "x1", "y1").alias("box"))
+
+
+def assign_captions(regions: DataFrame, captions: DataFrame, most_gap: float = 180.0, least_share: float = 0.12) -> DataFrame:
+    """(doc_id, page_no, caption_id, region_id, relaxed): regions (region_id, box, tiles) to captions (caption_id, box), one to one on a page.
+
+    Captions choose in order of caption_id, each the best free region that stands
+    above or below it, near enough and over enough of its width; ties to the
+    smaller region_id. Captions left over choose again among the regions left,
+    with ``relaxed`` limits; the last region left may stand beside them. Pairs
+    are scored in the join; only ids and scores of a page reach one task.
+    """
+    a, b = F.col("box"), F.col("caption_box")
+    met = regions.select(*PAGE, "region_id", "box", "tiles").join(captions.select(*PAGE, "caption_id", F.col("box").alias("caption_box")), PAGE)
+    wide = lambda x: x["x1"] - x["x0"]
+    above, below = a["y1"] - b["y0"], b["y1"] - a["y0"]  # how far they reach into one another
+    score = (
+        F.least(F.lit(4.5), area(a) / 30000.0) + F.least(F.lit(2.5), F.greatest(F.coalesce("tiles", F.lit(1)), F.lit(0)) * 0.14) + share_of_narrower(a, b) * 1.8
+        + _share(a, b, "x0", "x1") / F.greatest(wide(b), F.lit(1e-6)) * 1.8 + overlap(a, b) / F.greatest(area(b), F.lit(1e-6)) * 0.6 - gap(a, b) / 150.0
+        + F.when(above <= 10.0, 0.9).when(below <= 10.0, 0.15).otherwise(-0.2)
+    )
+    measured = met.select(*PAGE, "region_id", "caption_id", F.round(score, 9).alias("score"), gap(a, b).alias("gap"), share_of_narrower(a, b).alias("share"), F.least(above, below).alias("into"))
+    near = measured.filter((F.col("gap") <= most_gap * 1.6) & (F.col("into") <= 10.0))
+    alive = regions.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_regions"))
+    schema = "doc_id long, page_no int, caption_id int, region_id int, relaxed boolean"
+
+    def page(rows: pd.DataFrame) -> pd.DataFrame:
+        free, taken = int(rows["n_regions"].iloc[0]), {}
+        for relaxed in (False, True):
+            for caption, mine in rows.sort_values("caption_id").groupby("caption_id", sort=True):
+                if any(c == caption for c, _ in taken.values()):
+                    continue
+                open_ = mine[~mine["region_id"].isin(list(taken))]
+                if relaxed:
+                    fits = open_[(open_["share"] >= 0.2 * least_share) | (free - len(taken) == 1)]
+                else:
+                    fits = open_[(open_["share"] >= least_share) & (open_["gap"] <= most_gap) & (open_["into"] <= 6.0)]
+                if len(fits):
+                    best = fits.sort_values(["score", "region_id"], ascending=[False, True]).iloc[0]
+                    taken[int(best["region_id"])] = (caption, relaxed)
+        out = [(rows["doc_id"].iloc[0], rows["page_no"].iloc[0], caption, region, relaxed) for region, (caption, relaxed) in taken.items()]
+        return pd.DataFrame(out, columns=["doc_id", "page_no", "caption_id", "region_id", "relaxed"]).astype({"doc_id": "Int64", "page_no": "Int32"})
+
+    return near.join(alive, PAGE).groupBy(*PAGE).applyInPandas(page, schema)

@@ -49,3 +49,59 @@ def base_font(spans: DataFrame) -> DataFrame:
     """(doc_id, base_font): the commonest font size of spans (doc_id, font) rounded half to even, the least of equals."""
     counts = spans.groupBy("doc_id", F.bround("font", 0).alias("size")).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("doc_id").agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("base_font"))
+
+
+# Signals of a page, (score, points, condition over the counts of the page).
+PAGE_POINTS = (
+    ("scholarly", 3, "has_abstract"), ("scholarly", 3, "has_references"), ("scholarly", 2, "citations >= 2"), ("scholarly", 2, "page_no = 1 AND affiliations > 0"),
+    ("scholarly", 1, "roman_headings >= 1"), ("scholarly", 1, "equations >= 2"), ("scholarly", 1, "two_columns"),
+    ("visual", 2, "captions > 0"), ("visual", 1, "images + tables > 0"), ("visual", 1, "section_headings >= 1 AND captions > 0"), ("visual", 1, "drawings > 8 AND captions > 0"),
+    ("report", 2, "section_headings + part_headings >= 1"), ("report", 2, "report_headings >= 1"), ("report", 1, "repeated_edges >= 1 AND academic_headings + numbered_headings + equations = 0"),
+    ("report", 2, "paragraphs >= 4 AND citations + captions + academic_headings + numbered_headings + equations = 0"),
+    ("report", 1, "NOT has_abstract AND NOT has_references AND academic_headings + numbered_headings + affiliations = 0"),
+    ("report", 1, "text_len >= 400 AND images + tables + equations + numbered_headings = 0 AND NOT two_columns"),
+)
+# Counts that add to the scholarly score up to a limit.
+PAGE_COUNTS = (("academic_headings", 3), ("numbered_headings", 2))
+# Signals of a document over the sums of its pages.
+DOC_POINTS = (
+    ("scholarly", 3, "has_abstract"), ("scholarly", 3, "has_references"), ("scholarly", 2, "citations >= 4"), ("scholarly", 2, "academic_headings >= 3"), ("scholarly", 4, "numbered_headings >= 3"),
+    ("scholarly", 2, "numbered_headings BETWEEN 1 AND 2"), ("scholarly", 2, "roman_headings >= 2"), ("scholarly", 2, "affiliated_pages >= 1"),
+    ("scholarly", 2, "affiliated_pages >= 1 AND academic_headings + numbered_headings >= 1"), ("scholarly", 2, "equations >= 8"),
+    ("visual", 2, "captions >= 2"), ("visual", 2, "captions >= 4"), ("visual", 2, "section_headings >= 2 AND captions >= 2"),
+    ("report", 3, "section_headings >= 3"), ("report", 2, "report_headings >= 3"), ("report", 2, "repeated_sides >= 2 AND academic_headings + numbered_headings + equations = 0"),
+    ("report", 2, "NOT has_abstract AND NOT has_references AND citations + affiliated_pages + numbered_headings + academic_headings = 0"),
+    ("report", 2, "prose_pages >= greatest(1, n_pages DIV 2) AND captions + equations + numbered_headings + academic_headings = 0"),
+    ("report", 1, "captions + equations + numbered_headings + academic_headings + affiliated_pages = 0"),
+)
+MARGIN = 3
+
+
+def _sums(points: tuple, score: str) -> Column:
+    return sum((F.when(F.expr(when), value).otherwise(0) for name, value, when in points if name == score), F.lit(0))
+
+
+def page_profiles(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``scholarly``, ``visual``, ``report`` and ``handler``, paper or plain.
+
+    pages (doc_id, page_no, text_len, two_columns, has_abstract, has_references and the counts
+    named in ``PAGE_POINTS``; repeated_edges is repeated_headers + repeated_footers). Counts must not be null.
+    """
+    whole = pages.withColumn("repeated_edges", F.col("repeated_headers") + F.col("repeated_footers"))
+    capped = sum((F.least(F.col(c), F.lit(most)) for c, most in PAGE_COUNTS), F.lit(0))
+    scored = whole.withColumns({"scholarly": _sums(PAGE_POINTS, "scholarly") + capped, "visual": _sums(PAGE_POINTS, "visual"), "report": _sums(PAGE_POINTS, "report")})
+    return scored.drop("repeated_edges").withColumn("handler", F.when(F.col("scholarly") + F.col("visual") >= F.col("report"), "paper").otherwise("plain"))
+
+
+def doc_profiles(profiles: DataFrame) -> DataFrame:
+    """(doc_id, n_pages, scholarly, visual, report, handler): documents from ``page_profiles``; a lead under ``MARGIN`` points makes a document mixed."""
+    total = {c: F.sum(c).alias(c) for c in ("citations", "captions", "academic_headings", "numbered_headings", "roman_headings", "equations", "section_headings", "report_headings")}
+    some = lambda c: F.count_if(F.col(c) > 0)
+    prose = F.count_if((F.col("paragraphs") >= 4) & (F.col("citations") + F.col("captions") == 0))
+    sums = profiles.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_pages"), *total.values(), *(F.bool_or(c).alias(c) for c in ("has_abstract", "has_references")), some("affiliations").alias("affiliated_pages"),
+        (some("repeated_headers") + some("repeated_footers")).alias("repeated_sides"), prose.alias("prose_pages"), *(F.sum(c).alias(f"{c}_") for c in ("scholarly", "visual", "report")),
+    )
+    scored = sums.select("doc_id", "n_pages", *((F.col(f"{c}_") + _sums(DOC_POINTS, c)).alias(c) for c in ("scholarly", "visual", "report")))
+    lead = F.col("scholarly") + F.col("visual") - F.col("report")
+    return scored.withColumn("handler", F.when(lead >= MARGIN, "paper").when(lead <= -MARGIN, "plain").otherwise("mixed"))
