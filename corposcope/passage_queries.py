@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corposcope.functions import text as X
-from corposcope.library_queries import assets, boxes
-from corposcope.operators import equations, layout, passages, search, tables
+from corposcope.library_queries import assets, boxes, sectioned
+from corposcope.operators import equations, layout, passages, search, sections, summaries, tables
 from corposcope.operators import pages as page_operators
 from corposcope.queries import BLOCKS, PAGES, PHRASE, batch, docs, pages, query, ranked
 from corposcope.sources import corpus
@@ -145,3 +145,21 @@ def a20_page_profiles(spark, d):
 )
 def a20_doc_profiles(spark, d):
     return page_operators.doc_profiles(page_operators.page_profiles(signals(spark, d)))
+
+
+@query()
+def w19_section_summaries(spark, d):
+    """Sections of the documents, their kind by the length of their title."""
+    kinds = F.array(*map(F.lit, summaries.CUES))
+    texts = sections.section_text(sectioned(spark, d).filter("section IS NOT NULL"))
+    named = texts.withColumn("canonical", F.get(kinds, F.length("section") % len(summaries.CUES)))
+    return summaries.summarize(summaries.sentence_scores(named))
+
+
+@query()
+def j23_best_blocks(spark, d):
+    """The line of each page hit that answers best."""
+    p = pages(spark, d)
+    hits = search.keyword_search(batch(spark, d), p.select("row_id", "text"), 20).join(batch(spark, d), "query_id")
+    lines = corpus.blocks_of(docs(spark, d)).withColumn("row_id", F.col("doc_id") * 1_000_000 + F.col("page_no"))
+    return summaries.best_blocks(hits, lines).drop("text")

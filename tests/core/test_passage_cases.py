@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from corposcope.functions import text as X
-from corposcope.operators import equations, layout, pages, passages, tables
+from corposcope.operators import equations, layout, pages, passages, summaries, tables
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
@@ -116,3 +116,26 @@ def test_document_profiles(spark):
     profiles = pages.page_profiles(spark.createDataFrame(rows))
     assert {r.doc_id: (r.scholarly, r.visual, r.report, r.handler) for r in profiles.collect()} == {1: (10, 0, 0, "paper"), 2: (0, 0, 4, "plain"), 3: (0, 3, 1, "paper")}
     assert {r.doc_id: (r.scholarly, r.visual, r.report, r.handler) for r in pages.doc_profiles(profiles).collect()} == {1: (19, 0, 0, "paper"), 2: (0, 0, 9, "plain"), 3: (0, 5, 3, "mixed")}
+
+
+def test_summaries(spark):
+    a = "We propose a framework that improves the training of very large networks."
+    b = "The weather over the harbour stayed grey through most of that long week [1] [2]."
+    c = "We propose a framework that improves the training of very large networks!"
+    filler = "Sailors mended nets quietly while gulls circled above wooden piers every single morning"
+    text = " ".join([a, b, c] + [f"{filler} {w}." for w in ("alpha", "bravo")])
+    rows = [(1, "m", "methodology", text), (1, "e", None, ""), (2, "n", "other", None)]
+    scored = summaries.sentence_scores(spark.createDataFrame(rows, "doc_id long, section string, canonical string, text string"))
+    got = {(r.doc_id, r.section): r for r in summaries.summarize(scored).collect()}
+    assert list(got) == [(1, "m")]  # sections without sentences have no summary
+    # One sentence suffices by count, but words are taken up to 75: like ones go (c is like a, and the fillers like each other).
+    assert got[1, "m"].n_sentences == 3 and got[1, "m"].summary == " ".join([a, b, f"{filler} alpha."])
+    by = {r.place: r.score for r in scored.collect()}
+    assert by[0] - by[2] > 0.4 and by[1] < by[3] + 1.0
+
+
+def test_best_blocks(spark):
+    hits = spark.createDataFrame([(1, 10, "deep nets"), (2, 10, "nothing"), (3, 99, "deep")], "query_id long, row_id long, query string")
+    blocks = spark.createDataFrame([(10, 0, "nets that are deep"), (10, 1, "these deep nets"), (10, 2, "these deep nets"), (10, 3, None)], "row_id long, block_index int, text string")
+    got = {r.query_id: (r.block_index, r.exact_phrase, r.lex_hits) for r in summaries.best_blocks(hits, blocks).collect()}
+    assert got == {1: (1, True, 2), 2: (0, False, 0)}
