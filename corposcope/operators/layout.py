@@ -207,23 +207,23 @@ def assign_captions(regions: DataFrame, captions: DataFrame, most_gap: float = 1
     measured = met.select(*PAGE, "region_id", "caption_id", F.round(score, 9).alias("score"), gap(a, b).alias("gap"), share_of_narrower(a, b).alias("share"), F.least(above, below).alias("into"))
     near = measured.filter((F.col("gap") <= most_gap * 1.6) & (F.col("into") <= 10.0))
     alive = regions.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_regions"))
-    schema = "doc_id long, page_no int, caption_id int, region_id int, relaxed boolean"
+    pair = "array<struct<caption_id:int,region_id:int,relaxed:boolean>>"
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        free, taken = int(rows["n_regions"].iloc[0]), {}
+    def one(pairs: list[dict], n_regions: int) -> list[dict]:
+        taken: dict[int, dict] = {}
         for relaxed in (False, True):
-            for caption, mine in rows.sort_values("caption_id").groupby("caption_id", sort=True):
-                if any(c == caption for c, _ in taken.values()):
-                    continue
-                open_ = mine[~mine["region_id"].isin(list(taken))]
-                if relaxed:
-                    fits = open_[(open_["share"] >= 0.2 * least_share) | (free - len(taken) == 1)]
-                else:
-                    fits = open_[(open_["share"] >= least_share) & (open_["gap"] <= most_gap) & (open_["into"] <= 6.0)]
-                if len(fits):
-                    best = fits.sort_values(["score", "region_id"], ascending=[False, True]).iloc[0]
-                    taken[int(best["region_id"])] = (caption, relaxed)
-        out = [(rows["doc_id"].iloc[0], rows["page_no"].iloc[0], caption, region, relaxed) for region, (caption, relaxed) in taken.items()]
-        return pd.DataFrame(out, columns=["doc_id", "page_no", "caption_id", "region_id", "relaxed"]).astype({"doc_id": "Int64", "page_no": "Int32"})
-
-    return near.join(alive, PAGE).groupBy(*PAGE).applyInPandas(page, schema)
+            for caption in sorted({p["caption_id"] for p in pairs} - {t["caption_id"] for t in taken.values()}):
+                last = n_regions - len(taken) == 1
+                strict = lambda p: p["share"] >= least_share and p["gap"] <= most_gap and p["into"] <= 6.0
+                fits = [p for p in pairs if p["caption_id"] == caption and p["region_id"] not in taken and ((p["share"] >= 0.2 * least_share or last) if relaxed else strict(p))]
+                if fits:
+                    best = min(fits, key=lambda p: (-p["score"], p["region_id"]))["region_id"]
+                    taken[best] = {"caption_id": caption, "region_id": best, "relaxed": relaxed}
+        return list(taken.values())
+
+    @F.pandas_udf(pair)
+    def assigned(pages: pd.Series, n_regions: pd.Series) -> pd.Series:
+        return pd.Series([one(list(p), n) for p, n in zip(pages, n_regions, strict=True)], dtype=object)
+
+    per_page = near.groupBy(*PAGE).agg(F.collect_list(F.struct("caption_id", "region_id", "score", "gap", "share", "into")).alias("pairs"))
+    return per_page.join(alive, PAGE).select(*PAGE, F.inline(assigned("pairs", "n_regions")))
