@@ -48,6 +48,15 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table made by ``durable``, once what follows is written and nothing reads it again."""
+    session = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = session._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if re.fullmatch(r"table-[0-9a-f]{32}", folder.getName()):
+            folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def plain_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores appended until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

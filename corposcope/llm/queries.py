@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corposcope.llm import byte_cnn, chat, licenses, mixing, packing, quality_rules, sharding, simhash, substrings, topk
+from corposcope.llm import byte_cnn, chat, licenses, mixing, packing, quality_rules, sharding, simhash, substrings, topk, vector_codes
 from corposcope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,11 +74,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, history = vector_codes.compress(table(spark, sf_dir, "embeddings"), scale=256, parts=16, entries=64, rounds=2)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(history[-1])).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_kd_sharding, op2_substring_dedup, op3_pivot_topk, op4_license_scan, op5_simhash_near_dedup,
-        op6_chat_format, op7_mixing, op8_quality_rules, op9_best_fit_packing, op10_quality_classifier,
+        op6_chat_format, op7_mixing, op8_quality_rules, op9_best_fit_packing, op10_quality_classifier, op11_vector_codes,
     )
 }
 
@@ -149,6 +154,23 @@ s AS (
   FROM good q JOIN good c ON q.vec_id % 20 = 0 AND q.row <> c.row AND len(q.v) = len(c.v)),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, row) AS rank, vec_id, score FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_vector_codes": """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS row, * FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+part AS (SELECT row, p, v[(p - 1) * (len(v) // 16) + 1 : p * (len(v) // 16)] AS x FROM (SELECT row, v, unnest(range(1, 17)) AS p FROM kept)),
+c0 AS (SELECT p, row AS e, x AS c FROM part WHERE row <= 64),
+a0 AS (SELECT row, p, any_value(x) AS x, min({'d': d, 'e': e}) AS best FROM (SELECT row, c0.p, x, e, list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM part JOIN c0 ON part.p = c0.p) GROUP BY row, p),
+m1 AS (SELECT p, best.e AS e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS y FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a0) GROUP BY p, best.e, i),
+c1 AS (SELECT c0.p, c0.e, coalesce(y, c) AS c FROM c0 LEFT JOIN (SELECT p, e, list(y ORDER BY i) AS y FROM m1 GROUP BY p, e) m ON c0.p = m.p AND c0.e = m.e),
+a1 AS (SELECT row, p, any_value(x) AS x, min({'d': d, 'e': e}) AS best FROM (SELECT row, c1.p, x, e, list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM part JOIN c1 ON part.p = c1.p) GROUP BY row, p),
+m2 AS (SELECT p, best.e AS e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS y FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a1) GROUP BY p, best.e, i),
+c2 AS (SELECT c1.p, c1.e, coalesce(y, c) AS c FROM c1 LEFT JOIN (SELECT p, e, list(y ORDER BY i) AS y FROM m2 GROUP BY p, e) m ON c1.p = m.p AND c1.e = m.e),
+a2 AS (SELECT row, p, min({'d': d, 'e': e}) AS best FROM (SELECT row, c2.p, e, list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM part JOIN c2 ON part.p = c2.p) GROUP BY row, p),
+coded AS (SELECT row, string_agg(printf('%02x', (best.e - 1)::INT), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY row),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM c2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM kept JOIN coded ON kept.row = coded.row, books""",
     "op6_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
