@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corposcope.llm import byte_cnn, chat, licenses, mixing, packing, quality_rules, sharding, simhash, substrings, topk, vector_codes
+from corposcope.llm import byte_cnn, chat, licenses, mixing, packing, periodic_runs, quality_rules, sharding, simhash, substrings, topk, vector_codes
 from corposcope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,11 +79,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(history[-1])).alias("codebooks_sha256"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), rewrite=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_kd_sharding, op2_substring_dedup, op3_pivot_topk, op4_license_scan, op5_simhash_near_dedup,
         op6_chat_format, op7_mixing, op8_quality_rules, op9_best_fit_packing, op10_quality_classifier, op11_vector_codes,
+        op12_periodic_runs,
     )
 }
 
@@ -171,6 +177,28 @@ a2 AS (SELECT row, p, min({'d': d, 'e': e}) AS best FROM (SELECT row, c2.p, e, l
 coded AS (SELECT row, string_agg(printf('%02x', (best.e - 1)::INT), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY row),
 books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM c2)
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM kept JOIN coded ON kept.row = coded.row, books""",
+    "op12_periodic_runs": r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS h
+  FROM documents),
+shaped AS (SELECT row, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS again, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM words),
+texts AS (
+  SELECT row, doc_id, n, CASE WHEN again THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // parts) + 1] END) ELSE w END AS w FROM shaped),
+token AS (SELECT row, n, i, w[i + 1] AS t, CASE WHEN i + 6 <= n THEN array_to_string(w[i + 1 : i + 6], ' ') END AS six FROM (SELECT row, n, w, unnest(range(n)) AS i FROM texts)),
+-- in a run of period q at least six words in a row equal those q later
+pair AS (SELECT a.row, b.i - a.i AS q, a.i FROM token a JOIN token b ON a.row = b.row AND a.six = b.six AND b.i > a.i AND b.i - a.i <= a.n // 2),
+island AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS g FROM pair),
+stretch AS (SELECT row, q, min(i) AS s, max(i) + 6 + q AS e FROM island GROUP BY row, q, g),
+run AS (SELECT row, s, e - s AS length, min(q) AS q FROM stretch WHERE e - s >= greatest(12, 2 * q) GROUP BY row, s, e),
+gone AS (SELECT DISTINCT row, unnest(range(s + q, s + length)) AS i FROM run),
+digest AS (
+  SELECT row, count(*) AS n_runs, min({'l': -length, 's': s, 'q': q}) AS best, sha256(string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q)) AS runs FROM run GROUP BY row),
+kept AS (SELECT t.row, sha256(string_agg(t.t, ' ' ORDER BY t.i)) AS text FROM token t LEFT JOIN gone g ON t.row = g.row AND t.i = g.i WHERE g.i IS NULL GROUP BY t.row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length, best.q AS period, 1000 * -best.l // best.q AS exponent_milli,
+  coalesce(runs, sha256('')) AS runs_sha256, coalesce(kept.text, sha256('')) AS collapsed_sha256
+FROM texts LEFT JOIN digest ON texts.row = digest.row LEFT JOIN kept ON texts.row = kept.row""",
     "op6_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
