@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corposcope.llm import byte_cnn, chat, licenses, mixing, packing, periodic_runs, quality_rules, sharding, simhash, substrings, topk, vector_codes
+from corposcope.llm import byte_cnn, chat, languages, licenses, mixing, packing, periodic_runs, quality_rules, sharding, simhash, substrings, topk, vector_codes
 from corposcope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,12 +84,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_kd_sharding, op2_substring_dedup, op3_pivot_topk, op4_license_scan, op5_simhash_near_dedup,
         op6_chat_format, op7_mixing, op8_quality_rules, op9_best_fit_packing, op10_quality_classifier, op11_vector_codes,
-        op12_periodic_runs,
+        op12_periodic_runs, op13_language_id,
     )
 }
 
