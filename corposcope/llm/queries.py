@@ -143,18 +143,23 @@ base AS (
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words
   FROM words LEFT JOIN repeated ON words.doc_id = repeated.doc_id LEFT JOIN lines ON words.doc_id = lines.doc_id),
-ruled AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
-failed AS (SELECT *, base_failed OR n_symbols > 0.1::DOUBLE * word_chars OR n_dup_lines > 0.3::DOUBLE * n_lines OR word_chars > 20 * n_words AS any_failed FROM ruled),
-host AS (SELECT source, count(*)::DOUBLE AS n, sum(any_failed::INT)::DOUBLE AS x FROM failed GROUP BY source),
-total AS (SELECT sum(n) AS n, sum(x) AS x, count(*) AS k, sum(n * n) AS nn, sum(x * x / n) AS xx FROM host),
-spread AS (SELECT x / n AS m, greatest(0, ((xx - n * (x / n) * (x / n)) - (k - 1) * (x / n) * (1 - x / n)) / nullif(n - nn / n, 0)) AS between_hosts FROM total),
-prior AS (SELECT m, least(1e6, greatest(1, coalesce(m * (1 - m) / nullif(between_hosts, 0) - 1, 1e6))) AS s FROM spread),
-rated AS (SELECT source, m, (x + m * s) / (n + s) AS rate FROM host, prior),
-verdict AS (SELECT source, CASE WHEN rate <= 0.5 THEN greatest(1.0, coalesce(m / nullif(rate, 0), 1.0)) ELSE 1.0 END AS leniency FROM rated),
-excess AS (
-  SELECT *, greatest(coalesce(n_symbols / nullif(0.1::DOUBLE * word_chars, 0), 0), coalesce(n_dup_lines / nullif(0.3::DOUBLE * n_lines, 0), 0), coalesce(word_chars / nullif(20.0::DOUBLE * n_words, 0), 0)) AS soft FROM failed)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (NOT any_failed OR soft < leniency) AS kept
-FROM excess f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source""",
+ruled AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(n_symbols / nullif(0.1::DOUBLE * word_chars, 0), 0) AS e1,
+    coalesce(n_dup_lines / nullif(0.3::DOUBLE * n_lines, 0), 0) AS e2, coalesce(word_chars / nullif(20.0::DOUBLE * n_words, 0), 0) AS e3 FROM base),
+failed AS (SELECT doc_id, source, unnest([0, 1, 2, 3]) AS rule, unnest([base_failed OR e1 > 1 OR e2 > 1 OR e3 > 1, e1 > 1, e2 > 1, e3 > 1]) AS x FROM ruled),
+host AS (SELECT source, rule, count(*)::DOUBLE AS n, sum(x::INT)::DOUBLE AS x FROM failed GROUP BY source, rule),
+total AS (SELECT rule, sum(n) AS n, sum(x) / sum(n) AS m, count(*) AS k, sum(n * n) AS nn, sum(x * x / n) AS xx FROM host GROUP BY rule),
+spread AS (SELECT rule, m, greatest(0, ((xx - n * m * m) - (k - 1) * m * (1 - m)) / nullif(n - nn / n, 0)) AS between_hosts FROM total),
+prior AS (SELECT rule, m, least(1000, greatest(1, coalesce(m * (1 - m) / nullif(between_hosts, 0) - 1, 1000))) AS s FROM spread),
+rated AS (SELECT source, h.rule, m, (x + m * s) / (n + s) AS rate FROM host h JOIN prior p ON h.rule = p.rule),
+odds AS (SELECT source, rule, rate, coalesce(ln(nullif(rate / nullif(1 - rate, 0), 0) / nullif(m / nullif(1 - m, 0), 0)), 0) AS over FROM rated),
+verdict AS (
+  SELECT source, max(rate) FILTER (WHERE rule = 0) AS rate, max(over) FILTER (WHERE rule = 0) AS o0, max(over) FILTER (WHERE rule = 1) AS o1, max(over) FILTER (WHERE rule = 2) AS o2, max(over) FILTER (WHERE rule = 3) AS o3
+  FROM odds GROUP BY source),
+limits AS (
+  SELECT source, list_transform([o1, o2, o3], lambda o: greatest(0.8, least(CASE WHEN rate <= 0.5 THEN 2.0 ELSE 1.0 END, exp(-(0.5 * o + 0.25 * o0))))) AS f FROM verdict)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND e1 <= f[1] AND e2 <= f[2] AND e3 <= f[3] AS kept
+FROM ruled r JOIN limits v ON r.source IS NOT DISTINCT FROM v.source""",
     "op3_pivot_topk": """
 WITH good AS (
   SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings

@@ -36,13 +36,59 @@ def test_measures_match_plain_python(spark):
         assert not (r.base_failed and r.kept)
 
 
-def test_bad_host_loses_soft_failures_only(spark):
-    clean = " ".join(f"word{i}" for i in range(80))
-    symbols = " ".join(f"w{i}###" for i in range(80))
-    rows = [(i, "too short", "bad", None) for i in range(90)] + [(100, clean, "bad", None), (101, symbols, "bad", None)]
-    rows += [(200 + i, clean, "good", None) for i in range(90)] + [(300, symbols, "good", None)]
-    kept = {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert 100 in kept and 101 not in kept and 300 in kept and 200 in kept and 0 not in kept
+def text_with(symbols, n=80):
+    """Words of eight characters with so many symbols behind them; with ``s`` symbols the excess is 10 s / (8 n + s)."""
+    return " ".join(f"word{i:04}" + "#" * (symbols // n + (i < symbols % n)) for i in range(n))
+
+
+def test_hosts_decide_on_soft_failures_in_both_directions(spark):
+    """The same mild failure stays on a good host and goes on a bad one; so does a document just under the limit on a bad host alone."""
+    clean, mild, near, gross = text_with(0), text_with(85), text_with(64), text_with(400)
+    rows = [(i, "too short" if i % 3 else gross, "bad", None) for i in range(120)] + [(200 + i, clean, "good", None) for i in range(120)]
+    rows += [(500 + i, gross if i % 8 == 0 else clean, "middling", None) for i in range(120)]
+    rows += [(1000 + i, t, h, None) for i, (t, h) in enumerate((t, h) for h in ("bad", "good", "middling") for t in (clean, near, mild, gross))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in quality_rules.host_rules(df).collect()}
+    assert 1.1 < got[1002].excess_symbols < 1.3 and 0.8 < got[1001].excess_symbols < 1
+    kept = [[got[1000 + 4 * h + i].kept for i in range(4)] for h in range(3)]
+    assert kept == [[True, False, False, False], [True, True, True, False], [True, True, True, False]]
+    assert not got[0].host_ok and got[0].limit_symbols == quality_rules.TIGHTEST and got[200].limit_symbols > 1.2
+    assert {d for d, r in got.items() if r.kept} == {r.doc_id for r in quality_rules.keep_good(df).collect()}
+
+
+def plain_limits(rows, worst_rate=0.5):
+    """{host: [limit of each softer rule]} from (host, [any failed, then each rule failed])."""
+    import math
+
+    hosts = {}
+    for h, flags in rows:
+        n, x = hosts.setdefault(h, [0, [0] * 4])
+        hosts[h] = [n + 1, [a + b for a, b in zip(x, flags, strict=True)]]
+    total, over, rates = sum(n for n, _ in hosts.values()), {}, {}
+    for r in range(4):
+        m = sum(x[r] for _, x in hosts.values()) / total
+        spread = sum(n * (x[r] / n - m) ** 2 for n, x in hosts.values()) - (len(hosts) - 1) * m * (1 - m)
+        share = total - sum(n * n for n, _ in hosts.values()) / total
+        between = max(0.0, spread / share) if share else 0.0
+        strength = min(1000.0, max(1.0, m * (1 - m) / between - 1 if between > 1e-15 else 1000.0))
+        for h, (n, x) in hosts.items():
+            rate = (x[r] + m * strength) / (n + strength)
+            rates[h, r] = rate
+            over[h, r] = math.log(rate / (1 - rate) / (m / (1 - m))) if 0 < m < 1 and 0 < rate < 1 else 0.0
+    return {h: [max(0.8, min(2.0 if rates[h, 0] <= worst_rate else 1.0, math.exp(-(0.5 * over[h, r] + 0.25 * over[h, 0])))) for r in (1, 2, 3)] for h in hosts}
+
+
+def test_limits_match_a_plain_computation(spark):
+    rng = random.Random(12)
+    rows = [(i, text_with(rng.choice((0, 0, 0, 60, 75, 90, 300)) if rng.random() < k / 5 else 0), f"h{k}", None) for i, k in enumerate(rng.randrange(5) for _ in range(400))]
+    rows += [(900 + i, None, None, None) for i in range(3)]
+    got = quality_rules.host_rules(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = plain_limits([(r.source, [r.any_failed, r.fails_symbols, r.fails_lines, r.fails_length]) for r in got])
+    for r in got:
+        mine = [r.limit_symbols, r.limit_lines, r.limit_length]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(mine, want[r.source], strict=True))
+        assert r.kept == (not r.base_failed and all(e <= f for e, f in zip((r.excess_symbols, r.excess_lines, r.excess_length), mine, strict=True)))
+    assert any(r.kept and r.any_failed for r in got) and any(not r.kept and not r.any_failed for r in got)
 
 
 def test_junk_on_mixed_hosts_goes_and_clean_documents_stay(spark):
