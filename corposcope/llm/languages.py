@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -160,39 +160,41 @@ def remainder(doc_id) -> F.Column:
 def training_rows(docs: DataFrame, sample_rows: int, most_languages: int) -> tuple[list[str], list[tuple[int, bool, np.ndarray, np.ndarray]]]:
     """Languages and a bounded sample of their rows as bucket frequencies; a fifth is kept for calibration.
 
-    Rows not held out, with a language and a letter in the text. Of each language the rows of least hash (of
-    doc_id and text), as many as its part of ``sample_rows``. A threshold on the hash, from the language's
-    number of rows, leaves about four times as many before they are ranked, so no task
-    sorts a language's whole texts.
+    Rows not held out, with a language and a letter in the text. Of each language the doc_ids of least hash, as
+    many as its part of ``sample_rows``; a threshold on the hash, from the language's
+    number of ids, finds them (and a few more, which the driver leaves out) without a ranking. Of rows that repeat
+    an id the text of least hash counts.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(remainder(F.col("doc_id")) != 1, F.lit(True)))
-    counted = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    known = docs.filter(F.col("lang").isNotNull() & F.coalesce(remainder(F.col("doc_id")) != 1, F.lit(True)))
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counted:
         return [], []
     languages = sorted(r["lang"] for r in counted)
     each = max(1, sample_rows // len(languages))
+    wanted = 1.1 * each + 4 * each**0.5
     session = docs.sparkSession
-    shares = session.createDataFrame([(r["lang"], languages.index(r["lang"]), min(1.0, 4 * each / r["count"])) for r in counted], "lang string, y int, share double")
-    h = F.xxhash64(F.lit("fit"), "doc_id", "text")
-    thinned = known.select("lang", "doc_id", "text", h.alias("h")).join(F.broadcast(shares), "lang").filter(F.pmod(F.col("h"), F.lit(2**20)) <= F.col("share") * 2**20)
-    place = F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id", "text"))
-    picked = thinned.withColumn("place", place).filter(F.col("place") <= each).select("y", "place", "text")
+    shares = session.createDataFrame([(r["lang"], languages.index(r["lang"]), min(1.0, wanted / max(1, r["ids"]))) for r in counted], "lang string, y int, share double")
+    rows = known.filter(F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit("fit"), "doc_id").alias("h")).join(F.broadcast(shares), "lang")  # a row for each of most_languages
+    thinned = rows.filter(F.shiftrightunsigned("h", 34) < F.col("share") * 2**30)
+    picked = thinned.groupBy("y", "h").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("y", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for y, place, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for y, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts = bucket_counts(text)
                 if counts is not None:
                     at = np.flatnonzero(counts)
-                    out.append((y, place, at.astype("<u2").tobytes(), (counts[at] / counts.sum()).astype("<f4").tobytes()))
+                    out.append((y, h, at.astype("<u2").tobytes(), (counts[at] / counts.sum()).astype("<f4").tobytes()))
             if out:
-                y, place, at, share = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(place, pa.int32()), pa.array(at, pa.binary()), pa.array(share, pa.binary())], ["y", "place", "at", "share"])
-
-    found = sorted(picked.mapInArrow(run, "y int, place int, at binary, share binary").collect(), key=lambda r: (r["y"], r["place"]))
-    learned = sorted({r["y"] for r in found})
-    return [languages[y] for y in learned], [(learned.index(r["y"]), r["place"] % 5 == 0, np.frombuffer(r["at"], "<u2"), np.frombuffer(r["share"], "<f4")) for r in found]
+                y, h, at, share = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(h, pa.int64()), pa.array(at, pa.binary()), pa.array(share, pa.binary())], ["y", "h", "at", "share"])
+
+    found: dict[int, list] = {}
+    for r in sorted(picked.mapInArrow(run, "y int, h long, at binary, share binary").collect(), key=lambda r: (r["y"], r["h"] % 2**64)):
+        found.setdefault(r["y"], []).append(r)
+    rows = [(k, i % 5 == 4, np.frombuffer(r["at"], "<u2"), np.frombuffer(r["share"], "<f4")) for k, y in enumerate(found) for i, r in enumerate(found[y][:each])]
+    return [languages[y] for y in found], rows
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

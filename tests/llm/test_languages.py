@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corposcope.llm import languages
 from corposcope.llm.queries import op13_language_id
 
-SCHEMA = "doc_id long, text string, lang string, y int, h string, place int, count int"
+SCHEMA = "doc_id long, text string, lang string, y int, h string, ids int, n int"
 
 
 def subwords(text):
