@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corposcope.functions import text as X
 from corposcope.library_queries import BOXES, HEADS, SECTIONED, boxes, headings, lines, sectioned
 from corposcope.operators import layout, search, sections, tables
-from corposcope.queries import PAGES, PHRASE, TFIDF, batch, docs, pages, query, ranked
+from corposcope.queries import PAGES, PHRASE, TFIDF, batch, doc_index, docs, page_index, pages, query, ranked
 from corposcope.sources import corpus
 
 ROWS = "t AS (SELECT doc_id AS row_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS tokens FROM documents), q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark)"
@@ -64,12 +64,12 @@ def p27_heading_variants(spark, d):
 
 @query(f"WITH {ROWS}, m AS (SELECT query_id, row_id, round(list_sum(list_transform(q, lambda x: ln(1 + len(list_filter(tokens, lambda y: y = x))))), 6) AS score FROM q JOIN t ON list_has_all(tokens, q)) SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id))::INT AS rank, row_id, score FROM m QUALIFY rank <= 10")
 def j3_full_text_search(spark, d):
-    return search.full_text_search(batch(spark, d), texts(spark, d), 10)
+    return search.full_text_search(batch(spark, d), doc_index(spark, d), 10)
 
 
 @query(f"WITH {TFIDF} SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id))::INT AS rank, row_id, cosine FROM s QUALIFY rank <= 10")
 def a31_tfidf_search(spark, d):
-    return search.tfidf_search(batch(spark, d), texts(spark, d), 10)
+    return search.tfidf_search(batch(spark, d), doc_index(spark, d), 10)
 
 
 @query(f"WITH {PHRASE} SELECT query_id, rank AS source_no, row_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 1200) AS context FROM ranked JOIN documents ON row_id = doc_id WHERE rank <= 10")
@@ -144,7 +144,7 @@ def p15_query_profiles(spark, d):
 def p10_query_match_scores(spark, d):
     """Each query against the pages that hold it, with the best sentence."""
     p = pages(spark, d)
-    met = search.keyword_search(batch(spark, d), p.select("row_id", "text"), 20).join(batch(spark, d), "query_id").join(p.select("row_id", "text"), "row_id")
+    met = search.keyword_search(batch(spark, d), page_index(spark, d), 20).join(batch(spark, d), "query_id").join(p.select("row_id", "text"), "row_id")
     focused = met.withColumn("tokens", X.query_tokens(F.col("query"))).withColumn("focus", X.sentence_focus(F.col("query"), F.col("tokens"), F.col("text")))
     score = X.query_match_score(F.col("query"), F.col("tokens"), F.col("text"), F.col("focus"))
     return focused.select("query_id", "row_id", F.round(score, 6).alias("score"), "focus.hits", F.round("focus.compactness", 6).alias("compactness"))
@@ -153,8 +153,8 @@ def p10_query_match_scores(spark, d):
 @query()
 def a6_doc_gate(spark, d):
     p = pages(spark, d)
-    found = search.keyword_hits(search.keyword_search(batch(spark, d), p.select("row_id", "text"), 20), batch(spark, d), p)
-    stats = search.token_stats(batch(spark, d), p.select("row_id", "text"))
+    found = search.keyword_hits(search.keyword_search(batch(spark, d), page_index(spark, d), 20), batch(spark, d), p)
+    stats = search.token_stats(batch(spark, d), page_index(spark, d))
     hits = search.annotate_hits(found, stats).withColumn("canonical", F.lit(None).cast("string")).withColumn("semantic_raw_score", F.lit(None).cast("double"))
     titled = docs(spark, d).select("doc_id", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"))
     return search.doc_gate(hits, search.title_bonus(batch(spark, d), titled, stats))

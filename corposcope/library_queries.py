@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corposcope.functions import text as X
 from corposcope.operators import layout, search, sections
-from corposcope.queries import BLOCKS, PHRASE, batch, docs, pages, query, ranked
+from corposcope.queries import BLOCKS, PHRASE, batch, doc_index, docs, pages, query, ranked
 from corposcope.sources import corpus, registry
 
 BOXES = BLOCKS + ", x AS (SELECT doc_id, block_index::INT AS block_index, (block_index // 5 + 1)::INT AS page_no, text, 0e0 AS x0, (block_index % 5) * 20e0 AS y0, least(length(text), 400)::DOUBLE AS x1, (block_index % 5) * 20e0 + 16e0 AS y1 FROM b), a AS (SELECT doc_id, page_no, page_no AS asset_id, 20e0 AS x0, (doc_id % 5) * 18e0 AS y0, 220e0 AS x1, (doc_id % 5) * 18e0 + 30e0 AS y1 FROM (SELECT DISTINCT doc_id, page_no FROM x))"
@@ -234,7 +234,7 @@ def a27_context_by_source(spark, d):
 @query()
 def j12_title_rescue(spark, d):
     titled = docs(spark, d).select("doc_id", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"))
-    stats = search.token_stats(batch(spark, d), docs(spark, d).select(F.col("doc_id").alias("row_id"), "text"))
+    stats = search.token_stats(batch(spark, d), doc_index(spark, d))
     bonus = search.title_bonus(batch(spark, d), titled, stats)
     return search.title_rescue(ranked(spark, d).withColumnRenamed("row_id", "doc_id"), bonus, pages(spark, d))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corposcope.functions import text as X
+from corposcope.sources.index import Grams, Index, bucket_of, unwritten, unwritten_grams
 
 K1, B = 1.2, 0.75
 
@@ -17,41 +18,88 @@ def top_per_query(rows: DataFrame, k: int, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def document_frequencies(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(token, df) for the tokens asked for; rows have row_id and tokens (array)."""
-    every = rows.select("row_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    return every.join(tokens.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+def as_index(rows: DataFrame | Index) -> Index:
+    """An index as it is; rows (row_id, text) as the plan of theirs."""
+    return rows if isinstance(rows, Index) else unwritten(rows)
 
 
-def keyword_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def frequencies(tokens: DataFrame, index: Index | Grams) -> DataFrame:
+    """``tokens`` (with token) and ``bucket`` and ``df``, 0 for unknown ones; the tokens asked for meet the vocabulary alone."""
+    asked = tokens.join(F.broadcast(index.stats.select("buckets"))).withColumn("bucket", bucket_of(F.col("token"), F.col("buckets"))).drop("buckets")  # one row
+    return asked.join(index.vocabulary, ["bucket", "token"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+
+
+def rows_with_all(asked: DataFrame, index: Index) -> DataFrame:
+    """(query_id, row_id, token, positions, df and the other columns of ``asked``) for rows that hold all of a query's tokens.
+
+    ``asked`` has a row (query_id, token, n, bucket, df) for each distinct token of a query, ``n`` being their
+    number. A query's rarest token proposes rows, and only these meet its other tokens, so
+    the postings of a word that every row holds are read but never multiplied.
+    """
+    rarest = asked.filter("df > 0").groupBy("query_id").agg(F.min(F.struct("df", "token", "bucket")).alias("r")).select("query_id", "r.token", "r.bucket")
+    proposed = index.postings.select("bucket", "token", "row_id").join(rarest, ["bucket", "token"]).select("query_id", "row_id")
+    complete = asked.groupBy("query_id").agg(F.min("df").alias("least")).filter("least > 0").select("query_id")
+    wanted = proposed.join(complete, "query_id", "left_semi").join(asked, "query_id")
+    read = index.postings.join(asked.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi")
+    met = wanted.join(read, ["bucket", "token", "row_id"])
+    full = Window.partitionBy("query_id", "row_id")
+    return met.withColumn("met_", F.count(F.lit(1)).over(full)).filter("met_ = n").drop("met_")
+
+
+def keyword_search(queries: DataFrame, rows: DataFrame | Index, k: int) -> DataFrame:
     """(query_id, rank, row_id, bm25): rows holding the query's words as a phrase, by BM25, ties to smaller ids.
 
-    queries (query_id, query), rows (row_id, text). Only the rarest token of a
-    query is looked up, so a word that every row holds is never joined on; the
-    phrase is checked and scored on the rows found.
+    queries (query_id, query), rows (row_id, text) or their index. Phrases are found by
+    intersecting the places at which they would begin, from the positions of their words;
+    no text is read.
     """
-    r = rows.select("row_id", X.index_tokens(F.col("text")).alias("tokens"))
+    index = as_index(rows)
     q = queries.select("query_id", X.index_tokens(F.col("query")).alias("q")).filter(F.size("q") > 0)
-    of_query = q.select("query_id", F.explode(F.array_distinct("q")).alias("token"))
-    df = document_frequencies(r, of_query)
-    stats = r.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_len"))
-    known = of_query.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    per_query = known.groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.map_from_entries(F.collect_list(F.struct("token", "df"))).alias("dfs"))
-    places = r.select("row_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    found = places.join(per_query.select("query_id", "token"), "token").select("query_id", "row_id")
-    met = found.join(r, "row_id").join(q, "query_id").join(per_query.select("query_id", "dfs"), "query_id")
-    phrase = F.contains(F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("q", " "), F.lit(" ")))
-    met = met.filter(phrase).join(F.broadcast(stats))  # one row
-
-    def part(t):
-        tf = F.size(F.filter("tokens", lambda x: x == t))
-        df = F.element_at(F.col("dfs"), t)
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("tokens") / F.col("mean_len")))
-
-    score = F.round(F.aggregate(F.transform(F.array_sort(F.array_distinct("q")), part), F.lit(0.0), lambda a, x: a + x), 6)
-    scored = met.select("query_id", "row_id", score.alias("bm25"))
-    return top_per_query(scored, k, F.desc("bm25"), "row_id").select("query_id", "rank", "row_id", "bm25")
+    distinct = F.array_distinct("q")
+    of_query = q.select("query_id", F.size(distinct).alias("n"), F.explode(F.transform(distinct, lambda t: F.struct(t.alias("token"), F.filter(F.transform("q", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()).alias("at")))).alias("a"))
+    asked = frequencies(of_query.select("query_id", "n", "a.token", "a.at"), index)
+    met = rows_with_all(asked, index)
+    begins = F.transform("at", lambda o: F.transform("positions", lambda p: p - o))
+    parts = F.struct("token", F.size("positions").alias("tf"), "df", F.aggregate(F.slice(begins, 2, F.greatest(F.size(begins) - 1, F.lit(0))), F.get(begins, F.lit(0)), F.array_intersect).alias("begins"))
+    per_row = met.groupBy("query_id", "row_id").agg(F.array_sort(F.collect_list(parts)).alias("p"))
+    places = F.transform("p", lambda x: x["begins"])
+    phrase = F.aggregate(F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))), F.get(places, F.lit(0)), F.array_intersect)
+    met = per_row.filter(F.size(phrase) > 0).join(index.lengths.select("row_id", "n_tokens"), "row_id").join(F.broadcast(index.stats.select(F.col("n").alias("rows_"), "mean_len")))  # one row
+
+    def part(x):
+        idf = F.log(1 + (F.col("rows_") - x["df"] + 0.5) / (x["df"] + 0.5))
+        return idf * x["tf"] * (K1 + 1) / (x["tf"] + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean_len")))
+
+    score = F.round(F.aggregate(F.transform("p", part), F.lit(0.0), lambda a, x: a + x), 6)
+    return top_per_query(met.select("query_id", "row_id", score.alias("bm25")), k, F.desc("bm25"), "row_id").select("query_id", "rank", "row_id", "bm25")
+
+
+def substring_search(queries: DataFrame, rows: DataFrame, k: int, grams: Grams | None = None) -> DataFrame:
+    """(query_id, rank, row_id): rows (row_id, text) that hold the query anywhere, letters' case aside, in order of row_id.
+
+    The query's three rarest trigrams propose rows, of which the texts are looked at. A query of one
+    or two characters is looked up in the trigrams that hold it. Blank queries find nothing.
+    """
+    grams = unwritten_grams(rows) if grams is None else grams
+    q = queries.select("query_id", F.lower("query").alias("q")).filter(F.trim("q") != "")
+    c = F.split("q", "")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.length("q") - 3, F.lit(0))), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))))
+    known = frequencies(q.filter(F.length("q") >= 3).select("query_id", F.explode(runs).alias("token")), grams)
+    best = known.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "token", "bucket"))), 1, 3).alias("best")).filter(F.get("best", F.lit(0))["df"] > 0)
+    asked = best.select("query_id", F.size("best").alias("n"), F.inline("best")).drop("df")
+    proposed = grams.postings.join(asked, ["bucket", "token"]).groupBy("query_id", "row_id", "n").agg(F.count(F.lit(1)).alias("m")).filter("m = n").select("query_id", "row_id")
+    inside = grams.vocabulary.select("bucket", "token", F.explode(F.array_distinct(F.array(*(F.substring("token", i, n) for i, n in ((1, 1), (1, 2)))))).alias("q"))
+    short = q.filter(F.length("q") < 3).join(inside, "q").select("query_id", "bucket", "token")
+    proposed = proposed.unionByName(grams.postings.join(short, ["bucket", "token"]).select("query_id", "row_id").distinct())
+    met = rows.select("row_id", F.lower("text").alias("t")).join(proposed, "row_id").join(q, "query_id").filter(F.contains("t", "q"))
+    return top_per_query(met.select("query_id", "row_id"), k, "row_id").select("query_id", "rank", "row_id")
+
+
+def search_with_fallback(queries: DataFrame, rows: DataFrame, k: int, index: Index | None = None, grams: Grams | None = None) -> DataFrame:
+    """(query_id, rank, row_id, bm25): the keyword ranking, and for queries without hits the rows that hold them as a substring (no bm25)."""
+    ranked = keyword_search(queries, rows if index is None else index, k)
+    left = queries.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
+    return ranked.unionByName(substring_search(left, rows, k, grams).withColumn("bm25", F.lit(None).cast("double")))
 
 
 def vector_topk(queries: DataFrame, rows: DataFrame, k: int, threshold: float | None = None, block: int = 2048) -> DataFrame:
@@ -118,12 +166,11 @@ def merge_hits(keyword: DataFrame, semantic: DataFrame) -> DataFrame:
     return both.withColumn("match_score", (F.col("keyword_score") + F.col("semantic_score") + bonus) * X.bucket_multiplier(F.col("search_bucket")))
 
 
-def token_stats(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query_id, token, df, weight, rare) of the content tokens of each query over rows (row_id, text)."""
+def token_stats(queries: DataFrame, rows: DataFrame | Index) -> DataFrame:
+    """(query_id, token, df, weight, rare) of the content tokens of each query over rows (row_id, text) or their index."""
+    index = as_index(rows)
     q = queries.select("query_id", F.explode(X.content_tokens(F.col("query"))).alias("token"))
-    df = document_frequencies(rows.select("row_id", X.index_tokens(F.col("text")).alias("tokens")), q)
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    known = q.join(df, "token", "left").join(F.broadcast(n)).withColumn("df", F.coalesce("df", F.lit(0)))
+    known = frequencies(q, index).join(F.broadcast(index.stats.select("n")))  # one row
     weight = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
     return known.select("query_id", "token", "df", F.round(weight, 6).alias("weight"), (F.col("df") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.06))).alias("rare"))
 
@@ -245,39 +292,28 @@ def rag_union(*lists: DataFrame) -> DataFrame:
     return whole.select("query_id", number.alias("rank"), "row_id", "list_no")
 
 
-def full_text_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, row_id, score): rows holding all of a query's words anywhere, by the sum of ln(1 + count); no stemming.
+def full_text_search(queries: DataFrame, rows: DataFrame | Index, k: int) -> DataFrame:
+    """(query_id, rank, row_id, score): rows holding all of a query's words anywhere, by the sum of ln(1 + count); no stemming."""
+    index = as_index(rows)
+    q = queries.select("query_id", F.array_distinct(X.index_tokens(F.col("query"))).alias("q")).filter(F.size("q") > 0)
+    asked = frequencies(q.select("query_id", F.size("q").alias("n"), F.explode("q").alias("token")), index)
+    per_row = rows_with_all(asked, index).groupBy("query_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("token", F.size("positions").alias("tf")))).alias("p"))
+    score = F.aggregate(F.transform("p", lambda x: F.log1p(x["tf"])), F.lit(0.0), lambda a, x: a + x)
+    return top_per_query(per_row.select("query_id", "row_id", F.round(score, 6).alias("score")), k, F.desc("score"), "row_id").select("query_id", "rank", "row_id", "score")
 
-    As in ``keyword_search`` only the rarest word is looked up; the others are checked on the rows found.
-    """
-    r = rows.select("row_id", X.index_tokens(F.col("text")).alias("tokens"))
-    q = queries.select("query_id", F.array_sort(F.array_distinct(X.index_tokens(F.col("query")))).alias("q")).filter(F.size("q") > 0)
-    of_query = q.select("query_id", F.explode("q").alias("token"))
-    known = of_query.join(document_frequencies(r, of_query), "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = known.groupBy("query_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    places = r.select("row_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    met = places.join(rarest, "token").select("query_id", "row_id").join(r, "row_id").join(q, "query_id").filter(F.size(F.array_except("q", "tokens")) == 0)
-    parts = F.transform("q", lambda t: F.log1p(F.size(F.filter("tokens", lambda x: x == t))))
-    scored = met.select("query_id", "row_id", F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
-    return top_per_query(scored, k, F.desc("score"), "row_id").select("query_id", "rank", "row_id", "score")
-
-
-def tfidf_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+
+def tfidf_search(queries: DataFrame, rows: DataFrame | Index, k: int) -> DataFrame:
     """(query_id, rank, row_id, cosine): rows by the cosine of tf-idf vectors, idf ln((1 + N) / (1 + df)) + 1, over rows sharing a word.
 
-    Words meet in one join on the token; a row's norm is an aggregate of its own.
+    Only the postings of the queries' words are read; the rows' norms stand in the index.
     """
-    tf = rows.select("row_id", F.explode(X.index_tokens(F.col("text"))).alias("token")).groupBy("row_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = rows.agg(F.count(F.lit(1)).alias("n_rows"))  # one row
-    idf = df.join(F.broadcast(n)).select("token", (F.log((1 + F.col("n_rows")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("row_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("row_norm"))
+    index = as_index(rows)
     asked = queries.select("query_id", F.explode(X.index_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("q_tf"))
-    asked = asked.join(idf, "token").withColumn("q_w", F.col("q_tf") * F.col("idf")).select("query_id", "token", "q_w")
-    lengths = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q_w") * F.col("q_w"))).alias("q_norm"))
-    dots = weighted.join(asked, "token").groupBy("query_id", "row_id").agg(F.sum(F.col("w") * F.col("q_w")).alias("dot"))
-    scored = dots.join(norms, "row_id").join(lengths, "query_id").select("query_id", "row_id", F.round(F.col("dot") / F.col("row_norm") / F.col("q_norm"), 6).alias("cosine"))
+    known = frequencies(asked, index).filter("df > 0").join(F.broadcast(index.stats.select("n")))  # one row
+    known = known.withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).withColumn("q_w", F.col("q_tf") * F.col("idf"))
+    lengths = known.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q_w") * F.col("q_w"))).alias("q_norm"))
+    dots = index.postings.join(known, ["bucket", "token"]).groupBy("query_id", "row_id").agg(F.sum(F.size("positions") * F.col("idf") * F.col("q_w")).alias("dot"))
+    scored = dots.join(index.lengths.select("row_id", "norm"), "row_id").join(lengths, "query_id").select("query_id", "row_id", F.round(F.col("dot") / F.col("norm") / F.col("q_norm"), 6).alias("cosine"))
     return top_per_query(scored, k, F.desc("cosine"), "row_id").select("query_id", "rank", "row_id", "cosine")
 
 

@@ -11,7 +11,7 @@ from corposcope.functions import text as X
 from corposcope.library_queries import assets, boxes, sectioned
 from corposcope.operators import equations, layout, passages, search, sections, summaries, tables
 from corposcope.operators import pages as page_operators
-from corposcope.queries import BLOCKS, PAGES, PHRASE, batch, docs, pages, query, ranked
+from corposcope.queries import BLOCKS, PAGES, PHRASE, batch, docs, page_index, pages, query, ranked
 from corposcope.sources import corpus
 
 FIELDS = PHRASE.replace("lower(text), '[a-z0-9]+') AS tokens FROM documents", "lower(concat_ws(' ', source, text)), '[a-z0-9]+') AS tokens FROM documents")
@@ -30,8 +30,8 @@ def p19_snippets(spark, d):
 def w20_localized(spark, d):
     """Page hits of each passage, ranked anew within their documents."""
     p = pages(spark, d)
-    found = search.keyword_hits(search.keyword_search(batch(spark, d), p.select("row_id", "text"), 20), batch(spark, d), p)
-    known = search.annotate_hits(found, search.token_stats(batch(spark, d), p.select("row_id", "text")))
+    found = search.keyword_hits(search.keyword_search(batch(spark, d), page_index(spark, d), 20), batch(spark, d), p)
+    known = search.annotate_hits(found, search.token_stats(batch(spark, d), page_index(spark, d)))
     focus = X.sentence_focus(F.col("query"), X.query_tokens(F.col("query")), F.col("text"))
     named = known.withColumns({"canonical": F.when(F.col("page_no") == 1, "abstract").otherwise("methodology"), "focus": focus})
     return passages.localized(named).select("query_id", "doc_id", "place", "row_id", "localization_score")
@@ -160,6 +160,6 @@ def w19_section_summaries(spark, d):
 def j23_best_blocks(spark, d):
     """The line of each page hit that answers best."""
     p = pages(spark, d)
-    hits = search.keyword_search(batch(spark, d), p.select("row_id", "text"), 20).join(batch(spark, d), "query_id")
+    hits = search.keyword_search(batch(spark, d), page_index(spark, d), 20).join(batch(spark, d), "query_id")
     lines = corpus.blocks_of(docs(spark, d)).withColumn("row_id", F.col("doc_id") * 1_000_000 + F.col("page_no"))
     return summaries.best_blocks(hits, lines).drop("text")

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corposcope.operators import search
+from corposcope.sources.index import Index
 
 
-def search_documents(queries: DataFrame, pages: DataFrame, k: int = 20) -> DataFrame:
+def search_documents(queries: DataFrame, pages: DataFrame, index: Index | None = None, k: int = 20) -> DataFrame:
     """(query_id, rank, doc_id, score, n_support) for queries (query_id, query) over pages (row_id, doc_id, page_no, text)."""
-    ranked = search.keyword_search(queries, pages.select("row_id", "text"), k)
+    index = search.as_index(pages.select("row_id", "text")) if index is None else index
+    ranked = search.keyword_search(queries, index, k)
     hits = search.keyword_hits(ranked, queries, pages)
-    stats = search.token_stats(queries, pages.select("row_id", "text"))
+    stats = search.token_stats(queries, index)
     kept = search.section_gate(search.annotate_hits(hits, stats))
     scored = search.doc_scores(kept)
     return search.top_per_query(scored, k, F.desc("score"), "doc_id").select("query_id", "rank", "doc_id", "score", "n_support")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corposcope.functions import text as X
 from corposcope.operators import evaluate, search, structure
 from corposcope.plans import hybrid
-from corposcope.sources import corpus
+from corposcope.sources import corpus, index
 from corposcope.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,13 +47,26 @@ def batch(spark: SparkSession, d: str) -> DataFrame:
     return corpus.read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select(F.col("doc_id").alias("row_id"), "text")
+
+
+def doc_index(spark: SparkSession, d: str) -> index.Index:
+    """The written index of documents, built where these files have none yet."""
+    return index.index_for(texts(spark, d), docs(spark, d), "documents")
+
+
+def page_index(spark: SparkSession, d: str) -> index.Index:
+    return index.index_for(pages(spark, d).select("row_id", "text"), docs(spark, d), "pages of five blocks")
+
+
 def ranked(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return search.keyword_search(batch(spark, d), docs(spark, d).select(F.col("doc_id").alias("row_id"), "text"), k)
+    return search.keyword_search(batch(spark, d), doc_index(spark, d), k)
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a query verbatim; candidates come from the phrase search over all documents."""
-    every = search.keyword_search(batch(spark, d), docs(spark, d).select(F.col("doc_id").alias("row_id"), "text"), 2**31 - 1)
+    every = search.keyword_search(batch(spark, d), doc_index(spark, d), 2**31 - 1)
     met = every.join(batch(spark, d), "query_id").join(docs(spark, d).withColumnRenamed("doc_id", "row_id"), "row_id")
     return met.filter(F.contains("text", "query")).select("query_id", F.col("row_id").alias("doc_id"))
 
@@ -165,19 +178,33 @@ def j4_vector_topk(spark, d):
 @query(f"WITH {PHRASE}, {TFIDF}, l AS (SELECT query_id, row_id, (row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id))::INT AS rank FROM s), f AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.row_id, y.row_id) AS row_id, round(coalesce(0.5 / (60 + x.rank), 0) + coalesce(0.5 / (60 + y.rank), 0), 6) AS hybrid_score, concat_ws('+', CASE WHEN x.rank IS NOT NULL THEN 'vector' END, CASE WHEN y.rank IS NOT NULL THEN 'text' END) AS sources FROM (SELECT * FROM l WHERE rank <= 10) x FULL JOIN (SELECT * FROM ranked WHERE rank <= 10) y ON x.query_id = y.query_id AND x.row_id = y.row_id) SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, row_id))::INT AS rank FROM f) WHERE rank <= 5")
 def j6_rrf_fuse(spark, d):
     """Keyword and tf-idf rankings, each twice as deep as the fused list."""
-    vectors = search.tfidf_search(batch(spark, d), docs(spark, d).select(F.col("doc_id").alias("row_id"), "text"), 10)
+    vectors = search.tfidf_search(batch(spark, d), doc_index(spark, d), 10)
     return search.rrf_fuse(vectors, ranked(spark, d, 10), 5)
 
 
+SUBSTRINGS = "asked AS (SELECT item_id AS query_id, CASE WHEN item_id % 5 = 0 THEN substr(text, 2, 2) ELSE substr(text, 3, 11) END AS query FROM benchmark)"
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    """Queries that begin and end inside words: characters 3 to 13 of the passages, of every fifth two characters."""
+    b = batch(spark, d)
+    return b.select("query_id", F.when(F.col("query_id") % 5 == 0, F.substring("query", 2, 2)).otherwise(F.substring("query", 3, 11)).alias("query"))
+
+
+@query(f"WITH {SUBSTRINGS} SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY doc_id))::INT AS rank, doc_id AS row_id FROM asked JOIN documents ON trim(query) <> '' AND contains(lower(text), lower(query)) QUALIFY rank <= 25")
+def j1_substring_search(spark, d):
+    return search.substring_search(parts(spark, d), texts(spark, d), 25, index.grams_for(texts(spark, d), docs(spark, d), "documents"))
+
+
 @query()
 def j8_search_documents(spark, d):
-    return hybrid.search_documents(batch(spark, d), pages(spark, d))
+    return hybrid.search_documents(batch(spark, d), pages(spark, d), page_index(spark, d))
 
 
 @query()
 def j11_title_bonus(spark, d):
     titled = docs(spark, d).select("doc_id", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"))
-    stats = search.token_stats(batch(spark, d), docs(spark, d).select(F.col("doc_id").alias("row_id"), "text"))
+    stats = search.token_stats(batch(spark, d), doc_index(spark, d))
     return search.title_bonus(batch(spark, d), titled, stats)
 
 
@@ -186,7 +213,7 @@ STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 
 @query(f"WITH q AS (SELECT query_id, unnest(list_distinct(list_transform(list_filter(regexp_extract_all(query, '[A-Za-z0-9]+'), lambda x: length(x) > 2), lambda x: lower(x)))) AS token FROM (SELECT item_id AS query_id, text AS query FROM benchmark)), df AS (SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({TOKENS})) AS token FROM documents) GROUP BY 1), n AS (SELECT count(*) AS n FROM documents) SELECT query_id, q.token, coalesce(df, 0) AS df, round(ln((n + 1) / (coalesce(df, 0) + 1)) + 1, 6) AS weight, coalesce(df, 0) <= greatest(3, floor(n * 0.06)) AS rare FROM q LEFT JOIN df USING (token), n WHERE q.token NOT IN ({STOP})")
 def a1_token_stats(spark, d):
-    return search.token_stats(batch(spark, d), docs(spark, d).select(F.col("doc_id").alias("row_id"), "text"))
+    return search.token_stats(batch(spark, d), doc_index(spark, d))
 
 
 GOLD = PHRASE + ", gold AS (SELECT item_id AS query_id, doc_id AS row_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), firsts AS (SELECT r.query_id, min(CASE WHEN g.row_id IS NOT NULL THEN rank END) AS first, count(*) AS n FROM (SELECT * FROM ranked WHERE rank <= 10) r LEFT JOIN gold g ON r.query_id = g.query_id AND r.row_id = g.row_id GROUP BY 1), e AS (SELECT b.item_id AS query_id, b.item_id NOT IN (SELECT query_id FROM gold) AS is_no_match, first, n FROM benchmark b LEFT JOIN firsts f ON b.item_id = f.query_id), ev AS (SELECT query_id, is_no_match, CASE WHEN is_no_match THEN n IS NULL ELSE coalesce(first <= 1, false) END AS hit1, CASE WHEN is_no_match THEN n IS NULL ELSE coalesce(first <= 3, false) END AS hit3, CASE WHEN is_no_match THEN n IS NULL ELSE coalesce(first <= 5, false) END AS hit5, round(CASE WHEN is_no_match THEN (n IS NULL)::INT ELSE coalesce(1 / first, 0) END, 6)::DOUBLE AS rr FROM e)"
