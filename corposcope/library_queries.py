@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corposcope.functions import sentences as S
 from corposcope.functions import text as X
 from corposcope.operators import layout, search, sections
 from corposcope.queries import BLOCKS, PHRASE, batch, doc_index, docs, pages, query, ranked
@@ -94,9 +95,32 @@ def p36_noise_lines(spark, d):
     return corpus.blocks_of(docs(spark, d)).select("doc_id", "block_index", X.noise_line(F.col("text")).alias("noise"))
 
 
-@query()
+# The patterns' word boundaries see ASCII alone in the twin, so other letters are q there.
+_Q = r"regexp_replace(s, '[^\x00-\x7F]', 'q', 'g')"
+_N = "len(regexp_extract_all(s, '" + S.WORD.replace("'", "''") + "'))"
+_PROSE = f"({_N} >= 10 OR ({_N} >= 6 AND regexp_matches(s, '[.!?;:]')))"
+_HELD = "text"
+for _a in S.ABBREVIATIONS:
+    _HELD = f"replace({_HELD}, '{_a}', '{_a.replace('.', chr(2))}')"
+SENTENCES = f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace({_HELD}, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: replace(trim(regexp_replace(s, '\\s+', ' ', 'g')), chr(2), '.')), lambda s: s <> '') AS p FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS s FROM p),
+g AS (SELECT doc_id, i, s, sum((i = 1 OR length(s) > {S.TAIL} OR regexp_matches(s, '[.!?]$'))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM u),
+m AS (SELECT doc_id, g, string_agg(s, ' ' ORDER BY i) AS s FROM g GROUP BY ALL),
+f AS (SELECT *, {_Q} AS a, regexp_replace(s, '^["''(\\[{{]+', '') AS bare, string_split(s, ' ') AS t, {_PROSE} AS prose, {_N} AS words, lower(s) IN ({', '.join(f"'{h}'" for h in S.HEADINGS)}) OR regexp_matches(s, '{S.ENTRY}') AS entry FROM m),
+c AS (SELECT *, len(list_filter(t, lambda x: length(x) <= 4)) AS short, len(list_filter(t, lambda x: regexp_matches(x, '{S.NUMBERISH}'))) AS numbers, len(list_filter(t, lambda x: regexp_matches(x, '{S.COLUMN_HEAD}'))) AS heads, len(regexp_extract_all(s, '{S.METRICS}')) AS metrics, regexp_matches(a, '{S.VERBS}') AS verb FROM f),
+k AS (SELECT *,
+    NOT (regexp_matches(a, '{S.CAPTION}') OR starts_with(s, 'Figure ') OR (length(s) >= 220 AND prose)) AND (entry OR (regexp_matches(s, '{S.TICKS}') AND (numbers >= 1 OR short >= 4)) OR (metrics >= 2 AND (numbers >= 2 OR short >= 6)) OR (heads >= 6 AND numbers >= 1 AND NOT verb AND NOT prose)
+      OR (NOT prose AND numbers >= 3) OR (length(s) <= 160 AND NOT prose AND regexp_matches(lower(a), '{S.COMPARED}') AND (numbers >= 1 OR short >= 4))) AS scaffold,
+    (len(regexp_extract_all(a, '{S.CITATIONS}')) >= 2 OR (regexp_matches(a, '{S.BIBLIOGRAPHY}') AND words >= 6)) AND NOT (verb AND prose) AS bibliography,
+    NOT prose AND length(s) <= 80 AND (regexp_matches(s, '{S.PANEL}') OR regexp_matches(s, '{S.LABEL}')) AS label FROM c),
+r AS (SELECT doc_id, g, s FROM k WHERE length(s) BETWEEN {S.SHORTEST} AND {S.LONGEST} AND words >= {S.LEAST_WORDS} AND NOT (bare = '' OR regexp_matches(bare, '^[\\p{{Ll}},;:]') OR regexp_matches(lower(regexp_replace(bare, '[^\\x00-\\x7F]', 'q', 'g')), '{S.FRAGMENT}') OR entry)
+    AND NOT regexp_matches(s, '{S.BULLETS}') AND NOT regexp_matches(a, '{S.CAPTION}') AND NOT regexp_matches(a, '{S.CODE}') AND NOT (starts_with(lower(s), 'where ') AND regexp_matches(s, '{S.EQUATION}')) AND NOT label AND NOT bibliography AND NOT scaffold)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INT AS sentence_no, s AS sentence FROM r"""
+
+
+@query(SENTENCES)
 def p34_sentences(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "sentence"))
+    return docs(spark, d).select("doc_id", F.posexplode(S.sentences(F.col("text"))).alias("sentence_no", "sentence"))
 
 
 @query()

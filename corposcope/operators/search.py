@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,36 +100,6 @@ def search_with_fallback(queries: DataFrame, rows: DataFrame, k: int, index: Ind
     return ranked.unionByName(substring_search(left, rows, k, grams).withColumn("bm25", F.lit(None).cast("double")))
 
 
-def vector_topk(queries: DataFrame, rows: DataFrame, k: int, threshold: float | None = None, block: int = 2048) -> DataFrame:
-    """(query_id, rank, row_id, similarity): exact cosine top-k; queries (query_id, v), rows (row_id, v).
-
-    Blocks of queries meet blocks of rows, each pair in a task of bounded size, and
-    leave k rows for each query before the shuffle by query.
-    """
-    count = lambda df: max(1, -(-df.count() // block))
-    across, down = count(queries), count(rows)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int").alias("g"), every(down).alias("c"))
-    r = rows.select("row_id", "v", F.pmod(F.xxhash64("row_id"), F.lit(down)).cast("int").alias("c"), every(across).alias("g"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "row_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        a, b = (unit(np.stack(x["v"].to_numpy()).astype(np.float64)) for x in (left, right))
-        s, ids = np.round(a @ b.T, 6), right["row_id"].to_numpy(np.int64)
-        out = []
-        for i, query_id in enumerate(left["query_id"]):
-            top = np.lexsort((ids, -s[i]))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "row_id": ids[top], "similarity": s[i][top]}))
-        return pd.concat(out)
-
-    met = q.groupBy("g", "c").cogroup(r.groupBy("g", "c")).applyInPandas(best, "query_id long, row_id long, similarity double")
-    if threshold is not None:
-        met = met.filter(F.col("similarity") >= threshold)
-    return top_per_query(met, k, F.desc("similarity"), "row_id").select("query_id", "rank", "row_id", "similarity")
-
-
 def rrf_fuse(vector: DataFrame, words: DataFrame, k: int, alpha: float = 0.5, c: int = 60) -> DataFrame:
     """(query_id, rank, row_id, hybrid_score, sources) from two ranked lists (query_id, row_id, rank)."""
     v = vector.select("query_id", "row_id", F.col("rank").alias("v"))

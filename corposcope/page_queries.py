@@ -78,7 +78,7 @@ def j5_vector_topk_lsh(spark, d):
 def j5_lsh_recall(spark, d):
     """Every fiftieth vector as a query, exact and approximate."""
     queries, rows = vector_sides(spark, d)
-    return vectors.topk_recall(search.vector_topk(queries, rows, 10), vectors.vector_topk_lsh(queries, rows, 10))
+    return vectors.topk_recall(vectors.vector_topk(queries, rows, 10), vectors.vector_topk_lsh(queries, rows, 10))
 
 
 @query(f"WITH {BLOCKS} SELECT doc_id, block_index::INT AS block_index, regexp_matches(trim(text), '(?i)^(page\\s+)?\\d{{1,4}}$|^[ivxlc]+$|doi\\.org|^doi:|^arxiv:|^https?://|copyright|all rights reserved') OR NOT regexp_matches(trim(text), '[A-Za-z0-9]') AS boilerplate FROM b")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corposcope.functions import text as X
-from corposcope.operators import evaluate, search, structure
+from corposcope.operators import evaluate, search, structure, vectors
 from corposcope.plans import hybrid
 from corposcope.sources import corpus, index
 from corposcope.streaming import streams
@@ -172,7 +172,7 @@ def j1_keyword_search(spark, d):
 @query("WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS row_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0) SELECT query_id, rank, row_id, similarity FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, row_id))::INT AS rank FROM s) WHERE rank <= 10")
 def j4_vector_topk(spark, d):
     v = corpus.read_table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("v"))
-    return search.vector_topk(v.filter("row_id % 20 = 0").withColumnRenamed("row_id", "query_id"), v, 10)
+    return vectors.vector_topk(v.filter("row_id % 20 = 0").withColumnRenamed("row_id", "query_id"), v, 10)
 
 
 @query(f"WITH {PHRASE}, {TFIDF}, l AS (SELECT query_id, row_id, (row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id))::INT AS rank FROM s), f AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.row_id, y.row_id) AS row_id, round(coalesce(0.5 / (60 + x.rank), 0) + coalesce(0.5 / (60 + y.rank), 0), 6) AS hybrid_score, concat_ws('+', CASE WHEN x.rank IS NOT NULL THEN 'vector' END, CASE WHEN y.rank IS NOT NULL THEN 'text' END) AS sources FROM (SELECT * FROM l WHERE rank <= 10) x FULL JOIN (SELECT * FROM ranked WHERE rank <= 10) y ON x.query_id = y.query_id AND x.row_id = y.row_id) SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, row_id))::INT AS rank FROM f) WHERE rank <= 5")

@@ -65,7 +65,7 @@ def test_lsh_recall(spark):
     rows = [(i, [x + rng.gauss(0, 0.2) for x in centres[i % 30]]) for i in range(900)]
     df = spark.createDataFrame(rows, "row_id long, v array<float>")
     asked = df.filter("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), "v")
-    exact, found = search.vector_topk(asked, df, 10), vectors.vector_topk_lsh(asked, df, 10)
+    exact, found = vectors.vector_topk(asked, df, 10), vectors.vector_topk_lsh(asked, df, 10)
     r = vectors.topk_recall(exact, found).first()
     assert r.n_exact == 180 and r.recall >= 0.9
     best = {(x.query_id, x.row_id): x.similarity for x in exact.collect()}
@@ -73,6 +73,31 @@ def test_lsh_recall(spark):
     assert vectors.vector_topk_lsh(asked.limit(0), df, 10).count() == 0
 
 
+def test_recall_on_the_given_vectors(spark):
+    from corposcope import page_queries
+
+    for sf in ("sf0.01", "sf0.1"):
+        r = page_queries.j5_lsh_recall(spark, f"/root/testdata/{sf}").first()
+        assert r.n_exact >= 100 and r.recall >= 0.9
+
+
+def test_vectors_of_other_lengths_and_nulls_take_no_part(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0, 0.0]), (4, []), (5, [0.0, 0.0]), (6, [2.0, 0.0]), (6, [0.0, 3.0])], "row_id long, v array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0, 1.0])], "query_id long, v array<double>")
+    got = sorted(map(tuple, vectors.vector_topk(asked, rows, 3).collect()))
+    assert got == [(1, 1, 1, 1.0), (1, 2, 6, 1.0), (1, 3, 5, 0.0), (3, 1, 3, 0.0)]
+    assert vectors.vector_topk(asked, rows, 3, threshold=0.5).count() == 2
+
+
+def test_queries_in_several_groups(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)], "row_id long, v array<double>")
+    asked = rows.filter("row_id % 7 = 0").withColumnRenamed("row_id", "query_id")
+    whole = sorted(map(tuple, vectors.vector_topk(asked, rows, 4).collect()))
+    monkeypatch.setattr(vectors, "GROUP", 10)
+    assert sorted(map(tuple, vectors.vector_topk(asked, rows, 4).collect())) == whole and len(whole) == 43 * 4
+
+
 def test_newest_of_repeated_keys_wins(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "doc_id long, text string, at int")
     new = spark.createDataFrame([(2, "z", 2), (2, "y", 3), (5, "n", 1), (5, "n", 1)], "doc_id long, text string, at int")

@@ -120,7 +120,7 @@ def test_document_profiles(spark):
 
 def test_summaries(spark):
     a = "We propose a framework that improves the training of very large networks."
-    b = "The weather over the harbour stayed grey through most of that long week [1] [2]."
+    b = "The weather over the harbour was grey through most of that long week [1] [2]."
     c = "We propose a framework that improves the training of very large networks!"
     filler = "Sailors mended nets quietly while gulls circled above wooden piers every single morning"
     text = " ".join([a, b, c] + [f"{filler} {w}." for w in ("alpha", "bravo")])
