@@ -37,8 +37,8 @@ def asr_summary(predictions: DataFrame) -> DataFrame:
 
 def label_summary(rows: DataFrame) -> DataFrame:
     """Two levels at once: by language, and by language and source."""
-    rows.createOrReplaceTempView("label_rows_")
-    return rows.sparkSession.sql("SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM label_rows_ GROUP BY GROUPING SETS ((lang), (lang, source))")
+    levels = rows.groupingSets([[F.col("lang")], [F.col("lang"), F.col("source")]], F.col("lang"), F.col("source"))
+    return levels.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
 
 
 def _matched(pred: list[tuple], gold: list[tuple]) -> list[tuple[int, int]]:

@@ -171,19 +171,30 @@ def box_clusters(boxes: DataFrame, reach: float = 0.0) -> DataFrame:
     return page.select(*PAGE, F.explode(clusters("b")).alias("c")).select(*PAGE, "c.*")
 
 
-def merge_fragments(pieces: DataFrame, most_gap: float = 14.0, share: float = 0.6) -> DataFrame:
-    """(doc_id, page_no, piece_id, n_pieces, n_cols, box): stacked pieces of a table as one.
+def merge_fragments(pieces: DataFrame, most_gap: float = 14.0, share: float = 0.9, overlap: float = 2.0, few: int = 2) -> DataFrame:
+    """(doc_id, page_no, piece_id, n_pieces, n_cols, box): stacked pieces (piece_id, n_cols, box, and n_rows where known) of a table as one.
 
-    A piece joins the one above it if both have as many columns, the gap is small and they share most of the narrower width.
+    From the top of a page down, a piece joins the table above it if both have as many columns, the gap to
+    the box around all of that table's pieces is small, they share most of the narrower width, and either has ``few``
+    rows or fewer (where rows are known). The box grows with each piece, so this is one fold over a page.
     """
-    w = Window.partitionBy(*PAGE).orderBy("box.y0", "piece_id")
-    above = F.col("above_")
-    joins = (F.col("above_cols_") == F.col("n_cols")) & (gap(above, F.col("box")) <= most_gap) & (share_of_narrower(above, F.col("box")) >= share)
-    marked = pieces.withColumn("above_", F.lag("box").over(w)).withColumn("above_cols_", F.lag("n_cols").over(w))
-    marked = marked.withColumn("new_", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("run_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    low, high = (lambda c: F.min(f"box.{c}").alias(c)), (lambda c: F.max(f"box.{c}").alias(c))
-    whole = marked.groupBy(*PAGE, "run_", "n_cols").agg(F.min("piece_id").alias("piece_id"), F.count(F.lit(1)).alias("n_pieces"), low("x0"), low("y0"), high("x1"), high("y1"))
-    return whole.select(*PAGE, "piece_id", "n_pieces", "n_cols", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    rows = F.coalesce(F.col("n_rows"), F.lit(0)) if "n_rows" in pieces.columns else F.lit(0)
+    one = F.struct(F.col("box.y0").alias("y"), "piece_id", "n_cols", rows.cast("long").alias("rows"), F.struct(*(F.col(f"box.{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).alias("box"), F.lit(1).alias("n"))
+    pages = pieces.groupBy(*PAGE).agg(F.array_sort(F.collect_list(one)).alias("p"))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        down = x["box"]["y0"] - last["box"]["y1"]
+        fits = (last["n_cols"] == x["n_cols"]) & (x["n_cols"] > 0) & (down >= -overlap) & (down <= most_gap) & (share_of_narrower(last["box"], x["box"]) >= share) & ((last["rows"] <= few) | (x["rows"] <= few))
+        edge = lambda f, c: f(last["box"][c], x["box"][c]).alias(c)
+        whole = F.struct(
+            last["y"].alias("y"), F.least(last["piece_id"], x["piece_id"]).alias("piece_id"), last["n_cols"].alias("n_cols"), (last["rows"] + x["rows"]).alias("rows"),
+            F.struct(edge(F.least, "x0"), edge(F.least, "y0"), edge(F.greatest, "x1"), edge(F.greatest, "y1")).alias("box"), (last["n"] + 1).alias("n"),
+        )
+        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(whole))).otherwise(F.concat(done, F.array(x)))
+
+    merged = pages.select(*PAGE, F.explode(F.aggregate(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1), step)).alias("t"))
+    return merged.select(*PAGE, "t.piece_id", F.col("t.n").cast("long").alias("n_pieces"), "t.n_cols", "t.box")
 
 
 def assign_captions(regions: DataFrame, captions: DataFrame, most_gap: float = 180.0, least_share: float = 0.12) -> DataFrame:

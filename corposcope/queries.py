@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corposcope.functions import text as X
 from corposcope.operators import evaluate, search, structure, vectors
 from corposcope.plans import hybrid
-from corposcope.sources import corpus, index
+from corposcope.sources import corpus, html, index
 from corposcope.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,9 +76,27 @@ def s1_blocks(spark, d):
     return corpus.blocks_of(docs(spark, d))
 
 
-@query()
+_STRIPPED = "html"
+for _tag in ("script", "style", "noscript", "header", "footer", "nav", "aside", "form", "svg", "canvas"):
+    _STRIPPED = f"regexp_replace({_STRIPPED}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', '', 'g')"
+_PLAIN = "regexp_replace(t, '(?s)<[^>]*>', ' ', 'g')"
+for _written, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_written}', '{_sign}')"
+
+
+@query(f"""WITH h AS (SELECT page_id, regexp_extract({_STRIPPED}, '(?is)<article\\b[^>]*>(.*)</article>', 1) AS body FROM pages),
+m AS (SELECT page_id, string_split(regexp_replace(regexp_replace(body, '(?is)<(h[1-6]|p|li|blockquote|pre)\\b[^>]*>', chr(1) || '\\1' || chr(2), 'g'), '(?is)</(h[1-6]|p|li|blockquote|pre|ul|ol)>', chr(3), 'g'), chr(1))[2:] AS parts FROM h),
+u AS (SELECT page_id, unnest(range(len(parts))) AS i, unnest(parts) AS part FROM m),
+b AS (SELECT page_id, i, lower(string_split(part, chr(2))[1]) AS tag, string_split(string_split(part, chr(2))[2], chr(3))[1] AS t FROM u),
+s AS (SELECT page_id, i, tag, trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i))::INT AS block_no, tag, text FROM s WHERE text <> ''""")
 def s2_html_blocks(spark, d):
-    return corpus.html_blocks(corpus.read_table(spark, d, "pages"))
+    return html.html_blocks(corpus.read_table(spark, d, "pages"))
+
+
+@query(f"SELECT page_id, coalesce(nullif(trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')), ''), nullif(trim(regexp_replace({_PLAIN.replace('(t, ', '(h, ')}, '\\s+', ' ', 'g')), '')) AS title FROM (SELECT page_id, regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1) AS t, regexp_extract({_STRIPPED}, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1) AS h FROM pages)")
+def s2_html_titles(spark, d):
+    return html.html_titles(corpus.read_table(spark, d, "pages"))
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.pdf($|[?#])') THEN 'pdf' WHEN regexp_matches(lower(url), '^https?://') THEN 'web' ELSE 'local' END AS kind FROM pages")

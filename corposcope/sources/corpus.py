@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TABLES = ("documents", "pages", "embeddings", "benchmark", "labels", "conversations", "events", "customer", "orders", "lineitem", "part", "supplier", "nation", "region")
 
@@ -67,6 +69,23 @@ def replace_documents(old: DataFrame, new: DataFrame, key: str = "doc_id") -> Da
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def write_documents(new: DataFrame, folder: str, buckets: int = 64, key: str = "doc_id") -> None:
+    """A table at ``folder`` in which all rows of the documents of ``new`` take the place of their former ones.
+
+    Documents lie in folders by a hash of their key. Only folders that a document of ``new`` falls
+    into are read and written anew (dynamic partition overwrite); the files of the others stay. Repeated, it changes
+    nothing. ``buckets`` must stay the same for a table.
+    """
+    spark = new.sparkSession
+    dealt = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r["bucket"] for r in dealt.select("bucket").distinct().collect()]  # at most ``buckets``
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        old = spark.read.schema(dealt.schema).parquet(folder).filter(F.col("bucket").isin(touched))
+        dealt = old.join(new.select(key).distinct(), key, "left_anti").select(*dealt.columns).unionByName(dealt)
+    dealt.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+
+
 def delete_documents(rows: DataFrame, ids: DataFrame, key: str = "doc_id", detach: bool = False) -> DataFrame:
     """Cascade delete, or with ``detach`` the key set to null."""
     if not detach:
@@ -76,10 +95,8 @@ def delete_documents(rows: DataFrame, ids: DataFrame, key: str = "doc_id", detac
 
 
 def remap_ids(parents: DataFrame, key: str) -> DataFrame:
-    """(old_id, new_id): dense ids from 1 in the order of the old ones, without a single-task window."""
-    spark = parents.sparkSession
-    numbered = parents.select(F.col(key).alias("old_id")).distinct().orderBy("old_id").rdd.zipWithIndex()
-    return spark.createDataFrame(numbered.map(lambda x: (x[0][0], x[1] + 1)), "old_id long, new_id long")
+    """(old_id, new_id): dense ids from 1 in the order of the old ones."""
+    return numbered(parents.select(F.col(key).alias("old_id")).distinct(), "old_id").select("old_id", (F.col("number") + 1).alias("new_id"))
 
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -99,28 +116,25 @@ def sample_per_category(rows: DataFrame, category: str, key: str, order: str, ta
     return taken
 
 
-def html_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, block_no, tag, text): headings, paragraphs and items of the main content, in order."""
-    html = F.col("html")
-    for tag in ("script", "style", "noscript", "header", "footer", "nav", "aside", "form", "svg"):
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    inner = lambda tag: F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1)
-    body = F.when(inner("article") != "", inner("article")).when(inner("main") != "", inner("main")).when(inner("body") != "", inner("body")).otherwise(html)
-    found = F.regexp_extract_all(body, F.lit(r"(?is)(<(?:h[1-6]|p|li|blockquote|pre)\b[^>]*>.*?)(?=<(?:h[1-6]|p|li|blockquote|pre)\b|</(?:p|li|blockquote|pre|h[1-6]|article|body|ul|ol)>|$)"), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(found).alias("at", "raw"))
-    text = F.regexp_replace("raw", r"(?s)<[^>]*>", " ")
-    for written, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(written), F.lit(plain))
-    rows = rows.select("page_id", "at", F.lower(F.regexp_extract("raw", r"^<(\w+)", 1)).alias("tag"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
-    return rows.filter("text <> ''").select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("at")).alias("block_no"), "tag", "text")
+def numbered(rows: DataFrame, key: str, cells: int = 64) -> DataFrame:
+    """``rows`` of distinct keys with a gapless ``number`` from 0 in the order of ``key``, without a single-task window.
+
+    Cells of about as many rows lie between keys of a bounded sample. Cells are counted and summed up, and rows
+    numbered within theirs.
+    """
+    sample = sorted(r[0] for r in rows.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(32 * cells).select(key).collect())
+    bounds = sample[31::32]
+    cell = sum(((F.col(key) >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
+    keyed = rows.withColumn("cell_", F.when(F.col(key).isNull(), -1).otherwise(cell))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = keyed.groupBy("cell_").agg(F.count(F.lit(1)).alias("n_")).withColumn("before_", before).select("cell_", "before_")  # a row for each cell
+    within = F.row_number().over(Window.partitionBy("cell_").orderBy(key))
+    return keyed.join(F.broadcast(starts), "cell_").withColumn("number", (F.col("before_") + within - 1).cast("long")).drop("cell_", "before_")
 
 
 def pending_work(paths: DataFrame, done: DataFrame, n: int) -> DataFrame:
     """(group_no, n_paths, hash): unknown paths in order, n to a group, without the groups whose hash is done."""
-    spark = paths.sparkSession
-    numbered = paths.select("path").distinct().orderBy("path").rdd.zipWithIndex()
-    groups = spark.createDataFrame(numbered.map(lambda x: (x[0][0], x[1] // n)), "path string, group_no long")
+    groups = numbered(paths.select("path").distinct(), "path").select("path", F.floor(F.col("number") / n).alias("group_no"))
     hashed = groups.groupBy("group_no").agg(F.count(F.lit(1)).alias("n_paths"), F.sha1(F.array_join(F.array_sort(F.collect_list("path")), "")).alias("hash"))
     return hashed.join(done.select("hash").distinct(), "hash", "left_anti").select("group_no", "n_paths", "hash")
 
@@ -159,18 +173,23 @@ def clean_transcript(lines: DataFrame, key: str = "doc_id", order: str = "pos")
     shaped = lines.select(key, order, F.trim(F.regexp_replace(plain, r"\s+", " ")).alias("line"))
     kept = shaped.filter((F.col("line") != "") & ~F.col("line").rlike(r"^(WEBVTT|KIND:|LANGUAGE:|Kind:|Language:|NOTE\b)|-->|^[0-9]+$"))
     whole = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "line"))).alias("lines"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("last"))
-
-    def step(acc, x):
-        line = x["line"]
-        return (
-            F.when(F.startswith(line, acc["last"]), F.struct(acc["done"].alias("done"), line.alias("last")))
-            .when(F.startswith(acc["last"], line), acc)
-            .otherwise(F.struct(F.concat(acc["done"], F.array(acc["last"])).alias("done"), line.alias("last")))
-        )
-
-    done = lambda acc: F.array_join(F.concat(acc["done"], F.array(acc["last"])), "\n")
-    return whole.select(key, F.aggregate("lines", start, step, done).alias("text"))
+
+    @F.pandas_udf(StringType())
+    def collapsed(transcripts: pd.Series) -> pd.Series:
+        return transcripts.map(lambda rows: "\n".join(fullest([r["line"] for r in rows])))
+
+    return whole.select(key, collapsed("lines").alias("text"))
+
+
+def fullest(lines: list[str]) -> list[str]:
+    """``lines`` of which one that goes on another, or is its beginning, counts once, as the longer one."""
+    out: list[str] = []
+    for line in lines:
+        if out and line.startswith(out[-1]):
+            out[-1] = line
+        elif not (out and out[-1].startswith(line)):
+            out.append(line)
+    return out
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, form: str = "parquet") -> None:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corposcope.functions.text import index_tokens
-from corposcope.sources.corpus import blocks_of, build_postings
+from corposcope.functions.text import index_tokens, is_garbled
+from corposcope.operators.structure import chunk_blocks
+from corposcope.sources.corpus import blocks_of, build_postings, pages_of
+from corposcope.sources.index import positions
 
 
 def rolling_metrics(events: DataFrame) -> DataFrame:
@@ -85,3 +87,52 @@ def current_postings(spark: SparkSession, out: str) -> DataFrame:
     """(token, doc_id, tf) of each document as last changed."""
     newest = spark.read.parquet(f"{out}/changed").groupBy("doc_id").agg(F.max("epoch").alias("epoch"))
     return spark.read.parquet(f"{out}/postings").join(newest, ["doc_id", "epoch"]).select("token", "doc_id", "tf")
+
+
+def ingested(documents: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a batch of documents (doc_id, text, changed_at): pages, chunks, postings, changed and errors.
+
+    A row without an id, without a text or with one that can't be read goes to ``errors`` with the
+    reason, and the other documents go on. Of several good rows of a document the last by
+    ``changed_at`` counts, of equals the largest text. A blank text is good, and leaves the document without rows.
+    """
+    error = F.when(F.col("doc_id").isNull(), "no id").when(F.col("text").isNull(), "no text").when((F.trim("text") != "") & is_garbled(F.col("text")), "unreadable text")
+    marked = documents.select("doc_id", "text", "changed_at", error.alias("error"))
+    last = marked.filter("error IS NULL").groupBy("doc_id").agg(F.max_by("text", F.struct("changed_at", "text")).alias("text"))
+    return {
+        "errors": marked.filter("error IS NOT NULL").select("doc_id", "changed_at", "error"),
+        "changed": last.select("doc_id"),
+        "pages": pages_of(last),
+        "chunks": chunk_blocks(blocks_of(last)),
+        "postings": positions(last.withColumnRenamed("doc_id", "row_id")).withColumnRenamed("row_id", "doc_id"),
+    }
+
+
+def library_batch(out: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: writes every table of ``ingested`` to a folder of the batch.
+
+    A batch that is repeated after a loss overwrites its own folders, so each table holds it once. ``changed`` comes
+    last: a document counts as changed only when its other tables are whole.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        kept = batch.persist()
+        try:
+            tables = ingested(kept)
+            for name in ("errors", "pages", "chunks", "postings", "changed"):
+                tables[name].write.mode("overwrite").parquet(f"{out}/{name}/epoch={epoch}")
+        finally:
+            kept.unpersist()
+
+    return write
+
+
+def stream_library(documents: DataFrame, out: str, checkpoint: str):
+    """Documents as they come in, as pages, chunks and an index, with an error table for bad rows."""
+    return documents.writeStream.foreachBatch(library_batch(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_table(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """Rows of a table (pages, chunks, postings) for each document from the last batch that brought a good version of it."""
+    newest = spark.read.parquet(f"{out}/changed").groupBy("doc_id").agg(F.max("epoch").alias("epoch"))
+    return spark.read.parquet(f"{out}/{name}").join(newest, ["doc_id", "epoch"]).drop("epoch")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corposcope.functions import text as X
 from corposcope.operators import evaluate, search, structure
 from corposcope.sources import corpus
+from corposcope.sources import html as web
 
 
 def one(spark, column, value):
@@ -117,7 +118,7 @@ def test_boxes(spark):
 
 def test_html(spark):
     html = "<html><body><nav><p>menu</p></nav><article><h1>A &amp; B</h1><p>one<p>two <b>bold</b></p><script>x</script><ul><li>item</li></ul></article></body></html>"
-    got = corpus.html_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("block_no").collect()
+    got = web.html_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("block_no").collect()
     assert [(r.tag, r.text) for r in got] == [("h1", "A & B"), ("p", "one"), ("p", "two bold"), ("li", "item")]
 
 
@@ -129,7 +130,7 @@ def test_sample_counts_an_id_once(spark):
 
 def test_html_after_a_long_script_is_read(spark):
     html = "<html><head><script>" + "var x = 1; " * 60_000 + "</script></head><body><article><h1>Title</h1><p>The whole text.</p></article></body></html>"
-    got = corpus.html_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("block_no").collect()
+    got = web.html_blocks(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("block_no").collect()
     assert [(r.tag, r.text) for r in got] == [("h1", "Title"), ("p", "The whole text.")]
 
 
