@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corposcope.functions import text as X
@@ -23,16 +23,72 @@ def retrieval_eval(ranked: DataFrame, gold: DataFrame, queries: DataFrame) -> Da
     return q.select("query_id", none.alias("is_no_match"), hit(1).alias("hit1"), hit(3).alias("hit3"), hit(5).alias("hit5"), F.round(rr, 6).alias("rr"))
 
 
+def localized_eval(hits: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, page_hit1, page_hit3, section_hit1, section_hit3, section_hit5) from the hits inside each query's first document.
+
+    hits (query_id, place from 1, page_no, canonical), gold (query_id, pages, sections). Null, not false, where
+    the gold names no page or no section; a query without hits misses.
+    """
+    near = hits.filter("place <= 5").groupBy("query_id").agg(F.collect_list(F.struct("place", "page_no", "canonical")).alias("h"))
+    met = gold.select("query_id", "pages", "sections").join(near, "query_id", "left").withColumn("h", F.coalesce("h", F.array().cast("array<struct<place:int,page_no:int,canonical:string>>")))
+
+    def hit(name: str, k: int, field: str, wanted: str):
+        within = F.transform(F.filter("h", lambda x: x["place"] <= k), lambda x: x[field])
+        return F.when(F.coalesce(F.size(wanted), F.lit(0)) > 0, F.coalesce(F.arrays_overlap(F.filter(within, lambda x: x.isNotNull()), wanted), F.lit(False))).alias(name)
+
+    return met.select("query_id", hit("page_hit1", 1, "page_no", "pages"), hit("page_hit3", 3, "page_no", "pages"), *(hit(f"section_hit{k}", k, "canonical", "sections") for k in (1, 3, 5)))
+
+
+def localized_summary(per_query: DataFrame) -> DataFrame:
+    """Means of ``localized_eval``, each over the queries whose gold names a page or section."""
+    columns = ["page_hit1", "page_hit3", "section_hit1", "section_hit3", "section_hit5"]
+    return per_query.agg(F.count("page_hit1").alias("n_with_pages"), F.count("section_hit1").alias("n_with_sections"), *(F.round(F.avg(F.col(c).cast("double")), 6).alias(c) for c in columns))
+
+
+def latency_summary(runs: DataFrame) -> DataFrame:
+    """(mean, p50, p95) of runs (latency_ms), by linear interpolation."""
+    p = lambda q: F.round(F.percentile("latency_ms", F.lit(q)), 6)
+    return runs.agg(F.round(F.avg("latency_ms"), 6).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+
+
 def retrieval_summary(per_query: DataFrame) -> DataFrame:
     mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(c)
     none = F.round(F.avg(F.when(F.col("is_no_match"), F.col("hit1").cast("double"))), 6).alias("no_match_accuracy")
     return per_query.agg(F.count(F.lit(1)).alias("n_queries"), mean("hit1"), mean("hit3"), mean("hit5"), F.round(F.avg("rr"), 6).alias("mrr"), none, F.round(F.percentile("rr", F.lit(0.5)), 6).alias("rr_p50"))
 
 
-def asr_summary(predictions: DataFrame) -> DataFrame:
-    """Mean WER and flag counts by dataset, over (dataset, reference, prediction)."""
-    scored = predictions.select("dataset", X.wer(F.col("reference"), F.col("prediction")).alias("wer"), X.prediction_flags(F.col("prediction")).alias("flags"))
-    return scored.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("wer"), 6).alias("mean_wer"), F.count_if(~F.array_contains("flags", "normal")).alias("n_flagged"))
+# What a model says besides the transcript: its prompt, and runs of zeros.
+ECHOES = r"(?i)you are a speech-to-text[^.\n]*[.\n]?|transcribe this audio[^.\n]*[.\n]?|the prompt says[^.\n]*[.\n]?"
+ZEROS = "0{20,}"
+
+
+def scored_predictions(predictions: DataFrame) -> DataFrame:
+    """``predictions`` (dataset, id, reference, prediction, status) with ``wer``, ``clean_wer`` (without prompt echoes and runs of zeros) and ``flags``; both null where status is not ok."""
+    ok, cleaned = F.col("status") == "ok", F.regexp_replace(F.regexp_replace(F.coalesce("prediction", F.lit("")), ECHOES, " "), ZEROS, " ")
+    rate = lambda x: F.when(ok, X.wer(F.col("reference"), x))
+    return predictions.withColumns({"wer": rate(F.col("prediction")), "clean_wer": rate(cleaned), "flags": F.when(ok, X.prediction_flags(F.col("prediction")))})
+
+
+def asr_summary(scored: DataFrame) -> DataFrame:
+    """(dataset, n, n_ok, n_errors, mean_wer, mean_clean_wer, n_flagged): a row for each dataset, and one (dataset null) for all."""
+    levels = scored.groupingSets([[F.col("dataset")], []], F.col("dataset"))
+    mean = lambda c: F.round(F.avg(c), 6)
+    ok = F.col("status") == "ok"
+    return levels.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_ok"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_errors"), mean("wer").alias("mean_wer"), mean("clean_wer").alias("mean_clean_wer"),
+        F.count_if(~F.array_contains("flags", "normal")).alias("n_flagged"),
+    )
+
+
+def flag_counts(scored: DataFrame) -> DataFrame:
+    """(dataset, flag, n) of the flags of predictions."""
+    return scored.select("dataset", F.explode("flags").alias("flag")).groupBy("dataset", "flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def worst_predictions(scored: DataFrame, n: int = 10) -> DataFrame:
+    """(place, dataset, id, wer) of the ``n`` predictions of the highest rate."""
+    worst = scored.filter("wer IS NOT NULL").orderBy(F.desc("wer"), "dataset", "id").limit(n)  # n rows
+    return worst.select(F.row_number().over(Window.orderBy(F.desc("wer"), "dataset", "id")).alias("place"), "dataset", "id", F.round("wer", 6).alias("wer"))
 
 
 def label_summary(rows: DataFrame) -> DataFrame:

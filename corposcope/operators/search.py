@@ -121,12 +121,13 @@ def keyword_hits(ranked: DataFrame, queries: DataFrame, pages: DataFrame) -> Dat
 
 def merge_hits(keyword: DataFrame, semantic: DataFrame) -> DataFrame:
     """Hits of both lists joined on (query_id, row_id); the harsher bucket wins."""
-    k, s = keyword.alias("k"), semantic.alias("s")
+    known = lambda df: df if "semantic_raw_score" in df.columns else df.withColumn("semantic_raw_score", F.lit(0.0))
+    k, s = known(keyword).alias("k"), known(semantic).alias("s")
     high = lambda c: F.greatest(F.coalesce(f"k.{c}", F.lit(0.0)), F.coalesce(f"s.{c}", F.lit(0.0)))
     harsh = F.when(F.col("k.search_bucket").isNull() | (X.bucket_multiplier(F.col("s.search_bucket")) < X.bucket_multiplier(F.col("k.search_bucket"))), F.col("s.search_bucket")).otherwise(F.col("k.search_bucket"))
     both = k.join(s, ["query_id", "row_id"], "full_outer").select(
         "query_id", "row_id", F.coalesce("k.doc_id", "s.doc_id").alias("doc_id"), F.coalesce("k.page_no", "s.page_no").alias("page_no"),
-        high("keyword_score").alias("keyword_score"), high("semantic_score").alias("semantic_score"),
+        high("keyword_score").alias("keyword_score"), high("semantic_score").alias("semantic_score"), high("semantic_raw_score").alias("semantic_raw_score"),
         F.greatest(F.coalesce("k.lex_hits", F.lit(0)), F.coalesce("s.lex_hits", F.lit(0))).alias("lex_hits"),
         (F.coalesce("k.exact_phrase", F.lit(False)) | F.coalesce("s.exact_phrase", F.lit(False))).alias("exact_phrase"), F.coalesce(harsh, F.lit("body")).alias("search_bucket"),
     )
@@ -156,19 +157,28 @@ def annotate_hits(hits: DataFrame, stats: DataFrame) -> DataFrame:
     }).drop("tokens_")
 
 
+# Scores of the gate for page hits: a front page by words; enough words by coverage and score; coverage below which, and score from which, a weak hit counts by itself.
+FRONT_KEYWORD, COVERED, COVERED_SCORE, UNCOVERED, WEAK_SCORE = 0.12, 0.78, 0.10, 0.52, 0.085
+# What a weak hit has at least one of: match of a block, keyword score, similarity.
+WEAK_BLOCK, WEAK_KEYWORD, WEAK_SIMILARITY = 4.5, 0.05, 0.012
+
+
 def section_gate(hits: DataFrame) -> DataFrame:
-    """Keeps the hits that are relevant enough; ``hits`` annotated, with query, scores and bucket."""
+    """Keeps the hits that are relevant enough; ``hits`` annotated, with query, scores and bucket, and semantic_raw_score and canonical where known."""
+    similarity = F.coalesce("semantic_raw_score", F.lit(0.0)) if "semantic_raw_score" in hits.columns else F.lit(0.0)
+    low = X.is_low_salience(F.col("canonical")) if "canonical" in hits.columns else F.lit(False)
     n = F.size(X.query_tokens(F.col("query")))
     lex, content, rare, nrare = F.col("lex_hits"), F.col("content_hits"), F.col("rare_hits"), F.col("rare_count")
     enough = (content >= X.min_hits(F.col("content_count"))) & (lex >= X.min_hits(n))
-    weak = (F.col("match_score") >= 0.085) & (content >= 1) & ((nrare == 0) | (rare >= 1)) & ((lex >= F.greatest(F.lit(1), X.min_hits(n) - 1)) | (F.col("block_match_score") >= 4.5) | (F.col("keyword_score") >= 0.05))
+    some = (lex >= F.greatest(F.lit(1), X.min_hits(n) - 1)) | (F.col("block_match_score") >= WEAK_BLOCK) | (F.col("keyword_score") >= WEAK_KEYWORD) | (similarity >= WEAK_SIMILARITY)
+    weak = (F.col("match_score") >= WEAK_SCORE) & (content >= 1) & ((nrare == 0) | (rare >= 1)) & some
     keep = (
         F.when(F.col("search_bucket") == "references", False).when(F.col("exact_phrase"), True)
         .when((F.col("content_count") == 0) & (lex >= X.min_hits(n)), True)
-        .when(F.col("search_bucket") == "front_matter", (F.col("keyword_score") >= 0.12) & (content >= 1))
+        .when(F.col("search_bucket") == "front_matter", (F.col("keyword_score") >= FRONT_KEYWORD) & (content >= 1))
         .when(F.col("search_bucket") != "body", False)
-        .when(enough, (nrare == 0) | (rare >= X.min_hits(nrare)) | ((F.col("weighted_ratio") >= 0.78) & (F.col("match_score") >= 0.10)))
-        .when((nrare > 0) & (rare == 0), False).when((content >= 1) & (F.col("weighted_ratio") < 0.52), False).otherwise(weak)
+        .when(enough, (nrare == 0) | (rare >= X.min_hits(nrare)) | ((F.col("weighted_ratio") >= COVERED) & (F.col("match_score") >= COVERED_SCORE)))
+        .when((nrare > 0) & (rare == 0), False).when(low, False).when((content >= 1) & (F.col("weighted_ratio") < UNCOVERED), False).otherwise(weak)
     )
     return hits.filter(keep)
 
@@ -221,7 +231,10 @@ def section_search(keyword: DataFrame, semantic: DataFrame, search_type: str) ->
         return merge_hits(keyword, semantic)
     if search_type not in ("keyword", "embedding"):
         raise ValueError(f"unknown search type {search_type}")
-    return keyword if search_type == "keyword" else semantic
+    columns = ["query_id", "row_id", "doc_id", "page_no", "keyword_score", "semantic_score", "semantic_raw_score", "lex_hits", "exact_phrase", "search_bucket"]
+    if search_type == "keyword":
+        return keyword.select(*columns, "match_score")
+    return semantic.select(*columns, (F.col("semantic_score") * X.bucket_multiplier(F.col("search_bucket"))).alias("match_score"))
 
 
 def title_rescue(scored: DataFrame, bonus: DataFrame, pages: DataFrame, least: float = 0.30) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corposcope.functions import text as X
@@ -219,6 +219,81 @@ def j8_search_documents(spark, d):
     return hybrid.search_documents(batch(spark, d), pages(spark, d), page_index(spark, d))
 
 
+PAGE_PHRASE = PAGES + ", pg AS (SELECT doc_id * 1000000 + page_no AS row_id, doc_id, page_no, text FROM p), " + PHRASE.replace("SELECT doc_id AS row_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents", "SELECT row_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM pg")
+# The twin's word boundaries see ASCII alone, so other letters are q there.
+_ASCII = "regexp_replace({0}, '[^\\x00-\\x7F]', 'q', 'g')"
+_SAMPLE = _ASCII.format("substr(trim(replace(text, chr(0), ' ')), 1, 1200)")
+_COUNT = lambda pattern, x: f"len(regexp_extract_all({x}, '{pattern}'))"
+BUCKET = f"""CASE WHEN trim(text) = '' THEN 'body' WHEN regexp_matches(substr({_SAMPLE}, 1, 120), '(?i)^\\s*(references|bibliography)\\b') OR {_COUNT(X.REFERENCE_SIGNAL, _SAMPLE)} >= 8 THEN 'references' WHEN page_no = 1 AND {_COUNT(X.FRONT_SIGNAL, f'substr({_SAMPLE}, 1, 600)')} >= 2 THEN 'front_matter' ELSE 'body' END"""
+_STOPS = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+_VECTOR = "list_transform(range(64), lambda b: coalesce(list_sum(list_transform(list_filter(c, lambda x: x % 64 = b), lambda x: CASE WHEN (x // 64) % 2 = 0 THEN 1 ELSE -1 END)), 0)::DOUBLE)"
+_CODES = "list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: ('0x' || substr(md5(t), 1, 3))::INT)"
+HYBRID = f"""WITH {PAGE_PHRASE},
+qq AS (SELECT item_id AS query_id, text AS query, list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: length(x) > 2), lambda x: lower(x))) AS qt FROM benchmark),
+pv AS (SELECT row_id, doc_id, page_no, text, {BUCKET} AS bucket, {_VECTOR} AS v FROM (SELECT *, {_CODES.format('text')} AS c FROM pg)),
+qv AS (SELECT query_id, {_VECTOR} AS v FROM (SELECT query_id, {_CODES.format('query')} AS c FROM qq)),
+sim AS (SELECT query_id, row_id, round(list_dot_product(q.v, p.v) / greatest(sqrt(list_dot_product(q.v, q.v)), 1e-300) / greatest(sqrt(list_dot_product(p.v, p.v)), 1e-300), 6) AS s FROM qv q, pv p),
+near AS (SELECT query_id, row_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row_id) AS rank FROM sim),
+sem AS (SELECT query_id, row_id, round(1 / (15 + rank) + greatest(0, least(1, s)) * 0.15e0, 6) AS semantic_score, s AS raw FROM near WHERE rank <= 20 AND s > 0),
+kw AS (SELECT query_id, row_id, rank FROM ranked WHERE rank <= 20),
+mm AS (SELECT query_id, row_id, rank, coalesce(semantic_score, 0) AS semantic_score, coalesce(raw, 0) AS raw, semantic_score IS NOT NULL AS near FROM kw FULL JOIN sem USING (query_id, row_id)),
+f AS (
+  SELECT m.*, doc_id, page_no, text, bucket, query, qt, len(list_filter(qt, lambda x: contains(lower(text), x))) AS lex, length(trim(query)) >= 3 AND contains(lower(text), lower(trim(query))) AS exact
+  FROM mm m JOIN pv USING (row_id) JOIN qq USING (query_id)),
+g AS (SELECT *, CASE WHEN rank IS NULL THEN 0 ELSE 1 / (10 + rank) + CASE WHEN exact THEN 0.08e0 ELSE 0 END + least(lex, 4) * 0.015e0 END AS keyword_score, CASE bucket WHEN 'references' THEN 0.18e0 WHEN 'front_matter' THEN 0.6e0 ELSE 1 END AS factor FROM f),
+h AS (SELECT *, (keyword_score + semantic_score + CASE WHEN keyword_score > 0 AND semantic_score > 0 THEN 0.05e0 ELSE 0 END + CASE WHEN exact THEN 0.05e0 ELSE 0 END + least(lex, 4) * 0.01e0) * factor AS match_score FROM g),
+ts AS (
+  SELECT query_id, token, round(ln((n + 1) / (coalesce(df, 0) + 1)) + 1, 6) AS weight, coalesce(df, 0) <= greatest(3, floor(n * 0.06)) AS rare
+  FROM (SELECT query_id, unnest(qt) AS token FROM qq) LEFT JOIN df USING (token), (SELECT count(*) AS n FROM pg) WHERE token NOT IN ({_STOPS})),
+tl AS (SELECT query_id, list({{'t': token, 'w': weight, 'r': rare}}) AS ts FROM ts GROUP BY 1),
+a AS (SELECT h.*, coalesce(ts, []) AS ts FROM h LEFT JOIN tl USING (query_id)),
+c AS (
+  SELECT *, len(list_filter(ts, lambda x: contains(lower(text), x.t))) AS content, len(ts) AS content_count, len(list_filter(ts, lambda x: x.r AND contains(lower(text), x.t))) AS rare, len(list_filter(ts, lambda x: x.r)) AS nrare,
+    coalesce(list_sum(list_transform(list_filter(ts, lambda x: contains(lower(text), x.t)), lambda x: x.w)) / list_sum(list_transform(ts, lambda x: x.w)), 0) AS weighted, CASE WHEN len(qt) <= 2 THEN 1 ELSE 2 END AS least_hits FROM a),
+e AS (SELECT *, content >= CASE WHEN content_count <= 2 THEN 1 ELSE 2 END AND lex >= least_hits AS enough FROM c)
+SELECT query_id, row_id, doc_id, page_no, round(keyword_score, 6) AS keyword_score, round(semantic_score, 6) AS semantic_score, round(match_score, 6) AS match_score, lex AS lex_hits, exact AS exact_phrase, bucket AS search_bucket FROM e
+WHERE CASE WHEN bucket = 'references' THEN false WHEN exact THEN true WHEN content_count = 0 AND lex >= least_hits THEN true WHEN bucket = 'front_matter' THEN keyword_score >= 0.12e0 AND content >= 1
+  WHEN enough THEN nrare = 0 OR rare >= CASE WHEN nrare <= 2 THEN 1 ELSE 2 END OR (weighted >= 0.78e0 AND match_score >= 0.1e0) WHEN nrare > 0 AND rare = 0 THEN false WHEN content >= 1 AND weighted < 0.52e0 THEN false
+  ELSE match_score >= 0.085e0 AND content >= 1 AND (nrare = 0 OR rare >= 1) AND (lex >= greatest(1, least_hits - 1) OR lex + CASE WHEN exact THEN 8 ELSE 0 END >= 4.5e0 OR keyword_score >= 0.05e0 OR raw >= 0.012e0) END"""
+
+
+@query(HYBRID)
+def j10_hybrid_hits(spark, d):
+    """Pages by words and by vectors, merged and gated."""
+    h = hybrid.hybrid_hits(batch(spark, d), pages(spark, d), page_index(spark, d))
+    scores = (F.round(c, 6).alias(c) for c in ("keyword_score", "semantic_score", "match_score"))
+    return h.select("query_id", "row_id", "doc_id", "page_no", *scores, "lex_hits", "exact_phrase", "search_bucket")
+
+
+@query()
+def j10_hybrid_documents(spark, d):
+    titled = docs(spark, d).select("doc_id", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"))
+    return hybrid.hybrid_documents(batch(spark, d), pages(spark, d), titled, page_index(spark, d))
+
+
+def page_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Hits inside each query's first document, and the pages of that document that hold the query verbatim; a page's bucket stands for its section."""
+    p = pages(spark, d)
+    found = search.keyword_search(batch(spark, d), page_index(spark, d), 20).join(p, "row_id")
+    top = found.filter("rank = 1").select("query_id", F.col("doc_id").alias("top_"))
+    within = found.join(top, "query_id").filter(F.col("doc_id") == F.col("top_"))
+    bucket = X.section_bucket(F.col("text"), F.col("page_no"), F.lit(None).cast("string"))
+    hits = within.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("place"), "page_no", bucket.alias("canonical"))
+    held = p.join(top, F.col("doc_id") == F.col("top_")).join(batch(spark, d), "query_id").filter(F.contains("text", "query"))
+    gold = held.groupBy("query_id").agg(F.collect_set("page_no").alias("pages"), F.collect_set(bucket).alias("sections"))
+    return hits, batch(spark, d).select("query_id").join(gold, "query_id", "left")
+
+
+@query(f"""WITH {PAGE_PHRASE}, fb AS (SELECT r.query_id, r.rank, g.*, {BUCKET} AS bucket FROM ranked r JOIN pg g USING (row_id) WHERE rank <= 20),
+tp AS (SELECT query_id, doc_id AS top FROM fb WHERE rank = 1), lo AS (SELECT query_id, page_no, bucket, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM fb JOIN tp USING (query_id) WHERE doc_id = top),
+gd AS (SELECT query_id, list(DISTINCT page_no) AS pages, list(DISTINCT bucket) AS sections FROM (SELECT query_id, page_no, {BUCKET} AS bucket FROM tp JOIN pg ON doc_id = top JOIN (SELECT item_id, text AS passage FROM benchmark) ON item_id = query_id WHERE contains(text, passage)) GROUP BY 1),
+ag AS (SELECT query_id, coalesce(list(page_no) FILTER (WHERE place <= 1), []) AS p1, coalesce(list(page_no) FILTER (WHERE place <= 3), []) AS p3, coalesce(list(bucket) FILTER (WHERE place <= 1), []) AS s1, coalesce(list(bucket) FILTER (WHERE place <= 3), []) AS s3, coalesce(list(bucket) FILTER (WHERE place <= 5), []) AS s5 FROM lo GROUP BY 1)
+SELECT b.item_id AS query_id, list_has_any(pages, coalesce(p1, [])) AS page_hit1, list_has_any(pages, coalesce(p3, [])) AS page_hit3, list_has_any(sections, coalesce(s1, [])) AS section_hit1, list_has_any(sections, coalesce(s3, [])) AS section_hit3, list_has_any(sections, coalesce(s5, [])) AS section_hit5
+FROM benchmark b LEFT JOIN gd ON gd.query_id = item_id LEFT JOIN ag ON ag.query_id = item_id""".replace("{BUCKET}", BUCKET))
+def a12_page_hits(spark, d):
+    return evaluate.localized_eval(*page_sides(spark, d))
+
+
 @query()
 def j11_title_bonus(spark, d):
     titled = docs(spark, d).select("doc_id", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"))
@@ -252,12 +327,23 @@ def a16_label_summary(spark, d):
     return evaluate.label_summary(docs(spark, d))
 
 
+def transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as references, by role; predictions lose every seventh word, have another for every fifth, echo the prompt or loop; every ninth run failed."""
+    t = corpus.read_table(spark, d, "conversations").select(F.col("role").alias("dataset"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("reference"), (F.col("conv_id") * 31 + F.col("turn")).alias("k"))
+    words = F.split(F.trim("reference"), r"\s+")
+    heard = F.array_join(F.filter(F.transform(words, lambda w, i: F.when((i + F.col("k")) % 7 == 6, F.lit(None)).when((i + F.col("k")) % 5 == 4, F.lit("uh")).otherwise(w)), lambda w: w.isNotNull()), " ")
+    said = F.when(F.col("k") % 6 == 0, F.concat(F.lit("Transcribe this audio: "), F.lit("\n"), heard)).when(F.col("k") % 10 == 1, F.concat(heard, F.lit(" " + "0" * 30))).when(F.col("k") % 13 == 2, "").otherwise(heard)
+    return t.select("dataset", "id", "reference", said.alias("prediction"), F.when(F.col("k") % 9 == 4, "error").otherwise("ok").alias("status"))
+
+
 @query()
 def a17_asr_summary(spark, d):
-    """Benchmark passages against themselves with the last word lost, by the first letter, as a stand-in for transcripts."""
-    b = corpus.read_table(spark, d, "benchmark")
-    lost = F.regexp_replace("text", r"\s+\S+\s*$", "")
-    return evaluate.asr_summary(b.select(F.upper(F.substring("text", 1, 1)).alias("dataset"), F.col("text").alias("reference"), lost.alias("prediction")))
+    return evaluate.asr_summary(evaluate.scored_predictions(transcripts(spark, d)))
+
+
+@query()
+def a17_worst_predictions(spark, d):
+    return evaluate.worst_predictions(evaluate.scored_predictions(transcripts(spark, d)), 10)
 
 
 @query(f"WITH {BLOCKS}, s AS (SELECT doc_id, block_index // 5 + 1 AS page_no, trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')) AS line FROM b) SELECT doc_id, line, count(DISTINCT page_no) AS n_pages FROM s WHERE length(line) >= 6 GROUP BY ALL HAVING count(DISTINCT page_no) > 1")
