@@ -153,7 +153,8 @@ def w19_section_summaries(spark, d):
     kinds = F.array(*map(F.lit, summaries.CUES))
     texts = sections.section_text(sectioned(spark, d).filter("section IS NOT NULL"))
     named = texts.withColumn("canonical", F.get(kinds, F.length("section") % len(summaries.CUES)))
-    return summaries.summarize(summaries.sentence_scores(named))
+    found = summaries.summarize(summaries.sentence_scores(named))
+    return found.unionByName(summaries.fallback_summaries(named, found))
 
 
 @query()

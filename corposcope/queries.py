@@ -214,11 +214,6 @@ def j1_substring_search(spark, d):
     return search.substring_search(parts(spark, d), texts(spark, d), 25, index.grams_for(texts(spark, d), docs(spark, d), "documents"))
 
 
-@query()
-def j8_search_documents(spark, d):
-    return hybrid.search_documents(batch(spark, d), pages(spark, d), page_index(spark, d))
-
-
 PAGE_PHRASE = PAGES + ", pg AS (SELECT doc_id * 1000000 + page_no AS row_id, doc_id, page_no, text FROM p), " + PHRASE.replace("SELECT doc_id AS row_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents", "SELECT row_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM pg")
 # The twin's word boundaries see ASCII alone, so other letters are q there.
 _ASCII = "regexp_replace({0}, '[^\\x00-\\x7F]', 'q', 'g')"
@@ -226,35 +221,68 @@ _SAMPLE = _ASCII.format("substr(trim(replace(text, chr(0), ' ')), 1, 1200)")
 _COUNT = lambda pattern, x: f"len(regexp_extract_all({x}, '{pattern}'))"
 BUCKET = f"""CASE WHEN trim(text) = '' THEN 'body' WHEN regexp_matches(substr({_SAMPLE}, 1, 120), '(?i)^\\s*(references|bibliography)\\b') OR {_COUNT(X.REFERENCE_SIGNAL, _SAMPLE)} >= 8 THEN 'references' WHEN page_no = 1 AND {_COUNT(X.FRONT_SIGNAL, f'substr({_SAMPLE}, 1, 600)')} >= 2 THEN 'front_matter' ELSE 'body' END"""
 _STOPS = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+_TOKENS_OF = "list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: length(x) > 2), lambda x: lower(x)))"
 _VECTOR = "list_transform(range(64), lambda b: coalesce(list_sum(list_transform(list_filter(c, lambda x: x % 64 = b), lambda x: CASE WHEN (x // 64) % 2 = 0 THEN 1 ELSE -1 END)), 0)::DOUBLE)"
 _CODES = "list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: ('0x' || substr(md5(t), 1, 3))::INT)"
-HYBRID = f"""WITH {PAGE_PHRASE},
-qq AS (SELECT item_id AS query_id, text AS query, list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: length(x) > 2), lambda x: lower(x))) AS qt FROM benchmark),
-pv AS (SELECT row_id, doc_id, page_no, text, {BUCKET} AS bucket, {_VECTOR} AS v FROM (SELECT *, {_CODES.format('text')} AS c FROM pg)),
-qv AS (SELECT query_id, {_VECTOR} AS v FROM (SELECT query_id, {_CODES.format('query')} AS c FROM qq)),
-sim AS (SELECT query_id, row_id, round(list_dot_product(q.v, p.v) / greatest(sqrt(list_dot_product(q.v, q.v)), 1e-300) / greatest(sqrt(list_dot_product(p.v, p.v)), 1e-300), 6) AS s FROM qv q, pv p),
-near AS (SELECT query_id, row_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row_id) AS rank FROM sim),
-sem AS (SELECT query_id, row_id, round(1 / (15 + rank) + greatest(0, least(1, s)) * 0.15e0, 6) AS semantic_score, s AS raw FROM near WHERE rank <= 20 AND s > 0),
-kw AS (SELECT query_id, row_id, rank FROM ranked WHERE rank <= 20),
-mm AS (SELECT query_id, row_id, rank, coalesce(semantic_score, 0) AS semantic_score, coalesce(raw, 0) AS raw, semantic_score IS NOT NULL AS near FROM kw FULL JOIN sem USING (query_id, row_id)),
+_ASKED = f"qq AS (SELECT item_id AS query_id, text AS query, {_TOKENS_OF} AS qt FROM benchmark)"
+_STATS = f"""ts AS (
+  SELECT query_id, token, round(ln((n + 1) / (coalesce(df, 0) + 1)) + 1, 6) AS weight, coalesce(df, 0) <= greatest(3, floor(n * 0.06)) AS rare
+  FROM (SELECT query_id, unnest(qt) AS token FROM qq) LEFT JOIN df USING (token), (SELECT count(*) AS n FROM t) WHERE token NOT IN ({_STOPS})),
+tl AS (SELECT query_id, list({{'t': token, 'w': weight, 'r': rare}}) AS ts FROM ts GROUP BY 1)"""
+_KEPT = """e AS (SELECT *, content >= CASE WHEN content_count <= 2 THEN 1 ELSE 2 END AND lex >= least_hits AS enough FROM c),
+kept AS (SELECT * FROM e WHERE CASE WHEN bucket = 'references' THEN false WHEN exact THEN true WHEN content_count = 0 AND lex >= least_hits THEN true WHEN bucket = 'front_matter' THEN keyword_score >= 0.12e0 AND content >= 1
+  WHEN enough THEN nrare = 0 OR rare >= CASE WHEN nrare <= 2 THEN 1 ELSE 2 END OR (weighted >= 0.78e0 AND match_score >= 0.1e0) WHEN nrare > 0 AND rare = 0 THEN false WHEN content >= 1 AND weighted < 0.52e0 THEN false
+  ELSE match_score >= 0.085e0 AND content >= 1 AND (nrare = 0 OR rare >= 1) AND (lex >= greatest(1, least_hits - 1) OR lex + CASE WHEN exact THEN 8 ELSE 0 END >= 4.5e0 OR keyword_score >= 0.05e0 OR raw >= 0.012e0) END)"""
+
+
+def gated_sql(met: str, match: str) -> str:
+    """CTEs from the page hits ``met`` (query_id, row_id, rank, semantic_score, raw) to ``kept``, with ``match`` as match_score."""
+    return f"""mm AS ({met}),
 f AS (
   SELECT m.*, doc_id, page_no, text, bucket, query, qt, len(list_filter(qt, lambda x: contains(lower(text), x))) AS lex, length(trim(query)) >= 3 AND contains(lower(text), lower(trim(query))) AS exact
-  FROM mm m JOIN pv USING (row_id) JOIN qq USING (query_id)),
+  FROM mm m JOIN pb USING (row_id) JOIN qq USING (query_id)),
 g AS (SELECT *, CASE WHEN rank IS NULL THEN 0 ELSE 1 / (10 + rank) + CASE WHEN exact THEN 0.08e0 ELSE 0 END + least(lex, 4) * 0.015e0 END AS keyword_score, CASE bucket WHEN 'references' THEN 0.18e0 WHEN 'front_matter' THEN 0.6e0 ELSE 1 END AS factor FROM f),
-h AS (SELECT *, (keyword_score + semantic_score + CASE WHEN keyword_score > 0 AND semantic_score > 0 THEN 0.05e0 ELSE 0 END + CASE WHEN exact THEN 0.05e0 ELSE 0 END + least(lex, 4) * 0.01e0) * factor AS match_score FROM g),
-ts AS (
-  SELECT query_id, token, round(ln((n + 1) / (coalesce(df, 0) + 1)) + 1, 6) AS weight, coalesce(df, 0) <= greatest(3, floor(n * 0.06)) AS rare
-  FROM (SELECT query_id, unnest(qt) AS token FROM qq) LEFT JOIN df USING (token), (SELECT count(*) AS n FROM pg) WHERE token NOT IN ({_STOPS})),
-tl AS (SELECT query_id, list({{'t': token, 'w': weight, 'r': rare}}) AS ts FROM ts GROUP BY 1),
+h AS (SELECT *, {match} AS match_score FROM g),
+{_STATS},
 a AS (SELECT h.*, coalesce(ts, []) AS ts FROM h LEFT JOIN tl USING (query_id)),
 c AS (
   SELECT *, len(list_filter(ts, lambda x: contains(lower(text), x.t))) AS content, len(ts) AS content_count, len(list_filter(ts, lambda x: x.r AND contains(lower(text), x.t))) AS rare, len(list_filter(ts, lambda x: x.r)) AS nrare,
     coalesce(list_sum(list_transform(list_filter(ts, lambda x: contains(lower(text), x.t)), lambda x: x.w)) / list_sum(list_transform(ts, lambda x: x.w)), 0) AS weighted, CASE WHEN len(qt) <= 2 THEN 1 ELSE 2 END AS least_hits FROM a),
-e AS (SELECT *, content >= CASE WHEN content_count <= 2 THEN 1 ELSE 2 END AND lex >= least_hits AS enough FROM c)
-SELECT query_id, row_id, doc_id, page_no, round(keyword_score, 6) AS keyword_score, round(semantic_score, 6) AS semantic_score, round(match_score, 6) AS match_score, lex AS lex_hits, exact AS exact_phrase, bucket AS search_bucket FROM e
-WHERE CASE WHEN bucket = 'references' THEN false WHEN exact THEN true WHEN content_count = 0 AND lex >= least_hits THEN true WHEN bucket = 'front_matter' THEN keyword_score >= 0.12e0 AND content >= 1
-  WHEN enough THEN nrare = 0 OR rare >= CASE WHEN nrare <= 2 THEN 1 ELSE 2 END OR (weighted >= 0.78e0 AND match_score >= 0.1e0) WHEN nrare > 0 AND rare = 0 THEN false WHEN content >= 1 AND weighted < 0.52e0 THEN false
-  ELSE match_score >= 0.085e0 AND content >= 1 AND (nrare = 0 OR rare >= 1) AND (lex >= greatest(1, least_hits - 1) OR lex + CASE WHEN exact THEN 8 ELSE 0 END >= 4.5e0 OR keyword_score >= 0.05e0 OR raw >= 0.012e0) END"""
+{_KEPT}"""
+
+
+_PAGE_BASE = f"WITH {PAGE_PHRASE}, {_ASKED}, pb AS (SELECT row_id, doc_id, page_no, text, {BUCKET} AS bucket FROM pg)"
+HYBRID = f"""{_PAGE_BASE},
+pv AS (SELECT row_id, {_VECTOR} AS v FROM (SELECT row_id, {_CODES.format('text')} AS c FROM pg)),
+qv AS (SELECT query_id, {_VECTOR} AS v FROM (SELECT query_id, {_CODES.format('query')} AS c FROM qq)),
+sim AS (SELECT query_id, row_id, round(list_dot_product(q.v, p.v) / greatest(sqrt(list_dot_product(q.v, q.v)), 1e-300) / greatest(sqrt(list_dot_product(p.v, p.v)), 1e-300), 6) AS s FROM qv q, pv p),
+near AS (SELECT query_id, row_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row_id) AS rank FROM sim),
+sem AS (SELECT query_id, row_id, round(1 / (15 + rank) + greatest(0, least(1, s)) * 0.15e0, 6) AS semantic_score, s AS raw FROM near WHERE rank <= 20 AND s > 0),
+kw AS (SELECT query_id, row_id, rank FROM ranked WHERE rank <= 20),
+{gated_sql("SELECT query_id, row_id, rank, coalesce(semantic_score, 0) AS semantic_score, coalesce(raw, 0) AS raw FROM kw FULL JOIN sem USING (query_id, row_id)",
+           "(keyword_score + semantic_score + CASE WHEN keyword_score > 0 AND semantic_score > 0 THEN 0.05e0 ELSE 0 END + CASE WHEN exact THEN 0.05e0 ELSE 0 END + least(lex, 4) * 0.01e0) * factor")}
+SELECT query_id, row_id, doc_id, page_no, round(keyword_score, 6) AS keyword_score, round(semantic_score, 6) AS semantic_score, round(match_score, 6) AS match_score, lex AS lex_hits, exact AS exact_phrase, bucket AS search_bucket FROM kept"""
+KEYWORD_DOCUMENTS = f"""{_PAGE_BASE},
+{gated_sql("SELECT query_id, row_id, rank, 0e0 AS semantic_score, 0e0 AS raw FROM ranked WHERE rank <= 20", "keyword_score * factor")},
+top3 AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY match_score DESC, row_id) AS i FROM kept QUALIFY i <= 3),
+dg AS (
+  SELECT query_id, doc_id, sum(CASE i WHEN 1 THEN 1e0 WHEN 2 THEN 0.6e0 ELSE 0.35e0 END * match_score) AS s, count(DISTINCT page_no) AS np, count(*) AS n_support, bool_and(bucket = 'references') AS ar, bool_or(i = 1 AND bucket = 'references') AS fr,
+    bool_or(bucket = 'body') AS ab, bool_and(bucket = 'front_matter') AS af, bool_or(i = 1 AND bucket = 'front_matter') AS ff FROM top3 GROUP BY ALL),
+ds AS (
+  SELECT query_id, doc_id, n_support, round((s + CASE WHEN np > 1 THEN least(np - 1, 2) * 0.02e0 ELSE 0 END) * CASE WHEN ar THEN 0.12e0 WHEN fr AND NOT ab THEN 0.22e0 WHEN af THEN 0.5e0 WHEN ff AND NOT ab THEN 0.7e0 ELSE 1 END, 6) AS score FROM dg)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score, n_support FROM ds QUALIFY rank <= 20"""
+TITLES = f"""WITH {PHRASE}, {_ASKED}, {_STATS},
+ti AS (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents), tw AS (SELECT doc_id, lower(title) AS title, regexp_extract_all(lower(title), '[a-z0-9]+') AS words FROM ti),
+qc AS (SELECT query_id, query, qt, list_filter(qt, lambda x: x NOT IN ({_STOPS})) AS content, coalesce(list_transform(list_filter(ts, lambda x: x.r), lambda x: x.t), []) AS rare FROM qq LEFT JOIN tl USING (query_id)),
+pr AS (SELECT query_id, doc_id, title, contains(title, lower(trim(query))) AS phrase, len(list_filter(qt, lambda x: contains(title, x))) AS o, len(list_filter(content, lambda x: contains(title, x))) AS c, len(list_filter(rare, lambda x: contains(title, x))) AS r, len(content) AS nc, len(rare) AS nr
+  FROM qc JOIN tw ON list_has_any(qt, words))
+SELECT query_id, doc_id, round(CASE WHEN phrase THEN 0.18e0 ELSE 0 END + least(o, 5) * 0.015e0 + least(c, 5) * 0.05e0 + r * 0.07e0 + CASE WHEN nc > 0 THEN c / nc * 0.1e0 ELSE 0 END + CASE WHEN nr > 0 THEN r / nr * 0.1e0 ELSE 0 END, 6) AS bonus
+FROM pr WHERE phrase OR c > 0 OR r > 0 OR o >= 2"""
+
+
+@query(KEYWORD_DOCUMENTS)
+def j8_search_documents(spark, d):
+    return hybrid.search_documents(batch(spark, d), pages(spark, d), page_index(spark, d))
 
 
 @query(HYBRID)
@@ -294,7 +322,7 @@ def a12_page_hits(spark, d):
     return evaluate.localized_eval(*page_sides(spark, d))
 
 
-@query()
+@query(TITLES)
 def j11_title_bonus(spark, d):
     titled = docs(spark, d).select("doc_id", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"))
     stats = search.token_stats(batch(spark, d), doc_index(spark, d))
@@ -367,7 +395,7 @@ def w2_split_text(spark, d):
     return structure.split_text(docs(spark, d).select("doc_id", "text"), 900, 100, 100).select("doc_id", "piece_no", "piece")
 
 
-@query()
+@query(f"WITH RECURSIVE {BLOCKS}, r(doc_id, block_index, chunk_no, n) AS (SELECT doc_id, block_index, 0, length(text) FROM b WHERE block_index = 0 UNION ALL SELECT b.doc_id, b.block_index, CASE WHEN n > 0 AND n + length(text) <= 1200 THEN chunk_no ELSE chunk_no + 1 END, CASE WHEN n > 0 AND n + length(text) <= 1200 THEN n + 1 + length(text) ELSE length(text) END FROM r JOIN b ON b.doc_id = r.doc_id AND b.block_index = r.block_index + 1) SELECT doc_id, block_index::INT AS block_index, chunk_no FROM r")
 def w3_pack_simple(spark, d):
     return structure.pack_simple(corpus.blocks_of(docs(spark, d)))
 

@@ -134,6 +134,18 @@ def test_summaries(spark):
     assert by[0] - by[2] > 0.4 and by[1] < by[3] + 1.0
 
 
+def test_related_work_leaves_own_results_aside_and_short_sections_are_cut(spark):
+    own = "We improve on the benchmark with results that outperform all of the other systems there."
+    theirs = "Earlier systems relied on hand written rules for the parsing of long legal documents."
+    long = " ".join(f"word{i}," for i in range(400))
+    rows = [(1, "r", "related_work", f"{own} {theirs}"), (1, "o", "related_work", own), (1, "m", "methodology", own), (2, "x", None, long), (2, "y", None, "Too short."), (2, "z", None, " ")]
+    sections = spark.createDataFrame(rows, "doc_id long, section string, canonical string, text string")
+    found = summaries.summarize(summaries.sentence_scores(sections))
+    got = {(r.doc_id, r.section): r.summary for r in found.unionByName(summaries.fallback_summaries(sections, found)).collect()}
+    assert got[1, "r"] == theirs and got[1, "o"] == own and got[1, "m"] == own
+    assert got[2, "y"] == "Too short." and got[2, "x"].endswith("word74...") and (2, "z") not in got
+
+
 def test_best_blocks(spark):
     hits = spark.createDataFrame([(1, 10, "deep nets"), (2, 10, "nothing"), (3, 99, "deep")], "query_id long, row_id long, query string")
     blocks = spark.createDataFrame([(10, 0, "nets that are deep"), (10, 1, "these deep nets"), (10, 2, "these deep nets"), (10, 3, None)], "row_id long, block_index int, text string")
