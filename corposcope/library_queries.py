@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corposcope.functions import sentences as S
 from corposcope.functions import text as X
 from corposcope.operators import layout, search, sections
-from corposcope.queries import BLOCKS, PHRASE, batch, doc_index, docs, pages, query, ranked
+from corposcope.queries import BLOCKS, PHRASE, TITLES, batch, doc_index, docs, pages, query, ranked
 from corposcope.sources import corpus, registry
 
 BOXES = BLOCKS + ", x AS (SELECT doc_id, block_index::INT AS block_index, (block_index // 5 + 1)::INT AS page_no, text, 0e0 AS x0, (block_index % 5) * 20e0 AS y0, least(length(text), 400)::DOUBLE AS x1, (block_index % 5) * 20e0 + 16e0 AS y1 FROM b), a AS (SELECT doc_id, page_no, page_no AS asset_id, 20e0 AS x0, (doc_id % 5) * 18e0 AS y0, 220e0 AS x1, (doc_id % 5) * 18e0 + 30e0 AS y1 FROM (SELECT DISTINCT doc_id, page_no FROM x))"
@@ -255,7 +255,12 @@ def a27_context_by_source(spark, d):
     return search.context_by_doc(hits).select("query_id", "source_no", "doc_id", "n", F.md5("context").alias("hash"))
 
 
-@query()
+RESCUED = TITLES.replace("\nSELECT query_id, doc_id, round(CASE WHEN phrase", ",\nbn AS (SELECT query_id, doc_id, round(CASE WHEN phrase") + (
+    f"), {BLOCKS}, fp AS (SELECT doc_id, min(block_index // 5 + 1)::INT AS page_no FROM b GROUP BY 1) SELECT query_id, doc_id, bonus AS score, page_no FROM bn JOIN fp USING (doc_id) WHERE bonus >= 0.3e0 AND (query_id, doc_id) NOT IN (SELECT query_id, row_id FROM ranked WHERE rank <= 10)"
+)
+
+
+@query(RESCUED)
 def j12_title_rescue(spark, d):
     titled = docs(spark, d).select("doc_id", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"))
     stats = search.token_stats(batch(spark, d), doc_index(spark, d))
