@@ -12,8 +12,11 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -48,14 +51,29 @@ def bucket_of(token: Column, buckets) -> Column:
 
 
 def positions(rows: DataFrame) -> DataFrame:
-    """(token, row_id, positions) of rows (row_id, text), grouped within each row, so nothing is shuffled."""
-    tokens = X.index_tokens(F.col("text"))
-    sorted_ = rows.select(F.col("row_id").cast("long").alias("row_id"), F.explode(F.array(F.struct(F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("p")))).alias("s")))).alias("a")).select("row_id", F.col("a.s").alias("s"))
-    s = F.col("s")
-    places = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["t"] != x["t"]), i)), lambda i: i.isNotNull())
-    firsts = sorted_.select("row_id", "s", F.explode(F.array(F.struct(places.alias("f")))).alias("b")).select("row_id", "s", F.col("b.f").alias("f"))
-    group = lambda i, j: F.struct(F.get(s, i)["t"].alias("token"), F.transform(F.slice(s, i + 1, F.coalesce(F.get(F.col("f"), j + 1), F.size(s)) - i), lambda x: x["p"]).alias("positions"))
-    return firsts.select("row_id", F.inline(F.transform("f", group))).select("token", "row_id", "positions")
+    """(token, row_id, positions) of rows (row_id, text), grouped within each row, so nothing is shuffled.
+
+    Tokens are cut by Spark; a batch's tokens are numbered, sorted by row, token and place at once, and cut into lists.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            starts, words = lists.offsets.to_numpy(), lists.flatten()
+            if not len(words):
+                continue
+            sizes = np.diff(starts)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(words)) - np.repeat(starts[:-1] - starts[0], sizes)
+            coded = words.dictionary_encode()
+            code = coded.indices.to_numpy().astype(np.int64)
+            order = np.argsort(row * len(coded.dictionary) + code, kind="stable")  # places stay in order
+            r, c = row[order], code[order]
+            first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (c[1:] != c[:-1]))))
+            found = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(c[first])), batch.column(0).take(pa.array(r[first])), found], ["token", "row_id", "positions"])
+
+    return rows.select(F.col("row_id").cast("long").alias("row_id"), X.index_tokens(F.col("text")).alias("tokens")).mapInArrow(run, "token string, row_id long, positions array<int>")
 
 
 def trigrams(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corposcope.functions import text as X
+from corposcope.functions.sentences import sentences
 from corposcope.operators import layout, search, sections
 from corposcope.sources import registry
 
@@ -85,7 +86,7 @@ def test_small_text_rules(spark):
     assert column(spark, X.abstract_of, "Title\nAbstract\nWe show it.\n1 Introduction\nText") == "We show it."
     assert column(spark, X.abstract_of, "no such part") == "no such part"
     assert [column(spark, X.noise_line, t) for t in ("12", "3.1.", "Figure 2:", "= + 12 34", "Plain words here", "")] == [True, True, True, True, False, False]
-    assert column(spark, X.sentences, "Short one. This sentence has more than six words in it. End.") == ["This sentence has more than six words in it."]
+    assert column(spark, sentences, "Short one. This sentence has more than six words in it. End.") == ["This sentence has more than six words in it."]
     assert column(spark, lambda x: X.boundary_match(F.lit("GAN"), x), "Two GANs, compared") is True
     assert column(spark, lambda x: X.boundary_match(F.lit("GAN"), x), "organ") is False
 
