@@ -93,7 +93,10 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def format_log(events: DataFrame) -> DataFrame:
-    """Folds an event log and renders it. An empty log gives no rows; other columns are ignored."""
+    """Folds an event log and renders it. An empty log gives no rows; other columns are ignored.
+
+    Null texts are empty. A conversation, however long, is gathered as one row and rendered as one string of one task.
+    """
     return render(fold(events))
 
 

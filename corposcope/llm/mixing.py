@@ -128,7 +128,8 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS,
     A document is taken whole, ``taken / size`` times, at most ``most``. Sources
     come to their targets to the word where lengths allow it. The choice hangs
     on (doc_id, text, seed) alone, so reruns agree. A null text, or one without
-    words, has size 0 and is never taken. Null sources are one source. Repeated
+    words, has size 0 and is never taken. A very long text is one document of its size,
+    which a source whose budget is smaller leaves out. Null sources are one source. Repeated
     rows are documents each. An empty table gives no rows. Added columns
     replace columns of these names. Texts are carried, or left out on request.
     The knapsack fits the last ``window`` words of a source's budget or fewer; what

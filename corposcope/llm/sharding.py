@@ -157,8 +157,9 @@ def shard(docs: DataFrame, shards: int = 40, dimensions: tuple[str, ...] = DIMEN
     """``docs`` with ``size``, ``text_crc32``, ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in a shard).
 
     Shards hold near-equal bytes (law "bytes"): a cut is off by half a document
-    at most. Equal texts stand together in the order of a dimension, so a cut
-    divides a group of copies only where bytes demand it. A null text has
+    at most. Rows are placed by source, language, length and id, so copies of a text that
+    differ in one of these may lie in different shards: the law is about bytes, and a group of copies may be
+    larger than a shard. A very long text is one row of its size: a shard that holds it may exceed the others by half of it. A null text has
     no bytes and the checksum of the empty text; null metadata sort first. Rows
     equal in doc_id and text go to one shard. An empty table gives no rows.
     Added columns replace columns of these names.

@@ -458,7 +458,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> Da
     most 3) bits; ``component_id`` is the least doc_id reached over links.
     Equal fingerprints are one node, so copies cost one row each however many
     there are. Null and empty texts have fingerprint 0 and are linked like any
-    other. Rows that repeat a doc_id keep a row each. A null doc_id never
+    other. A very long text is hashed whole, in memory of some times its size. Rows that repeat a doc_id keep a row each. A null doc_id never
     becomes a component_id unless the whole component has none. An empty table
     gives an empty result. Other columns are kept; of a clash with ``fp`` or
     ``component_id`` the operator's own column wins.
