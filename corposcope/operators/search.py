@@ -203,18 +203,31 @@ def title_bonus(queries: DataFrame, docs: DataFrame, stats: DataFrame) -> DataFr
     """(query_id, doc_id, bonus) over docs (doc_id, title); only titles that share a token with the query are met.
 
     All documents are candidates. Titles are joined by their tokens to the queries'
-    tokens, so a query word inside a longer title word does not count here.
+    tokens, so a query word inside a longer title word does not count here. A title's words are
+    held against the queries' tokens once for each different word; what a query and a title share is counted, and
+    only titles with every token of a query are searched for its whole text. (doc_id) must be a key of ``docs``.
     """
     q = queries.select("query_id", "query", X.query_tokens(F.col("query")).alias("tokens"), X.content_tokens(F.col("query")).alias("content"))
     rare = stats.filter("rare").groupBy("query_id").agg(F.collect_list("token").alias("rare"))
     q = q.join(rare, "query_id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
-    words = docs.select("doc_id", F.explode(F.array_distinct(X.index_tokens(F.col("title")))).alias("token"))
-    pairs = words.join(q.select("query_id", F.explode("tokens").alias("token")), "token").select("query_id", "doc_id").distinct()
-    met = pairs.join(q, "query_id").join(docs.select("doc_id", F.lower("title").alias("title")), "doc_id")
-    over, content, rares = (X.lex_hits(F.col(c), F.col("title")) for c in ("tokens", "content", "rare"))
-    phrase = F.contains(F.col("title"), F.lower(F.trim("query")))
+    within = lambda c: F.array_contains(c, F.col("part")).cast("int")
+    marked = q.select("query_id", F.explode("tokens").alias("part"), "content", "rare").select("query_id", "part", within("content").alias("c"), within("rare").alias("r"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(X.index_tokens(F.col("title")))).alias("word"))
+    # tokens are letters and digits alone, so one that stands in a title stands in a word of it
+    starts = F.sequence(F.lit(1), F.length("word") - 2)
+    pieces = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(3), F.length("word") - i + 1), lambda n: F.substring("word", i, n)))))
+    inside = words.filter(F.length("word") > 2).select("word").distinct().select("word", F.explode(pieces).alias("part")).join(marked.select("part").distinct(), "part")
+    whole = F.max((F.col("part") == F.col("word")).cast("int")).alias("whole")
+    shared = words.join(inside, "word").repartition("doc_id").groupBy("doc_id", "part").agg(whole)
+    # a batch of queries is small beside the titles, and the counts stay where a title's words came together
+    counts = shared.join(F.broadcast(marked), "part").groupBy("doc_id", "query_id").agg(F.count(F.lit(1)).alias("o"), F.sum("c").alias("c"), F.sum("r").alias("r"), F.max("whole").alias("whole")).filter("whole = 1")
+    sized = counts.join(F.broadcast(q.select("query_id", F.size("tokens").alias("n"), F.size("content").alias("nc"), F.size("rare").alias("nr"))), "query_id")
+    full = sized.filter("o = n").select("query_id", "doc_id").join(q.select("query_id", F.lower(F.trim("query")).alias("query")), "query_id").join(docs.select("doc_id", F.lower("title").alias("title")), "doc_id")
+    held = full.filter(F.contains("title", "query")).select("query_id", "doc_id", F.lit(True).alias("phrase"))
+    met = sized.join(held, ["query_id", "doc_id"], "left").withColumn("phrase", F.coalesce("phrase", F.lit(False)))
+    over, content, rares, phrase = F.col("o"), F.col("c"), F.col("r"), F.col("phrase")
     score = F.when(phrase, 0.18).otherwise(0.0) + F.least(over, F.lit(5)) * 0.015 + F.least(content, F.lit(5)) * 0.05 + rares * 0.07
-    score = score + F.when(F.size("content") > 0, content / F.size("content")).otherwise(0.0) * 0.10 + F.when(F.size("rare") > 0, rares / F.size("rare")).otherwise(0.0) * 0.10
+    score = score + F.when(F.col("nc") > 0, content / F.col("nc")).otherwise(0.0) * 0.10 + F.when(F.col("nr") > 0, rares / F.col("nr")).otherwise(0.0) * 0.10
     return met.filter(phrase | (content > 0) | (rares > 0) | (over >= 2)).select("query_id", "doc_id", F.round(score, 6).alias("bonus"))
 
 
@@ -329,7 +342,10 @@ def doc_gate(hits: DataFrame, bonus: DataFrame, title_alone: float = 0.30) -> Da
     )
     body = F.col("search_bucket") == "body"
     best = top.groupBy("query_id", "doc_id").agg(F.min(facts).alias("first"), F.min(F.when(body, facts)).alias("body"), F.count_if(body & ~X.is_low_salience(F.col("canonical"))).alias("salient"))
-    met = best.join(bonus.select("query_id", "doc_id", F.col("bonus").alias("title_bonus")), ["query_id", "doc_id"], "full_outer").withColumn("title_bonus", F.coalesce("title_bonus", F.lit(0.0)))
+    # of titles alone only high ones count; the others matter where there are hits, and these are few for each query
+    known = bonus.select("query_id", "doc_id", F.col("bonus").alias("title_bonus")).join(F.broadcast(best.select("query_id", "doc_id", F.lit(True).alias("hit_"))), ["query_id", "doc_id"], "left")
+    known = known.filter((F.col("title_bonus") >= title_alone) | F.col("hit_")).drop("hit_")
+    met = best.join(known, ["query_id", "doc_id"], "full_outer").withColumn("title_bonus", F.coalesce("title_bonus", F.lit(0.0)))
     b, f, title = F.col("body"), F.col("first"), F.col("title_bonus")
     keep = (
         F.when(f.isNull(), title >= title_alone).when(b["low"] & (title < 0.10) & (F.col("salient") == 0), False)
