@@ -80,8 +80,9 @@ _STRIPPED = "html"
 for _tag in ("script", "style", "noscript", "header", "footer", "nav", "aside", "form", "svg", "canvas"):
     _STRIPPED = f"regexp_replace({_STRIPPED}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', '', 'g')"
 _PLAIN = "regexp_replace(t, '(?s)<[^>]*>', ' ', 'g')"
-for _written, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-    _PLAIN = f"replace({_PLAIN}, '{_written}', '{_sign}')"
+# A character reference may end without its semicolon; a number goes on with its digits.
+for _written, _sign in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39(;|$)", "''"), ("&#39([^0-9;])", "''\\1"), ("&nbsp;?", " "), ("&amp;?", "&")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_written}', '{_sign}', 'g')"
 
 
 @query(f"""WITH h AS (SELECT page_id, regexp_extract({_STRIPPED}, '(?is)<article\\b[^>]*>(.*)</article>', 1) AS body FROM pages),
