@@ -15,7 +15,11 @@ from corposcope.queries import BLOCKS, PAGES, PHRASE, batch, docs, page_index, p
 from corposcope.sources import corpus
 
 FIELDS = PHRASE.replace("lower(text), '[a-z0-9]+') AS tokens FROM documents", "lower(concat_ws(' ', source, text)), '[a-z0-9]+') AS tokens FROM documents")
-WORDS = PHRASE.replace("lower(text), '[a-z0-9]+') AS q FROM benchmark", "regexp_extract(text, '\\b([a-z]{3})s\\b', 1), '[a-z0-9]+') AS q FROM benchmark WHERE regexp_matches(text, '\\b[a-z]{3}s\\b')")
+# The twin's word boundaries see ASCII alone, so other letters are Q there.
+_LETTERS = "regexp_replace(text, '[^\\x00-\\x7F\\PL]', 'Q', 'g')"
+WORDS = PHRASE.replace("lower(text), '[a-z0-9]+') AS q FROM benchmark", f"regexp_extract({_LETTERS}, '\\b([a-z]{{3}})s\\b', 1), '[a-z0-9]+') AS q FROM benchmark WHERE regexp_matches({_LETTERS}, '\\b[a-z]{{3}}s\\b')")
+
+SHORT_PLURAL = r"(?<![\p{L}0-9_])([a-z]{3})s(?![\p{L}0-9_])"
 
 
 @query()
@@ -52,8 +56,8 @@ def j2_search_records(spark, d):
     " n AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY row_id))::INT AS rank, row_id, NULL::DOUBLE AS bm25 FROM o) SELECT * FROM (SELECT * FROM ranked UNION ALL SELECT * FROM n) WHERE rank <= 20"
 )
 def j1_search_with_boundaries(spark, d):
-    """Three letters before an s, of each passage that has such a word."""
-    word = F.regexp_extract("query", r"\b([a-z]{3})s\b", 1)
+    """Three letters before an s, of each passage that has such a word; letters beyond ASCII are letters of words too."""
+    word = F.regexp_extract("query", SHORT_PLURAL, 1)
     asked = batch(spark, d).select("query_id", word.alias("query")).filter("query <> ''")
     return passages.search_with_boundaries(asked, docs(spark, d).select(F.col("doc_id").alias("row_id"), "text"), 20)
 

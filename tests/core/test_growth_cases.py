@@ -1,9 +1,14 @@
 """Work that has to grow with the input alone, and rows on which queries and their SQL twins differed."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  (registers the queries)
 from corposcope.functions import text as X
 from corposcope.operators import search
+from corposcope.passage_queries import SHORT_PLURAL
+from corposcope.queries import ORACLES
+from corposcope.sources import html
 
 
 def test_heading_is_normalised_once(spark):
@@ -21,3 +26,32 @@ def test_titles_are_searched_for_whole_queries_alone(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(title") == 1
     # a token inside a longer word counts where another token of the query stands as a whole word
     assert {(r.query_id, r.doc_id): r.bonus for r in found.collect()} == {(1, 1): 0.645, (1, 2): 0.366667, (2, 3): 0.345}
+
+
+def twin(name: str, **tables: str) -> list[tuple]:
+    """The rows of a query's SQL over tables given as SQL."""
+    con = duckdb.connect()
+    for table, rows in tables.items():
+        con.execute(f"CREATE TABLE {table} AS {rows}")
+    return sorted(con.execute(ORACLES[name]).fetchall())
+
+
+def test_references_without_semicolon(spark):
+    page = "<html><head><title>a &amp b &lt</title></head><body><article><p>x &gt;&amp y &#39 z &#390;</p></article></body></html>"
+    pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    rows = "SELECT 1::BIGINT AS page_id, 'u' AS url, '" + page.replace("&#390;", "end") + "' AS html"
+    plain = pages.withColumn("html", F.replace("html", F.lit("&#390;"), F.lit("end")))
+    assert [tuple(r) for r in html.html_titles(plain).collect()] == twin("s2_html_titles", pages=rows) == [(1, "a & b <")]
+    assert [tuple(r) for r in html.html_blocks(plain).collect()] == twin("s2_html_blocks", pages=rows) == [(1, 1, "p", "x >& y ' z end")]
+
+
+def test_years_of_reference_lines():
+    line = "[x] Ann Lee and Bob Ray in Proceedings of Things, 1998, and some more words"
+    assert twin("w12_reference_like_lines", documents=f"SELECT 1::BIGINT AS doc_id, '{line}' AS text") == [(1, 0, True)]
+
+
+def test_words_beside_other_letters(spark):
+    said = "ñabcs and xyzs, éfgs"
+    assert spark.createDataFrame([(said,)], "query string").select(F.regexp_extract("query", SHORT_PLURAL, 1)).first()[0] == "xyz"
+    rows = twin("j1_search_with_boundaries", benchmark=f"SELECT 1::BIGINT AS item_id, '{said}' AS text", documents="SELECT 7::BIGINT AS doc_id, 'one xyz' AS text UNION ALL SELECT 8, 'one abc'")
+    assert [r[:3] for r in rows] == [(1, 1, 7)]
