@@ -31,11 +31,12 @@ def rows_with_all(asked: DataFrame, index: Index) -> DataFrame:
     """(query_id, row_id, token, positions, df and the other columns of ``asked``) for rows that hold all of a query's tokens.
 
     ``asked`` has a row (query_id, token, n, bucket, df) for each distinct token of a query, ``n`` being their
-    number. A query's rarest token proposes rows, and only these meet its other tokens, so
-    the postings of a word that every row holds are read but never multiplied.
+    number. Rows that hold a query's three rarest tokens are proposed, and only these meet its other
+    tokens, so the postings of a word that every row holds are read but never multiplied.
     """
-    rarest = asked.filter("df > 0").groupBy("query_id").agg(F.min(F.struct("df", "token", "bucket")).alias("r")).select("query_id", "r.token", "r.bucket")
-    proposed = index.postings.select("bucket", "token", "row_id").join(rarest, ["bucket", "token"]).select("query_id", "row_id")
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "token"))
+    rarest = asked.filter("df > 0").select("query_id", "bucket", "token", "df").withColumn("i", order).filter("i <= 3").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).drop("df", "i")
+    proposed = index.postings.select("bucket", "token", "row_id").join(rarest, ["bucket", "token"]).groupBy("query_id", "row_id", "m").agg(F.count(F.lit(1)).alias("held_")).filter("held_ = m").select("query_id", "row_id")
     complete = asked.groupBy("query_id").agg(F.min("df").alias("least")).filter("least > 0").select("query_id")
     wanted = proposed.join(complete, "query_id", "left_semi").join(asked, "query_id")
     read = index.postings.join(asked.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi")

@@ -25,6 +25,8 @@ from corposcope.functions import text as X
 
 #: Bytes of text a folder of postings is meant for, and the most folders.
 FOLDER_BYTES, MOST_FOLDERS = 256 * 2**20, 4096
+#: Characters of text whose postings a task sorts, and those that are cut into positions at once.
+TASK_CHARS, BATCH_CHARS = 8 * 2**20, 2 * 2**20
 
 
 @dataclass(frozen=True)
@@ -56,9 +58,18 @@ def positions(rows: DataFrame) -> DataFrame:
     Tokens are cut by Spark; a batch's tokens are numbered, sorted by row, token and place at once, and cut into lists.
     """
 
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Pieces of a batch of about as many tokens as ``BATCH_CHARS`` hold, of whole rows."""
+        ends = batch.column(1).offsets.to_numpy()[1:]
+        piece = (ends - batch.column(1).offsets.to_numpy()[0]) * 4 // BATCH_CHARS
+        bounds = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield batch.slice(a, b - a)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in cut(whole)):
             lists = batch.column(1)
+            # a slice's values are its own rows' alone
             starts, words = lists.offsets.to_numpy(), lists.flatten()
             if not len(words):
                 continue
@@ -112,10 +123,10 @@ def unwritten(rows: DataFrame) -> Index:
     return Index(postings, vocabulary, lengths.join(norms(postings, vocabulary, stats), "row_id", "left"), stats)
 
 
-def _write_postings(rows: DataFrame, path: str, buckets: int) -> DataFrame:
-    """Postings by folder and, where there is more than one, in eight slices of rows, so that a token which every row holds fills no task."""
-    slices = 8 if buckets > 8 else 1
-    dealt = rows.withColumn("bucket", bucket_of(F.col("token"), buckets)).repartition(F.col("bucket"), F.pmod(F.hash("row_id"), F.lit(slices)))
+def _write_postings(rows: DataFrame, path: str, buckets: int, chars: int) -> DataFrame:
+    """Postings by folder and in slices of rows, as many as keep what a task sorts small, however many rows hold a token; ``chars`` of text in all."""
+    slices = max(1, -(-chars // (buckets * TASK_CHARS)))
+    dealt = rows.withColumn("bucket", bucket_of(F.col("token"), buckets)).repartition(2 * buckets * slices, F.col("bucket"), F.pmod(F.hash("row_id"), F.lit(slices)))
     dealt.sortWithinPartitions("bucket", "token", "row_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
     return rows.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("bucket", IntegerType())])).parquet(path)
 
@@ -127,7 +138,7 @@ def build(rows: DataFrame, folder: str) -> Index:
     sizes = spark.read.parquet(f"{folder}/sizes")
     total = sizes.agg(F.sum("n_chars")).first()[0] or 0
     buckets = max(4, min(MOST_FOLDERS, total // FOLDER_BYTES))
-    postings = _write_postings(positions(rows), f"{folder}/postings", buckets)
+    postings = _write_postings(positions(rows), f"{folder}/postings", buckets, total)
     vocabulary_of(postings).write.mode("overwrite").parquet(f"{folder}/vocabulary")
     vocabulary, stats = spark.read.parquet(f"{folder}/vocabulary"), stats_of(sizes, buckets)
     sizes.select("row_id", "n_tokens").join(norms(postings, vocabulary, stats), "row_id", "left").write.mode("overwrite").parquet(f"{folder}/lengths")
@@ -144,7 +155,7 @@ def build_grams(rows: DataFrame, folder: str) -> Grams:
     """Writes the trigrams of rows (row_id, text) to ``folder``."""
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(4, min(MOST_FOLDERS, total // FOLDER_BYTES))
-    postings = _write_postings(trigrams(rows), f"{folder}/grams", buckets)
+    postings = _write_postings(trigrams(rows), f"{folder}/grams", buckets, total)
     vocabulary_of(postings).write.mode("overwrite").parquet(f"{folder}/gram_vocabulary")
     rows.sparkSession.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{folder}/gram_stats")
     return read_grams(rows.sparkSession, folder)
