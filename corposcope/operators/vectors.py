@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from corposcope.operators.search import top_per_query
 
 GROUP = 10_000
+# Queries that meet a batch of rows at once, and an id after all others.
+AT_ONCE, LAST = 256, np.iinfo(np.int64).max
 FOUND = "query_id long, row_id long, similarity double"
 
 
@@ -35,6 +37,23 @@ def query_groups(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.
         yield {d: (np.array([i for i, _ in q], np.int64), unit(np.array([v for _, v in q], np.float64).reshape(len(q), d))) for d, q in found.items()}
 
 
+def merge(best: tuple[np.ndarray, np.ndarray], at: int, s: np.ndarray, own: np.ndarray) -> None:
+    """Puts the similarities ``s`` of the queries from ``at`` on with the rows ``own`` into their best lists (similarities, ids), in place."""
+    held, ids = best[0][at : at + len(s)], best[1][at : at + len(s)]
+    better = s >= held[:, -1:]
+    better &= np.isfinite(s)
+    r, c = np.nonzero(better)
+    if not len(r):
+        return
+    kept = np.isfinite(held)
+    rows, score, row_id = np.concatenate((np.nonzero(kept)[0], r)), np.concatenate((held[kept], s[r, c])), np.concatenate((ids[kept], own[c]))
+    order = np.lexsort((row_id, -score, rows))
+    rows = rows[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    first = place < held.shape[1]
+    held[rows[first], place[first]], ids[rows[first], place[first]] = score[order[first]], row_id[order[first]]
+
+
 def scanned(queries: DataFrame, rows: DataFrame, k: int, scores: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(query_id, row_id, similarity): each task's k best rows (row_id, v) for each query; ``scores`` gives similarities of query vectors and a batch's vectors, -inf for pairs it leaves out."""
 
@@ -51,15 +70,12 @@ def scanned(queries: DataFrame, rows: DataFrame, k: int, scores: Callable[[np.nd
                     if not len(at):
                         continue
                     x, ids = unit(values[starts[at][:, None] + np.arange(d)]), every[at]
+                    if d not in best:
+                        best[d] = np.full((len(q), k), -np.inf), np.full((len(q), k), LAST)
                     for i in range(0, len(x), 2048):
-                        s = np.round(scores(q, x[i : i + 2048]), 6)
                         own = ids[i : i + 2048]
-                        if d in best:
-                            s, own = np.concatenate((best[d][0], s), axis=1), np.concatenate((best[d][1], np.broadcast_to(own, s.shape)), axis=1)
-                        else:
-                            own = np.broadcast_to(own, s.shape)
-                        order = np.lexsort((own, -s), axis=1)[:, :k]
-                        best[d] = np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
+                        for j in range(0, len(q), AT_ONCE):  # what is held at once grows with neither side
+                            merge(best[d], j, np.round(scores(q[j : j + AT_ONCE], x[i : i + 2048]), 6), own)
             for d, (s, own) in best.items():
                 r, c = np.nonzero(np.isfinite(s))
                 yield pa.RecordBatch.from_arrays([pa.array(group[d][0][r]), pa.array(own[r, c].astype(np.int64)), pa.array(s[r, c])], ["query_id", "row_id", "similarity"])
