@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -104,23 +105,27 @@ def _matched(pred: list[tuple], gold: list[tuple]) -> list[tuple[int, int]]:
         for v in variants:
             by.setdefault(v, []).append(j)
     owner: dict[int, int] = {}
+    owned: dict[int, int] = {}
+    spent: set[str] = set()  # variants from which no search can reach a free heading any more
     for i in range(len(gold)):
         # A path of alternate choices, breadth first, that ends at a free heading.
-        came, queue, end = {}, [i], None
+        came, queue, end, seen = {}, deque([i]), None, set()
         while queue and end is None:
-            g = queue.pop(0)
-            for j in (j for v in gold[g] for j in by.get(v, ())):
+            g = queue.popleft()
+            fresh = [v for v in dict.fromkeys(gold[g]) if v not in seen and v not in spent]
+            seen.update(fresh)
+            for j in (j for v in fresh for j in by.get(v, ())):
                 if j not in came:
                     came[j] = g
                     if j not in owner:
                         end = j
                         break
                     queue.append(owner[j])
+        if end is None:
+            spent |= seen
         while end is not None:
             g = came[end]
-            before = next((j for j, o in owner.items() if o == g), None)
-            owner[end] = g
-            end = before
+            owner[end], owned[g], end = g, end, owned.get(g)
     return sorted((g, j) for j, g in owner.items())
 
 
@@ -138,18 +143,21 @@ def heading_match(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
     Headings match where they share a variant; the matching is a largest one.
     n_in_order is the longest row of matches in the order of both sides. A
-    document's headings, dozens to thousands, meet in one task.
+    document's headings, dozens to thousands, are one row.
     """
-
-    def run(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        doc_id = int((p if len(p) else g)["doc_id"].iloc[0])
-        sides = [[tuple(v) for v in x.sort_values("pos")["variants"]] for x in (p, g)]
-        pairs = _matched(*sides)
-        return pd.DataFrame({"doc_id": [doc_id], "n_pred": [len(p)], "n_gold": [len(g)], "n_matched": [len(pairs)], "n_in_order": [_in_order([j for _, j in pairs])]})
-
-    columns = ["doc_id", "pos", "variants"]
-    own = lambda df: df.select(*(F.col(c).alias(c) for c in columns)).groupBy("doc_id")
-    return own(pred).cogroup(own(gold)).applyInPandas(run, "doc_id long, n_pred long, n_gold long, n_matched long, n_in_order long")
+    side = lambda df, n: df.select("doc_id", F.lit(n).alias("side"), "pos", "variants")
+    rows = side(pred, 0).unionByName(side(gold, 1)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("side", "pos", "variants"))).alias("rows"))
+
+    @F.pandas_udf("n_matched long, n_in_order long")
+    def matched(documents: pd.Series) -> pd.DataFrame:
+        out = []
+        for d in documents:
+            pairs = _matched(*([tuple(r["variants"]) for r in d if r["side"] == n] for n in (0, 1)))
+            out.append((len(pairs), _in_order([j for _, j in pairs])))
+        return pd.DataFrame(out, columns=["n_matched", "n_in_order"])
+
+    of = lambda n: F.size(F.filter("rows", lambda r: r["side"] == n)).cast("long")
+    return rows.select("doc_id", of(0).alias("n_pred"), of(1).alias("n_gold"), matched("rows").alias("m")).select("doc_id", "n_pred", "n_gold", "m.*")
 
 
 def md_eval(matched: DataFrame) -> DataFrame:
