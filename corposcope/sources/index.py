@@ -100,10 +100,12 @@ def vocabulary_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def norms(postings: DataFrame, vocabulary: DataFrame, stats: DataFrame) -> DataFrame:
-    """(row_id, norm): lengths of the rows' tf-idf vectors, idf ln((1 + N) / (1 + df)) + 1."""
+def norms(postings: DataFrame, vocabulary: DataFrame, stats: DataFrame, chars: int = 0) -> DataFrame:
+    """(row_id, norm): lengths of the rows' tf-idf vectors, idf ln((1 + N) / (1 + df)) + 1; tasks are as many as ``chars`` of text ask for, where known."""
     idf = vocabulary.join(F.broadcast(stats.select("n"))).select("bucket", "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
     weight = F.size("positions") * F.col("idf")
+    if chars:
+        postings, idf = (df.repartition(max(8, -(-chars // TASK_CHARS)), "bucket", "token") for df in (postings, idf))
     return postings.join(idf, ["bucket", "token"]).groupBy("row_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
 
 
@@ -141,7 +143,7 @@ def build(rows: DataFrame, folder: str) -> Index:
     postings = _write_postings(positions(rows), f"{folder}/postings", buckets, total)
     vocabulary_of(postings).write.mode("overwrite").parquet(f"{folder}/vocabulary")
     vocabulary, stats = spark.read.parquet(f"{folder}/vocabulary"), stats_of(sizes, buckets)
-    sizes.select("row_id", "n_tokens").join(norms(postings, vocabulary, stats), "row_id", "left").write.mode("overwrite").parquet(f"{folder}/lengths")
+    sizes.select("row_id", "n_tokens").join(norms(postings, vocabulary, stats, total), "row_id", "left").write.mode("overwrite").parquet(f"{folder}/lengths")
     stats.write.mode("overwrite").parquet(f"{folder}/stats")
     return read(spark, folder)
 
