@@ -41,7 +41,9 @@ def rows_to_chunks(tables: DataFrame, most_rows: int = 12, most_chars: int = 220
 # Captions of tables and figures, runs that look encoded, the number of signals that drop a table.
 TABLE_CAPTION = r"(?i)^\s*(?:table|tab\.)\s*\d+\b"
 FIGURE_CAPTION = r"(?i)^\s*(?:figure|fig\.)\s*\d+\b"
-ENCODED = r"\b[A-Za-z0-9+/]{24,}={0,2}\b"
+# Letters and digits of any script and _ make words; the pattern says so itself, as not every engine's \b does.
+_EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+ENCODED = _EDGE + "[A-Za-z0-9+/]{24,}={0,2}" + _EDGE
 SIGNALS = 2
 
 

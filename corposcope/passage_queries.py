@@ -62,14 +62,26 @@ def j1_search_with_boundaries(spark, d):
     return passages.search_with_boundaries(asked, docs(spark, d).select(F.col("doc_id").alias("row_id"), "text"), 20)
 
 
+def _low(x: str) -> str:
+    """Lower case as Spark has it: of a dotted capital I the dot stays."""
+    return f"lower(replace({x}, 'İ', 'i' || chr(775)))"
+
+
+# The lines of p42 as rows of cells. Blanks as Spark has them: only U+0020 is trimmed, and a vertical tab is one. Of lines that share their number the lesser row comes first.
+TABLE_LINES = (
+    "b AS (SELECT doc_id, block_index, list_transform(string_split(text, ', '), lambda c: trim(regexp_replace(c, '[\\s\\x0B]+', ' ', 'g'), ' ')) AS row FROM (SELECT doc_id, unnest(range(len(lines))) AS block_index, unnest(lines) AS text"
+    " FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS lines FROM documents)))"
+)
+
+
 @query(
-    f"WITH {BLOCKS}, r AS (SELECT doc_id, list(list_transform(string_split(text, ', '), lambda c: trim(regexp_replace(c, '\\s+', ' ', 'g'))) ORDER BY block_index) AS rows FROM b GROUP BY 1),"
+    f"WITH {TABLE_LINES}, r AS (SELECT doc_id, list(row ORDER BY block_index, row) AS rows FROM b GROUP BY 1),"
     " s AS (SELECT doc_id, rows, list_filter(flatten(rows), lambda c: c <> '') AS cells, list_max(list_transform(rows, lambda r: len(r))) AS k, len(rows) AS h, doc_id % 3 = 0 AS tabled, doc_id % 5 = 0 AS figured, 'of ' || substr(rows[1][1], 1, 30) AS told FROM r),"
-    " m AS (SELECT *, array_to_string(cells, ' ') AS joined, list_filter(string_split(trim(regexp_replace(lower(trim(regexp_replace(told, '\\s+', ' ', 'g'))), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 4) AS words, list_filter(list_transform(rows, lambda r: trim(lower(array_to_string(r, '|')))), lambda x: x <> '') AS keys FROM s),"
-    " v AS (SELECT *, trim(regexp_replace(lower(joined), '[^a-z0-9]+', ' ', 'g')) AS plain, regexp_extract_all(joined, '[A-Za-z0-9_]+') AS toks, greatest(len(cells), 1) AS n FROM m),"
+    f" m AS (SELECT *, array_to_string(cells, ' ') AS joined, list_filter(string_split(trim(regexp_replace({_low('told')}, '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 4) AS words, list_filter(list_transform(rows, lambda r: trim({_low("array_to_string(r, '|')")}, ' ')), lambda x: x <> '') AS keys FROM s),"
+    f" v AS (SELECT *, trim(regexp_replace({_low('joined')}, '[^a-z0-9]+', ' ', 'g')) AS plain, regexp_extract_all(joined, '[A-Za-z0-9_]+') AS toks, greatest(len(cells), 1) AS n FROM m),"
     " c AS (SELECT *, CASE WHEN len(toks) > 0 THEN len(list_filter(toks, lambda x: regexp_matches(x, '[0-9]'))) / len(toks) ELSE 0 END AS num, coalesce(list_sum(list_transform(cells, lambda c: length(c))), 0) / n AS mean, len(list_filter(cells, lambda c: length(c) >= 40)) / n AS long FROM v),"
     " g AS (SELECT *, figured AND doc_id % 7 > 3 AND (k <= 2 OR h <= 2 OR long > 0.25) AS nearer FROM c),"
-    " d AS (SELECT *, CASE WHEN figured AND NOT tabled THEN 2 WHEN len(cells) = 0 THEN 2 ELSE (regexp_matches(joined, '\\b[A-Za-z0-9+/]{24,}={0,2}\\b') AND NOT tabled)::INT + contains(lower(joined), 'figure ')::INT"
+    f" d AS (SELECT *, CASE WHEN figured AND NOT tabled THEN 2 WHEN len(cells) = 0 THEN 2 ELSE (regexp_matches(regexp_replace(joined, '[^\\x00-\\x7F\\PL]|[^\\x00-\\x7F\\PN]', '_', 'g'), '\\b[A-Za-z0-9+/]{{24,}}={{0,2}}\\b') AND NOT tabled)::INT + contains({_low('joined')}, 'figure ')::INT"
     " + (tabled AND len(list_filter(words, lambda w: contains(plain, w))) >= greatest(2, len(words) // 2))::INT + (k <= 1 AND h >= 3)::INT + (h <= 2 AND k >= 8 AND NOT tabled)::INT + (h <= 1 AND mean > 18 AND NOT tabled)::INT + (mean > 30 AND num < 0.05 AND NOT tabled)::INT"
     " + (long > 0.45 AND num < 0.08 AND NOT tabled)::INT + (len(keys) > 0 AND 1 - len(list_distinct(keys)) / len(keys) > 0.45 AND k >= 6 AND NOT tabled)::INT + nearer::INT END AS doubts FROM g)"
     " SELECT doc_id, k::INT AS n_cols, CASE WHEN (figured AND NOT tabled) OR len(cells) = 0 THEN 1 ELSE doubts END AS n_doubts, doubts >= 2 OR (nearer AND (k <= 2 OR h <= 2)) AS false_positive FROM d"

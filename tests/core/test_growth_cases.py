@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__  # noqa: F401  (registers the queries)
 from corposcope.functions import text as X
 from corposcope.operators import evaluate, search, vectors
-from corposcope.passage_queries import SHORT_PLURAL
+from corposcope.passage_queries import SHORT_PLURAL, p42_table_doubts
 from corposcope.queries import ORACLES
 from corposcope.sources import html, index
 
@@ -93,3 +93,15 @@ def test_index_tasks_follow_the_text(spark, tmp_path, monkeypatch):
     assert len(list(tmp_path.glob("postings/bucket=*/*.parquet"))) > 8  # before: a file a folder
     assert read(built.postings.select("token", "row_id", "positions")) == read(plain.postings.select("token", "row_id", "positions"))
     assert [(a, b, round(c, 9)) for a, b, c in read(built.lengths)] == [(a, b, round(c, 9)) for a, b, c in read(plain.lengths.select("row_id", "n_tokens", "norm"))]
+
+
+def test_table_doubts_see_letters_and_blanks_as_their_sql_does(spark, tmp_path):
+    run = "a" * 13 + "9" * 13
+    texts = [f"x {run}ä y", f"é{run} y", f"x {run}\v y", "\v" * 40 + "ab, c", " " * 40 + "ab, c", "　" * 18 + "a", f"{run}½ b", "FİGURE 2, Table", f"{run}/é c", f"x {run} y"]
+    rows = [(i * 105 + k, t) for i, t in enumerate(texts) for k in (1, 2, 3, 5, 6, 10, 25, 55)] + [(2000, "second, row\nx"), (2000, "first, row, again\ny")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, p42_table_doubts(spark, str(tmp_path)).collect()))
+    assert got == twin("p42_table_doubts", documents=f"SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    doubts = {r[0]: r[2] for r in got}
+    # a run that a letter of another script goes on is no encoded one
+    assert doubts[9 * 105 + 1] == doubts[1] + 1 == doubts[105 + 1] + 1 == doubts[8 * 105 + 1]
