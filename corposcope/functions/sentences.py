@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corposcope.functions.text import _text
+from corposcope.functions.text import _once, _text
 
 # Abbreviations after which no sentence ends.
 ABBREVIATIONS = ("et al.", "Fig.", "Figs.", "Sec.", "Secs.", "Eq.", "Eqs.", "Tab.", "Tabs.", "No.", "vs.", "e.g.", "i.e.")
@@ -41,13 +41,12 @@ def count_words(x: Column) -> Column:
 
 def reads_on(x: Column) -> Column:
     """Six words or more with a mark that parts sentences, or ten."""
-    n = count_words(x)
-    return (n >= 10) | ((n >= 6) & x.rlike("[.!?;:]"))
+    return _once(count_words(x), lambda n: (n >= 10) | ((n >= 6) & x.rlike("[.!?;:]")))
 
 
 def is_entry(s: Column) -> Column:
     """An entry or heading of a list of references."""
-    return F.lower(s).isin(*HEADINGS) | s.rlike(ENTRY)
+    return ((F.length(s) <= max(map(len, HEADINGS))) & F.lower(s).isin(*HEADINGS)) | s.rlike(ENTRY)
 
 
 def is_table_text(s: Column) -> Column:
@@ -58,7 +57,7 @@ def is_table_text(s: Column) -> Column:
     metrics, prose = F.regexp_count(s, F.lit(METRICS)), reads_on(s)
     some = (numbers >= 1) | (short >= 4)
     signals = (
-        is_entry(s), s.rlike(TICKS) & some, (metrics >= 2) & ((numbers >= 2) | (short >= 6)), (heads >= 6) & (numbers >= 1) & ~s.rlike(VERBS) & ~prose,
+        is_entry(s), s.rlike(TICKS) & some, (metrics >= 2) & ((numbers >= 2) | (short >= 6)), ~prose & (numbers >= 1) & ~s.rlike(VERBS) & (heads >= 6),  # dear ones last
         ~prose & (numbers >= 3), (F.length(s) <= 160) & ~prose & F.lower(s).rlike(COMPARED) & some,
     )
     never = (s == "") | s.rlike(CAPTION) | s.startswith("Figure ") | ((F.length(s) >= 220) & prose)
@@ -86,7 +85,7 @@ def is_fragment(s: Column) -> Column:
 
 def is_usable(s: Column) -> Column:
     """Whether a squeezed sentence can stand alone."""
-    condition = F.lower(s).startswith("where ") & s.rlike(EQUATION)
+    condition = s.rlike("^[Ww]") & F.lower(s).startswith("where ") & s.rlike(EQUATION)
     plain = F.length(s).between(SHORTEST, LONGEST) & (count_words(s) >= LEAST_WORDS) & ~is_fragment(s) & ~s.rlike(BULLETS) & ~s.rlike(CAPTION)
     return plain & ~s.rlike(CODE) & ~condition & ~is_label(s) & ~is_bibliography(s) & ~is_table_text(s)
 

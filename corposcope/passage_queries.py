@@ -19,6 +19,8 @@ FIELDS = PHRASE.replace("lower(text), '[a-z0-9]+') AS tokens FROM documents", "l
 _LETTERS = "regexp_replace(text, '[^\\x00-\\x7F\\PL]', 'Q', 'g')"
 WORDS = PHRASE.replace("lower(text), '[a-z0-9]+') AS q FROM benchmark", f"regexp_extract({_LETTERS}, '\\b([a-z]{{3}})s\\b', 1), '[a-z0-9]+') AS q FROM benchmark WHERE regexp_matches({_LETTERS}, '\\b[a-z]{{3}}s\\b')")
 
+# Characters of text that one task of the summaries gets.
+TASK_CHARS = 4_000_000
 SHORT_PLURAL = r"(?<![\p{L}0-9_])([a-z]{3})s(?![\p{L}0-9_])"
 
 
@@ -167,10 +169,11 @@ def a20_doc_profiles(spark, d):
 def w19_section_summaries(spark, d):
     """Sections of the documents, their kind by the length of their title."""
     kinds = F.array(*map(F.lit, summaries.CUES))
-    texts = sections.section_text(sectioned(spark, d).filter("section IS NOT NULL"))
+    # the work on a text is many times its reading, so tasks follow the text; one deal by section serves all steps
+    tasks = max(32, (docs(spark, d).agg(F.sum(F.length("text"))).first()[0] or 0) // TASK_CHARS)
+    texts = sections.section_text(sectioned(spark, d).filter("section IS NOT NULL").repartition(tasks, "doc_id", "section"))
     named = texts.withColumn("canonical", F.get(kinds, F.length("section") % len(summaries.CUES)))
-    found = summaries.summarize(summaries.sentence_scores(named))
-    return found.unionByName(summaries.fallback_summaries(named, found))
+    return summaries.with_beginnings(named, summaries.summarize(summaries.sentence_scores(named)))
 
 
 @query()

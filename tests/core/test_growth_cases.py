@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
 from corposcope.functions import text as X
-from corposcope.operators import evaluate, search, vectors
+from corposcope.operators import evaluate, search, summaries, vectors
 from corposcope.passage_queries import SHORT_PLURAL, p42_table_doubts
 from corposcope.queries import ORACLES
 from corposcope.sources import html, index
@@ -105,3 +105,13 @@ def test_table_doubts_see_letters_and_blanks_as_their_sql_does(spark, tmp_path):
     doubts = {r[0]: r[2] for r in got}
     # a run that a letter of another script goes on is no encoded one
     assert doubts[9 * 105 + 1] == doubts[1] + 1 == doubts[105 + 1] + 1 == doubts[8 * 105 + 1]
+
+
+def test_summaries_cut_and_count_a_section_once(spark):
+    rows = [(1, "s", "methodology", "The old harbour is a place where wooden boats are mended by hand. The old harbour is grey and it was built of heavy stones."), (1, "t", None, "short"), (1, "u", None, " ")]
+    sections = spark.createDataFrame(rows, "doc_id long, section string, canonical string, text string").repartition(3, "doc_id", "section")
+    found = summaries.with_beginnings(sections, summaries.summarize(summaries.sentence_scores(sections)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    cut = r"(?<=[.!?])\s+"
+    assert plan.split("Initial Plan")[0].count(cut) <= 2  # the pattern of one cut, and none again for words, scores or missing summaries
+    assert {r.section: (r.n_sentences, r.summary) for r in found.collect()} == {"s": (2, rows[0][3]), "t": (1, "short")}
