@@ -241,8 +241,8 @@ def _alike(marks: np.ndarray, one: np.ndarray) -> np.ndarray:
     return 1 - differing / HASHES / 0.75
 
 
-def _proposals(ids: np.ndarray, marks: np.ndarray, least: float, stand_in: float, tries: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Pairs of members (sorted by id) that may be alike, and which members still stand for themselves.
+def _proposals(ids: np.ndarray, marks: np.ndarray, least: float, stand_in: float, tries: int) -> tuple[list[tuple[int, int]], np.ndarray, bool]:
+    """Pairs of members (sorted by id) that may be alike, which members still stand for themselves, and whether a comparison was left out.
 
     Grown from a frontier: each step compares one member with those that want
     partners yet. A member has enough with ``tries`` of them, or with one
@@ -250,7 +250,7 @@ def _proposals(ids: np.ndarray, marks: np.ndarray, least: float, stand_in: float
     at most ``tries`` pairs a member leave, and memory stays linear.
     """
     pairs, rest = [], np.arange(len(ids))
-    had, kept = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
+    had, kept, cut = np.zeros(len(ids), np.int64), np.ones(len(ids), bool), False
     while len(rest) > 1:
         frontier = [rest[0]]
         while frontier and len(rest):
@@ -263,15 +263,17 @@ def _proposals(ids: np.ndarray, marks: np.ndarray, least: float, stand_in: float
             had[found] += 1
             same = like >= stand_in
             kept[rest[same]] = False
-            rest = rest[~(same | (had[rest] >= tries))]
-    return pairs, kept
+            stay = ~(same | (had[rest] >= tries))
+            cut |= not stay.all() and len(rest) > 1
+            rest = rest[stay]
+    return pairs, kept, cut
 
 
 SIMILAR_SCHEMA = "key long, a long, b long, marks binary"
 
 
 def _similar_rows(least: float, stand_in: float, tries: int, fresh: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Pairs (key null) and members (b null) of lists by key.
+    """Pairs (key null), members (b null) of lists by key, and keys (marks null too) of lists in which a comparison was left out.
 
     ``fresh``: rows (id, sig) get their band keys, and lists are thinned within
     a batch, before the shuffle, so a key that very many rows share leaves few.
@@ -279,21 +281,21 @@ def _similar_rows(least: float, stand_in: float, tries: int, fresh: bool) -> Cal
     read only the kept members stay in memory.
     """
 
-    def lists(key: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
+    def lists(key: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list, bool]]:
         order = np.lexsort((ids, key))
         cuts = np.flatnonzero(np.diff(key[order])) + 1
         for at in np.split(order, cuts):
-            pairs, kept = _proposals(ids[at], marks[at], least, stand_in, tries) if len(at) > 1 else ([], np.ones(1, bool))
-            yield int(key[at[0]]), at, kept, pairs
+            pairs, kept, cut = _proposals(ids[at], marks[at], least, stand_in, tries) if len(at) > 1 else ([], np.ones(1, bool), False)
+            yield int(key[at[0]]), at, kept, pairs, cut or not kept.all()  # who does not stand for itself meets nobody of other batches
 
-    def frame(keys: list[np.ndarray], ids: list[np.ndarray], marks: list[bytes], pairs: list[tuple[int, int]]) -> pd.DataFrame:
-        n, m = sum(map(len, keys)), len(pairs)
+    def frame(keys: list[np.ndarray], ids: list[np.ndarray], marks: list[bytes], pairs: list[tuple[int, int]], cut: list[int]) -> pd.DataFrame:
+        n, m, k = sum(map(len, keys)), len(pairs), len(cut)
         both = np.array(pairs, np.int64).reshape(-1, 2)
         return pd.DataFrame({
-            "key": pd.Series([*np.concatenate([np.zeros(0, np.int64), *keys]).tolist(), *[None] * m], dtype="Int64"),
-            "a": np.concatenate([*ids, both[:, 0]]).astype(np.int64),
-            "b": pd.Series([*[None] * n, *both[:, 1].tolist()], dtype="Int64"),
-            "marks": [*marks, *[None] * m],
+            "key": pd.Series([*np.concatenate([np.zeros(0, np.int64), *keys]).tolist(), *[None] * m, *cut], dtype="Int64"),
+            "a": np.concatenate([*ids, both[:, 0], np.zeros(k, np.int64)]).astype(np.int64),
+            "b": pd.Series([*[None] * n, *both[:, 1].tolist(), *[None] * k], dtype="Int64"),
+            "marks": [*marks, *[None] * (m + k)],
         })
 
     def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,13 +307,14 @@ def _similar_rows(least: float, stand_in: float, tries: int, fresh: bool) -> Cal
             band, marks = raw[:, : 8 * BANDS].copy().view(">i8").astype(np.int64), raw[:, 8 * BANDS :].copy().view(np.uint64)
             whole = [m.tobytes() for m in marks]
             for i in range(BANDS):
-                keys, ids, sent, found = [], [], [], []
-                for key, at, kept, pairs in lists(band[:, i], every, marks):
+                keys, ids, sent, found, less = [], [], [], [], []
+                for key, at, kept, pairs, cut in lists(band[:, i], every, marks):
                     found += pairs
+                    less += [key] * cut
                     keys.append(np.full(kept.sum(), key, np.int64))
                     ids.append(every[at[kept]])
                     sent += [whole[j] for j in at[kept]]
-                yield frame(keys, ids, sent, found)
+                yield frame(keys, ids, sent, found, less)
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -322,28 +325,78 @@ def _similar_rows(least: float, stand_in: float, tries: int, fresh: bool) -> Cal
             marks = np.frombuffer(b"".join(f["marks"]), np.uint64).reshape(len(f), -1)
             if held is not None and held[0][0] == key[0]:
                 key, ids, marks = (np.concatenate(x) for x in zip(held, (key, ids, marks), strict=True))
-            found = []
-            for _, at, kept, pairs in lists(key, ids, marks):
+            found, less = [], []
+            for k, at, kept, pairs, cut in lists(key, ids, marks):
                 found += pairs
+                less += [k] * cut
                 last = at[kept]
             held = (key[last], ids[last], marks[last].copy())
-            yield frame([], [], [], found)
+            yield frame([], [], [], found, less)
 
     return begin if fresh else finish
 
 
-def proposed_pairs(signatures: DataFrame, similarity: float, margin: float = 0.12, stand_in: float = 0.95, tries: int = 3) -> DataFrame:
-    """Pairs (a, b) of sets that may be alike, from (id, sig).
+#: How far below the similarity asked for an estimate may lie.
+MARGIN = 0.12
+
+
+def proposed_pairs(signatures: DataFrame, similarity: float, stand_in: float = 0.95, tries: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of sets that may be alike, from (id, sig), and the keys of the lists in which comparisons were left out (see ``left_out``).
 
     Signatures that agree in a band meet; at 0.8 a pair shares one with
     probability 0.996. Proposed are those whose estimate, from two bits of 128
-    hashes with a standard error of 0.04 at 0.8, is at most ``margin`` below
+    hashes with a standard error of 0.04 at 0.8, is at most ``MARGIN`` below
     ``similarity``. Pairs are proposals: ``similar_classes`` verifies them.
     """
-    first = durable(signatures.mapInPandas(_similar_rows(similarity - margin, stand_in, tries, True), SIMILAR_SCHEMA))
-    met = first.filter("b IS NULL").repartition("key").sortWithinPartitions("key")
-    later = met.mapInPandas(_similar_rows(similarity - margin, stand_in, tries, False), SIMILAR_SCHEMA)
-    return first.filter("b IS NOT NULL").select("a", "b").unionByName(later.select("a", "b"))
+    first = durable(signatures.mapInPandas(_similar_rows(similarity - MARGIN, stand_in, tries, True), SIMILAR_SCHEMA))
+    met = first.filter("marks IS NOT NULL").repartition("key").sortWithinPartitions("key")
+    later = durable(met.mapInPandas(_similar_rows(similarity - MARGIN, stand_in, tries, False), SIMILAR_SCHEMA).select("key", "a", "b"))
+    both = first.filter("marks IS NULL").select("key", "a", "b").unionByName(later)
+    return both.filter("b IS NOT NULL").select("a", "b"), both.filter("b IS NULL").select("key").distinct()
+
+
+# Members of a list outside its largest class, of which about so many are held at a time.
+CELL = 1024
+
+
+def left_out(signatures: DataFrame, keys: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that lists by ``keys`` hold between different classes (node, root) and that may be alike: none is left out.
+
+    Links within a class change nothing. So of a list only members outside its
+    largest class have to meet others: these are dealt to cells by a hash of the
+    id, about ``CELL`` to one, and held there while the list's other members
+    pass. Work grows with such members times members, memory does not.
+    """
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.conv(F.hex(F.substring("sig", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    every = signatures.select("id", F.substring("sig", 8 * BANDS + 1, HASHES).alias("marks"), F.explode(F.array_distinct(bands)).alias("key"))
+    classed = every.join(keys, "key", "left_semi").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    members = durable(classed)
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), (F.sum("n") - F.max("n")).alias("others"))
+    cells = F.ceil(F.col("others") / CELL).cast("int")
+    met = members.join(sizes.filter("others > 0"), "key").withColumn("cells", cells).withColumn("own", F.when(F.col("root") != F.col("top"), F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")))
+    # A member outside the largest class passes its own cell and the later ones, so a pair meets once.
+    passed = met.select("key", "id", "root", "marks", "own", F.explode(F.sequence(F.coalesce("own", F.lit(0)), F.col("cells") - 1)).alias("cell"))
+    dealt = passed.withColumn("passing", (~F.col("cell").eqNullSafe(F.col("own"))).cast("int")).drop("own").repartition("key", "cell").sortWithinPartitions("key", "cell", "passing")
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, ids, roots, marks = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, HASHES // 32), np.uint64)
+        for f in frames:
+            for place, rows in f.groupby(["key", "cell"], sort=False):
+                if place != last:
+                    last, ids, roots, marks = place, ids[:0], roots[:0], marks[:0]
+                new = rows["id"].to_numpy(np.int64), rows["root"].to_numpy(np.int64), np.frombuffer(b"".join(rows["marks"]), np.uint64).reshape(len(rows), -1)
+                passing, before = rows["passing"].to_numpy(bool), len(ids)
+                ids, roots, marks = (np.concatenate((x, y[~passing])) for x, y in zip((ids, roots, marks), new, strict=True))
+                # held ones meet the earlier held ones, passing ones meet all held
+                order, until = np.argsort(passing, kind="stable"), np.concatenate((np.arange(before, len(ids)), np.full(passing.sum(), len(ids))))
+                found = []
+                for j, most in zip(order, until, strict=True):
+                    at = np.flatnonzero((_alike(marks[:most], new[2][j]) >= similarity - MARGIN) & (roots[:most] != new[1][j]))
+                    found.append(np.stack((ids[at], np.full(len(at), new[0][j])), axis=1))
+                both = np.concatenate(found)
+                yield pd.DataFrame({"a": both.min(axis=1, initial=2**63 - 1), "b": both.max(axis=1, initial=-(2**63))})
+
+    return dealt.mapInPandas(pairs, "a long, b long").distinct()
 
 
 def _shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -354,13 +407,39 @@ def _set_id(every: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(every.tobytes()) - (1 << 63)
 
 
+def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, width: int, most_keys: int) -> DataFrame:
+    """Those ``pairs`` (a, b) of ``nodes`` (set_id, row) whose sets are ``similarity`` alike or more, read from the texts of docs (row, text)."""
+    ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    wanted = durable(nodes.join(ends, "set_id").select("set_id", "row"))
+    rows = F.broadcast(wanted) if wanted.count() <= most_keys else wanted  # else a shuffle join
+    held = F.pandas_udf(lambda texts: texts.map(lambda t: np.unique(_shingle_set(bytes(t), width).astype(np.uint32)).tobytes()), "binary")
+    sets = durable(docs.join(rows, "row").select("set_id", held(F.col("text").cast("binary")).alias("held")))
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        def of(x: bytes, y: bytes) -> bool:
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            both = np.concatenate((x, y))
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            return common >= similarity * (len(both) - common) - 1e-9
+        return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    first, second = sets.select(F.col("set_id").alias("a"), F.col("held").alias("held_a")), sets.select(F.col("set_id").alias("b"), F.col("held").alias("held_b"))
+    # Few sizes fit: sets whose sizes differ too much are not alike, and are not compared.
+    size = lambda c: F.octet_length(c)
+    met = pairs.join(first, "a").join(second, "b").filter(F.least(size("held_a"), size("held_b")) >= similarity * F.greatest(size("held_a"), size("held_b")) - 1e-9)
+    return met.filter(alike("held_a", "held_b")).select("a", "b")
+
+
 def similar_classes(docs: DataFrame, similarity: float, width: int = 5, most_keys: int = 1_000_000) -> DataFrame:
     """(row, doc_id, class) from (row, doc_id, text): texts linked where their sets of ``width``-word shingles are ``similarity`` alike or more.
 
     Texts of equal sets are one node. Pairs are proposed by fingerprints (the
     Golay keys, 3 bits) and by ``proposed_pairs``; each is verified by the
     sets themselves, of whose hashes 32 bits are compared, so no link is below
-    ``similarity``. class is the least row of the nodes reached; row has to tell
+    ``similarity``. What a list leaves out because a text has partners enough is
+    compared afterwards, between classes alone (``left_out``). class is the least row of the nodes reached; row has to tell
     rows apart. Texts without words have the empty set and are alike.
     """
     schema = "fp long, set_id long, sig binary"
@@ -381,30 +460,19 @@ def similar_classes(docs: DataFrame, similarity: float, width: int = 5, most_key
     near = fingerprint_edges(prints.select("fp").distinct(), RADIUS)
     left, right = one.select(F.col("fp").alias("a"), F.col("one").alias("x")), one.select(F.col("fp").alias("b"), F.col("one").alias("y"))
     by_print = near.join(left, "a").join(right, "b").select("x", "y").unionByName(prints.join(one, "fp").select(F.col("one").alias("x"), F.col("set_id").alias("y")))
-    by_bands = proposed_pairs(nodes.select(F.col("set_id").alias("id"), "sig"), similarity).select(F.col("a").alias("x"), F.col("b").alias("y"))
-    pairs = durable(by_print.unionByName(by_bands).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = durable(nodes.join(ends, "set_id").select("set_id", "row"))
-    rows = F.broadcast(wanted) if wanted.count() <= most_keys else wanted  # else a shuffle join
-    held = F.pandas_udf(lambda texts: texts.map(lambda t: np.unique(_shingle_set(bytes(t), width).astype(np.uint32)).tobytes()), "binary")
-    sets = durable(docs.join(rows, "row").select("set_id", held(F.col("text").cast("binary")).alias("held")))
-
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        def of(x: bytes, y: bytes) -> bool:
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            both = np.concatenate((x, y))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            return common >= similarity * (len(both) - common) - 1e-9
-        return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    first, second = sets.select(F.col("set_id").alias("a"), F.col("held").alias("held_a")), sets.select(F.col("set_id").alias("b"), F.col("held").alias("held_b"))
-    # Few sizes fit: sets whose sizes differ too much are not alike, and are not compared.
-    size = lambda c: F.octet_length(c)
-    met = pairs.join(first, "a").join(second, "b").filter(F.least(size("held_a"), size("held_b")) >= similarity * F.greatest(size("held_a"), size("held_b")) - 1e-9)
-    links = met.filter(alike("held_a", "held_b")).select("a", "b")
-    roots = connected_components(links).withColumnRenamed("node", "set_id")
+    signatures = nodes.select(F.col("set_id").alias("id"), "sig")
+    by_bands, cut = proposed_pairs(signatures, similarity)
+    met = by_print.unionByName(by_bands.select(F.col("a").alias("x"), F.col("b").alias("y")))
+    pairs = durable(met.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    links = durable(similar_pairs(docs, nodes, pairs, similarity, width, most_keys))
+    roots = durable(connected_components(links))
+    # What lists left out is made up for between the classes found so far.
+    rest = durable(left_out(signatures, cut, roots, similarity).join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        more = durable(similar_pairs(docs, nodes, rest, similarity, width, most_keys))
+        if not more.isEmpty():
+            roots = connected_components(links.unionByName(more))
+    roots = roots.withColumnRenamed("node", "set_id")
     sized = marked.select("row", "doc_id", "set_id").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = nodes.select("set_id", "row").unionByName(marked.filter("sig IS NULL").groupBy("set_id").agg(F.min("row").alias("row")))
     named = least.join(roots, "set_id", "left").groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("row").alias("class"))

@@ -134,3 +134,29 @@ def test_keep_one_by_similarity(spark):
     assert sum(got[i] == expected[i] for i in range(len(texts))) >= 0.98 * len(texts)
     kept = {r.doc_id for r in simhash.keep_one(docs, similarity=0.8).collect()}
     assert kept == set(got.values())
+
+
+def test_no_link_is_lost_in_a_crowd(spark):
+    """Pairs 0.8 alike among variants of one text that are all 0.7 alike: each shares its lists with very many others."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+
+    def variant(words, n):
+        copy = list(words)
+        for at in rng.sample(range(len(copy) // 6), n):
+            copy[at * 6] = f"e{rng.randrange(10**9)}"
+        return copy
+
+    texts = []
+    for _ in range(60):
+        one = variant(base, 9)
+        texts += [one, variant(one, 4)]
+    texts += [variant(base, 9) for _ in range(180)]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    sets = [shingles(t) for t in texts]
+    expected = classes(sets)
+    assert sum(expected[i] != i for i in range(len(texts))) >= 50
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {r.row: r["class"] for r in simhash.similar_classes(rows.select("row", rows.row.alias("doc_id"), "text"), 0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
