@@ -136,27 +136,32 @@ def test_keep_one_by_similarity(spark):
     assert kept == set(got.values())
 
 
-def test_no_link_is_lost_in_a_crowd(spark):
-    """Pairs 0.8 alike among variants of one text that are all 0.7 alike: each shares its lists with very many others."""
+def test_lists_leave_no_pair_out_between_classes(spark):
+    """Variants of one text that are all 0.7 alike share lists with very many others: what the lists leave out is met afterwards."""
     rng = random.Random(8)
-    base = [f"w{i}" for i in range(400)]
-
-    def variant(words, n):
-        copy = list(words)
-        for at in rng.sample(range(len(copy) // 6), n):
-            copy[at * 6] = f"e{rng.randrange(10**9)}"
-        return copy
-
-    texts = []
-    for _ in range(60):
-        one = variant(base, 9)
-        texts += [one, variant(one, 4)]
-    texts += [variant(base, 9) for _ in range(180)]
-    rng.shuffle(texts)
-    texts = [" ".join(t) for t in texts]
-    sets = [shingles(t) for t in texts]
-    expected = classes(sets)
-    assert sum(expected[i] != i for i in range(len(texts))) >= 50
-    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
-    got = {r.row: r["class"] for r in simhash.similar_classes(rows.select("row", rows.row.alias("doc_id"), "text"), 0.8).collect()}
-    assert [got[i] for i in range(len(texts))] == expected
+    signed = []
+    for i in range(240):
+        words = [f"w{j}" for j in range(400)]
+        for at in rng.sample(range(60), 7):
+            words[at * 6] = f"e{i}x{at}"
+        every = np.unique(np.array(simhash.shingle_hashes(" ".join(words).encode(), 5), np.uint64))
+        signed.append((i * 7 - 500, simhash.signature(every)))
+    size = 8 * simhash.BANDS
+    bands = [{s[b * 8 : b * 8 + 8] for b in range(simhash.BANDS)} for _, s in signed]
+    marks = np.stack([np.frombuffer(s[size:], np.uint64) for _, s in signed])
+    like = [simhash._alike(marks, m) >= 0.8 - simhash.MARGIN for m in marks]
+    every = {(signed[i][0], signed[j][0]) for i in range(240) for j in range(i + 1, 240) if like[i][j] and bands[i] & bands[j]}
+    rows = spark.createDataFrame(signed, "id long, sig binary")
+    proposed, cut = simhash.proposed_pairs(rows, 0.8)
+    found = {(min(p), max(p)) for p in map(tuple, proposed.collect())}
+    assert found < every
+    none = spark.createDataFrame([], "node long, root long")
+    assert found | {tuple(p) for p in simhash.left_out(rows, cut, none, 0.8).collect()} == every
+    half = spark.createDataFrame([(i, -500) for i, _ in signed[:120]], "node long, root long")
+    between = {p for p in every if max(p) >= signed[120][0]}
+    simhash.CELL, old = 16, simhash.CELL
+    try:
+        got = {tuple(p) for p in simhash.left_out(rows, cut, half, 0.8).collect()}
+    finally:
+        simhash.CELL = old
+    assert between <= found | got and got <= between
