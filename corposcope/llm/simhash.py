@@ -355,28 +355,92 @@ def proposed_pairs(signatures: DataFrame, similarity: float, stand_in: float = 0
     return both.filter("b IS NOT NULL").select("a", "b"), both.filter("b IS NULL").select("key").distinct()
 
 
-# Members of a list outside its largest class, of which about so many are held at a time.
-CELL = 1024
+# Members of a list outside its largest class, of which about so many are held at a time, with sets of about so many bytes.
+CELL, CELL_BYTES = 1024, 1 << 24
 
 
-def left_out(signatures: DataFrame, keys: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _as_like(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of ``others`` are ``similarity`` alike or more with ``one``: sorted sets, none of them empty."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    every = np.concatenate(others)
+    hits = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    common = np.add.reduceat(hits, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return common >= similarity * (len(one) + sizes - common) - 1e-9
+
+
+def _class_links(similarity: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Links of a spanning forest between the classes of each cell, from rows sorted by key and cell, those to hold first.
+
+    A row meets all held ones of other classes, estimated by marks and then verified by the sets. A link makes one class of two,
+    so of a cell fewer links leave than it has classes, however many of its members are alike or nearly so.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, ids, roots, marks, sets, joined = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, HASHES // 32), np.uint64), [], {}
+
+        def class_of(root: int) -> int:
+            while root in joined:
+                root = joined[root]
+            return root
+
+        for f in frames:
+            found = []
+            for place, rows in f.groupby(["key", "cell"], sort=False):
+                if place != last:
+                    last, ids, roots, marks, sets, joined = place, ids[:0], roots[:0], marks[:0], [], {}
+                new = rows["id"].to_numpy(np.int64), rows["root"].to_numpy(np.int64), np.frombuffer(b"".join(rows["marks"]), np.uint64).reshape(len(rows), -1)
+                own, passing, before = [np.frombuffer(h, np.uint32) for h in rows["held"]], rows["passing"].to_numpy(bool), len(ids)
+                ids, marks = (np.concatenate((x, y[~passing])) for x, y in zip((ids, marks), new[::2], strict=True))
+                roots = np.concatenate((roots, np.fromiter(map(class_of, new[1][~passing].tolist()), np.int64)))
+                sets += [x for x, p in zip(own, passing, strict=True) if not p]
+                # held ones meet the earlier held ones, passing ones meet all held
+                order, until = np.argsort(passing, kind="stable"), np.concatenate((np.arange(before, len(ids)), np.full(passing.sum(), len(ids))))
+                for j, most in zip(order, until, strict=True):
+                    mine = class_of(int(new[1][j]))
+                    at = np.flatnonzero((_alike(marks[:most], new[2][j]) >= similarity - MARGIN) & (roots[:most] != mine))
+                    if not len(at):
+                        continue
+                    for i in at[_as_like(own[j], [sets[i] for i in at], similarity)]:
+                        if (theirs := int(roots[i])) != mine:
+                            found.append((int(ids[i]), int(new[0][j])))
+                            joined[theirs] = mine
+                            roots[roots == theirs] = mine
+            both = np.array(found, np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"a": both.min(axis=1, initial=2**63 - 1), "b": both.max(axis=1, initial=-(2**63))})
+
+    return run
+
+
+def left_out(signatures: DataFrame, keys: DataFrame, roots: DataFrame, similarity: float, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pairs (a, b) that lists by ``keys`` hold between different classes (node, root) and that may be alike: none is left out.
 
     Links within a class change nothing. So of a list only members outside its
     largest class have to meet others: these are dealt to cells by a hash of the
     id, about ``CELL`` to one, and held there while the list's other members
     pass. Work grows with such members times members, memory does not.
+
+    With ``sets_of``, which gives (set_id, held) for set_ids, pairs are verified where they meet, and only those that
+    a spanning forest between the classes of a cell needs are returned: rows grow with members, not with pairs.
     """
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.conv(F.hex(F.substring("sig", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
     every = signatures.select("id", F.substring("sig", 8 * BANDS + 1, HASHES).alias("marks"), F.explode(F.array_distinct(bands)).alias("key"))
     classed = every.join(keys, "key", "left_semi").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     members = durable(classed)
-    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), (F.sum("n") - F.max("n")).alias("others"))
-    cells = F.ceil(F.col("others") / CELL).cast("int")
-    met = members.join(sizes.filter("others > 0"), "key").withColumn("cells", cells).withColumn("own", F.when(F.col("root") != F.col("top"), F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")))
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
+    cells = F.ceil(F.col("others") / CELL)
+    if sets_of is not None:
+        members = durable(members.join(sizes, "key", "left_semi"))
+        sets = sets_of(members.select(F.col("id").alias("set_id")).distinct()).withColumnRenamed("set_id", "id")
+        lengths = members.join(sizes, "key").filter("root != top").join(sets.select("id", F.octet_length("held").alias("length")), "id")
+        sizes = sizes.join(lengths.groupBy("key").agg(F.sum("length").alias("bytes")), "key")
+        cells = F.greatest(cells, F.ceil(F.col("bytes") / CELL_BYTES))
+    met = members.join(sizes, "key").withColumn("cells", cells.cast("int")).withColumn("own", F.when(F.col("root") != F.col("top"), F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")))
     # A member outside the largest class passes its own cell and the later ones, so a pair meets once.
     passed = met.select("key", "id", "root", "marks", "own", F.explode(F.sequence(F.coalesce("own", F.lit(0)), F.col("cells") - 1)).alias("cell"))
+    passed = passed if sets_of is None else passed.join(sets, "id")
     dealt = passed.withColumn("passing", (~F.col("cell").eqNullSafe(F.col("own"))).cast("int")).drop("own").repartition("key", "cell").sortWithinPartitions("key", "cell", "passing")
+    if sets_of is not None:
+        return dealt.mapInPandas(_class_links(similarity), "a long, b long").distinct()
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, ids, roots, marks = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, HASHES // 32), np.uint64)
@@ -407,13 +471,18 @@ def _set_id(every: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(every.tobytes()) - (1 << 63)
 
 
+def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int, most_keys: int) -> DataFrame:
+    """(set_id, held): 32 bits of each hash, in order, of the ``wanted`` (set_id) of ``nodes`` (set_id, row), from the texts of docs (row, text)."""
+    asked = durable(nodes.join(wanted, "set_id").select("set_id", "row"))
+    rows = F.broadcast(asked) if asked.count() <= most_keys else asked  # else a shuffle join
+    held = F.pandas_udf(lambda texts: texts.map(lambda t: np.unique(_shingle_set(bytes(t), width).astype(np.uint32)).tobytes()), "binary")
+    return durable(docs.join(rows, "row").select("set_id", held(F.col("text").cast("binary")).alias("held")))
+
+
 def similar_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, width: int, most_keys: int) -> DataFrame:
     """Those ``pairs`` (a, b) of ``nodes`` (set_id, row) whose sets are ``similarity`` alike or more, read from the texts of docs (row, text)."""
     ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = durable(nodes.join(ends, "set_id").select("set_id", "row"))
-    rows = F.broadcast(wanted) if wanted.count() <= most_keys else wanted  # else a shuffle join
-    held = F.pandas_udf(lambda texts: texts.map(lambda t: np.unique(_shingle_set(bytes(t), width).astype(np.uint32)).tobytes()), "binary")
-    sets = durable(docs.join(rows, "row").select("set_id", held(F.col("text").cast("binary")).alias("held")))
+    sets = shingle_sets(docs, nodes, ends, width, most_keys)
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -439,7 +508,7 @@ def similar_classes(docs: DataFrame, similarity: float, width: int = 5, most_key
     Golay keys, 3 bits) and by ``proposed_pairs``; each is verified by the
     sets themselves, of whose hashes 32 bits are compared, so no link is below
     ``similarity``. What a list leaves out because a text has partners enough is
-    compared afterwards, between classes alone (``left_out``). class is the least row of the nodes reached; row has to tell
+    compared and verified afterwards, between classes alone (``left_out``). class is the least row of the nodes reached; row has to tell
     rows apart. Texts without words have the empty set and are alike.
     """
     schema = "fp long, set_id long, sig binary"
@@ -467,11 +536,9 @@ def similar_classes(docs: DataFrame, similarity: float, width: int = 5, most_key
     links = durable(similar_pairs(docs, nodes, pairs, similarity, width, most_keys))
     roots = durable(connected_components(links))
     # What lists left out is made up for between the classes found so far.
-    rest = durable(left_out(signatures, cut, roots, similarity).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = durable(similar_pairs(docs, nodes, rest, similarity, width, most_keys))
-        if not more.isEmpty():
-            roots = connected_components(links.unionByName(more))
+    more = durable(left_out(signatures, cut, roots, similarity, lambda wanted: shingle_sets(docs, nodes, wanted, width, most_keys)))
+    if not more.isEmpty():
+        roots = connected_components(links.unionByName(more))
     roots = roots.withColumnRenamed("node", "set_id")
     sized = marked.select("row", "doc_id", "set_id").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = nodes.select("set_id", "row").unionByName(marked.filter("sig IS NULL").groupBy("set_id").agg(F.min("row").alias("row")))

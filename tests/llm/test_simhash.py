@@ -165,3 +165,56 @@ def test_lists_leave_no_pair_out_between_classes(spark):
     finally:
         simhash.CELL = old
     assert between <= found | got and got <= between
+
+
+def test_links_between_classes_grow_with_texts_not_with_pairs(spark, monkeypatch):
+    """Variants that are nearly alike by thousands of pairs, some of them with copies that are: rows between classes stay below the rows of lists, classes are those of brute force."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(200):
+        words = [f"w{j}" for j in range(400)]
+        for at in rng.sample(range(60), 7):
+            words[at * 6] = f"e{i}x{at}"
+        texts.append(" ".join(words))
+        if i % 5 == 0:
+            words[399 - i] = f"copy{i}"
+            texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    expected = classes(sets)
+    assert len(set(expected)) == 200 and sum(len(a & b) >= 0.68 * len(a | b) for i, a in enumerate(sets) for b in sets[:i]) > 10_000
+    made, left_out = [], simhash.left_out
+    monkeypatch.setattr(simhash, "left_out", lambda *a: made.append(left_out(*a)) or made[-1])
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string")
+    got = {r.row: r["class"] for r in simhash.similar_classes(docs, 0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+    assert made[0].count() < len(texts)
+
+
+def test_class_links_over_cells_and_batches(spark, monkeypatch):
+    """Lists whose members are held in several cells, by number or by bytes, link the same classes; a forest of them leaves."""
+    rng = random.Random(6)
+    texts = []
+    for i in range(30):
+        words = [f"v{j}" for j in range(150)]
+        for at in rng.sample(range(150), 6):
+            words[at] = f"e{i}x{at}"
+        for k in range(4):
+            copy = list(words)
+            copy[0], copy[149] = f"a{i}x{k}", f"b{i}x{k}"
+            texts.append(" ".join(copy))
+    sets = {i: np.unique(np.array(simhash.shingle_hashes(t.encode(), 5), np.uint64)) for i, t in enumerate(texts)}
+    rows = spark.createDataFrame([(i, simhash.signature(s)) for i, s in sets.items()], "id long, sig binary")
+    held = spark.createDataFrame([(i, np.unique(s.astype(np.uint32)).tobytes()) for i, s in sets.items()], "set_id long, held binary")
+    keys = rows.selectExpr(f"explode(transform(sequence(0, {simhash.BANDS - 1}), i -> cast(conv(hex(substring(sig, i * 8 + 1, 8)), 16, -10) AS long))) AS key").distinct()
+    roots = spark.createDataFrame([(i, i // 4 * 4) for i in range(len(texts)) if i % 4 < 2], "node long, root long")
+    found = {}
+    for name, (cell, size) in {"one": (1024, 1 << 24), "many": (7, 1 << 24), "bytes": (1024, 4000)}.items():
+        monkeypatch.setattr(simhash, "CELL", cell)
+        monkeypatch.setattr(simhash, "CELL_BYTES", size)
+        pairs = [tuple(r) for r in simhash.left_out(rows, keys, roots, 0.8, lambda wanted: held.join(wanted, "set_id")).collect()]
+        assert all(a < b and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) for a, b in pairs)
+        links = spark.createDataFrame(pairs + [(i, i + 1) for i in range(0, len(texts), 4)], "a long, b long")
+        found[name] = {r.node: r.root for r in simhash.connected_components(links).collect()}
+    assert found["one"] == found["many"] == found["bytes"]
+    expected = classes([shingles(t) for t in texts])
+    assert sum(found["one"].get(i, i) == expected[i] for i in range(len(texts))) >= 0.98 * len(texts)
