@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
@@ -30,10 +29,49 @@ CORE = (
 )
 
 
+def _matched(a: str, b: str, masked: str, junk: bool) -> int:
+    """The characters in common blocks: the longest one, of equals the first in ``a``, then in ``b``; then left and right of it.
+
+    Blocks are looked for in ``masked``, ``b`` without its very frequent characters, and grow over these afterwards. Searches
+    for substrings find a block, so it takes as many of them as ``a`` has characters, not as there are pairs of equal characters.
+    """
+    n, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        part, size, i = masked[blo:bhi], 0, alo
+        for at in range(alo, ahi):
+            if at + size >= ahi:
+                break
+            while at + size < ahi and a[at : at + size + 1] in part:
+                size, i = size + 1, at
+        j = blo + part.index(a[i : i + size]) if size else blo
+        if junk:
+            while i > alo and j > blo and a[i - 1] == b[j - 1]:
+                i, j, size = i - 1, j - 1, size + 1
+            while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+                size += 1
+        if size:
+            n += size
+            if alo < i and blo < j:
+                todo.append((alo, i, blo, j))
+            if i + size < ahi and j + size < bhi:
+                todo.append((i + size, ahi, j + size, bhi))
+    return n
+
+
 @lru_cache(maxsize=100_000)
 def ratio(a: str, b: str) -> float:
-    """Twice the characters in common blocks over all characters; blocks by the longest common one, then left and right of it."""
-    return SequenceMatcher(None, a, b).ratio()
+    """Twice the characters in common blocks over all characters; blocks by the longest common one, then left and right of it.
+
+    Equal to the ratio of ``difflib.SequenceMatcher``, which in strings of 200 characters or more begins no block with a character that is over a hundredth of them.
+    """
+    if not a and not b:
+        return 1.0
+    frequent = {c for c in set(b) if b.count(c) > len(b) // 100 + 1} if len(b) >= 200 else set()
+    if not frequent:
+        return 2.0 * _matched(a, b, b, False) / (len(a) + len(b))
+    rare = next(c for c in map(chr, range(len(a) + 1)) if c not in a)  # stands for the frequent ones and matches nothing
+    return 2.0 * _matched(a, b, b.translate({ord(c): rare for c in frequent}), True) / (len(a) + len(b))
 
 
 def _squeezed(x: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corposcope.functions import headings as H
 from corposcope.functions.text import SECTION_PATTERNS, canonical_heading
+from corposcope.sources.index import shared_folder
 
 # The least score of a place by source, what a source adds to it, and the least score of a local anchor.
 LEAST = {"pdf_toc": 0.48, "grobid": 0.58, "arxiv_source": 0.56, "heuristic": 0.44}
@@ -31,6 +33,13 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
     return kept.select("*", *(F.col(f"held_.{n}").alias(n) for n in columns)).drop("held_")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: what follows reads it instead of computing ``df`` again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _styled(blocks: DataFrame) -> DataFrame:
     """``blocks`` with ``line_``, their first line, and the measures of their look where they have none."""
     looks = {"line_count": F.lit(1), "char_count": F.length(F.trim("text")), "max_font": F.lit(0.0), "bold_ratio": F.lit(0.0), "body_font": F.lit(0.0)}
@@ -85,7 +94,7 @@ def _look() -> Column:
     """What the look of a block's first line adds to its score as a heading's place."""
     line = F.col("line_")
     points = (
-        (0.08, F.col("line_count") <= 2), (0.13, H.heading_phrase(line)), (0.1, (H.numeric_title(line) != "") | (H.roman_title(line) != "")),
+        (0.08, F.col("line_count") <= 2), (0.13, H.heading_phrase(line)), (0.1, (line.rlike(H.NUMBERED) & (H.numeric_title(line) != "")) | (line.rlike(H.ROMAN) & (H.roman_title(line) != ""))),
         (0.1, (F.col("body_font") > 0) & (F.col("max_font") >= F.col("body_font") + 0.6)), (-0.25, F.lower(line).rlike(H.FLOAT_TITLE)), (-0.22, H.is_marker(line)),
     )
     bold = F.when(F.col("bold_ratio") >= 0.25, F.least(F.lit(0.12), F.col("bold_ratio") * 0.2)).otherwise(0.0)
@@ -193,7 +202,8 @@ def heading_align(heads: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     styled = _styled(blocks)
     b = styled.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("block_index")) - 1)
-    features = b.select("doc_id", "pos", "block_index", "page_no", H.heading_key(F.substring("text", 1, 320)).alias("key"), H.heading_key(F.col("line_")).alias("line_key"), F.round(_look(), 9).alias("look"))
+    # written once: windows, anchors and places read it again, and would each derive all lines anew
+    features = _written(b.select("doc_id", "pos", "block_index", "page_no", H.heading_key(F.substring("text", 1, 320)).alias("key"), H.heading_key(F.col("line_")).alias("line_key"), F.round(_look(), 9).alias("look")))
     with_heads = features.join(heads.select("doc_id").distinct(), "doc_id", "left_semi")
     key = H.heading_key(F.col("title"))
     asked = heading_windows(heads.select("doc_id", "heading_no", key.alias("key"), canonical_heading(F.col("title")).alias("canonical"), "level", "source", "page_hint", "block_hint"), with_heads)

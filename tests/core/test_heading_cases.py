@@ -212,3 +212,19 @@ def test_source_scores_by_hand(spark):
     guess = 0.7 + 0.5 + 0.5 * 1.5 + 0.25 + 0.4 + 0.9
     assert abs(got["pdf_toc"] - toc) < 1e-6 and abs(got["heuristic"] - guess) < 1e-6 and got["grobid"] == -1.0
     assert places.strategy_pick(heads, spans, docs).first().source == "heuristic"
+
+
+def test_ratio_is_that_of_the_standard_library_without_its_search_for_blocks(monkeypatch):
+    """Short and long strings, with frequent characters and without."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(9)
+    for k in range(4000):
+        letters = rng.choice(("ab", "abc ", "abcdefghij klmnop", "the quick brown"))
+        length = lambda: rng.choice((0, 1, 3, 30, 60, 199, 200, 205, 320)) if k < 1000 else rng.randint(0, 60)
+        a, b = ("".join(rng.choice(letters) for _ in range(length())) for _ in range(2))
+        if k % 3 == 0 and a:
+            b = b[: len(b) // 2] + a[rng.randrange(len(a)) :][:20] + b[len(b) // 2 :]
+        assert H.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+    monkeypatch.setattr(SequenceMatcher, "find_longest_match", None)
+    assert H.ratio("deep model", "a deep model of it") == 2 * 10 / 28
