@@ -88,4 +88,4 @@ def p22_questions(spark, d):
     " AND len(regexp_extract_all(t, '\\b[A-Z][a-z]+([-''][A-Z]?[a-z]+)?\\b')) >= 3 AND regexp_matches(t, '\\b(19|20)[0-9]{2}[a-z]?\\b'))) AS looks FROM t"
 )
 def w12_reference_like_lines(spark, d):
-    return corpus.blocks_of(docs(spark, d)).select("doc_id", "block_index", X.reference_like(F.col("text")).alias("looks"))
+    return corpus.blocks_of(docs(spark, d), blanks=X.SPACES).select("doc_id", "block_index", X.reference_like(F.col("text")).alias("looks"))

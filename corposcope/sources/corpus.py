@@ -14,9 +14,9 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def blocks_of(documents: DataFrame, per_page: int = 5) -> DataFrame:
-    """(doc_id, block_index, page_no, text): the non-blank lines of each document."""
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
+def blocks_of(documents: DataFrame, per_page: int = 5, blanks: str = " ") -> DataFrame:
+    """(doc_id, block_index, page_no, text): the non-blank lines of each document; a line of ``blanks`` alone is blank."""
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "" if blanks == " " else x.rlike(f"[^{blanks}]"))
     return documents.select("doc_id", F.posexplode(lines).alias("block_index", "text")).withColumn("page_no", (F.col("block_index") / per_page).cast("int") + 1)
 
 

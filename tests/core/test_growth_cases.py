@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
+from corposcope.assembly_queries import w12_reference_like_lines
 from corposcope.functions import text as X
 from corposcope.operators import evaluate, search, summaries, vectors
 from corposcope.passage_queries import SHORT_PLURAL, p42_table_doubts
@@ -115,3 +116,13 @@ def test_summaries_cut_and_count_a_section_once(spark):
     cut = r"(?<=[.!?])\s+"
     assert plan.split("Initial Plan")[0].count(cut) <= 2  # the pattern of one cut, and none again for words, scores or missing summaries
     assert {r.section: (r.n_sentences, r.summary) for r in found.collect()} == {"s": (2, rows[0][3]), "t": (1, "short")}
+
+
+def test_reference_lines_see_words_and_blanks_as_their_sql_does(spark, tmp_path):
+    line = "{} Lee and {} Ray {} Things of All Kinds, {}{} and some more words"
+    said = [line.format("Müller Ann", "Bob", "in", 1998, ","), line.format("Ann", "Joë", "ñin", 1998, ","), line.format("Ann", "Bob", "İn", 1998, "ñ"), line.format("Ann", "Bob", "see pp.7", "½2013b", "é"), line.format("Ann", "Bob", "pp. see", 2013, "")]
+    said += ["\u00a0[7] " + "x" * 36, "\u3000" * 20 + "[7] " + "x" * 20, "[7]" + "\v" * 40, "\v[7] " + "x" * 40, "\u2003\n\u00a0 \n[1] short"]
+    spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, w12_reference_like_lines(spark, str(tmp_path)).collect()))
+    assert got == twin("w12_reference_like_lines", documents=f"SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert [r[2] for r in got] == [True] * 4 + [False, True, False, True, False, False] and got[-1][:2] == (9, 0)
