@@ -79,7 +79,7 @@ def w25_table_regions(spark, d):
 @query("SELECT conv_id, turn, coalesce(nullif(lower(trim(role)), ''), 'short_answer') AS kind, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, nullif(trim(substr(text, 1, 3)), '') AS answer FROM conversations WHERE regexp_matches(text, '\\S')")
 def p22_questions(spark, d):
     c = corpus.read_table(spark, d, "conversations")
-    asked = c.select("conv_id", "turn", F.col("role").alias("kind"), "text", F.trim(F.substring("text", 1, 3)).alias("answer"), F.lit(None).cast("string").alias("explanation"), F.lit("").alias("reference"))
+    asked = c.select("conv_id", "turn", F.col("role").alias("kind"), "text", F.substring("text", 1, 3).alias("answer"), F.lit(None).cast("string").alias("explanation"), F.lit("").alias("reference"))
     return library.normalized_questions(asked).select("conv_id", "turn", "kind", "text", "answer")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
-from corposcope.assembly_queries import w12_reference_like_lines
+from corposcope.assembly_queries import p22_questions, w12_reference_like_lines
 from corposcope.functions import text as X
 from corposcope.operators import evaluate, search, summaries, vectors
 from corposcope.passage_queries import SHORT_PLURAL, p42_table_doubts
@@ -126,3 +126,11 @@ def test_reference_lines_see_words_and_blanks_as_their_sql_does(spark, tmp_path)
     got = sorted(map(tuple, w12_reference_like_lines(spark, str(tmp_path)).collect()))
     assert got == twin("w12_reference_like_lines", documents=f"SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert [r[2] for r in got] == [True] * 4 + [False, True, False, True, False, False] and got[-1][:2] == (9, 0)
+
+
+def test_questions_are_trimmed_as_their_sql_does(spark, tmp_path):
+    said = [("user", "\nab why?"), ("\tUser\u00a0", "\u3000why?\u00a0"), ("\u2003", "\v"), ("ΑΣ", "why?\n\u0085"), ("İ", " \t\f\r\n"), ("", "a\tb "), (None, None), ("A\v", "\ta b\v\n")]
+    spark.createDataFrame([(1, i, *x) for i, x in enumerate(said)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, p22_questions(spark, str(tmp_path)).collect()))
+    assert got == twin("p22_questions", conversations=f"SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert [r[4] for r in got] == ["\nab", "wh", "\v", "why", "a\tb", "\ta"] and [r[2] for r in got[:4]] == ["user", "\tuser", "short_answer", "ασ"]
