@@ -45,15 +45,14 @@ def rows_with_all(asked: DataFrame, index: Index) -> DataFrame:
     return met.withColumn("met_", F.count(F.lit(1)).over(full)).filter("met_ = n").drop("met_")
 
 
-def keyword_search(queries: DataFrame, rows: DataFrame | Index, k: int) -> DataFrame:
-    """(query_id, rank, row_id, bm25): rows holding the query's words as a phrase, by BM25, ties to smaller ids.
+def phrase_rows(queries: DataFrame, index: Index) -> DataFrame:
+    """(query_id, row_id, p): every row that holds the query's words as a phrase, with the token, tf, df and begins of each word in ``p``.
 
-    queries (query_id, query), rows (row_id, text) or their index. Phrases are found by
+    queries (query_id, q), ``q`` being the words in order. Phrases are found by
     intersecting the places at which they would begin, from the positions of their words;
-    no text is read.
+    no text is read, and no row is left out.
     """
-    index = as_index(rows)
-    q = queries.select("query_id", X.index_tokens(F.col("query")).alias("q")).filter(F.size("q") > 0)
+    q = queries.select("query_id", "q").filter(F.size("q") > 0)
     distinct = F.array_distinct("q")
     of_query = q.select("query_id", F.size(distinct).alias("n"), F.explode(F.transform(distinct, lambda t: F.struct(t.alias("token"), F.filter(F.transform("q", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull()).alias("at")))).alias("a"))
     asked = frequencies(of_query.select("query_id", "n", "a.token", "a.at"), index)
@@ -63,7 +62,17 @@ def keyword_search(queries: DataFrame, rows: DataFrame | Index, k: int) -> DataF
     per_row = met.groupBy("query_id", "row_id").agg(F.array_sort(F.collect_list(parts)).alias("p"))
     places = F.transform("p", lambda x: x["begins"])
     phrase = F.aggregate(F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))), F.get(places, F.lit(0)), F.array_intersect)
-    met = per_row.filter(F.size(phrase) > 0).join(index.lengths.select("row_id", "n_tokens"), "row_id").join(F.broadcast(index.stats.select(F.col("n").alias("rows_"), "mean_len")))  # one row
+    return per_row.filter(F.size(phrase) > 0)
+
+
+def keyword_search(queries: DataFrame, rows: DataFrame | Index, k: int) -> DataFrame:
+    """(query_id, rank, row_id, bm25): rows holding the query's words as a phrase, by BM25, ties to smaller ids.
+
+    queries (query_id, query), rows (row_id, text) or their index. ``phrase_rows`` has all such rows, not the first k alone.
+    """
+    index = as_index(rows)
+    held = phrase_rows(queries.select("query_id", X.index_tokens(F.col("query")).alias("q")), index)
+    met = held.join(index.lengths.select("row_id", "n_tokens"), "row_id").join(F.broadcast(index.stats.select(F.col("n").alias("rows_"), "mean_len")))  # one row
 
     def part(x):
         idf = F.log(1 + (F.col("rows_") - x["df"] + 0.5) / (x["df"] + 0.5))
@@ -73,6 +82,24 @@ def keyword_search(queries: DataFrame, rows: DataFrame | Index, k: int) -> DataF
     return top_per_query(met.select("query_id", "row_id", score.alias("bm25")), k, F.desc("bm25"), "row_id").select("query_id", "rank", "row_id", "bm25")
 
 
+def rows_containing(queries: DataFrame, rows: DataFrame, index: Index) -> DataFrame:
+    """(query_id, row_id): all rows (row_id, text) that hold a query's text verbatim, as ``contains`` has it; ``index`` is theirs.
+
+    A query may begin and end inside words, so only its words between two other
+    characters must stand in a row as words. Rows that hold these as a phrase are proposed, and their texts
+    decide. Queries without such a word meet every text.
+    """
+    # the marks join a word at the query's edge, or are words themselves; the first and the last word go
+    marked = X.index_tokens(F.concat(F.lit("0"), F.col("query"), F.lit("0")))
+    q = queries.filter(F.col("query").isNotNull()).select("query_id", "query", F.slice(marked, 2, F.greatest(F.size(marked) - 2, F.lit(0))).alias("q"))
+    proposed = phrase_rows(q, index).select("query_id", "row_id")
+    asked = proposed.join(q.select("query_id", "query"), "query_id")
+    texts = rows.select("row_id", "text")
+    found = texts.join(asked, "row_id").filter(F.contains("text", "query")).select("query_id", "row_id")
+    bare = q.filter(F.size("q") == 0).select("query_id", "query")
+    return found.unionByName(texts.join(F.broadcast(bare), F.contains("text", "query")).select("query_id", "row_id"))
+
+
 def substring_search(queries: DataFrame, rows: DataFrame, k: int, grams: Grams | None = None) -> DataFrame:
     """(query_id, rank, row_id): rows (row_id, text) that hold the query anywhere, letters' case aside, in order of row_id.
 

@@ -1,5 +1,6 @@
 """Work that has to grow with the input alone, and rows on which queries and their SQL twins differed."""
 
+import random
 import re
 import time
 
@@ -12,7 +13,7 @@ from corposcope.assembly_queries import p22_questions, w12_reference_like_lines
 from corposcope.functions import text as X
 from corposcope.operators import evaluate, search, summaries, vectors
 from corposcope.passage_queries import SHORT_PLURAL, p42_table_doubts
-from corposcope.queries import ORACLES
+from corposcope.queries import ORACLES, a13_retrieval_summary
 from corposcope.sources import html, index
 
 
@@ -134,3 +135,19 @@ def test_questions_are_trimmed_as_their_sql_does(spark, tmp_path):
     got = sorted(map(tuple, p22_questions(spark, str(tmp_path)).collect()))
     assert got == twin("p22_questions", conversations=f"SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert [r[4] for r in got] == ["\nab", "wh", "\v", "why", "a\tb", "\ta"] and [r[2] for r in got[:4]] == ["user", "\tuser", "short_answer", "ασ"]
+
+
+def test_gold_holds_queries_that_begin_and_end_inside_words(spark, tmp_path):
+    said = [(1, "ello wor"), (2, "日本"), (3, "ell"), (4, "- "), (5, "big red bo"), (6, "Hello"), (7, "no such"), (8, "World")]
+    held = [(1, "Hello world, a big red box"), (2, "in 日本, - hello"), (3, "a big red boat"), (4, None), (5, "")]
+    spark.createDataFrame(said, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(held, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = tuple(a13_retrieval_summary(spark, str(tmp_path)).first())
+    assert [got] == twin("a13_retrieval_summary", **{t: f"SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'" for t in ("benchmark", "documents")})
+    assert got[:5] == (8, 0.125, 0.25, 0.25, 0.1875)  # before: queries cut inside words or without words counted as such that nothing holds
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("aabB1 ,é\n") for _ in range(rng.randrange(40))) for _ in range(60)] + ["", "K İ", "aΣ b"]
+    asked = [t[i : i + rng.randrange(1, 9)] for t in texts if t for i in [rng.randrange(len(t)) for _ in range(4)]] + ["", " ", None]
+    rows, queries = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string"), spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    found = sorted(map(tuple, search.rows_containing(queries, rows, index.unwritten(rows)).collect()))
+    assert found == sorted((i, j) for i, q in enumerate(asked) if q is not None for j, t in enumerate(texts) if q in t)
