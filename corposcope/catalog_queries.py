@@ -142,9 +142,10 @@ def p15_query_profiles(spark, d):
 
 @query()
 def p10_query_match_scores(spark, d):
-    """Each query against the pages that hold it, with the best sentence."""
+    """Each query against all pages that hold it, with the best sentence."""
     p = pages(spark, d)
-    met = search.keyword_search(batch(spark, d), page_index(spark, d), 20).join(batch(spark, d), "query_id").join(p.select("row_id", "text"), "row_id")
+    held = search.phrase_rows(batch(spark, d).select("query_id", X.index_tokens(F.col("query")).alias("q")), page_index(spark, d)).select("query_id", "row_id")
+    met = held.join(batch(spark, d), "query_id").join(p.select("row_id", "text"), "row_id")
     focused = met.withColumn("tokens", X.query_tokens(F.col("query"))).withColumn("focus", X.sentence_focus(F.col("query"), F.col("tokens"), F.col("text")))
     score = X.query_match_score(F.col("query"), F.col("tokens"), F.col("text"), F.col("focus"))
     return focused.select("query_id", "row_id", F.round(score, 6).alias("score"), "focus.hits", F.round("focus.compactness", 6).alias("compactness"))

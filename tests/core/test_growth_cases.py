@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
 from corposcope.assembly_queries import p22_questions, w12_reference_like_lines
+from corposcope.catalog_queries import p10_query_match_scores
 from corposcope.functions import text as X
 from corposcope.operators import evaluate, search, summaries, vectors
 from corposcope.passage_queries import SHORT_PLURAL, p42_table_doubts
@@ -151,3 +152,10 @@ def test_gold_holds_queries_that_begin_and_end_inside_words(spark, tmp_path):
     rows, queries = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string"), spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
     found = sorted(map(tuple, search.rows_containing(queries, rows, index.unwritten(rows)).collect()))
     assert found == sorted((i, j) for i, q in enumerate(asked) if q is not None for j, t in enumerate(texts) if q in t)
+
+
+def test_match_scores_of_all_pages_that_hold_a_query(spark, tmp_path):
+    spark.createDataFrame([(1, "grey harbour"), (2, "old boats")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, f"The grey harbour number {i} is old.") for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = p10_query_match_scores(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.row_id) for r in found) == [(1, i * 1_000_000 + 1) for i in range(50)]  # before: 20 of them
