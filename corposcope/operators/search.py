@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corposcope.functions import text as X
-from corposcope.sources.index import Grams, Index, bucket_of, unwritten, unwritten_grams
+from corposcope.sources.index import Grams, Index, bucket_of, named, settled, unwritten, unwritten_grams
 
 K1, B = 1.2, 0.75
 
@@ -24,7 +24,8 @@ def as_index(rows: DataFrame | Index) -> Index:
 def frequencies(tokens: DataFrame, index: Index | Grams) -> DataFrame:
     """``tokens`` (with token) and ``bucket`` and ``df``, 0 for unknown ones; the tokens asked for meet the vocabulary alone."""
     asked = tokens.join(F.broadcast(index.stats.select("buckets"))).withColumn("bucket", bucket_of(F.col("token"), F.col("buckets"))).drop("buckets")  # one row
-    return asked.join(index.vocabulary, ["bucket", "token"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    known = index.vocabulary.join(F.broadcast(asked.select("bucket", "token").distinct()), ["bucket", "token"], "left_semi")  # a batch of queries is small beside the vocabulary
+    return asked.join(known, ["bucket", "token"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
 
 
 def rows_with_all(asked: DataFrame, index: Index) -> DataFrame:
@@ -32,15 +33,17 @@ def rows_with_all(asked: DataFrame, index: Index) -> DataFrame:
 
     ``asked`` has a row (query_id, token, n, bucket, df) for each distinct token of a query, ``n`` being their
     number. Rows that hold a query's three rarest tokens are proposed, and only these meet its other
-    tokens, so the postings of a word that every row holds are read but never multiplied.
+    tokens, so the postings of a word that every row holds are read but never multiplied. The tokens asked
+    for, and the rows proposed where they are few, go to the postings, of which only what is met is shuffled.
     """
+    asked = settled(asked, index.folder)
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "token"))
     rarest = asked.filter("df > 0").select("query_id", "bucket", "token", "df").withColumn("i", order).filter("i <= 3").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).drop("df", "i")
-    proposed = index.postings.select("bucket", "token", "row_id").join(rarest, ["bucket", "token"]).groupBy("query_id", "row_id", "m").agg(F.count(F.lit(1)).alias("held_")).filter("held_ = m").select("query_id", "row_id")
+    proposed = index.postings.select("bucket", "token", "row_id").join(F.broadcast(rarest), ["bucket", "token"]).groupBy("query_id", "row_id", "m").agg(F.count(F.lit(1)).alias("held_")).filter("held_ = m").select("query_id", "row_id")
     complete = asked.groupBy("query_id").agg(F.min("df").alias("least")).filter("least > 0").select("query_id")
-    wanted = proposed.join(complete, "query_id", "left_semi").join(asked, "query_id")
-    read = index.postings.join(asked.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi")
-    met = wanted.join(read, ["bucket", "token", "row_id"])
+    proposed = settled(proposed.join(complete, "query_id", "left_semi"), index.folder)
+    read = named(index.postings.join(F.broadcast(asked.select("bucket", "token").distinct()), ["bucket", "token"], "left_semi"), proposed, ["row_id"])
+    met = proposed.join(asked, "query_id").join(read, ["bucket", "token", "row_id"])
     full = Window.partitionBy("query_id", "row_id")
     return met.withColumn("met_", F.count(F.lit(1)).over(full)).filter("met_ = n").drop("met_")
 
@@ -140,7 +143,8 @@ def rrf_fuse(vector: DataFrame, words: DataFrame, k: int, alpha: float = 0.5, c:
 
 def keyword_hits(ranked: DataFrame, queries: DataFrame, pages: DataFrame) -> DataFrame:
     """Page hits with their features and scores, from (query_id, rank, row_id)."""
-    h = ranked.select("query_id", "rank", "row_id").join(queries, "query_id").join(pages, "row_id")
+    ranked = settled(ranked.select("query_id", "rank", "row_id"))
+    h = ranked.join(queries, "query_id").join(named(pages, ranked, ["row_id"]), "row_id")
     h = h.withColumn("lex_hits", X.lex_hits(X.query_tokens(F.col("query")), F.col("text"))).withColumn("exact_phrase", X.page_exact(F.col("query"), F.col("text")))
     h = h.withColumn("keyword_score", 1 / (10 + F.col("rank")) + F.when(F.col("exact_phrase"), 0.08).otherwise(0.0) + F.least("lex_hits", F.lit(4)) * 0.015)
     h = h.withColumn("search_bucket", X.section_bucket(F.col("text"), F.col("page_no"), F.lit(None).cast("string")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corposcope.functions import text as X
 from corposcope.functions.embedding import hashed_vector
 from corposcope.operators import search, vectors
-from corposcope.sources.index import Index
+from corposcope.sources.index import Index, named, settled
 
 
 def search_documents(queries: DataFrame, pages: DataFrame, index: Index | None = None, k: int = 20) -> DataFrame:
@@ -24,9 +24,10 @@ def search_documents(queries: DataFrame, pages: DataFrame, index: Index | None =
 
 def semantic_hits(queries: DataFrame, pages: DataFrame, k: int = 20) -> DataFrame:
     """Page hits by the cosine of vectors (queries: query_id, query, v; pages: row_id, doc_id, page_no, text, v), with the features of keyword hits."""
-    near = vectors.vector_topk(queries.select("query_id", "v"), pages.select("row_id", "v"), k).filter("similarity > 0")
+    near = settled(vectors.vector_topk(queries.select("query_id", "v"), pages.select("row_id", "v"), k).filter("similarity > 0"))
     plain = pages.drop("v")
-    of_page = search.chunk_hits_to_pages(near.join(plain.select("row_id", "doc_id", "page_no"), "row_id").drop("row_id"), plain)
+    placed = settled(near.join(named(plain.select("row_id", "doc_id", "page_no"), near, ["row_id"]), "row_id").drop("row_id"))
+    of_page = search.chunk_hits_to_pages(placed, named(plain, placed, ["doc_id", "page_no"]))
     h = of_page.join(queries.select("query_id", "query"), "query_id")
     h = h.withColumns({"lex_hits": X.lex_hits(X.query_tokens(F.col("query")), F.col("text")), "exact_phrase": X.page_exact(F.col("query"), F.col("text")), "keyword_score": F.lit(0.0)})
     return h.withColumn("search_bucket", X.section_bucket(F.col("text"), F.col("page_no"), F.lit(None).cast("string")))
@@ -42,9 +43,9 @@ def hybrid_hits(queries: DataFrame, pages: DataFrame, index: Index, k: int = 20,
     held = pages if "v" in pages.columns else pages.withColumn("v", hashed_vector(F.col("text")))
     plain = held.drop("v")
     keyword = search.keyword_hits(search.keyword_search(queries, index, k), queries.select("query_id", "query"), plain).withColumns({"semantic_score": F.lit(0.0), "semantic_raw_score": F.lit(0.0)})
-    merged = search.section_search(keyword, semantic_hits(asked, held, k), search_type)
+    merged = settled(search.section_search(keyword, semantic_hits(asked, held, k), search_type))
     canonical = F.col("canonical") if "canonical" in plain.columns else F.lit(None).cast("string")
-    met = merged.join(plain.select("row_id", "text", canonical.alias("canonical")), "row_id").join(queries.select("query_id", "query"), "query_id")
+    met = merged.join(named(plain.select("row_id", "text", canonical.alias("canonical")), merged, ["row_id"]), "row_id").join(queries.select("query_id", "query"), "query_id")
     met = met.withColumn("block_match_score", F.col("lex_hits") + F.when(F.col("exact_phrase"), 8.0).otherwise(0.0))
     return search.section_gate(search.annotate_hits(met, search.token_stats(queries, index)))
 
@@ -55,7 +56,7 @@ def hybrid_documents(queries: DataFrame, pages: DataFrame, documents: DataFrame,
     A document of a high title bonus without hits enters with that bonus.
     """
     stats = search.token_stats(queries, index)
-    hits = hybrid_hits(queries, pages, index, k)
+    hits = settled(hybrid_hits(queries, pages, index, k))
     bonus = search.title_bonus(queries, documents, stats)
     passed = search.doc_gate(hits, bonus)
     scored = search.doc_scores(hits)

@@ -57,7 +57,7 @@ def doc_index(spark: SparkSession, d: str) -> index.Index:
 
 
 def page_index(spark: SparkSession, d: str) -> index.Index:
-    return index.index_for(pages(spark, d).select("row_id", "text"), docs(spark, d), "pages of five blocks")
+    return index.index_for(pages(spark, d).select("row_id", "text"), docs(spark, d), "pages of five blocks", normed=False)
 
 
 def ranked(spark: SparkSession, d: str, k: int = 10) -> DataFrame:

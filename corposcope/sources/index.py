@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,16 +28,19 @@ from corposcope.functions import text as X
 FOLDER_BYTES, MOST_FOLDERS = 256 * 2**20, 4096
 #: Characters of text whose postings a task sorts, and those that are cut into positions at once.
 TASK_CHARS, BATCH_CHARS = 8 * 2**20, 2 * 2**20
+#: Rows of a list of hits that may go to the rows instead of these being shuffled.
+FEW = 500_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (bucket, token, row_id, positions), vocabulary (bucket, token, df), lengths (row_id, n_tokens, norm), stats (n, mean_len, buckets)."""
+    """postings (bucket, token, row_id, positions), vocabulary (bucket, token, df), lengths (row_id, n_tokens, norm, which is null where it was not asked for), stats (n, mean_len, buckets), and the folder of a written one."""
 
     postings: DataFrame
     vocabulary: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    folder: str | None = None
 
 
 @dataclass(frozen=True)
@@ -103,7 +107,7 @@ def vocabulary_of(postings: DataFrame) -> DataFrame:
 def norms(postings: DataFrame, vocabulary: DataFrame, stats: DataFrame, chars: int = 0) -> DataFrame:
     """(row_id, norm): lengths of the rows' tf-idf vectors, idf ln((1 + N) / (1 + df)) + 1; tasks are as many as ``chars`` of text ask for, where known."""
     idf = vocabulary.join(F.broadcast(stats.select("n"))).select("bucket", "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
-    weight = F.size("positions") * F.col("idf")
+    postings, weight = postings.select("bucket", "token", "row_id", F.size("positions").alias("tf")), F.col("tf") * F.col("idf")
     if chars:
         postings, idf = (df.repartition(max(8, -(-chars // TASK_CHARS)), "bucket", "token") for df in (postings, idf))
     return postings.join(idf, ["bucket", "token"]).groupBy("row_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
@@ -133,8 +137,8 @@ def _write_postings(rows: DataFrame, path: str, buckets: int, chars: int) -> Dat
     return rows.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("bucket", IntegerType())])).parquet(path)
 
 
-def build(rows: DataFrame, folder: str) -> Index:
-    """Writes the positional index of rows (row_id, text) to ``folder``; the statistics come last and mark it whole."""
+def build(rows: DataFrame, folder: str, normed: bool = True) -> Index:
+    """Writes the positional index of rows (row_id, text) to ``folder``, with the rows' norms if ``normed``; the statistics come last and mark it whole."""
     spark = rows.sparkSession
     lengths_of(rows).write.mode("overwrite").parquet(f"{folder}/sizes")
     sizes = spark.read.parquet(f"{folder}/sizes")
@@ -143,14 +147,15 @@ def build(rows: DataFrame, folder: str) -> Index:
     postings = _write_postings(positions(rows), f"{folder}/postings", buckets, total)
     vocabulary_of(postings).write.mode("overwrite").parquet(f"{folder}/vocabulary")
     vocabulary, stats = spark.read.parquet(f"{folder}/vocabulary"), stats_of(sizes, buckets)
-    sizes.select("row_id", "n_tokens").join(norms(postings, vocabulary, stats, total), "row_id", "left").write.mode("overwrite").parquet(f"{folder}/lengths")
+    lengths = sizes.select("row_id", "n_tokens")
+    (lengths.join(norms(postings, vocabulary, stats, total), "row_id", "left") if normed else lengths).write.mode("overwrite").parquet(f"{folder}/lengths")
     stats.write.mode("overwrite").parquet(f"{folder}/stats")
     return read(spark, folder)
 
 
 def read(spark: SparkSession, folder: str) -> Index:
     kinds = {"postings": "token string, row_id long, positions array<int>, bucket int", "vocabulary": "bucket int, token string, df long", "lengths": "row_id long, n_tokens int, norm double", "stats": "n long, mean_len double, buckets int"}
-    return Index(*(spark.read.schema(kind).parquet(f"{folder}/{t}") for t, kind in kinds.items()))
+    return Index(*(spark.read.schema(kind).parquet(f"{folder}/{t}") for t, kind in kinds.items()), folder)
 
 
 def build_grams(rows: DataFrame, folder: str) -> Grams:
@@ -184,6 +189,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def settled(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` computed once, as a table in ``folder`` or the shared one."""
+    path = f"{folder or shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def named(rows: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose keys ``hits`` (settled) name, if these are few: then rows need not be shuffled to meet them. Else all rows."""
+    return rows.join(F.broadcast(hits.select(*keys).distinct()), keys, "left_semi") if hits.count() <= FEW else rows
+
+
 def _state(source: DataFrame, name: str) -> str:
     """A digest of the files behind ``source`` (paths, lengths, times of change) and the kind of index."""
     spark, seen = source.sparkSession, [name]
@@ -199,10 +216,10 @@ def _whole(spark: SparkSession, folder: str, last: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def index_for(rows: DataFrame, source: DataFrame, name: str) -> Index:
-    """The index of ``rows``, written once for each state of the files behind ``source``; ``name`` tells kinds of rows apart."""
+def index_for(rows: DataFrame, source: DataFrame, name: str, normed: bool = True) -> Index:
+    """The index of ``rows``, written once for each state of the files behind ``source``; ``name`` tells kinds of rows apart, and only tf-idf searches need them ``normed``."""
     folder = f"{shared_folder(rows.sparkSession)}/index-{_state(source, name)}"
-    return read(rows.sparkSession, folder) if _whole(rows.sparkSession, folder, "stats") else build(rows, folder)
+    return read(rows.sparkSession, folder) if _whole(rows.sparkSession, folder, "stats") else build(rows, folder, normed)
 
 
 def grams_for(rows: DataFrame, source: DataFrame, name: str) -> Grams:

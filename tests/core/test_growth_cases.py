@@ -14,6 +14,7 @@ from corposcope.catalog_queries import p10_query_match_scores
 from corposcope.functions import text as X
 from corposcope.operators import evaluate, search, summaries, vectors
 from corposcope.passage_queries import SHORT_PLURAL, p42_table_doubts
+from corposcope.plans import hybrid
 from corposcope.queries import ORACLES, a13_retrieval_summary
 from corposcope.sources import html, index
 
@@ -159,3 +160,20 @@ def test_match_scores_of_all_pages_that_hold_a_query(spark, tmp_path):
     spark.createDataFrame([(i, f"The grey harbour number {i} is old.") for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = p10_query_match_scores(spark, str(tmp_path)).collect()
     assert sorted((r.query_id, r.row_id) for r in found) == [(1, i * 1_000_000 + 1) for i in range(50)]  # before: 20 of them
+
+
+def test_pages_and_postings_are_filtered_where_they_lie(spark, tmp_path, monkeypatch):
+    words = "grey harbour old boats stone wooden mended hand".split()
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(80)]
+    p = spark.createDataFrame([(i, i // 4, i % 4 + 1, t) for i, t in enumerate(texts)], "row_id long, doc_id long, page_no int, text string")
+    q = spark.createDataFrame([(i, " ".join(texts[i * 7].split()[3:5])) for i in range(9)], "query_id long, query string")
+    built = index.build(p.select("row_id", "text"), f"file://{tmp_path}/index", normed=False)
+    titled = p.filter("page_no = 1").select("doc_id", F.col("text").alias("title"))
+    read = lambda: [sorted(map(tuple, df.collect())) for df in (search.keyword_search(q, built, 5), hybrid.hybrid_documents(q, p, titled, built, 5))]
+    few = read()
+    filtered = search.rows_with_all(search.frequencies(q.select("query_id", F.explode(F.split("query", " ")).alias("token"), F.lit(2).alias("n")).distinct(), built), built)
+    assert filtered._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 2  # before: all postings were shuffled to meet the tokens asked for
+    monkeypatch.setattr(index, "FEW", 0)
+    assert few == read() and all(few)
+    assert built.lengths.filter("norm IS NOT NULL").count() == 0  # only tf-idf searches need norms
