@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -331,16 +336,67 @@ def full_text_search(queries: DataFrame, rows: DataFrame | Index, k: int) -> Dat
 def tfidf_search(queries: DataFrame, rows: DataFrame | Index, k: int) -> DataFrame:
     """(query_id, rank, row_id, cosine): rows by the cosine of tf-idf vectors, idf ln((1 + N) / (1 + df)) + 1, over rows sharing a word.
 
-    Only the postings of the queries' words are read; the rows' norms stand in the index.
+    Only the postings of the queries' words are read; the rows' norms stand in the index. Postings are dealt by row, and queries, at
+    most ``vectors.GROUP`` at a time, go with the tasks, which keep their k best rows for each query. So what is shuffled grows with
+    the postings, not with the pairs of queries and rows that share a word.
     """
+    from corposcope.operators import vectors  # which needs this module
+
     index = as_index(rows)
     asked = queries.select("query_id", F.explode(X.index_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("q_tf"))
     known = frequencies(asked, index).filter("df > 0").join(F.broadcast(index.stats.select("n")))  # one row
-    known = known.withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).withColumn("q_w", F.col("q_tf") * F.col("idf"))
-    lengths = known.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q_w") * F.col("q_w"))).alias("q_norm"))
-    dots = index.postings.join(known, ["bucket", "token"]).groupBy("query_id", "row_id").agg(F.sum(F.size("positions") * F.col("idf") * F.col("q_w")).alias("dot"))
-    scored = dots.join(index.lengths.select("row_id", "norm"), "row_id").join(lengths, "query_id").select("query_id", "row_id", F.round(F.col("dot") / F.col("norm") / F.col("q_norm"), 6).alias("cosine"))
-    return top_per_query(scored, k, F.desc("cosine"), "row_id").select("query_id", "rank", "row_id", "cosine")
+    known = settled(known.withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).select("query_id", "bucket", "token", "idf", (F.col("q_tf") * F.col("idf")).alias("q_w")), index.folder)
+    parts = max(1, -(-known.select("query_id").distinct().count() // vectors.GROUP))
+
+    def one(part: int) -> DataFrame:
+        mine = known.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+        code = {t: i for i, t in enumerate(sorted({(r["bucket"], r["token"], r["idf"]) for r in mine}))}
+        ids = np.array(sorted({r["query_id"] for r in mine}), np.int64)
+        q = np.searchsorted(ids, np.array([r["query_id"] for r in mine], np.int64))
+        at, weight = np.array([code[r["bucket"], r["token"], r["idf"]] for r in mine], np.int64), np.array([r["q_w"] for r in mine], np.float64)
+        norm = np.sqrt(np.bincount(q, weights=weight * weight, minlength=len(ids)))
+        order = np.argsort(at, kind="stable")
+        q, weight = q[order], weight[order]
+        size = np.bincount(at, minlength=len(code))
+        start = np.cumsum(size) - size
+        coded = queries.sparkSession.createDataFrame([(*t, i) for t, i in code.items()], "bucket int, token string, idf double, code int")
+        words = index.postings.join(F.broadcast(coded), ["bucket", "token"]).select("row_id", "code", (F.size("positions") * F.col("idf")).alias("w"))
+        whole = words.unionByName(index.lengths.filter("norm IS NOT NULL").select("row_id", F.lit(-1).alias("code"), F.col("norm").alias("w")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), vectors.LAST)
+            at_once = max(1, min(2048, 2**21 // max(1, len(ids))))
+
+            def score(row: np.ndarray, c: np.ndarray, w: np.ndarray) -> None:
+                own, place = np.unique(row, return_inverse=True)
+                of_row = np.zeros(len(own))
+                of_row[place[c < 0]] = w[c < 0]
+                place, c, w = place[c >= 0], c[c >= 0], w[c >= 0]
+                for a in range(0, len(own), at_once):
+                    # postings come sorted by row
+                    lo, hi = np.searchsorted(place, (a, a + at_once))
+                    n = size[c[lo:hi]]
+                    each = np.repeat(np.arange(lo, hi), n)
+                    entry = start[c[each]] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                    held = own[a : a + at_once]
+                    dots = np.bincount(q[entry] * len(held) + place[each] - a, weights=w[each] * weight[entry], minlength=len(ids) * len(held)).reshape(len(ids), len(held))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        s = np.floor(dots / of_row[a : a + at_once] / norm[:, None] * 1e6 + 0.5) / 1e6
+                    vectors.merge(best, 0, np.where((dots > 0) & (of_row[a : a + at_once] > 0), s, -np.inf), held)
+
+            rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            for batch in batches:
+                rest = [np.concatenate((x, batch.column(i).to_numpy(zero_copy_only=False))) for i, x in enumerate(rest)]
+                cut = np.searchsorted(rest[0], rest[0][-1]) if len(rest[0]) else 0  # the last row may go on
+                score(*(x[:cut] for x in rest))
+                rest = [x[cut:] for x in rest]
+            score(*rest)
+            r, c = np.nonzero(np.isfinite(best[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(best[1][r, c]), pa.array(best[0][r, c])], ["query_id", "row_id", "cosine"])
+
+        return whole.repartition("row_id").sortWithinPartitions("row_id").mapInArrow(run, "query_id long, row_id long, cosine double")
+
+    return top_per_query(reduce(DataFrame.unionByName, map(one, range(parts))), k, F.desc("cosine"), "row_id").select("query_id", "rank", "row_id", "cosine")
 
 
 def rag_context(ranked: DataFrame, rows: DataFrame, chars: int = 1200) -> DataFrame:

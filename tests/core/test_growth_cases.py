@@ -1,5 +1,6 @@
 """Work that has to grow with the input alone, and rows on which queries and their SQL twins differed."""
 
+import math
 import random
 import re
 import time
@@ -177,3 +178,28 @@ def test_pages_and_postings_are_filtered_where_they_lie(spark, tmp_path, monkeyp
     monkeypatch.setattr(index, "FEW", 0)
     assert few == read() and all(few)
     assert built.lengths.filter("norm IS NOT NULL").count() == 0  # only tf-idf searches need norms
+
+
+def test_tfidf_pairs_are_scored_where_rows_come_together(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 30}" for _ in range(rng.randrange(1, 15))) for _ in range(120)] + ["", "w1"]
+    asked = [" ".join(rng.choice(texts).split()[:4]) for _ in range(8)] + ["unknown", "w1 unknown"]
+    rows, queries = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string"), spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in t.split() for t in texts))) + 1 for t in texts for w in t.split()}
+    vector = lambda t: {w: t.split().count(w) * idf[w] for w in t.split() if w in idf}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for i, q in enumerate(map(vector, asked)):
+        dots = [(j, sum(q[w] * v.get(w, 0) for w in q), v) for j, v in enumerate(map(vector, texts))]
+        want[i] = sorted((-round(dot / length(v) / length(q), 6), j) for j, dot, v in dots if dot > 0)[:7]
+    monkeypatch.setattr(vectors, "GROUP", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)  # a row's postings lie in several batches
+    try:
+        found = search.tfidf_search(queries, rows, 7)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-r.cosine, r.row_id))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: rows for i, rows in want.items() if rows}
+    assert "Aggregate [query_id" not in found._jdf.queryExecution().optimizedPlan().toString()  # before: a row for each word that a query and a row share
