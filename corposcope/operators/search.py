@@ -240,34 +240,80 @@ def title_bonus(queries: DataFrame, docs: DataFrame, stats: DataFrame) -> DataFr
     """(query_id, doc_id, bonus) over docs (doc_id, title); only titles that share a token with the query are met.
 
     All documents are candidates. Titles are joined by their tokens to the queries'
-    tokens, so a query word inside a longer title word does not count here. A title's words are
-    held against the queries' tokens once for each different word; what a query and a title share is counted, and
-    only titles with every token of a query are searched for its whole text. (doc_id) must be a key of ``docs``.
+    tokens, so a query word inside a longer title word does not count here. What a query and a title share is counted
+    where the title is read, and only titles with every token of a query are searched for its whole text. (doc_id) must be a key of ``docs``.
     """
     q = queries.select("query_id", "query", X.query_tokens(F.col("query")).alias("tokens"), X.content_tokens(F.col("query")).alias("content"))
     rare = stats.filter("rare").groupBy("query_id").agg(F.collect_list("token").alias("rare"))
     q = q.join(rare, "query_id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
+    asked = q.select("query_id", F.lower(F.trim("query")).alias("query"), F.size("tokens").alias("n"), F.size("content").alias("nc"), F.size("rare").alias("nr"))
     within = lambda c: F.array_contains(c, F.col("part")).cast("int")
     marked = q.select("query_id", F.explode("tokens").alias("part"), "content", "rare").select("query_id", "part", within("content").alias("c"), within("rare").alias("r"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(X.index_tokens(F.col("title")))).alias("word"))
-    # tokens are letters and digits alone, so one that stands in a title stands in a word of it
-    starts = F.sequence(F.lit(1), F.length("word") - 2)
-    pieces = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(3), F.length("word") - i + 1), lambda n: F.substring("word", i, n)))))
-    inside = words.filter(F.length("word") > 2).select("word").distinct().select("word", F.explode(pieces).alias("part")).join(marked.select("part").distinct(), "part")
-    whole = F.max((F.col("part") == F.col("word")).cast("int")).alias("whole")
-    shared = words.join(inside, "word").repartition("doc_id").groupBy("doc_id", "part").agg(whole)
-    # a batch of queries is small beside the titles, and the counts stay where a title's words came together
-    counts = shared.join(F.broadcast(marked), "part").groupBy("doc_id", "query_id").agg(F.count(F.lit(1)).alias("o"), F.sum("c").alias("c"), F.sum("r").alias("r"), F.max("whole").alias("whole")).filter("whole = 1")
-    sized = counts.join(F.broadcast(q.select("query_id", F.size("tokens").alias("n"), F.size("content").alias("nc"), F.size("rare").alias("nr"))), "query_id")
-    full = sized.filter("o = n").select("query_id", "doc_id").join(q.select("query_id", F.lower(F.trim("query")).alias("query")), "query_id").join(docs.select("doc_id", F.lower("title").alias("title")), "doc_id")
-    held = full.filter(F.contains("title", "query")).select("query_id", "doc_id", F.lit(True).alias("phrase"))
-    met = sized.join(held, ["query_id", "doc_id"], "left").withColumn("phrase", F.coalesce("phrase", F.lit(False)))
+    words = docs.select("doc_id", F.lower("title").alias("title"), F.array_distinct(X.index_tokens(F.col("title"))).alias("words"))
+    # a batch of queries is small beside the titles
+    met = title_words(marked, words).join(F.broadcast(asked), "query_id")
+    # an exploded array is searched once; the title came along where it holds every token
+    met = met.withColumn("phrase", F.explode(F.array(F.coalesce(F.col("o") == F.col("n"), F.lit(False)) & F.coalesce(F.contains("title", "query"), F.lit(False)))))
     over, content, rares, phrase = F.col("o"), F.col("c"), F.col("r"), F.col("phrase")
     score = F.when(phrase, 0.18).otherwise(0.0) + F.least(over, F.lit(5)) * 0.015 + F.least(content, F.lit(5)) * 0.05 + rares * 0.07
     score = score + F.when(F.col("nc") > 0, content / F.col("nc")).otherwise(0.0) * 0.10 + F.when(F.col("nr") > 0, rares / F.col("nr")).otherwise(0.0) * 0.10
     return met.filter(phrase | (content > 0) | (rares > 0) | (over >= 2)).select("query_id", "doc_id", F.round(score, 6).alias("bonus"))
 
 
+def title_words(marked: DataFrame, titles: DataFrame, group: int = 10_000, most: int = 200_000) -> DataFrame:
+    """(query_id, doc_id, title, o, c, r): how many of a query's tokens, content and rare tokens stand in a title of which a word is one of the query's tokens.
+
+    ``marked`` (query_id, part, c, r) has a row for each token of a query, ``titles`` (doc_id, title, words) distinct words. Queries, at most about
+    ``group`` of them at a time, travel with the tasks, so neither titles nor pairs are shuffled. A word is cut into its pieces once
+    in a task, which remembers ``most`` words. The title is null where it does not hold every token of the query.
+    """
+    parts = max(1, -(-marked.select("query_id").distinct().count() // group))
+
+    def one(part: int) -> DataFrame:
+        of: dict[str, list[tuple[int, int, int]]] = {}
+        number: dict[int, int] = {}
+        for r in marked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect():
+            of.setdefault(r["part"], []).append((number.setdefault(r["query_id"], len(number)), r["c"], r["r"]))
+        ids, token = np.array(list(number), np.int64), {p: i for i, p in enumerate(of)}
+        # the queries of each token, one after another, with what the token is to them
+        held = [np.array(of[p], np.int64).reshape(-1, 3) for p in token]
+        sizes = np.bincount([q for rows in held for q, _, _ in rows], minlength=len(ids)) if held else np.zeros(0, np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces: dict[str, list[int]] = {}
+
+            def inside(word: str) -> list[int]:
+                found = pieces.get(word)
+                if found is None:
+                    # tokens are letters and digits alone, so one that stands in a title stands in a word of it
+                    cut = {word[i:j] for i in range(len(word) - 2) for j in range(i + 3, min(len(word), i + longest) + 1)}
+                    found = [token[x] for x in cut if x in token]
+                    if len(pieces) < most:
+                        pieces[word] = found
+                return found
+
+            longest, step = max(map(len, token), default=0), max(1, 2**18 // max(1, len(ids)))  # pairs at once
+            for batch in batches:
+                for a in range(0, batch.num_rows, step):
+                    rows, kept = batch.slice(a, step), []
+                    for i, words in enumerate(rows.column(2).to_pylist()):
+                        whole = [token[w] for w in words if w in token]
+                        if not whole:
+                            continue
+                        met = np.concatenate([held[t] for t in {t for w in words for t in inside(w)}])
+                        o, c, r = (np.bincount(met[:, 0], weights=x, minlength=len(ids)).astype(np.int64) for x in (None, met[:, 1], met[:, 2]))
+                        q = np.unique(np.concatenate([held[t][:, 0] for t in whole]))
+                        kept.append((np.full(len(q), i), q, o[q], c[q], r[q]))
+                    if kept:
+                        at, q, o, c, r = (np.concatenate(x) for x in zip(*kept, strict=True))
+                        title = rows.column(1).take(pa.array(at, mask=o < sizes[q]))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), rows.column(0).take(pa.array(at)), title, *map(pa.array, (o, c, r))], ["query_id", "doc_id", "title", "o", "c", "r"])
+
+        return titles.mapInArrow(run, f"query_id long, doc_id {dict(titles.dtypes)['doc_id']}, title string, o long, c long, r long")
+
+    return reduce(DataFrame.unionByName, map(one, range(parts)))
+
+
 def chunk_hits_to_pages(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """Page rows for chunk hits (query_id, doc_id, page_no, rank, similarity), with the best score of each page."""
     score = 1 / (15 + F.col("rank")) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("similarity"))) * 0.15

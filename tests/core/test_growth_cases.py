@@ -203,3 +203,24 @@ def test_tfidf_pairs_are_scored_where_rows_come_together(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {i: rows for i, rows in want.items() if rows}
     assert "Aggregate [query_id" not in found._jdf.queryExecution().optimizedPlan().toString()  # before: a row for each word that a query and a row share
+
+
+def test_titles_and_queries_meet_without_a_shuffle(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(2, 6)))
+    titles = [" ".join(word() for _ in range(rng.randrange(6))).title() for _ in range(150)] + [None]
+    asked = [" ".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(30)]
+    queries, docs = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"), spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string")
+    rare = {(i, t) for i, q in enumerate(asked) for t in q.split() if len(t) > 2 and t < "b"}
+    stats = spark.createDataFrame([(i, t, True) for i, t in sorted(rare)], "query_id long, token string, rare boolean")
+    found = search.title_bonus(queries, docs, stats)
+    assert "Aggregate [doc_id" not in found._jdf.queryExecution().optimizedPlan().toString()  # before: titles' words and the pairs were shuffled
+    want = {}
+    for i, q in enumerate(asked):
+        tokens = {t for t in q.split() if len(t) > 2}
+        rares = {t for j, t in rare if j == i}
+        for j, t in enumerate(x.lower() if x else "" for x in titles):
+            if tokens & set(t.split()):
+                o, r, phrase = sum(x in t for x in tokens), sum(x in t for x in rares), all(x in t for x in tokens) and q in t
+                want[i, j] = round(0.18 * phrase + min(o, 5) * 0.015 + min(o, 5) * 0.05 + r * 0.07 + 0.1 * o / len(tokens) + (0.1 * r / len(rares) if rares else 0), 6)
+    assert {(r.query_id, r.doc_id): r.bonus for r in found.collect()} == want and len(want) > 50
