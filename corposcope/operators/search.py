@@ -333,7 +333,11 @@ def section_search(keyword: DataFrame, semantic: DataFrame, search_type: str) ->
     return semantic.select(*columns, (F.col("semantic_score") * X.bucket_multiplier(F.col("search_bucket"))).alias("match_score"))
 
 
-def title_rescue(scored: DataFrame, bonus: DataFrame, pages: DataFrame, least: float = 0.30) -> DataFrame:
+# Fixed value: the title bonus that makes up for missing hits.
+TITLE_ALONE = 0.30
+
+
+def title_rescue(scored: DataFrame, bonus: DataFrame, pages: DataFrame, least: float = TITLE_ALONE) -> DataFrame:
     """(query_id, doc_id, score, page_no): documents of a high title bonus without hits, with their first page."""
     missing = bonus.filter(F.col("bonus") >= least).join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     first = pages.groupBy("doc_id").agg(F.min("page_no").alias("page_no"))
@@ -457,7 +461,7 @@ def find_rows(queries: DataFrame, ranked: DataFrame, rows: DataFrame) -> DataFra
     return by_id.select("query_id", F.lit(1).alias("rank"), "row_id").unionByName(rest.select("query_id", "rank", "row_id"))
 
 
-def doc_gate(hits: DataFrame, bonus: DataFrame, title_alone: float = 0.30) -> DataFrame:
+def doc_gate(hits: DataFrame, bonus: DataFrame, title_alone: float = TITLE_ALONE) -> DataFrame:
     """(query_id, doc_id, title_bonus): documents whose three best gated hits, or whose title, support them enough.
 
     ``hits`` annotated as for ``section_gate``, with ``canonical`` and

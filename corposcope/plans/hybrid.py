@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corposcope.functions import text as X
 from corposcope.functions.embedding import hashed_vector
 from corposcope.operators import search, vectors
-from corposcope.sources.index import Index, named, settled
+from corposcope.sources.index import FEW, Index, named, settled
 
 
 def search_documents(queries: DataFrame, pages: DataFrame, index: Index | None = None, k: int = 20) -> DataFrame:
@@ -57,7 +57,10 @@ def hybrid_documents(queries: DataFrame, pages: DataFrame, documents: DataFrame,
     """
     stats = search.token_stats(queries, index)
     hits = settled(hybrid_hits(queries, pages, index, k))
-    bonus = search.title_bonus(queries, documents, stats)
+    # of titles without hits only those that count alone are used below
+    hit = hits.select("query_id", "doc_id", F.lit(True).alias("hit_")).distinct()
+    bonus = search.title_bonus(queries, documents, stats).join(F.broadcast(hit) if hits.count() <= FEW else hit, ["query_id", "doc_id"], "left")
+    bonus = settled(bonus.filter((F.col("bonus") >= search.TITLE_ALONE) | F.col("hit_")).drop("hit_"))
     passed = search.doc_gate(hits, bonus)
     scored = search.doc_scores(hits)
     rescued = search.title_rescue(scored, bonus, pages).select("query_id", "doc_id", "score", F.lit(0.0).alias("title_bonus"))
